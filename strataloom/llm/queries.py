@@ -73,7 +73,7 @@ SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k""",
     "op9_mix": r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\x0C\r]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-r AS (SELECT *, [5.0, 2.0, 1.0]::DOUBLE[][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, sum(source_size) OVER () * 1.5::DOUBLE AS total, source_size * 2::DOUBLE AS cap FROM s),
+r AS (SELECT *, CAST([5.0, 2.0, 1.0] AS DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, sum(source_size) OVER () * 1.5::DOUBLE AS total, source_size * 2::DOUBLE AS cap FROM s),
 f AS (SELECT *, total - coalesce(sum(cap) OVER b, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS open, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place FROM r
   WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 u AS (SELECT *, min(CASE WHEN cap * open <= weight * rest THEN 1 ELSE 0 END) OVER (ORDER BY place) AS filled FROM f),
