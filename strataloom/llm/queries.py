@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, media, mixing, tokenfiles, warc
-from .shared import partitions
+from . import exactdedup, langid, licenses, media, mixing, quality, tokenfiles, warc
+from .shared import partitions, take
 
 #: The folder of public vocabulary files; a parameter of each operator that encodes text.
 TOKENIZERS = os.environ.get("STRATALOOM_TOKENIZERS", "/opt/tokenizers")
@@ -37,14 +37,36 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.scan(warc.write(table(spark, sf_dir, "pages"))).drop("url")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
 
+def remainder(of: int):
+    """crc32 of the id as text, modulo ``of``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = take(table(spark, sf_dir, "documents"), "doc_id", "text")
+    model = quality.learn(docs.filter(remainder(4) != 2), table(spark, sf_dir, "labels"))
+    rated = quality.scores(docs, model)
+    return rated.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = take(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    model = langid.learn(docs.filter(remainder(5) != 0), vocabulary("piece_bpe_32k.model"))
+    return langid.predictions(docs.select("doc_id", "text"), model).select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,12 +74,16 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_warc": op3_warc,
+    "op4_license_scan": op4_license_scan,
     "op5_media_columns": op5_media_columns,
+    "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_language": op8_language,
     "op9_mix": op9_mix,
 }
 
 SQL: dict[str, str] = {
+    "op4_license_scan": licenses.sql(),
     "op3_warc": r"""
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
