@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, langid, licenses, media, mixing, quality, tokenfiles, warc
+from . import exactdedup, jaccard, langid, licenses, media, mixing, quality, tokenfiles, warc
 from .shared import partitions, take
 
 #: The folder of public vocabulary files; a parameter of each operator that encodes text.
@@ -28,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = tokenfiles.write(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2, partitions(spark))
     return tokenfiles.read(manifest)
@@ -72,6 +76,7 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_token_files": op2_token_files,
     "op3_warc": op3_warc,
     "op4_license_scan": op4_license_scan,
