@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, jaccard, langid, licenses, media, mixing, quality, tokenfiles, warc
+from . import exactdedup, jaccard, langid, licenses, media, mixing, packing, quality, tokenfiles, warc
 from .shared import partitions, take
 
 #: The folder of public vocabulary files; a parameter of each operator that encodes text.
@@ -75,6 +75,10 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_files": op2_token_files,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language": op8_language,
     "op9_mix": op9_mix,
+    "op10_pack": op10_pack,
 }
 
 SQL: dict[str, str] = {
