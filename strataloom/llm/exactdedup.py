@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, partitions, staged, take
+from .shared import BROADCAST_ROWS, SPACES, partitions, staged, take
 
 #: Bytes of normalised text that a memtable holds.
 MEMTABLE = 24 << 20
@@ -190,7 +190,7 @@ def exact_duplicates(docs: DataFrame, memtable: int = MEMTABLE, verify: bool = T
     return out.select("doc_id", keep.alias("keep_id"), "group_size", (F.col("pick") & F.col("stays")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def verify_hits(docs: DataFrame, found: DataFrame, broadcast_rows: int = 200_000) -> None:
+def verify_hits(docs: DataFrame, found: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> None:
     """Compare the bytes of a row of each run with those of the row that stays, where a digest is in more than one run."""
     pairs = found.filter((F.col("runs") > 1) & (F.col("entry_id") != F.col("keep_id"))).select("entry_id", "keep_id", F.lower(F.hex("digest")).alias("sha")).distinct()
     asked = pairs.select(F.col("entry_id").alias("doc_id"), "sha").unionByName(pairs.select(F.col("keep_id").alias("doc_id"), "sha")).distinct()

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions, staged, take
+from .shared import BROADCAST_ROWS, partitions, staged, take
 from .shingles import WIDTH, shingle_sets
 
 THRESHOLD = 80
@@ -53,8 +53,6 @@ THRESHOLD = 80
 CHUNK, CHUNK_ROWS = 16 << 20, 60_000
 #: Classes in a group.
 GROUP = 1000
-#: Ids that may be broadcast to pick rows of the documents; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 #: Stands for a null id.
 NO_ID = np.iinfo(np.int64).max
 

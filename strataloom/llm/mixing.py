@@ -4,8 +4,11 @@ Each source is a queue of its documents in a fixed shuffled order (by MD5 of
 the id), passed through again when it ends.  A copy's virtual finish time is
 the words of its source up to its end, divided by the source's target, so at
 any virtual time every source has served the same share of its target.  The
-copies are range-sorted by finish time and cut where their words reach the
-budget; a document that is then being served counts with the words served.
+queue ends when its words reach the budget; a document that is then being
+served counts with the words served.  As the targets add up to the budget, that
+is at virtual time 1 for every source, so ``mix`` knows what is taken of a
+document from its source's running sum alone.  ``schedule`` range-sorts the
+copies by finish time and gives each its place in the whole mix.
 
 Targets share the budget by weight and stop at ``most`` times a source's size;
 the excess is shared again by weight among the others.  With the sources in
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, take
+from .shared import WORD, partitions, staged, take
 
 #: Slices of the shuffle order in each source: the first three hexadecimal digits of the key, so 4096.
 SLICE_DIGITS = 3
@@ -74,3 +77,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), served - start - k * F.col("source_size"))) for k in range(1, int(-(-most // 1)))), F.greatest(F.lit(0), F.least(F.col("size"), served - start)))
     finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target"))
     return rows.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "order_key", start.alias("start"), finish.alias("finish"))
+
+
+def schedule(mixed: DataFrame, most: float = 2.0) -> DataFrame:
+    """The copies that the mix takes, range-sorted by virtual finish time: the columns of ``mixed``, copy (from 0), words, finish and position, the words of the mix up to its end."""
+    spark = mixed.sparkSession
+    first = F.col("start") + F.col("copy") * F.col("source_size")
+    served = F.floor(F.col("target") + 0.5)
+    copies = mixed.drop("finish").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))))
+    copies = copies.withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), served - first)).cast("long"))
+    copies = copies.withColumn("finish", (first + F.col("size")) / F.col("target")).filter("words > 0")
+    ordered = copies.repartitionByRange(partitions(spark), "finish", "source", "order_key", "doc_id").sortWithinPartitions("finish", "source", "order_key", "doc_id")
+    # places are taken over each part and then over the parts' totals, one row a part
+    kept = staged(ordered.withColumn("part", F.spark_partition_id()).withColumn("line", F.monotonically_increasing_id()), "schedule")
+    parts = kept.groupBy("part").agg(F.sum("words").alias("sum"))
+    parts = parts.withColumn("before", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    inside = F.sum("words").over(Window.partitionBy("part").orderBy("line"))
+    return kept.withColumn("inside", inside).join(parts, "part").withColumn("position", F.col("before") + F.col("inside")).drop("part", "line", "inside", "before")

@@ -70,3 +70,25 @@ def write_once(uri: str, *chunks: bytes) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Ids that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a unique key in ``name`` that orders as doc_id does: the id itself, or, where ids repeat or are null, numbers given out by ascending id (nulls last) and written down."""
+    ids = take(docs, "doc_id")
+    n, present, distinct = ids.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    at = next(c for c in (*docs.columns, "doc_id") if c.lower() == "doc_id") if "doc_id" not in docs.columns else "doc_id"
+    if n == present == distinct:
+        return docs.withColumn(name, F.col(at))
+    return staged(docs.orderBy(F.col(at).asc_nulls_last()).withColumn(name, F.monotonically_increasing_id()), "keyed")
+
+
+def keep_rows(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+    """The rows whose key has true in ``decisions`` (key, kept): by a broadcast of the ids that go where they are few, else by a shuffled join."""
+    gone = decisions.filter(~F.col("kept")).select(key)
+    if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(gone), key, "left_anti")
+    return rows.join(decisions.filter("kept").select(key).hint("shuffle_hash"), key, "left_semi")
