@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words kept by a worker, the first it meets; others are encoded once for each batch.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 1_000_000
 SPECIAL = ("<|endoftext|>", "<|startoftext|>")
 ODD_SPACES = "\x0b\x0c\x1c\x1d\x1e\x1f"
 WIDE_SPACES = "\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -50,7 +50,7 @@ class Encoder:
             elif self._odd(text):
                 split.append((text, None))
             else:
-                pieces = text.replace("\n", " \n").split(" ") if self.spaced else text.split()
+                pieces = text.replace("\n", " \n").split(" ") if self.spaced else text.lower().split()
                 if self.spaced:  # looked up as a word that begins a line; the line end is cut off below
                     pieces[0] = "\n" + pieces[0]
                 got = [*map(known.get, pieces)]
@@ -79,7 +79,7 @@ class Encoder:
         if any(c in text for c in ODD_SPACES) or (not text.isascii() and any(c in text for c in WIDE_SPACES)) or any(s in text for s in SPECIAL):
             return True
         if not self.spaced:
-            return "⁞" in text
+            return "⁞" in text or "Σ" in text  # whose lower case depends on what follows
         return "\t" in text or "\r" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
 
     def _learn(self, fresh: set[str]) -> dict[str, bytes]:

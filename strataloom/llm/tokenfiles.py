@@ -28,7 +28,7 @@ from .encode import encoder
 from .shared import filesystem, scratch, staged, take, write_once
 
 #: Bytes of text that a worker encodes at once.
-BLOCK = 1 << 20
+BLOCK = 4 << 20
 #: In an index file for a document whose id is null.
 NO_ID = np.iinfo(np.int64).min
 
