@@ -45,12 +45,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, partitions, staged, take
+from .shared import BROADCAST_ROWS, partitions, slices, staged, take
 from .shingles import WIDTH, shingle_sets
 
 THRESHOLD = 80
 #: Bytes of text in a chunk of the screen, and documents at most (their numbers are 16 bits).
-CHUNK, CHUNK_ROWS = 16 << 20, 60_000
+CHUNK, CHUNK_ROWS = 6 << 20, 60_000
 #: Classes in a group.
 GROUP = 1000
 #: Stands for a null id.
@@ -61,17 +61,6 @@ def set_digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def batches_of(texts: list[str | None], limit: int) -> Iterator[tuple[int, int]]:
-    first = size = 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= limit:
-            yield first, k + 1
-            first, size = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def packed(values: np.ndarray, kind: str) -> bytes:
     """Integers as planes of bytes, lowest first, which compress better than whole words."""
     plain = values.astype(kind)
@@ -98,6 +87,30 @@ def _rows(rows: list[tuple], schema: str = _CHUNKS, types: tuple = _TYPES) -> It
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 2000]), types)], [x.split()[0] for x in schema.split(", ")])
 
 
+def shared_in(rows: list[dict]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """For each chunk that has entries in a hash range: its documents with tokens of others there, and how many."""
+    keys, places, lone = [], [], []
+    for at, row in enumerate(rows):
+        for column in ("a", "c"):
+            low = np.cumsum(unpacked(row[column], "<u4"), dtype=np.uint32)  # the differences wrap as the sums do
+            keys.append(low)
+            places.append(unpacked(row["b"], "<u2").astype(np.uint64) | np.uint64(at << 16) if column == "a" else np.zeros(len(low), np.uint64))
+            lone.append(np.full(len(low), column == "a"))
+    key, place, single = np.concatenate(keys), np.concatenate(places), np.concatenate(lone)
+    del keys, places, lone
+    if not len(key):
+        return
+    order = np.argsort(key)
+    starts, lengths = runs_of(key[order])
+    single = single[order]
+    shared = (lengths > 1) | ~np.logical_and.reduceat(single, starts)
+    found, counts = np.unique(place[order][np.repeat(shared, lengths) & single], return_counts=True)
+    edges = np.searchsorted(found, np.arange(len(rows) + 1, dtype=np.uint64) << np.uint64(16))
+    for at in np.flatnonzero(np.diff(edges)).tolist():
+        span = slice(edges[at], edges[at + 1])
+        yield rows[at]["chunk"], found[span] & np.uint64(0xFFFF), counts[span]
+
+
 def screen(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """doc_id, n, digest, near for every row of ``docs`` (doc_id, text): whether so many of its tokens occur in other documents that it may have a link."""
     parts = partitions(docs.sparkSession) * 4
@@ -108,9 +121,9 @@ def screen(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            chunk, counts = uuid.uuid4().hex, np.array([*map(len, sets)], np.int64)
+            chunk, counts = uuid.uuid4().hex[:20], np.array([*map(len, sets)], np.int64)
             tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            of = np.repeat(np.arange(len(sets)), counts)
+            of = np.repeat(np.arange(len(sets), dtype=np.uint16), counts)
             order = np.argsort(tokens)
             tokens, of = tokens[order], of[order]
             starts, lengths = runs_of(tokens)
@@ -132,51 +145,33 @@ def screen(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             yield from _rows(rows)
 
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            some = batch.column(0).to_pylist()
-            for a, b in batches_of(texts, 2 << 20):
-                sets += shingle_sets(texts[a:b], width)
-                ids += some[a:b]
-                size += sum(len(t or "") for t in texts[a:b])
-                if size >= CHUNK or len(ids) >= CHUNK_ROWS - 10_000:
+            for part in slices(batch):
+                texts = part.column(1).to_pylist()
+                sets += shingle_sets(texts, width)
+                ids += part.column(0).to_pylist()
+                size += sum(len(t or "") for t in texts)
+                if size >= CHUNK or len(ids) >= CHUNK_ROWS:
                     yield from flush()
                     ids, sets, size = [], [], 0
         if ids:
             yield from flush()
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places, lone, names = [], [], [], []
+        by: dict[int, list[dict]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["kind"] == 0:
                     yield from _rows([tuple(row.values())])
-                    continue
-                base = np.uint64(row["part"] << 32)
-                singles = np.cumsum(unpacked(row["a"], "<u4").astype(np.uint64), dtype=np.uint64) & np.uint64(0xFFFFFFFF)
-                several = np.cumsum(unpacked(row["c"], "<u4").astype(np.uint64), dtype=np.uint64) & np.uint64(0xFFFFFFFF)
-                at = len(names)
-                names.append(row["chunk"])
-                keys += [singles | base, several | base]
-                places += [unpacked(row["b"], "<u2").astype(np.uint64) | np.uint64(at << 16), np.zeros(len(several), np.uint64)]
-                lone += [np.ones(len(singles), bool), np.zeros(len(several), bool)]
-        if not names:
-            return
-        key, place, single = np.concatenate(keys), np.concatenate(places), np.concatenate(lone)
-        del keys, places, lone
-        order = np.argsort(key)
-        key, single = key[order], single[order]
-        starts, lengths = runs_of(key)
-        shared = (lengths > 1) | ~np.logical_and.reduceat(single, starts)
-        found, counts = np.unique(place[order][np.repeat(shared, lengths) & single], return_counts=True)
-        edges = np.searchsorted(found, np.arange(len(names) + 1, dtype=np.uint64) << np.uint64(16))
-        by: dict[str, list[int]] = {}
-        for k in range(len(names)):
-            by.setdefault(names[k], []).append(k)
+                else:
+                    by.setdefault(row["part"], []).append(row)
+        found: dict[str, list[tuple]] = {}
+        for part in sorted(by):  # one hash range at a time
+            for name, docs_, n in shared_in(by.pop(part)):
+                found.setdefault(name, []).append((docs_, n))
         rows = []
-        for name, own in by.items():
-            docs_, n = (np.concatenate([x[edges[k] : edges[k + 1]] for k in own]) for x in (found, counts))
-            if len(docs_):
-                rows.append((0, 1, name, packed(docs_ & np.uint64(0xFFFF), "<u2"), packed(n, "<i4"), None, None))
+        for name, own in found.items():
+            docs_, n = (np.concatenate(x) for x in zip(*own))
+            rows.append((0, 1, name, packed(docs_, "<u2"), packed(n, "<i4"), None, None))
         yield from _rows(rows)
 
     rows = take(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
@@ -373,12 +368,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THR
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts_ = batch.column(1).to_pylist()
-            for a, b in batches_of(texts_, 1 << 20):
-                sets = shingle_sets(texts_[a:b], width)
+            for part in slices(batch):
+                sets = shingle_sets(part.column(1).to_pylist(), width)
                 keep = [k for k, s in enumerate(sets) if len(s)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).take(pa.array(keep, pa.int64())), pa.array([set_digest(sets[k]) for k in keep], pa.binary()), pa.array([sets[k].tobytes() for k in keep], pa.binary()), pa.array([int(sets[k][0].view(np.int64)) for k in keep], pa.int64())],
+                    [part.column(0).take(pa.array(keep, pa.int64())), pa.array([set_digest(sets[k]) for k in keep], pa.binary()), pa.array([sets[k].tobytes() for k in keep], pa.binary()), pa.array([int(sets[k][0].view(np.int64)) for k in keep], pa.int64())],
                     ["doc_id", "digest", "tokens", "low"],
                 )
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,12 @@ def take(df: DataFrame, *names: str) -> DataFrame:
     return plain.select(*picked)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of a few rows, so that few of its values are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     """The Arrow file system of a URI and the path in it."""
     return fs.FileSystem.from_uri(uri)
