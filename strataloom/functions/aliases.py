@@ -121,4 +121,4 @@ def code_aliases(title: str, body: str, structured: Iterable[str] = ()) -> str:
 
 @F.pandas_udf(T.StringType())
 def alias_text(title: pd.Series, body: pd.Series, structured: pd.Series) -> pd.Series:
-    return pd.Series([code_aliases(t, b, s if s is not None else ()) for t, b, s in zip(title, body, structured)])
+    return pd.Series([code_aliases(t, b, () if s is None else [x for x in s if x]) for t, b, s in zip(title, body, structured)])

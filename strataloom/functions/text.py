@@ -155,7 +155,7 @@ def normal_remote(remote: Column) -> Column:
 
 
 def is_verification(command: Column) -> Column:
-    segments = F.transform(F.split(ascii_lower(command), "[;&|]"), F.trim)
+    segments = F.transform(F.split(ascii_lower(command), "[;&|]"), lambda s: F.trim(s))
     return F.exists(segments, lambda s: F.array_contains(F.array(*(F.when(s.startswith(p), True).otherwise(False) for p in VERIFICATION_COMMANDS)), True))
 
 

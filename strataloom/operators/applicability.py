@@ -1,7 +1,7 @@
 """How records of one state of a repository apply to another.
 
-``relation`` compares commits by the transitive closure of the commit graph,
-which a recursive query builds; ``classified`` is the decision table over
+``relation`` compares commits by the transitive closure of the commit graph;
+``classified`` is the decision table over
 joined columns, one expression without shuffles of its own.
 """
 
@@ -10,16 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.sources.scratch import staged
+
 
 def ancestors(commits: DataFrame) -> DataFrame:
-    """commit_id, ancestor_id for every commit of (commit_id, parent_id) and all it descends from, itself included."""
-    return commits.sparkSession.sql(
-        """WITH RECURSIVE closure(commit_id, ancestor_id) AS (
-             SELECT commit_id, commit_id FROM {commits} UNION ALL
-             SELECT l.commit_id, c.parent_id FROM closure AS l JOIN {commits} AS c ON l.ancestor_id = c.commit_id)
-           SELECT DISTINCT commit_id, ancestor_id FROM closure UNION SELECT parent_id, parent_id FROM {commits}""",
-        commits=commits,
-    )
+    """commit_id, ancestor_id for every commit of (commit_id, parent_id) and all it descends from, itself included.
+
+    The reach doubles with each join, so a history of n commits takes log n rounds.
+    """
+    names = commits.select("commit_id").union(commits.select("parent_id")).distinct()
+    reach = staged(names.select("commit_id", F.col("commit_id").alias("ancestor_id")).union(commits.select("commit_id", "parent_id")).distinct(), "reach")
+    known = reach.count()
+    while True:
+        further = reach.select(F.col("commit_id").alias("c"), F.col("ancestor_id").alias("mid")).join(reach.withColumnRenamed("commit_id", "mid"), "mid")
+        reach = staged(further.select(F.col("c").alias("commit_id"), "ancestor_id").distinct(), "reach")
+        if (n := reach.count()) == known:
+            return reach
+        known = n
 
 
 def relation(pairs: DataFrame, commits: DataFrame) -> DataFrame:

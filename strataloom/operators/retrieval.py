@@ -18,6 +18,7 @@ from strataloom import schemas as S
 from strataloom.functions import text as X
 from strataloom.functions import vectors as V
 from strataloom.sources.corpus import NOW, Corpus
+from strataloom.sources.scratch import staged
 
 
 @dataclass(frozen=True)
@@ -133,16 +134,18 @@ def ranked(rows: DataFrame, order: list[Column], signal: str, limit: int) -> Dat
 TEXT_FIELDS = ("title", "body", "tags", "entities", "paths")
 
 
-def lexical(corpus: Corpus, request: Request, strict: bool) -> DataFrame:
+def lexical(corpus: Corpus, request: Request, strict: bool, indexed: DataFrame | None = None) -> DataFrame:
     """BM25 over all fields: any of 24 terms, or all of the first 8 where there are two or more."""
     terms = terms_of(request.query, 8 if strict else 24)
-    name = "lexical_strict" if strict else "lexical"
-    weights = {c: S.FIELD_WEIGHTS[c] for c in TEXT_FIELDS}
-    found = bm25(fields(corpus), terms or [""], weights, TEXT_FIELDS)
+    found = term_scores(corpus, terms) if indexed is None else indexed
     if strict:
         found = found.filter((F.col("hits") == len(terms)) & F.lit(len(terms) >= 2))
     found = found.join(eligible(corpus.heads, request).select("memory_id"), "memory_id", "left_semi")
-    return ranked(found, [F.col("bm25"), F.col("memory_id")], name, S.CHANNEL_LIMIT)
+    return ranked(found, [F.col("bm25"), F.col("memory_id")], "lexical_strict" if strict else "lexical", S.CHANNEL_LIMIT)
+
+
+def term_scores(corpus: Corpus, terms: list[str]) -> DataFrame:
+    return bm25(fields(corpus), terms or [""], {c: S.FIELD_WEIGHTS[c] for c in TEXT_FIELDS}, TEXT_FIELDS)
 
 
 def exact(corpus: Corpus, request: Request) -> DataFrame:
@@ -235,8 +238,10 @@ def recent(corpus: Corpus, request: Request) -> DataFrame:
 
 
 def channels(corpus: Corpus, request: Request) -> DataFrame:
-    """The union of all channels that the request gives something to."""
-    made = [exact(corpus, request), lexical(corpus, request, True), lexical(corpus, request, False), sparse(corpus, request), entity(corpus, request), recent(corpus, request)]
+    """The union of all channels that the request gives something to.  Where both lexical ones have the same terms, the texts are scanned for them once."""
+    terms = terms_of(request.query, 24)
+    indexed = staged(term_scores(corpus, terms), "bm25") if len(terms) <= 8 else None
+    made = [exact(corpus, request), lexical(corpus, request, True, indexed), lexical(corpus, request, False, indexed), sparse(corpus, request), entity(corpus, request), recent(corpus, request)]
     if request.error_fingerprint:
         made.append(error_fingerprint(corpus, request))
     if request.vector:
@@ -244,7 +249,7 @@ def channels(corpus: Corpus, request: Request) -> DataFrame:
     out = made[0]
     for m in made[1:]:
         out = out.unionByName(m)
-    return out
+    return staged(out, "ranks")
 
 
 def fused(ranks: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from strataloom.operators import ledger as L
 from strataloom.operators import retrieval as R
 from strataloom.operators import selection
 from strataloom.sources.corpus import NOW, Corpus, with_views
+from strataloom.sources.scratch import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -624,7 +625,7 @@ def scored_hits(c: Corpus) -> DataFrame:
     found = R.candidates(R.channels(c, with_vector(c)))
     rows = applied(c, c.heads.join(found, "memory_id")).join(R.utility(c.feedback), "memory_id", "left")
     rows = rows.filter(~F.col("applicability").isin("inapplicable", "stale", "divergent"))
-    return R.scored(rows, NOW).orderBy(F.col("score").desc(), "memory_id").limit(R.pool_size(REQUEST.limit))
+    return staged(R.scored(rows, NOW).orderBy(F.col("score").desc(), "memory_id").limit(R.pool_size(REQUEST.limit)), "pool")
 
 
 @query(
