@@ -10,18 +10,20 @@ when their sets have at least ``threshold`` per cent of their union in common.
    of each document others have too.  A chunk sends each token once, so a token
    of every document costs one entry a chunk.  Most documents end here.
 2. *Classes.*  Documents with equal sets become one class.
-3. *Groups.*  Classes with an equal smallest token form a group (cut into pieces
-   of bounded size by further hashes).  A group's row of the matrix is the
-   union of its members' tokens.  Links inside a group are found by counting
-   along its inverted lists, from one member of each part that hangs together
-   first, so that a group of near copies takes one pass.
-4. *Between groups.*  A member's overlap with a group's union bounds its overlap
-   with every member.  Of a class only the rarest ``n - ceil(t n) + 1`` tokens
-   (by number of groups) are looked up; a group that shares none of them cannot
-   have the overlap.  Qualifying groups are opened and compared member by
-   member.  First the leaders of the parts are compared, then the parts they
-   join are contracted, and then members whose part is not all of a group.
-   Groups that lie in one part answer together.
+3. *Similar groups.*  In each of a few rounds, classes with an equal smallest
+   token under that round's order meet (in pieces of bounded size by further
+   hashes), unless they hang together already, and exact links are found by
+   counting along the inverted lists of those that meet, from one member of each
+   part first, so that a crowd of near copies takes one pass.  The components so
+   far, cut into pieces of bounded size, are the groups.
+4. *Between groups.*  A group's row of the matrix is the union of its members'
+   tokens; a member's overlap with it bounds its overlap with every member.  Of a
+   class only the rarest ``n - ceil(t n) + 1`` tokens (by number of groups) are
+   looked up, and of a group's row only those of its members: without one of them
+   in common the overlap can't be reached.  Qualifying groups of fitting sizes are
+   opened and compared member by member.  Of two units (components, or groups
+   without links) only the lower one asks, so a crowd of near copies asks nothing
+   and is asked once by each outsider that may belong to it.
 5. *Components* of the links by alternating star contraction on tables.
 
 Screening and grouping only prune: every link is found by an exact count of
@@ -42,17 +44,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, partitions, slices, staged, take
-from .shingles import WIDTH, shingle_sets
+from .shared import BROADCAST_ROWS, let_go, partitions, slices, staged, take
+from .shingles import WIDTH, mix, shingle_sets
 
 THRESHOLD = 80
 #: Bytes of text in a chunk of the screen, and documents at most (their numbers are 16 bits).
 CHUNK, CHUNK_ROWS = 6 << 20, 60_000
 #: Classes in a group.
 GROUP = 1000
+#: Rounds, each with an order of its own, in which classes with an equal smallest token meet.
+ROUNDS = 3
 #: Stands for a null id.
 NO_ID = np.iinfo(np.int64).max
 
@@ -61,6 +65,11 @@ def set_digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def lowest(tokens: np.ndarray, rounds: int = ROUNDS) -> list[int]:
+    """The smallest token in each round's order: a fixed mix of the token and the round."""
+    return [int(mix(tokens ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)).min().view(np.int64)) for k in range(rounds)]
+
+
 def packed(values: np.ndarray, kind: str) -> bytes:
     """Integers as planes of bytes, lowest first, which compress better than whole words."""
     plain = values.astype(kind)
@@ -116,6 +125,7 @@ def screen(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     parts = partitions(docs.sparkSession) * 4
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         ids: list[int] = []
         sets: list[np.ndarray] = []
         size = 0
@@ -155,6 +165,8 @@ def screen(docs: DataFrame, width: int, threshold: int) -> DataFrame:
                     ids, sets, size = [], [], 0
         if ids:
             yield from flush()
+        sets.clear()
+        let_go()
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[dict]] = {}
@@ -173,6 +185,7 @@ def screen(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             docs_, n = (np.concatenate(x) for x in zip(*own))
             rows.append((0, 1, name, packed(docs_, "<u2"), packed(n, "<i4"), None, None))
         yield from _rows(rows)
+        let_go()
 
     rows = take(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     told = staged(rows.mapInArrow(chunks, _CHUNKS).repartition(partitions(docs.sparkSession), "part").mapInArrow(answers, _CHUNKS), "screen")
@@ -214,10 +227,12 @@ class Inverted:
         return np.flatnonzero((both > 0) & (100 * both >= threshold * (len(query) + self.sizes - both)))
 
 
-def inner_parts(inverted: Inverted, threshold: int) -> np.ndarray:
-    """For each member the number of its part: the members that hang together by links inside the group."""
+def inner_parts(inverted: Inverted, known: np.ndarray, threshold: int) -> np.ndarray:
+    """For each member the number of its part: what hangs together by ``known`` components or by links inside the group."""
     n = len(inverted.sets)
-    parent = np.arange(n)
+    first: dict[int, int] = {}
+    parent = np.array([first.setdefault(c, k) for k, c in enumerate(known.tolist())], np.int64)
+    alone = np.bincount(parent, minlength=n)[parent] == 1
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -225,16 +240,18 @@ def inner_parts(inverted: Inverted, threshold: int) -> np.ndarray:
             k = parent[k]
         return k
 
-    asked = np.zeros(n, bool)
+    asked, joined = np.zeros(n, bool), np.zeros(n, bool)
 
     def ask(k: int) -> None:
         asked[k] = True
         for other in inverted.linked(inverted.sets[k], threshold).tolist():
             a, b = root(k), root(other)
-            parent[max(a, b)] = min(a, b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                joined[k] = joined[other] = True
 
-    for k in range(n):  # one member of each part, by stars
-        if root(k) == k and not asked[k] and (parent == k).sum() == 1:
+    for k in range(n):  # stars first
+        if alone[k] and not joined[k]:
             ask(k)
     labels = np.array([root(k) for k in range(n)])
     largest = np.bincount(labels).argmax() if n else 0
@@ -244,98 +261,128 @@ def inner_parts(inverted: Inverted, threshold: int) -> np.ndarray:
     return np.array([root(k) for k in range(n)])
 
 
-def grouped(classes: DataFrame, limit: int = GROUP) -> DataFrame:
-    """``classes`` (node, n, tokens, low) with their group: equal smallest token, cut by the node's hash where there are more than ``limit``."""
-    sizes = classes.groupBy("low").agg(F.count("*").alias("members")).filter(F.col("members") > limit)
-    cut = F.ceil(F.coalesce(F.col("members"), F.lit(1)) / limit)
-    return classes.join(sizes, "low", "left").withColumn("grp", F.xxhash64("low", F.pmod(F.xxhash64("node"), cut))).drop("members")
-
-
 def as_sets(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column]
 
 
-def class_links(classes: DataFrame, threshold: int) -> DataFrame:
-    """Links between classes (node, n, tokens, low) that connect all classes that exact links connect: a, b."""
-    groups = staged(grouped(classes), "groups")
+def pieces_of(key: str, members: str, limit: int, salt: int) -> Column:
+    """A group number for a key, with as many pieces by the node's salted hash as its number of members asks for."""
+    return F.xxhash64(key, F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col(members) / limit)))
+
+
+def similar_links(classes: DataFrame, threshold: int, rounds: int = ROUNDS, limit: int = GROUP) -> DataFrame:
+    """Exact links (a, b) between classes (node, tokens, low: the smallest token by round) that meet in one of the rounds."""
+    links, names = None, classes.select("node", "low")
+    state = names.select("node", F.col("node").alias("component"))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
-        parts = inner_parts(Inverted(as_sets(pdf["tokens"])), threshold)
-        return pd.DataFrame({"grp": pdf["grp"], "node": pdf["node"], "leader": pdf["node"].to_numpy()[parts]})
-
-    leaders = staged(groups.groupBy("grp").applyInPandas(inside, "grp long, node long, leader long"), "leaders")
-    links = leaders.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+        parts = inner_parts(Inverted(as_sets(pdf["tokens"])), pdf["component"].to_numpy(), threshold)
+        leader = pdf["node"].to_numpy()[parts]
+        linked = leader != pdf["node"].to_numpy()
+        return pd.DataFrame({"a": leader[linked], "b": pdf["node"].to_numpy()[linked]})
+
+    for k in range(rounds):
+        meets = names.select("node", F.col("low")[k].alias("key")).join(state, "node")
+        crowds = meets.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").drop("x", "y")
+        meets = meets.join(crowds, "key").select("node", "component", pieces_of("key", "members", limit, k).alias("grp"))
+        met = meets.join(classes.select("node", "tokens"), "node")
+        found = staged(met.groupBy("grp").applyInPandas(inside, "a long, b long"), "links")
+        links = found if links is None else links.unionByName(found)
+        state = with_components(names, links)
+    return links
+
+
+def with_components(names: DataFrame, links: DataFrame) -> DataFrame:
+    return staged(names.select("node").join(components(links), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "state")
+
+
+def grouped(classes: DataFrame, state: DataFrame, limit: int) -> DataFrame:
+    """node, component, unit, members, grp: a component of several classes is a unit of its own, in pieces; the others form units by the most common of their smallest tokens."""
+    sizes = state.groupBy("component").agg(F.count("*").alias("members"))
+    state = state.join(sizes, "component")
+    crowd = state.filter("members > 1").withColumn("grp", pieces_of("component", "members", limit, -1)).withColumn("unit", F.col("component"))
+    keys = state.filter("members = 1").join(classes.select("node", F.explode("low").alias("key")), "node")
+    often = keys.groupBy("key").agg(F.count("*").alias("crowd"))
+    best = keys.join(often, "key").groupBy("node", "component", "members").agg(F.max_by("key", F.struct("crowd", "key")).alias("key"))
+    sizes = best.groupBy("key").agg(F.count("*").alias("crowd"))
+    alone = best.join(sizes, "key").withColumn("grp", pieces_of("key", "crowd", limit, -2)).withColumn("unit", F.col("grp"))
+    names = ("node", "component", "unit", "members", "grp")
+    return crowd.select(*names).unionByName(alone.select(*names))
+
+
+def class_links(classes: DataFrame, threshold: int, limit: int = GROUP) -> DataFrame:
+    """Links between classes (node, tokens, low) that connect all classes that exact links connect: a, b."""
+    links = similar_links(classes, threshold, limit=limit)
+    groups = staged(classes.select("node", "tokens").join(grouped(classes, with_components(classes, links), limit), "node"), "groups")
 
     def union(pdf: pd.DataFrame) -> pd.DataFrame:
         tokens = np.unique(np.concatenate(as_sets(pdf["tokens"])))
-        return pd.DataFrame({"token": tokens.view(np.int64), "grp": pdf["grp"].iloc[0]})
+        return pd.DataFrame({"token": tokens.view(np.int64), **{c: pdf[c].iloc[0] for c in ("grp", "unit", "members")}})
 
-    matrix = staged(groups.groupBy("grp").applyInPandas(union, "token long, grp long"), "matrix")
-    often = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1")
-    shared = staged(matrix.join(often, "token"), "shared")
-    told = shared.groupBy("grp").agg(F.collect_list(F.struct("token", "groups")).alias("known"))
+    matrix = staged(groups.groupBy("grp").applyInPandas(union, "token long, grp long, unit long, members long"), "matrix")
+    rank = F.struct("members", "unit")
+    often = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.min(rank)["unit"].alias("bottom"), F.max(rank)["unit"].alias("top")).filter("bottom != top")
+    marks = F.struct("token", "groups", (F.col("top") != F.col("unit")).alias("up"), (F.col("bottom") != F.col("unit")).alias("down"))
+    told = matrix.join(often, "token").groupBy("grp").agg(F.collect_list(marks).alias("known"))
 
     def prefixes(members: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out: list[list[np.ndarray]] = []
         if len(members) and len(known):
-            pairs = known["known"].iloc[0]
-            token = np.array([p["token"] for p in pairs], np.int64).view(np.uint64)
-            number = np.array([p["groups"] for p in pairs], np.int64)
+            marked = known["known"].iloc[0]
+            token, number, up, down = (np.array([p[c] for p in marked], t) for c, t in (("token", np.int64), ("groups", np.int64), ("up", bool), ("down", bool)))
+            token = token.view(np.uint64)
             order = np.argsort(token)
-            token, number = token[order], number[order]
-            for node, own in zip(members["node"], as_sets(members["tokens"])):
+            token, number, up, down = token[order], number[order], up[order], down[order]
+            sets, sizes = as_sets(members["tokens"]), np.array([len(x) // 8 for x in members["tokens"]])
+            answer: list[np.ndarray] = []
+            for node, own in zip(members["node"], sets):
                 n = len(own)
-                need = -(-threshold * n // 100)
                 at = np.minimum(np.searchsorted(token, own), len(token) - 1)
                 hit = token[at] == own
-                if hit.sum() < need:
-                    continue
-                rest = n - need + 1 - (n - int(hit.sum()))  # tokens that no other group has come first
-                found, count = own[hit], number[at[hit]]
-                first = np.lexsort((found, count))[:rest]
-                out.append(pd.DataFrame({"token": found[first].view(np.int64), "node": node, "own": members["grp"].iloc[0]}))
-        return pd.concat(out) if out else pd.DataFrame({"token": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "own": np.zeros(0, np.int64)})
-
-    probes = staged(groups.groupBy("grp").cogroup(told.groupBy("grp")).applyInPandas(prefixes, "token long, node long, own long"), "probes")
-    postings = shared.select("token", "grp")
-
-    def opened(asks: DataFrame) -> DataFrame:
-        """Links of the asked (node, grp) pairs: for each node and part of the group at most one."""
-        sent = asks.join(groups.select("node", "tokens"), "node").select("grp", F.col("node").alias("asker"), F.col("tokens").alias("asked"))
-        inner = groups.join(leaders.select("node", "leader"), "node").select("grp", "node", "leader", "tokens")
-
-        def compare(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
-            a, b = [], []
-            if len(queries) and len(members):
-                inverted = Inverted(as_sets(members["tokens"]))
-                part = members["leader"].to_numpy()
-                for node, own in zip(queries["asker"], as_sets(queries["asked"])):
-                    for leader in np.unique(part[inverted.linked(own, threshold)]).tolist():
-                        a.append(node)
-                        b.append(leader)
-            return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-        return staged(sent.groupBy("grp").cogroup(inner.groupBy("grp")).applyInPandas(compare, "a long, b long"), "opened")
-
-    heads = probes.join(leaders.filter("node = leader").select("node"), "node", "left_semi")
-    asks = heads.join(postings, "token").filter("own != grp").select("node", "grp").distinct()
-    links = links.unionByName(opened(asks))
-    joined = components(links)
-    label = F.coalesce("component", F.col("leader"))
-    state = leaders.join(joined.withColumnRenamed("node", "leader"), "leader", "left").select("grp", "node", label.alias("component"))
-    whole = state.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    # groups that lie in one part answer as one, and its own members need not ask them
-    answering = whole.withColumn("only", F.when(F.col("low") == F.col("high"), F.col("low"))).select("grp", "only")
-    answering, state = staged(answering, "answering"), staged(state, "state")
-    rest = probes.join(leaders.filter("node != leader").select("node"), "node", "left_semi").join(state.select("node", "component"), "node")
-    once = postings.join(answering, "grp").select("token", F.col("only"), F.when(F.col("only").isNull(), F.col("grp")).alias("open")).distinct()
-    meets = rest.join(once, "token").filter(F.coalesce(F.col("only") != F.col("component"), F.col("open") != F.col("own"))).select("node", "only", "open").distinct()
-    meets = staged(meets, "meets")
-    pure = meets.filter("only is not null").select("node", "only").join(rest.select("node", "token"), "node")
-    pure = pure.join(postings.join(answering.filter("only is not null"), "grp"), ["only", "token"]).select("node", "grp")
-    asks = meets.filter("open is not null").select("node", F.col("open").alias("grp")).unionByName(pure).distinct()
-    return links.unionByName(opened(asks))
+                for usable, asks in ((up, True), (down, False)):
+                    use = hit & usable[at]
+                    rest = int(use.sum()) - -(-threshold * n // 100) + 1  # tokens that no asked (or asking) unit has come first
+                    if rest > 0:
+                        found = own[use]
+                        found = found[np.lexsort((found, number[at[use]]))[:rest]]
+                        if asks:
+                            out.append([found, np.ones(len(found), bool), np.full(len(found), node), np.full(len(found), n), np.full(len(found), n)])
+                        else:
+                            answer.append(found)
+            if answer:
+                found = np.unique(np.concatenate(answer))
+                out.append([found, np.zeros(len(found), bool), np.full(len(found), members["grp"].iloc[0]), np.full(len(found), sizes.min()), np.full(len(found), sizes.max())])
+        joined = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.uint64), np.zeros(0, bool), *(np.zeros(0, np.int64) for _ in range(3))]
+        made = pd.DataFrame(dict(zip(("token", "asks", "id", "lo", "hi"), (joined[0].view(np.int64), *joined[1:]))))
+        return made.assign(unit=members["unit"].iloc[0] if len(members) else 0, members=members["members"].iloc[0] if len(members) else 0)
+
+    kind = "token long, asks boolean, id long, lo long, hi long, unit long, members long"
+    both = staged(groups.groupBy("grp").cogroup(told.groupBy("grp")).applyInPandas(prefixes, kind), "prefixes")
+    probes = both.filter("asks").select("token", F.col("id").alias("node"), F.col("lo").alias("n"), F.col("unit").alias("own"), F.col("members").alias("size"))
+    answers = both.filter("not asks").select(F.col("token").alias("t"), F.col("id").alias("grp"), "lo", "hi", "unit", "members")
+    larger = (F.col("members") > F.col("size")) | ((F.col("members") == F.col("size")) & (F.col("unit") > F.col("own")))
+    fits = (F.col("hi") * 100 >= F.col("n") * threshold) & (F.col("lo") * threshold <= F.col("n") * 100)
+    asks = probes.join(answers, (F.col("token") == F.col("t")) & larger & fits).select("node", "grp").distinct()
+    sent = staged(asks, "asks").join(groups.select("node", "tokens"), "node").select("grp", F.col("node").alias("asker"), F.col("tokens").alias("asked"))
+
+    def compare(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        members = members.sort_values("node", ignore_index=True)
+        inverted, names, known = Inverted(as_sets(members["tokens"])), members["node"].to_numpy(), members["component"].to_numpy()
+        a, b = [], []
+        if len(members) and (known != known[0]).any():
+            leader = names[inner_parts(inverted, known, threshold)]
+            a += leader[leader != names].tolist()
+            b += names[leader != names].tolist()
+        for node, own in zip(queries["asker"], as_sets(queries["asked"])):
+            hit = inverted.linked(own, threshold)
+            for part in np.unique(known[hit]).tolist():  # one link to each component is enough
+                a.append(node)
+                b.append(names[hit][known[hit] == part].min())
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    opened = sent.groupBy("grp").cogroup(groups.select("grp", "node", "component", "tokens").groupBy("grp")).applyInPandas(compare, "a long, b long")
+    return links.unionByName(staged(opened, "opened"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -372,13 +419,14 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THR
                 sets = shingle_sets(part.column(1).to_pylist(), width)
                 keep = [k for k, s in enumerate(sets) if len(s)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(keep, pa.int64())), pa.array([set_digest(sets[k]) for k in keep], pa.binary()), pa.array([sets[k].tobytes() for k in keep], pa.binary()), pa.array([int(sets[k][0].view(np.int64)) for k in keep], pa.int64())],
+                    [part.column(0).take(pa.array(keep, pa.int64())), pa.array([set_digest(sets[k]) for k in keep], pa.binary()), pa.array([sets[k].tobytes() for k in keep], pa.binary()), pa.array([lowest(sets[k]) for k in keep], pa.list_(pa.int64()))],
                     ["doc_id", "digest", "tokens", "low"],
                 )
 
-    read = texts.mapInArrow(tokens, "doc_id long, digest binary, tokens binary, low long").dropDuplicates(["doc_id", "digest"])
+    read = texts.mapInArrow(tokens, "doc_id long, digest binary, tokens binary, low array<long>").dropDuplicates(["doc_id", "digest"])
     known = classes.join(read.withColumnRenamed("doc_id", "class_id"), ["class_id", "digest"])
-    links = class_links(known.select("node", "tokens", "low"), threshold)
+    known = staged(known.select("node", "tokens", "low"), "tokens")
+    links = class_links(known, threshold)
     member = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = staged(member.select("digest", "class_id", "component"), "members")
     least = member.groupBy("component").agg(F.min("class_id").alias("component_id"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -30,6 +31,39 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+#: Rows of a batch between the JVM and Python: whole texts are large, so few at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have Spark hand over at most ``BATCH_ROWS`` rows at a time; its default of 10,000 whole texts takes memory outside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+#: What a Python worker keeps between tasks: one value, that of the operator that runs now.
+_kept: dict[str, object] = {}
+
+
+def kept(key: str, make) -> object:
+    """The worker's value for a key; another key's is let go first."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go() -> None:
+    """Give freed memory back to the system, which allocators put off, and drop what other operators kept."""
+    _kept.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that no other call gets."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -45,6 +79,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def take(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone.  Columns are found by position, so other columns may have any name, also one that differs by case alone."""
+    small_batches(df.sparkSession)
     columns = df.columns
     plain = df.toDF(*(f"_{i}" for i in range(len(columns))))
     picked = []
