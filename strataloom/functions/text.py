@@ -51,9 +51,28 @@ def contains(text: Column, needle: Column) -> Column:
     return F.contains(ascii_lower(text), needle)
 
 
-def tokens(text: Column) -> Column:
-    """Runs of a-z and 0-9 of the text in lower case."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+# Accented letters and the plain ones they are searched as.
+ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def searchable(text: Column) -> Column:
+    """The words of a text in lower case and without accents, each between spaces of its own: `` a  b ``; empty without words."""
+    words = F.trim(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+", "  "))
+    return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+
+
+def phrase(term: str) -> str:
+    """A query's term as it stands in a searchable text: words that follow each other."""
+    words = re.findall(r"[^\W_]+", term.lower().translate(str.maketrans(ACCENTED, PLAIN)))
+    return " " + "  ".join(words) + " "
+
+
+def occurrences(searched: Column, found: str) -> Column:
+    return ((F.length(searched) - F.length(F.replace(searched, F.lit(found), F.lit("")))) / len(found)).cast("long")
+
+
+def word_count(searched: Column) -> Column:
+    return ((F.length(searched) - F.length(F.replace(searched, F.lit(" "), F.lit("")))) / 2).cast("long")
 
 
 def token_estimate(text: Column) -> Column:

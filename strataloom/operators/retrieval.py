@@ -109,10 +109,9 @@ def bm25(indexed: DataFrame, terms: list[str], columns: dict[str, float], every:
 
     Number of rows and mean length are those of the whole table; a row's length counts all of ``every``.
     """
-    wanted = F.array(*map(F.lit, terms))
-    split = indexed.select(key, *(X.tokens(F.col(c)).alias(c) for c in every))
-    length = sum((F.size(c) for c in every[1:]), F.size(every[0]))
-    counts = F.transform(wanted, lambda t: sum((F.lit(w) * F.size(F.filter(F.col(c), lambda x: x == t)) for c, w in columns.items()), F.lit(0.0)))
+    split = indexed.select(key, *(X.searchable(F.col(c)).alias(c) for c in every))
+    length = sum((X.word_count(F.col(c)) for c in every[1:]), X.word_count(F.col(every[0])))
+    counts = F.array(*(sum((F.lit(w) * X.occurrences(F.col(c), X.phrase(t)) for c, w in columns.items()), F.lit(0.0)) for t in terms))
     rows = split.select(key, length.alias("length"), counts.alias("counts"))
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col("counts")[k] > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))))
     rows = rows.filter(F.exists("counts", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
@@ -131,6 +130,8 @@ def ranked(rows: DataFrame, order: list[Column], signal: str, limit: int) -> Dat
     return first.select("memory_id", F.lit(signal).alias("signal"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
+#: Stands for a query without terms: a word that no text has.
+NO_TERM = ["\u2400"]
 TEXT_FIELDS = ("title", "body", "tags", "entities", "paths")
 
 
@@ -145,7 +146,7 @@ def lexical(corpus: Corpus, request: Request, strict: bool, indexed: DataFrame |
 
 
 def term_scores(corpus: Corpus, terms: list[str]) -> DataFrame:
-    return bm25(fields(corpus), terms or [""], {c: S.FIELD_WEIGHTS[c] for c in TEXT_FIELDS}, TEXT_FIELDS)
+    return bm25(fields(corpus), terms or NO_TERM, {c: S.FIELD_WEIGHTS[c] for c in TEXT_FIELDS}, TEXT_FIELDS)
 
 
 def exact(corpus: Corpus, request: Request) -> DataFrame:
@@ -163,7 +164,7 @@ def code_alias(corpus: Corpus, request: Request, strict: bool) -> DataFrame:
     texts = corpus.heads.filter("state != 'retracted'").join(structured, "memory_id", "left")
     texts = texts.select("memory_id", alias_text("title", "body", "structured").alias("aliases"))
     terms = terms_of(request.query, 8 if strict else 24)
-    found = bm25(texts, terms or [""], {"aliases": S.FIELD_WEIGHTS["aliases"]}, ("aliases",))
+    found = bm25(texts, terms or NO_TERM, {"aliases": S.FIELD_WEIGHTS["aliases"]}, ("aliases",))
     if strict:
         found = found.filter((F.col("hits") == len(terms)) & F.lit(len(terms) >= 2))
     found = found.join(eligible(corpus.heads, request).select("memory_id"), "memory_id", "left_semi")
@@ -172,11 +173,8 @@ def code_alias(corpus: Corpus, request: Request, strict: bool) -> DataFrame:
 
 def expansion(corpus: Corpus, request: Request) -> DataFrame:
     """BM25 over expansion texts of current projections of active profiles; the best of a record's profiles counts."""
-    current = corpus.projections.select("memory_id", "revision", "content_hash", F.concat(F.lit("topic "), F.col("label").cast("string"), F.lit(" the")).alias("expansions"))
-    profiles = corpus.spark.createDataFrame([(0, True), (1, True), (2, False)], "profile long, active boolean")
-    texts = current.crossJoin(F.broadcast(profiles)).withColumn("expansions", F.concat_ws(" ", "expansions", F.when(F.col("profile") == 1, "thon")))
-    texts = texts.withColumn("row", F.col("memory_id") * 8 + F.col("profile"))
-    found = bm25(texts, terms_of(request.query, 24) or [""], {"expansions": S.FIELD_WEIGHTS["expansions"]}, ("expansions",), key="row")
+    texts = corpus.expansions.withColumn("row", F.struct("memory_id", "profile"))
+    found = bm25(texts, terms_of(request.query, 24) or NO_TERM, {"expansions": S.FIELD_WEIGHTS["expansions"]}, ("expansions",), key="row")
     heads = eligible(corpus.heads, request).select("memory_id", F.col("head_revision").alias("revision"), "content_hash")
     alive = texts.filter("active").join(heads, ["memory_id", "revision", "content_hash"]).select("row", "memory_id")
     best = found.join(alive, "row").groupBy("memory_id").agg(F.min("bm25").alias("bm25"))
@@ -191,7 +189,7 @@ def listed(rows: DataFrame, group: list[str], signal: str) -> DataFrame:
 
 
 def terms_frame(corpus: Corpus, terms: list[str]) -> DataFrame:
-    return F.broadcast(corpus.spark.createDataFrame([(t,) for t in terms], "term string"))
+    return F.broadcast(corpus.spark.createDataFrame([(t,) for t in terms], "term string"))  # a query's terms, 16 at most
 
 
 def sparse(corpus: Corpus, request: Request) -> DataFrame:
@@ -217,8 +215,8 @@ def entity(corpus: Corpus, request: Request) -> DataFrame:
 
 def error_fingerprint(corpus: Corpus, request: Request) -> DataFrame:
     """Records whose event's attribute is the request's fingerprint, newest first."""
-    events = corpus.log.select(F.col("event_id").alias("memory_id"), F.get_json_object("attributes", "$.error_fingerprint").alias("fingerprint"))
-    rows = eligible(corpus.heads, request).join(events.filter(F.col("fingerprint") == request.error_fingerprint), "memory_id")
+    found = corpus.fingerprints.filter(F.col("fingerprint") == request.error_fingerprint).select("memory_id").distinct()
+    rows = eligible(corpus.heads, request).join(found, "memory_id")
     return ranked(rows, [F.col("updated_seq").desc(), F.col("memory_id")], "error_fingerprint", S.CHANNEL_LIMIT)
 
 
@@ -237,11 +235,16 @@ def recent(corpus: Corpus, request: Request) -> DataFrame:
     return ranked(eligible(corpus.heads, request), [F.col("updated_seq").desc(), F.col("memory_id")], "recency", S.RECENT_LIMIT)
 
 
-def channels(corpus: Corpus, request: Request) -> DataFrame:
-    """The union of all channels that the request gives something to.  Where both lexical ones have the same terms, the texts are scanned for them once."""
+def channels(corpus: Corpus, request: Request, generated: bool = False) -> DataFrame:
+    """The union of all channels that the request gives something to; ``generated``: also those over aliases and expansions.
+
+    Where both lexical ones have the same terms, the texts are scanned for them once.
+    """
     terms = terms_of(request.query, 24)
     indexed = staged(term_scores(corpus, terms), "bm25") if len(terms) <= 8 else None
     made = [exact(corpus, request), lexical(corpus, request, True, indexed), lexical(corpus, request, False, indexed), sparse(corpus, request), entity(corpus, request), recent(corpus, request)]
+    if generated:
+        made += [code_alias(corpus, request, True), code_alias(corpus, request, False), expansion(corpus, request)]
     if request.error_fingerprint:
         made.append(error_fingerprint(corpus, request))
     if request.vector:

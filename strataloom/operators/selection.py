@@ -104,7 +104,8 @@ def select_diverse(pool: DataFrame, limit: int) -> DataFrame:
         ids = diverse([*zip(pdf["memory_id"], pdf["score"], pdf["text"].fillna(""))], limit)
         return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "memory_id": ids, "pick": range(1, len(ids) + 1)})
 
-    return pool.groupBy("query_id").applyInPandas(choose, "query_id long, memory_id long, pick int")
+    name = pool.schema["memory_id"].dataType.simpleString()
+    return pool.groupBy("query_id").applyInPandas(choose, f"query_id long, memory_id {name}, pick int")
 
 
 def pack_context(hits: DataFrame, budget: int) -> DataFrame:
@@ -115,4 +116,5 @@ def pack_context(hits: DataFrame, budget: int) -> DataFrame:
         out, _, total = packed(rows, budget)
         return pd.DataFrame([(r["query_id"], r["memory_id"], r["pick"], r["section"], r["body"], r["tokens"], total) for r in out], columns=["query_id", "memory_id", "pick", "section", "body", "tokens", "rendered_tokens"])
 
-    return hits.groupBy("query_id").applyInPandas(pack, "query_id long, memory_id long, pick int, section string, body string, tokens int, rendered_tokens int")
+    name = hits.schema["memory_id"].dataType.simpleString()
+    return hits.groupBy("query_id").applyInPandas(pack, f"query_id long, memory_id {name}, pick int, section string, body string, tokens int, rendered_tokens int")

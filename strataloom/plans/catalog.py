@@ -26,7 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 REQUEST = R.Request(query="The thon erth bucket_7 re", namespace="en", workspace_id="ws-a", repo_id="src0", branch="main", head_commit=40, entities=("group_3",), error_fingerprint="fp-3", limit=12)
-WORDS = ("the", "thon", "erth", "bucket_7", "re")
 
 
 def query(sql: str | None = None):
@@ -379,14 +378,15 @@ def snapshot_counts(c: Corpus) -> DataFrame:
 
 # channels
 
-_TOKENS = "regexp_extract_all(lower({}), '[a-z0-9]+')"
 _TERMS = ("the", "thon", "erth", "bucket_7", "re")
 
 
 def _bm25(terms: tuple[str, ...], weights: dict[str, float], every: tuple[str, ...], key: str = "memory_id", source: str = "fields") -> str:
     """Common table expressions down to ``bm25`` (key, hits, bm25)."""
-    split = ", ".join(f"{_TOKENS.format(c)} AS {c}" for c in every)
-    f = lambda t: " + ".join(f"{w}::DOUBLE * len(list_filter({c}, lambda x: x = '{t}'))" for c, w in weights.items())
+    words = lambda c: f"trim(regexp_replace(translate(lower({c}), '{X.ACCENTED}', '{X.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g'))"
+    split = ", ".join(f"CASE WHEN {words(c)} = '' THEN '' ELSE ' ' || {words(c)} || ' ' END AS {c}" for c in every)
+    number = lambda c, p, n: f"((length({c}) - length(replace({c}, '{p}', ''))) // {n})"
+    f = lambda t: " + ".join(f"{w}::DOUBLE * {number(c, X.phrase(t), len(X.phrase(t)))}" for c, w in weights.items())
     counts = ", ".join(f"{f(t)} AS f{k}" for k, t in enumerate(terms))
     dfs = ", ".join(f"count(*) FILTER (f{k} > 0) AS df{k}" for k in range(len(terms)))
     idf = lambda k: f"CASE WHEN ln((n - df{k} + 0.5::DOUBLE) / (df{k} + 0.5::DOUBLE)) > 0 THEN ln((n - df{k} + 0.5::DOUBLE) / (df{k} + 0.5::DOUBLE)) ELSE 1e-6::DOUBLE END"
@@ -394,7 +394,7 @@ def _bm25(terms: tuple[str, ...], weights: dict[str, float], every: tuple[str, .
     hits = " + ".join(f"(f{k} > 0)::INT" for k in range(len(terms)))
     total = " ".join(f"- ({part(k)})" for k in range(len(terms)))
     return f"""split AS (SELECT {key}, {split} FROM {source}),
-counts AS (SELECT {key}, {' + '.join(f'len({c})' for c in every)} AS length, {counts} FROM split),
+counts AS (SELECT {key}, {' + '.join(number(c, ' ', 2) for c in every)} AS length, {counts} FROM split),
 stats AS (SELECT count(*) AS n, avg(length) AS mean, {dfs} FROM counts),
 bm25 AS (SELECT {key}, {hits} AS hits, round(0 {total}, 6) AS bm25 FROM counts, stats WHERE {' OR '.join(f'f{k} > 0' for k in range(len(terms)))})"""
 
@@ -458,8 +458,7 @@ def code_alias_strict_channel(c: Corpus) -> DataFrame:
 
 
 @query(
-    f"{with_views('heads', 'projections')}, {_ELIGIBLE}, pr(profile, active) AS (VALUES (0, true), (1, true), (2, false)),"
-    " texts AS (SELECT memory_id * 8 + profile AS row, memory_id, revision, content_hash, active, 'topic ' || label || ' the' || CASE WHEN profile = 1 THEN ' thon' ELSE '' END AS expansions FROM projections, pr),"
+    f"{with_views('heads', 'expansions')}, {_ELIGIBLE}, texts AS (SELECT memory_id * 8 + profile AS row, * FROM expansions),"
     f" {_bm25(_TERMS, {'expansions': 0.8}, ('expansions',), 'row', 'texts')},"
     " best AS (SELECT t.memory_id, min(bm25) AS bm25 FROM bm25 JOIN texts t USING (row) JOIN eligible h ON t.memory_id = h.memory_id AND t.revision = h.head_revision AND t.content_hash = h.content_hash WHERE active GROUP BY 1)"
     f" {_top('semantic_expansion', 'bm25, memory_id', 'best')}"
@@ -620,9 +619,9 @@ def applicability(c: Corpus) -> DataFrame:
     return applied(c, c.heads).select("memory_id", "applicability")
 
 
-def scored_hits(c: Corpus) -> DataFrame:
+def scored_hits(c: Corpus, generated: bool = False) -> DataFrame:
     """Candidates that apply, scored: the best of the pool's size, with what selection and packing read."""
-    found = R.candidates(R.channels(c, with_vector(c)))
+    found = R.candidates(R.channels(c, with_vector(c), generated))
     rows = applied(c, c.heads.join(found, "memory_id")).join(R.utility(c.feedback), "memory_id", "left")
     rows = rows.filter(~F.col("applicability").isin("inapplicable", "stale", "divergent"))
     return staged(R.scored(rows, NOW).orderBy(F.col("score").desc(), "memory_id").limit(R.pool_size(REQUEST.limit)), "pool")
@@ -640,7 +639,7 @@ def recall_scored(c: Corpus) -> DataFrame:
 
 
 def chosen(c: Corpus) -> DataFrame:
-    hits = scored_hits(c).withColumn("query_id", F.lit(1).cast("long"))
+    hits = scored_hits(c, generated=True).withColumn("query_id", F.lit(1).cast("long"))
     picks = selection.select_diverse(hits.select("query_id", "memory_id", "score", F.concat_ws(" ", "title", F.substring("body", 1, S.PREVIEW_CHARS)).alias("text")), REQUEST.bounded()[0])
     return picks.join(hits, ["query_id", "memory_id"])
 
