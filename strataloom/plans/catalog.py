@@ -763,3 +763,90 @@ def stream_session_fold(c: Corpus) -> DataFrame:
     return fold_table(c.log.select("session_id", "seq", "kind", L.succeeded(F.col("attributes")).alias("succeeded")))
 
 
+
+
+# inputs, hints and bounds
+
+_PAYLOAD = """concat('{"hook_event_name": "', CASE event_id % 4 WHEN 0 THEN 'UserPromptSubmit' WHEN 1 THEN 'PostToolUse' WHEN 2 THEN 'Stop' ELSE 'SessionStart' END, '", "session_id": "s', CAST(user_id AS VARCHAR(20)), '", "tool_name": "', CASE WHEN event_id % 8 < 4 THEN 'Bash' ELSE 'Edit' END,
+  '", "prompt": ', CASE WHEN event_id % 4 = 0 THEN concat('"ask ', CAST(event_id AS VARCHAR(20)), '"') ELSE 'null' END, ', "tool_response": {"', CASE WHEN event_id % 3 = 0 THEN 'exit_code": ' ELSE 'metadata": {"exit_code": ' END, CAST(event_id % 5 AS VARCHAR(20)), CASE WHEN event_id % 3 = 0 THEN '' ELSE '}' END, '}, "tool_input": {"command": "cargo test"}', CASE WHEN event_id % 6 = 5 THEN ', "is_error": true' ELSE '' END, CASE WHEN event_id % 50 = 49 THEN '' ELSE '}' END)"""
+
+
+@query(
+    f"""WITH p AS (SELECT event_id, {_PAYLOAD} AS v FROM events), j AS (SELECT event_id, json_valid(v) AS ok, CASE WHEN json_valid(v) THEN v ELSE '{{}}' END AS v FROM p), e AS (SELECT *, json_extract_string(v, '$.hook_event_name') AS name FROM j)
+SELECT event_id, CASE WHEN NOT ok THEN NULL WHEN name = 'UserPromptSubmit' THEN 'conversation_turn' WHEN name = 'PostToolUse' THEN CASE json_extract_string(v, '$.tool_name') WHEN 'Bash' THEN 'command_result' ELSE 'file_change' END WHEN name = 'Stop' THEN 'checkpoint' ELSE 'manual_note' END AS kind,
+  CASE WHEN ok THEN coalesce(CAST(json_extract_string(v, '$.tool_response.exit_code') AS BIGINT), CAST(json_extract_string(v, '$.tool_response.metadata.exit_code') AS BIGINT)) END AS exit_code, CASE WHEN ok THEN coalesce(json_extract_string(v, '$.is_error') = 'true', false) END AS is_error FROM e"""
+)
+def hook_payloads(c: Corpus) -> DataFrame:
+    from strataloom.sources.inputs import payload_events
+
+    rows = c.table("events").select("event_id", F.expr(_PAYLOAD).alias("value"))
+    return payload_events(rows, "event_id").select("event_id", "kind", "exit_code", "is_error")
+
+
+@query(
+    r"""SELECT memory_id, array_to_string(list_filter(string_split(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g'), '([A-Za-z])([0-9])', '\1 \2', 'g'), '([0-9])([A-Za-z])', '\1 \2', 'g')), ' '), lambda x: length(x) >= 2), ',') AS parts
+FROM (SELECT doc_id AS memory_id, 'HTTPServer' || doc_id || 'memStore' AS name FROM documents)"""
+)
+def camel_split(c: Corpus) -> DataFrame:
+    name = F.concat(F.lit("HTTPServer"), F.col("memory_id").cast("string"), F.lit("memStore"))
+    for pattern in ("([a-z])([A-Z])", "([A-Z])([A-Z][a-z])", "([A-Za-z])([0-9])", "([0-9])([A-Za-z])"):
+        name = F.regexp_replace(name, pattern, "$1 $2")
+    parts = F.filter(F.split(F.lower(name), " "), lambda x: F.length(x) >= 2)
+    return c.heads.select("memory_id", F.array_join(parts, ",").alias("parts"))
+
+
+@query(
+    f"""{with_views('artifacts')}, given AS (SELECT host, path FROM artifacts WHERE artifact_id % 2 = 0), inferred AS (SELECT DISTINCT host, path FROM artifacts),
+extra AS (SELECT i.* FROM inferred i WHERE NOT EXISTS (SELECT 1 FROM given g WHERE g.host = i.host AND g.path = i.path) ORDER BY host, path LIMIT 128)
+SELECT host, path, 'given' AS kind FROM given UNION ALL SELECT host, path, 'inferred' FROM extra"""
+)
+def hint_merge(c: Corpus) -> DataFrame:
+    """Hints that are given, and inferred ones that are not among them, 128 at most."""
+    given = c.artifacts.filter("artifact_id % 2 = 0").select("host", "path")
+    extra = c.artifacts.select("host", "path").distinct().join(given, ["host", "path"], "left_anti").orderBy("host", "path").limit(128)
+    return given.withColumn("kind", F.lit("given")).unionByName(extra.withColumn("kind", F.lit("inferred")))
+
+
+@query(
+    "SELECT doc_id AS memory_id, octet_length(encode(substr(text, 1, 80))) <= 90 AS title_fits, octet_length(encode(text)) <= 4096 AS body_fits, sha256(octet_length(encode(substr(text, 1, 80))) || ':' || substr(text, 1, 80) || octet_length(encode(text)) || ':' || text) AS content_key FROM documents"
+)
+def field_bounds(c: Corpus) -> DataFrame:
+    title = F.substring("text", 1, 80)
+    key = F.substring(X.framed_key(title, F.col("text"), prefix="-"), 2, 64)
+    return c.table("documents").select(F.col("doc_id").alias("memory_id"), (F.octet_length(title) <= 90).alias("title_fits"), (F.octet_length("text") <= 4096).alias("body_fits"), key.alias("content_key"))
+
+
+@query(
+    f"{with_views('memory_artifacts', 'artifacts')} SELECT artifact_id, sha256(octet_length(encode(host)) || ':' || host || octet_length(encode(path)) || ':' || path || octet_length(encode(coalesce(symbol, ''))) || ':' || coalesce(symbol, '')) AS identity,"
+    " stored_hash IS NOT NULL AS hashed, count(*) AS uses FROM memory_artifacts JOIN artifacts USING (artifact_id) GROUP BY ALL"
+)
+def artifact_fingerprints(c: Corpus) -> DataFrame:
+    identity = F.substring(X.framed_key(F.col("host"), F.col("path"), F.col("symbol"), prefix="-"), 2, 64)
+    rows = c.memory_artifacts.join(c.artifacts, "artifact_id")
+    return rows.groupBy("artifact_id", identity.alias("identity"), F.col("stored_hash").isNotNull().alias("hashed")).agg(F.count("*").alias("uses"))
+
+
+@query(
+    f"""{with_views('revisions', 'log')}, e AS (SELECT memory_id, revision, memory_id * 3 AS event_id, length(body) AS chars, memory_id % 500 AS span_end FROM revisions)
+SELECT memory_id, revision, CASE WHEN l.event_id IS NULL THEN 'missing' WHEN l.scope <> memory_id % 5 THEN 'other_scope' WHEN span_end > length(l.content) THEN 'span' ELSE 'valid' END AS verdict FROM e LEFT JOIN log l USING (event_id)"""
+)
+def evidence_checks(c: Corpus) -> DataFrame:
+    rows = c.revisions.select("memory_id", "revision", (F.col("memory_id") * 3).alias("event_id"), (F.col("memory_id") % 500).alias("span_end"))
+    rows = rows.join(c.log.select("event_id", "scope", "content"), "event_id", "left")
+    verdict = F.when(F.col("content").isNull(), "missing").when(F.col("scope") != F.col("memory_id") % 5, "other_scope").when(F.col("span_end") > F.length("content"), "span").otherwise("valid")
+    return rows.select("memory_id", "revision", verdict.alias("verdict"))
+
+
+@query(
+    f"{with_views('tags')} SELECT memory_id, string_agg(t, ',' ORDER BY t) AS tags FROM (SELECT DISTINCT memory_id, {_LOW.format('tag')} AS t FROM (SELECT memory_id, tag FROM tags UNION ALL SELECT memory_id, upper(tag) FROM tags)) GROUP BY 1"
+)
+def string_dedup(c: Corpus) -> DataFrame:
+    """Each record's tags once, by ASCII case, sorted."""
+    both = c.tags.select("memory_id", "tag").unionByName(c.tags.select("memory_id", F.upper("tag").alias("tag")))
+    return both.groupBy("memory_id").agg(F.array_join(F.sort_array(F.collect_set(X.ascii_lower(F.col("tag")))), ",").alias("tags"))
+
+
+@query(f"{with_views('log')} SELECT session_id, scope, count(*) AS n, count(*) FILTER ({_OK}) AS ok, min(seq) AS first_seq, max(seq) AS last_seq FROM log GROUP BY ALL")
+def session_summary(c: Corpus) -> DataFrame:
+    ok = L.succeeded(F.col("attributes"))
+    return c.log.groupBy("session_id", "scope").agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
