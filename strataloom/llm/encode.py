@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .shared import kept
+
 #: Words kept by a worker, the first it meets; others are encoded once for each batch.
 KEPT_WORDS = 1_000_000
 SPECIAL = ("<|endoftext|>", "<|startoftext|>")
@@ -22,7 +24,7 @@ WIDE_SPACES = "\x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u3000" + "".join(map
 class Encoder:
     """Token ids of texts by one vocabulary file of the tokenizers library."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -32,6 +34,7 @@ class Encoder:
         self.size = self.library.get_vocab_size()
         self.width = "<u2" if self.size <= 1 << 16 else "<u4"
         self.words: dict[str, bytes] = {}
+        self.kept_words = kept_words
         #: Stands between words given to the library in one text: a token of its own that no plain word holds.
         self.mark = "\n" if self.spaced else " ſ⁞ "
         self.mark_ids = self._plain(self.mark)
@@ -70,7 +73,7 @@ class Encoder:
                 if pieces is not None:
                     got = [late[w] if g is None else g for w, g in zip(pieces, got)]
                 out.append(np.frombuffer(b"".join(got), self.width)[len(self.line) // width :])
-        if len(known) < KEPT_WORDS:
+        if len(known) < self.kept_words:
             known.update(late)
         return out
 
@@ -120,11 +123,6 @@ class Encoder:
         return found
 
 
-_KEPT: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kept_words: int = KEPT_WORDS) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _KEPT:
-        _KEPT[path] = Encoder(path)
-    return _KEPT[path]
+    return kept(f"encoder {path} {kept_words}", lambda: Encoder(path, kept_words))

@@ -26,11 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import take
+from .shared import first_by_hash, kept, small_batches, take
 
 #: Documents of each language that a model is fitted to, and the most frequent words of those.
 SAMPLE, WORDS = 400, 6000
@@ -38,7 +38,7 @@ ROUNDS = 4
 #: Probability that a character has outside the vocabulary, and the weight of the even share in each fitted probability.
 FLOOR, EVEN = 1e-6, 0.02
 #: Words whose likelihoods a worker keeps, the first it meets.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 START = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -223,9 +223,7 @@ def fit(rows: list[tuple[str, str]], pieces: list[str], words: int = WORDS, roun
 def learn(docs: DataFrame, pieces_path: str, sample: int = SAMPLE) -> Model:
     """Fit to ``docs`` (doc_id, text, lang), all of which may be learned from; rows without a language are left out."""
     rows = take(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull())
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(key, "doc_id"))
-    chosen = rows.select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= sample).select("doc_id").distinct()
+    chosen = first_by_hash(rows.select("doc_id", "lang"), "lang", sample).select("doc_id").distinct()
     found = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text", "doc_id").collect()  # at most `sample` ids a language
     return fit([(r[0], r[1]) for r in sorted(found, key=lambda r: (r[0], r[2] if r[2] is not None else -1, r[1] or ""))], pieces_of(pieces_path))
 
@@ -236,49 +234,50 @@ class Scorer:
     def __init__(self, model: Model) -> None:
         self.model = model
         self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(model.names)))
+        self.table = np.zeros((KEPT_WORDS, len(model.names)))
 
     def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
         names = self.model.names
         split = [(t or "").lower().split() for t in texts]
         got = [[*map(self.known.get, words)] for words in split]
         fresh = list({w for words, g in zip(split, got) if None in g for w, k in zip(words, g) if k is None})
-        late, table = {}, self.table
+        late, extra = {}, np.zeros((0, len(names)))
         if fresh:
-            first = len(table)
-            late = dict(zip(fresh, range(first, first + len(fresh))))
-            table = np.concatenate([table, self.model.likelihoods(fresh)])
-            if first < KEPT_WORDS:
-                self.known |= late
-                self.table = table
+            found, first = self.model.likelihoods(fresh), len(self.known)
+            room = min(len(fresh), KEPT_WORDS - first)
+            self.known.update(zip(fresh[:room], range(first, first + room)))
+            self.table[first : first + room] = found[:room]
+            late = {w: -1 - k for k, w in enumerate(fresh[room:])}
+            extra = found[room:]
         out = []
         for text, words, at in zip(texts, split, got):
             if not names or not text or not any(map(str.isalpha, text)):
                 out.append(("und", 0.0))
                 continue
-            if None in at:
-                at = [late[w] if k is None else k for w, k in zip(words, at)]
-            total = table[at].sum(axis=0)
+            new: list[int] = []
+            if None in at:  # met in these texts: in the table by now, or only in ``extra``
+                at = [(self.known[w] if w in self.known else late[w]) if k is None else k for w, k in zip(words, at)]
+                new = [-1 - k for k in at if k < 0]
+                at = [k for k in at if k >= 0]
+            total = self.table[at].sum(axis=0) + extra[new].sum(axis=0)
             best = int(np.argmax(total))
             out.append((names[best], float(1 / np.exp(total - total[best]).sum())))
         return out
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def predictions(docs: DataFrame, model: Model, name: str = "lang_pred", score: str = "score") -> DataFrame:
     """All columns of ``docs`` (with ``text``), and the language and its posterior."""
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast((model.names, model.pieces, model.table.astype(np.float32)))  # vocabulary x languages
     at, key = docs.columns.index("text"), uuid.uuid4().hex
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _SCORERS.get(key)
-        if scorer is None:
+        def make() -> Scorer:
             names, pieces, table = shared.value
-            _SCORERS.clear()
-            scorer = _SCORERS[key] = Scorer(Model(names, pieces, table.astype(np.float64)))
+            return Scorer(Model(names, pieces, table.astype(np.float64)))
+
+        scorer = kept(key, make)
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)

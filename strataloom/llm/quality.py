@@ -24,11 +24,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import take
+from .shared import first_by_hash, kept, slices, small_batches, take
 
 #: Labelled documents of each label in the fit.
 SAMPLE = 800
@@ -108,27 +108,21 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     rows = take(docs, "doc_id", "text")
     known = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
-    order = Window.partitionBy("label").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id")
-    chosen = known.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample)
+    chosen = first_by_hash(known, "label", sample)
     found = rows.join(F.broadcast(chosen), "doc_id").select("label", "place", "text").collect()  # 2 x `sample` rows at most
     by = {k: [r[2] for r in sorted((r for r in found if r[0] is k), key=lambda r: (r[1], r[2] or ""))] for k in (True, False)}
     return fit(by[True], by[False], totals.get(True, 0), totals.get(False, 0))
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def scores(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """All columns of ``docs`` (with ``text``) and the probability of label 1."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.good, model.bad, model.slope, model.offset))  # two dictionaries of bounded size
     at, key = docs.columns.index("text"), uuid.uuid4().hex
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _MODELS.get(key)
-        if own is None:
-            _MODELS.clear()
-            own = _MODELS[key] = Model(*shared.value)
-        for batch in batches:
+        own = kept(key, lambda: Model(*shared.value))
+        for batch in (part for whole in batches for part in slices(whole)):
             found = [own.score(own.margin(t)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, score])
 

@@ -4,33 +4,23 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strataloom.sources.scratch import scratch, staged
+
+__all__ = ["scratch", "staged"]  # for the operators, with what follows
+
 #: ASCII white space as the word rules of the operators define it.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = getattr(spark, "_strataloom_shared", None)
-        if place is None:
-            place = "file://" + tempfile.mkdtemp(prefix="strataloom-")
-            spark._strataloom_shared = place
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
 #: Rows of a batch between the JVM and Python: whole texts are large, so few at a time.
 BATCH_ROWS = 1000
 
@@ -49,7 +39,7 @@ _kept: dict[str, object] = {}
 def kept(key: str, make) -> object:
     """The worker's value for a key; another key's is let go first."""
     if key not in _kept:
-        _kept.clear()
+        let_go()
         _kept[key] = make()
     return _kept[key]
 
@@ -64,19 +54,6 @@ def let_go() -> None:
         pass
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def take(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone.  Columns are found by position, so other columns may have any name, also one that differs by case alone."""
     small_batches(df.sparkSession)
@@ -135,3 +112,17 @@ def keep_rows(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     if gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(gone), key, "left_anti")
     return rows.join(decisions.filter("kept").select(key).hint("shuffle_hash"), key, "left_semi")
+
+
+def first_by_hash(rows: DataFrame, group: str, n: int) -> DataFrame:
+    """``rows`` (doc_id, group) of which each group keeps the n with the smallest MD5 of the id, with their ``place``.
+
+    Only rows below a bound that lets about 4 n of a group pass are sorted, so no task gets a large group.  The groups'
+    counts are broadcast: a row a label or language.
+    """
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
+    share = F.conv(F.substring(key, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    few = rows.join(F.broadcast(counts), group).filter(share * F.col("_n") < 4.0 * n + 64).drop("_n")
+    place = F.row_number().over(Window.partitionBy(group).orderBy(key, "doc_id"))
+    return few.withColumn("place", place).filter(F.col("place") <= n)
