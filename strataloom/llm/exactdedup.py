@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, SPACES, partitions, staged, take
+from .shared import BROADCAST_ROWS, SPACES, let_go, partitions, slices, staged, take
 
 #: Bytes of normalised text that a memtable holds.
 MEMTABLE = 24 << 20
@@ -118,6 +118,7 @@ def flush(docs: DataFrame, cuts: int, memtable: int = MEMTABLE) -> DataFrame:
     """Sorted runs: rows of kind 0 are the entries, rows of kind 1 the documents with the entry they belong to."""
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         held: dict[bytes, list] = {}  # digest: text, best, number, rows
         size = 0
 
@@ -134,7 +135,7 @@ def flush(docs: DataFrame, cuts: int, memtable: int = MEMTABLE) -> DataFrame:
                     columns = list(zip(*part[a : a + 20_000]))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int32()))], [x.split()[0] for x in _ROWS.split(", ")])
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 body = normal(text)
                 key, chars = hashlib.sha256(body).digest(), len(text or "")

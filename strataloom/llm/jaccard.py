@@ -52,9 +52,9 @@ from .shingles import WIDTH, mix, shingle_sets
 
 THRESHOLD = 80
 #: Bytes of text in a chunk of the screen, and documents at most (their numbers are 16 bits).
-CHUNK, CHUNK_ROWS = 6 << 20, 60_000
-#: Classes in a group.
-GROUP = 1000
+CHUNK, CHUNK_ROWS = 4 << 20, 60_000
+#: Tokens of all classes of a group together; a task holds one group's inverted lists, about 40 bytes a token.
+GROUP = 400_000
 #: Rounds, each with an order of its own, in which classes with an equal smallest token meet.
 ROUNDS = 3
 #: Stands for a null id.
@@ -190,7 +190,7 @@ def screen(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     rows = take(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     told = staged(rows.mapInArrow(chunks, _CHUNKS).repartition(partitions(docs.sparkSession), "part").mapInArrow(answers, _CHUNKS), "screen")
 
-    def totals(pdf: pd.DataFrame) -> pd.DataFrame:
+    def totals(pdf: pd.DataFrame) -> pd.DataFrame:  # a chunk's answers
         own = pdf[pdf["kind"] == 0].iloc[0]
         ids, n, shared = unpacked(own["a"], "<i8"), unpacked(own["b"], "<i4").astype(np.int64), unpacked(own["c"], "<i4").astype(np.int64)
         for row in pdf[pdf["kind"] == 1].itertuples():
@@ -261,18 +261,25 @@ def inner_parts(inverted: Inverted, known: np.ndarray, threshold: int) -> np.nda
     return np.array([root(k) for k in range(n)])
 
 
+def settled(pdf: pd.DataFrame, *read: pd.DataFrame) -> pd.DataFrame:
+    """A group's result; after a large group, freed memory goes back."""
+    if sum(len(x) for x in read) > 300:
+        let_go()
+    return pdf
+
+
 def as_sets(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column]
 
 
-def pieces_of(key: str, members: str, limit: int, salt: int) -> Column:
-    """A group number for a key, with as many pieces by the node's salted hash as its number of members asks for."""
-    return F.xxhash64(key, F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col(members) / limit)))
+def pieces_of(key: str, limit: int, salt: int) -> Column:
+    """A group number for a key, with as many pieces by the node's salted hash as its number of tokens, ``weight``, asks for."""
+    return F.xxhash64(key, F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("weight") / limit)))
 
 
 def similar_links(classes: DataFrame, threshold: int, rounds: int = ROUNDS, limit: int = GROUP) -> DataFrame:
-    """Exact links (a, b) between classes (node, tokens, low: the smallest token by round) that meet in one of the rounds."""
-    links, names = None, classes.select("node", "low")
+    """Exact links (a, b) between classes (node, n, tokens, low: the smallest token by round) that meet in one of the rounds."""
+    links, names = None, classes.select("node", "n", "low")
     state = names.select("node", F.col("node").alias("component"))
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -280,12 +287,12 @@ def similar_links(classes: DataFrame, threshold: int, rounds: int = ROUNDS, limi
         parts = inner_parts(Inverted(as_sets(pdf["tokens"])), pdf["component"].to_numpy(), threshold)
         leader = pdf["node"].to_numpy()[parts]
         linked = leader != pdf["node"].to_numpy()
-        return pd.DataFrame({"a": leader[linked], "b": pdf["node"].to_numpy()[linked]})
+        return settled(pd.DataFrame({"a": leader[linked], "b": pdf["node"].to_numpy()[linked]}), pdf)
 
     for k in range(rounds):
-        meets = names.select("node", F.col("low")[k].alias("key")).join(state, "node")
-        crowds = meets.groupBy("key").agg(F.count("*").alias("members"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").drop("x", "y")
-        meets = meets.join(crowds, "key").select("node", "component", pieces_of("key", "members", limit, k).alias("grp"))
+        meets = names.select("node", "n", F.col("low")[k].alias("key")).join(state, "node")
+        crowds = meets.groupBy("key").agg(F.sum("n").alias("weight"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").drop("x", "y")
+        meets = meets.join(crowds, "key").select("node", "component", pieces_of("key", limit, k).alias("grp"))
         met = meets.join(classes.select("node", "tokens"), "node")
         found = staged(met.groupBy("grp").applyInPandas(inside, "a long, b long"), "links")
         links = found if links is None else links.unionByName(found)
@@ -299,20 +306,21 @@ def with_components(names: DataFrame, links: DataFrame) -> DataFrame:
 
 def grouped(classes: DataFrame, state: DataFrame, limit: int) -> DataFrame:
     """node, component, unit, members, grp: a component of several classes is a unit of its own, in pieces; the others form units by the most common of their smallest tokens."""
-    sizes = state.groupBy("component").agg(F.count("*").alias("members"))
+    state = state.join(classes.select("node", "n"), "node")
+    sizes = state.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
     state = state.join(sizes, "component")
-    crowd = state.filter("members > 1").withColumn("grp", pieces_of("component", "members", limit, -1)).withColumn("unit", F.col("component"))
-    keys = state.filter("members = 1").join(classes.select("node", F.explode("low").alias("key")), "node")
+    crowd = state.filter("members > 1").withColumn("grp", pieces_of("component", limit, -1)).withColumn("unit", F.col("component"))
+    keys = state.filter("members = 1").drop("weight").join(classes.select("node", F.explode("low").alias("key")), "node")
     often = keys.groupBy("key").agg(F.count("*").alias("crowd"))
-    best = keys.join(often, "key").groupBy("node", "component", "members").agg(F.max_by("key", F.struct("crowd", "key")).alias("key"))
-    sizes = best.groupBy("key").agg(F.count("*").alias("crowd"))
-    alone = best.join(sizes, "key").withColumn("grp", pieces_of("key", "crowd", limit, -2)).withColumn("unit", F.col("grp"))
+    best = keys.join(often, "key").groupBy("node", "component", "members").agg(F.max_by("key", F.struct("crowd", "key")).alias("key"), F.max("n").alias("n"))
+    sizes = best.groupBy("key").agg(F.sum("n").alias("weight"))
+    alone = best.join(sizes, "key").withColumn("grp", pieces_of("key", limit, -2)).withColumn("unit", F.col("grp"))
     names = ("node", "component", "unit", "members", "grp")
     return crowd.select(*names).unionByName(alone.select(*names))
 
 
 def class_links(classes: DataFrame, threshold: int, limit: int = GROUP) -> DataFrame:
-    """Links between classes (node, tokens, low) that connect all classes that exact links connect: a, b."""
+    """Links between classes (node, n, tokens, low) that connect all classes that exact links connect: a, b."""
     links = similar_links(classes, threshold, limit=limit)
     groups = staged(classes.select("node", "tokens").join(grouped(classes, with_components(classes, links), limit), "node"), "groups")
 
@@ -324,13 +332,14 @@ def class_links(classes: DataFrame, threshold: int, limit: int = GROUP) -> DataF
     rank = F.struct("members", "unit")
     often = matrix.groupBy("token").agg(F.count("*").alias("groups"), F.min(rank)["unit"].alias("bottom"), F.max(rank)["unit"].alias("top")).filter("bottom != top")
     marks = F.struct("token", "groups", (F.col("top") != F.col("unit")).alias("up"), (F.col("bottom") != F.col("unit")).alias("down"))
-    told = matrix.join(often, "token").groupBy("grp").agg(F.collect_list(marks).alias("known"))
+    told = matrix.join(often, "token").groupBy("grp").agg(F.sort_array(F.collect_list(marks)).alias("known"))
+    column = lambda c: F.transform("known", lambda x: x[c]).alias(c)
+    told = told.select("grp", *map(column, ("token", "groups", "up", "down")))
 
     def prefixes(members: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         out: list[list[np.ndarray]] = []
         if len(members) and len(known):
-            marked = known["known"].iloc[0]
-            token, number, up, down = (np.array([p[c] for p in marked], t) for c, t in (("token", np.int64), ("groups", np.int64), ("up", bool), ("down", bool)))
+            token, number, up, down = (np.asarray(known[c].iloc[0], t) for c, t in (("token", np.int64), ("groups", np.int64), ("up", bool), ("down", bool)))
             token = token.view(np.uint64)
             order = np.argsort(token)
             token, number, up, down = token[order], number[order], up[order], down[order]
@@ -355,7 +364,7 @@ def class_links(classes: DataFrame, threshold: int, limit: int = GROUP) -> DataF
                 out.append([found, np.zeros(len(found), bool), np.full(len(found), members["grp"].iloc[0]), np.full(len(found), sizes.min()), np.full(len(found), sizes.max())])
         joined = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.uint64), np.zeros(0, bool), *(np.zeros(0, np.int64) for _ in range(3))]
         made = pd.DataFrame(dict(zip(("token", "asks", "id", "lo", "hi"), (joined[0].view(np.int64), *joined[1:]))))
-        return made.assign(unit=members["unit"].iloc[0] if len(members) else 0, members=members["members"].iloc[0] if len(members) else 0)
+        return settled(made, members).assign(unit=members["unit"].iloc[0] if len(members) else 0, members=members["members"].iloc[0] if len(members) else 0)
 
     kind = "token long, asks boolean, id long, lo long, hi long, unit long, members long"
     both = staged(groups.groupBy("grp").cogroup(told.groupBy("grp")).applyInPandas(prefixes, kind), "prefixes")
@@ -379,7 +388,7 @@ def class_links(classes: DataFrame, threshold: int, limit: int = GROUP) -> DataF
             for part in np.unique(known[hit]).tolist():  # one link to each component is enough
                 a.append(node)
                 b.append(names[hit][known[hit] == part].min())
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        return settled(pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}), queries, members)
 
     opened = sent.groupBy("grp").cogroup(groups.select("grp", "node", "component", "tokens").groupBy("grp")).applyInPandas(compare, "a long, b long")
     return links.unionByName(staged(opened, "opened"))
@@ -425,7 +434,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THR
 
     read = texts.mapInArrow(tokens, "doc_id long, digest binary, tokens binary, low array<long>").dropDuplicates(["doc_id", "digest"])
     known = classes.join(read.withColumnRenamed("doc_id", "class_id"), ["class_id", "digest"])
-    known = staged(known.select("node", "tokens", "low"), "tokens")
+    known = staged(known.select("node", (F.octet_length("tokens") / 8).cast("long").alias("n"), "tokens", "low"), "tokens")
     links = class_links(known, threshold)
     member = classes.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = staged(member.select("digest", "class_id", "component"), "members")

@@ -31,9 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encode import encoder
-from .shared import staged, take
-from .tokenfiles import blocks
+from .encode import KEPT_WORDS, encoder
+from .shared import let_go, staged, take
+from .tokenfiles import BLOCK, blocks
 
 WINDOW = 4096
 #: Ids between the places where a rest may be cut: a window has fewer than so many ids of padding, but for a shard's last.
@@ -87,16 +87,16 @@ _DOCS = "kind int, doc_id long, n long, whole binary, sums binary, terms binary,
 _TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, grain: int = GRAIN) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, grain: int = GRAIN, kept_words: int = KEPT_WORDS, block: int = BLOCK) -> DataFrame:
     """Rows of kind 0, a document each: n ids, CRC-32 of its whole windows, running sums of its rest, and its distinct ids with their counts; and of kind 1, a task each: how many documents have each id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, task = encoder(tokenizer, kept_words), TaskContext.get().partitionId()
         have, n_docs, n_ids = np.zeros(enc.size + 1, np.int64), 0, 0
         end = np.array([end_id], enc.width)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
+            for a, b in blocks(texts, block):
                 rows = []
                 for key, found in zip(keys[a:b], enc.batch(texts[a:b])):
                     ids = np.concatenate([found, end])
@@ -140,14 +140,15 @@ class Shard:
 
     def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, n_docs: int, mean: float, have: np.ndarray) -> None:
         sizes = np.array([*map(len, terms)], np.int64)
-        every, tf = np.concatenate(terms).astype(np.int64), np.concatenate(counts).astype(np.float64)
-        of = np.repeat(np.arange(len(terms)), sizes)
-        df = have[every]
-        idf = np.log1p((n_docs - df + 0.5) / (df + 0.5))
-        weight = (idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[of] / mean))).astype(np.float32)
+        every, weight = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
+        of = np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
+        rarity = np.log1p((n_docs - have + 0.5) / (have + 0.5)).astype(np.float32)
+        base = (K1 * (1 - B + B * lengths / mean)).astype(np.float32)
+        weight *= (K1 + 1) / (weight + base[of])
+        weight *= rarity[every]
         self.starts = np.r_[0, np.cumsum(sizes)]
         self.terms, self.weights = every, weight
-        order = np.argsort(every, kind="stable")
+        order = np.argsort(every, kind="stable").astype(np.int32)
         self.docs, self.scores = of[order], weight[order]
         self.edges = np.searchsorted(every[order], np.arange(len(have) + 1))
         self.n = len(terms)
@@ -215,11 +216,14 @@ def fill(shard: Shard, rests: np.ndarray, window: int = WINDOW, grain: int = GRA
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, grain: int = GRAIN, shard: int = SHARD) -> DataFrame:
-    """The pieces of all ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, grain: int = GRAIN, shard: int = SHARD, kept_words: int = KEPT_WORDS, block: int = BLOCK) -> DataFrame:
+    """The pieces of all ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``kept_words`` and ``block`` bound the memory of an encoding worker: the words it knows, and the characters it encodes at once.
+    """
     if window % grain:
         raise ValueError("the window must be a multiple of the grain")
-    rows = encoded(docs, tokenizer, end_id, window, grain)
+    rows = encoded(docs, tokenizer, end_id, window, grain, kept_words, block)
     n_docs, n_ids, have = statistics(rows)
     shards = max(1, round(n_docs / shard))
     shared = docs.sparkSession.sparkContext.broadcast(have)  # of the vocabulary's size
@@ -227,6 +231,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, gra
     id_type = "<u2" if len(have) <= (1 << 16) + 1 else "<u4"
 
     def pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+        let_go()  # the encoder
         pdf = pdf.sort_values(["doc_id", "n", "sums"], ignore_index=True)
         number = int(pdf["shard"].iloc[0])
         lengths = pdf["n"].to_numpy()

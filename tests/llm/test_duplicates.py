@@ -57,7 +57,7 @@ def crowd(seed, n, bases):
     return out
 
 
-@pytest.mark.parametrize("seed, n, bases, limit", [(1, 400, 30, 1000), (2, 400, 4, 7)])
+@pytest.mark.parametrize("seed, n, bases, limit", [(1, 400, 30, 400_000), (2, 400, 4, 300)])
 def test_jaccard(spark, monkeypatch, seed, n, bases, limit):
     monkeypatch.setattr(jaccard.class_links, "__defaults__", (limit,))
     rows = [*crowd(seed, n, bases), (1000, None), (1001, ""), (1002, "a b"), (1003, "A  b"), (1004, " \n"), (1005, "x " * 4000), (1006, "x " * 4000)]
