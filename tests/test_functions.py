@@ -91,7 +91,7 @@ def test_diverse_equals_quadratic(seed, limit):
 
 def test_packing():
     hit = lambda k, n, **x: {"memory_id": k, "revision": 1, "title": f"t{k}", "body": "word " * n, "kind": "fact", "state": "active", "applicability": "exact"} | x
-    for budget in (64, 100, 150, 400):
+    for budget in (64, 100, 150, 400, 1000):
         out, text, total = selection.packed([hit(1, 200), hit(2, 3, kind="decision"), hit(3, 5, state="contested")], budget)
         assert total <= budget and all(i["body"] in "word " * 200 or i["body"].endswith("…") for i in out)
     assert text.index("[decisions]") < text.index("[relevant_history]") < text.index("[warnings]")
