@@ -56,9 +56,9 @@ ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaa
 
 
 def searchable(text: Column) -> Column:
-    """The words of a text in lower case and without accents, each between spaces of its own: `` a  b ``; empty without words."""
+    """The words of a text in lower case and without accents, each between spaces of its own: `` a  b ``; two spaces without words."""
     words = F.trim(F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[^\p{L}\p{N}]+", "  "))
-    return F.when(words == "", "").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+    return F.concat(F.lit(" "), words, F.lit(" "))
 
 
 def phrase(term: str) -> str:
@@ -72,7 +72,8 @@ def occurrences(searched: Column, found: str) -> Column:
 
 
 def word_count(searched: Column) -> Column:
-    return ((F.length(searched) - F.length(F.replace(searched, F.lit(" "), F.lit("")))) / 2).cast("long")
+    spaces = F.length(searched) - F.length(F.replace(searched, F.lit(" "), F.lit("")))
+    return F.when(F.length(searched) == 2, 0).otherwise((spaces / 2).cast("long"))
 
 
 def token_estimate(text: Column) -> Column:

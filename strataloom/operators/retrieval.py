@@ -112,7 +112,7 @@ def bm25(indexed: DataFrame, terms: list[str], columns: dict[str, float], every:
     split = indexed.select(key, *(X.searchable(F.col(c)).alias(c) for c in every))
     length = sum((X.word_count(F.col(c)) for c in every[1:]), X.word_count(F.col(every[0])))
     counts = F.array(*(sum((F.lit(w) * X.occurrences(F.col(c), X.phrase(t)) for c, w in columns.items()), F.lit(0.0)) for t in terms))
-    rows = split.select(key, length.alias("length"), counts.alias("counts"))
+    rows = staged(split.select(key, length.alias("length"), counts.alias("counts")), "terms")  # narrow: the texts are read once
     stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col("counts")[k] > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))))
     rows = rows.filter(F.exists("counts", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
     score = F.lit(0.0)

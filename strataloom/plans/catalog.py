@@ -384,7 +384,7 @@ _TERMS = ("the", "thon", "erth", "bucket_7", "re")
 def _bm25(terms: tuple[str, ...], weights: dict[str, float], every: tuple[str, ...], key: str = "memory_id", source: str = "fields") -> str:
     """Common table expressions down to ``bm25`` (key, hits, bm25)."""
     words = lambda c: f"trim(regexp_replace(translate(lower({c}), '{X.ACCENTED}', '{X.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g'))"
-    split = ", ".join(f"CASE WHEN {words(c)} = '' THEN '' ELSE ' ' || {words(c)} || ' ' END AS {c}" for c in every)
+    split = ", ".join(f"' ' || {words(c)} || ' ' AS {c}" for c in every)
     number = lambda c, p, n: f"((length({c}) - length(replace({c}, '{p}', ''))) // {n})"
     f = lambda t: " + ".join(f"{w}::DOUBLE * {number(c, X.phrase(t), len(X.phrase(t)))}" for c, w in weights.items())
     counts = ", ".join(f"{f(t)} AS f{k}" for k, t in enumerate(terms))
@@ -394,7 +394,7 @@ def _bm25(terms: tuple[str, ...], weights: dict[str, float], every: tuple[str, .
     hits = " + ".join(f"(f{k} > 0)::INT" for k in range(len(terms)))
     total = " ".join(f"- ({part(k)})" for k in range(len(terms)))
     return f"""split AS (SELECT {key}, {split} FROM {source}),
-counts AS (SELECT {key}, {' + '.join(number(c, ' ', 2) for c in every)} AS length, {counts} FROM split),
+counts AS (SELECT {key}, {' + '.join(f"CASE WHEN length({c}) = 2 THEN 0 ELSE {number(c, ' ', 2)} END" for c in every)} AS length, {counts} FROM split),
 stats AS (SELECT count(*) AS n, avg(length) AS mean, {dfs} FROM counts),
 bm25 AS (SELECT {key}, {hits} AS hits, round(0 {total}, 6) AS bm25 FROM counts, stats WHERE {' OR '.join(f'f{k} > 0' for k in range(len(terms)))})"""
 
