@@ -36,7 +36,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.kept_words = kept_words
         #: Stands between words given to the library in one text: a token of its own that no plain word holds.
-        self.mark = "\n" if self.spaced else " ſ⁞ "
+        self.mark = "\n" if self.spaced else " \x01 "
         self.mark_ids = self._plain(self.mark)
         self.line = self.mark_ids.tobytes() if self.spaced else b""
         self.tails = {c: self._plain(c).tobytes() for c in ".,"}
@@ -79,10 +79,10 @@ class Encoder:
 
     def _odd(self, text: str) -> bool:
         """Whether words may not be cut at the plain spaces of a text."""
-        if any(c in text for c in ODD_SPACES) or (not text.isascii() and any(c in text for c in WIDE_SPACES)) or any(s in text for s in SPECIAL):
+        if any(c in text for c in ODD_SPACES) or (not text.isascii() and any(c in text for c in WIDE_SPACES)) or ("<|" in text and any(s in text for s in SPECIAL)):
             return True
         if not self.spaced:
-            return "⁞" in text or "Σ" in text  # whose lower case depends on what follows
+            return "\x01" in text or "Σ" in text  # whose lower case depends on what follows
         return "\t" in text or "\r" in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n"
 
     def _learn(self, fresh: set[str]) -> dict[str, bytes]:

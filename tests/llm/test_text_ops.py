@@ -14,7 +14,7 @@ from strataloom.llm.encode import Encoder
 from ..compare import same
 
 VOCABULARIES = ("byte_bpe_50k.json", "word_bpe_49k.json")
-ODD = ["", None, " ", "\n", "a  b", " a", "a\n\nb", "\na", "a\n", "tab\tx", "x<|endoftext|>y", "İß ǅ", "é é", "1 2 33 ½ ²", "Σς ΑΣ", "…a “b” €5", "ſa ⁞b", "don't 'll\n'quote'", "x." * 9, "日本 語", "a\x1cb", "é x", "w" * 5000]
+ODD = ["", None, " ", "\n", "a  b", " a", "a\n\nb", "\na", "a\n", "tab\tx", "x<|endoftext|>y", "İß ǅ", "é é", "1 2 33 ½ ²", "Σς ΑΣ", "…a “b” €5", "ſa ⁞b", "q \x01 z\x01", "don't 'll\n'quote'", "x." * 9, "日本 語", "a\x1cb", "é x", "w" * 5000]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
