@@ -86,6 +86,14 @@ def test_packing_prefers_neighbours():
     assert sum(len(k) == 1 for k in kinds) >= len(kinds) - 2
 
 
+def test_packing_asks_all_ids():
+    # the seed's 20 heaviest ids are in no other document, and what it shares with the shortest weighs less
+    terms = [np.r_[0:20, 30:50].astype("<u2"), np.r_[60:80].astype("<u2"), np.r_[30:50].astype("<u2")]
+    lengths = np.array([3000, 1090, 1000])
+    shard = packing.Shard(terms, [np.ones(len(t), np.uint8) for t in terms], lengths, 3, 1000.0, np.bincount(np.concatenate(terms), minlength=101))
+    assert [d for d, _, _ in next(packing.fill(shard, lengths, 4096, 32))][:2] == [0, 2]
+
+
 def test_warc(spark, sf_dir):
     same(spark, sf_dir, queries.op3_warc, queries.SQL["op3_warc"])
     page = "x" * 200
