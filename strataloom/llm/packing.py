@@ -1,14 +1,18 @@
 """Packing documents into training windows by lexical retrieval.
 
 Each document's ids are cut into whole windows, which are sequences of their
-own, and a rest.  The rests are dealt by a hash of the id into shards of about
-equal numbers.  A shard has an inverted index of its documents' token ids with
-BM25 weights, whose document frequencies, number of documents and mean length
-are those of the whole table.  Seeds are taken by descending length; the
-documents that share any of a seed's distinct ids are ranked by BM25 over all of
-them, and the unused ones fill its window in that order.  The one that no longer fits is cut,
-and what is left of it stays in the index.  When no neighbour is left, the next
-unused documents fill the window.
+own, and a rest.  Seeds are taken by descending rest; the documents of the whole
+table that share any of a seed's distinct ids are ranked by BM25 over all of
+them, and the unused ones fill its window in that order.  The one that no longer
+fits is cut, and what is left of it stays in the index.  When no neighbour is
+left, the next unused documents fill the window.
+
+The index is in parts, the search is not: in rounds, the longest unused
+documents are sent to every part, the parts' best answers are merged, and the
+driver fills the windows of a round in order.  A seed whose answers were used up
+by those before it is asked again in the next round.  Weights are whole numbers,
+so sums and ranks do not depend on how the table is cut into parts.  The driver
+holds some 20 bytes a document; the work grows with the square of the table.
 
 Cuts inside a rest are at multiples of ``GRAIN`` ids, for which the encoding
 task keeps running CRC-32 sums; a piece's sum follows from two of them, as
@@ -32,17 +36,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import KEPT_WORDS, encoder
-from .shared import let_go, staged, take
+from .shared import let_go, scratch, staged, take
 from .tokenfiles import BLOCK, blocks
 
 WINDOW = 4096
 #: Ids between the places where a rest may be cut: a window has fewer than so many ids of padding, but for a shard's last.
 GRAIN = 32
-#: Documents of a shard.
+#: Documents of a part of the index, which bounds a searching task's memory; the result does not depend on it.
 SHARD = 8000
+#: Seeds of a round, and the neighbours that a round finds for each.
+ROUND, NEAR = 4096, 48
 #: Ids that at least one in so many of a shard's documents has are kept as whole rows of weights, which add faster than postings; scores are the same.
 WHOLE_ROWS = 8
 K1, B = 1.2, 0.75
+#: Weights are multiples of one part in so many; an answer is a score above ``_LOW`` bits of document number, the smaller number being the larger answer.
+UNIT = 4096
+_LOW = 33
+_MASK = (1 << _LOW) - 1
 
 _POLY = 0xEDB88320
 
@@ -83,8 +93,8 @@ def crc_between(before: int, until: int, n_bytes: int) -> int:
     return before ^ until
 
 
-_DOCS = "kind int, doc_id long, n long, whole binary, sums binary, terms binary, counts binary, task int"
-_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32())
+_DOCS = "kind int, doc_id long, n long, whole binary, sums binary, terms binary, counts binary, task int, at long"
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, grain: int = GRAIN, kept_words: int = KEPT_WORDS, block: int = BLOCK) -> DataFrame:
@@ -109,11 +119,11 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW,
                         sums.append(last)
                     terms, counts = np.unique(ids, return_counts=True)
                     have[terms] += 1
-                    rows.append((0, key, len(ids), np.array(whole, "<u4").tobytes(), np.array(sums, "<u4").tobytes(), terms.astype("<u2" if enc.width == "<u2" else "<u4").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), task))
+                    rows.append((0, key, len(ids), np.array(whole, "<u4").tobytes(), np.array(sums, "<u4").tobytes(), terms.astype("<u2" if enc.width == "<u2" else "<u4").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), task, n_docs))
                     n_docs, n_ids = n_docs + 1, n_ids + len(ids)
                 yield _batch(rows)
         if n_docs:
-            yield _batch([(1, n_docs, n_ids, None, None, have.astype("<i8").tobytes(), None, task)])
+            yield _batch([(1, n_docs, n_ids, None, None, have.astype("<i8").tobytes(), None, task, None)])
 
     return staged(take(docs, "doc_id", "text").mapInArrow(encode, _DOCS), "encoded")
 
@@ -135,23 +145,30 @@ def statistics(rows: DataFrame) -> tuple[int, int, np.ndarray]:
     return (found[0][0], found[0][1], np.frombuffer(found[0][2], "<i8")) if found else (0, 0, np.zeros(1, np.int64))
 
 
+def best(answers: np.ndarray, size: int) -> np.ndarray:
+    """The largest answers, in descending order."""
+    if len(answers) > size:
+        answers = np.partition(answers, len(answers) - size)[len(answers) - size :]
+    return np.sort(answers)[::-1]
+
+
 class Shard:
-    """A shard's inverted index with BM25 weights."""
+    """A part of the inverted index, with BM25 weights from the whole table's statistics."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, n_docs: int, mean: float, have: np.ndarray) -> None:
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, n_docs: int, mean: float, have: np.ndarray, numbers: np.ndarray | None = None) -> None:
         sizes = np.array([*map(len, terms)], np.int64)
-        every, weight = np.concatenate(terms), np.concatenate(counts).astype(np.float32)
+        every, weight = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
         of = np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
-        rarity = np.log1p((n_docs - have + 0.5) / (have + 0.5)).astype(np.float32)
-        base = (K1 * (1 - B + B * lengths / mean)).astype(np.float32)
-        weight *= (K1 + 1) / (weight + base[of])
-        weight *= rarity[every]
+        weight *= (K1 + 1) / (weight + (K1 * (1 - B + B * lengths / mean))[of])
+        weight *= np.log1p((n_docs - have + 0.5) / (have + 0.5))[every]
+        weight = np.rint(weight * UNIT).astype(np.int32)
         self.starts, self.terms, self.n = np.r_[0, np.cumsum(sizes)], every, len(terms)
+        self.numbers = np.arange(self.n) if numbers is None else numbers
         have_here = np.bincount(every, minlength=len(have))
         common = np.flatnonzero(have_here * WHOLE_ROWS >= self.n)
         self.row = np.full(len(have), -1, np.int32)
         self.row[common] = np.arange(len(common), dtype=np.int32)
-        self.rows = np.zeros((len(common), self.n), np.float32)
+        self.rows = np.zeros((len(common), self.n), np.int32)
         at = self.row[every]
         self.rows[at[at >= 0], of[at >= 0]] = weight[at >= 0]
         rare = np.flatnonzero(at < 0).astype(np.int32)
@@ -160,105 +177,207 @@ class Shard:
         have_here[common] = 0
         self.edges = np.r_[0, np.cumsum(have_here)]
 
-    def rank(self, doc: int) -> np.ndarray:
-        """BM25 of every document of the shard for all distinct ids of a document."""
-        terms = self.terms[self.starts[doc] : self.starts[doc + 1]]
+    def rank(self, terms: np.ndarray) -> np.ndarray:
+        """BM25 of every document of the part for distinct ids, in whole numbers."""
         row = self.row[terms]
-        total = np.zeros(self.n, np.float32)
+        total = np.zeros(self.n, np.int32)
         for r in row[row >= 0].tolist():
             total += self.rows[r]
-        rare = terms[row < 0]
-        spans = [slice(a, b) for a, b in zip(self.edges[rare].tolist(), self.edges[rare.astype(np.int64) + 1].tolist())]
+        rare = terms[row < 0].astype(np.int64)
+        spans = [slice(a, b) for a, b in zip(self.edges[rare].tolist(), self.edges[rare + 1].tolist()) if a < b]
         if not spans:
-            return total.astype(np.float64)
-        return total + np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.scores[s] for s in spans]), self.n)
-
-
-def fill(shard: Shard, rests: np.ndarray, window: int = WINDOW, grain: int = GRAIN) -> Iterator[list[tuple[int, int, int]]]:
+            return total.astype(np.int64)
+        return total + np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.scores[s] for s in spans]), self.n).astype(np.int64)
+
+    def answers(self, terms: np.ndarray, size: int) -> np.ndarray:
+        """The best documents for distinct ids, as answers."""
+        score = self.rank(terms)
+        return best(((score << _LOW) | (_MASK - self.numbers))[score > 0], size)
+
+    def near(self, seeds: list[int], unused: np.ndarray, size: int) -> list[np.ndarray]:
+        """For each seed its best unused documents; fewer than ``size`` are all there are."""
+        found = []
+        for seed in seeds:
+            score = self.rank(self.terms[self.starts[seed] : self.starts[seed + 1]])
+            found.append(_MASK - (best(((score << _LOW) | (_MASK - self.numbers))[(score > 0) & unused], size) & _MASK))
+        return found
+
+
+class Table:
+    """The index of a whole table: ``docs`` (number, n, terms, counts), searched in parts of ``shard`` documents."""
+
+    def __init__(self, docs: DataFrame, n_docs: int, mean: float, have: np.ndarray, shard: int) -> None:
+        self.docs, self.shard, self.id_type = docs, shard, "<u2" if len(have) <= (1 << 16) + 1 else "<u4"
+        self.shared = docs.sparkSession.sparkContext.broadcast((n_docs, mean, have))  # of the vocabulary's size
+
+    def terms_of(self, seeds: list[int]) -> list[np.ndarray]:
+        some, wanted = self.docs.select("number", "terms"), np.sort(np.array(seeds, np.int64))
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted)))
+
+        found = {r[0]: np.frombuffer(r[1], self.id_type) for r in some.mapInArrow(pick, some.schema).collect()}  # a round's seeds
+        return [found[seed] for seed in seeds]
+
+    def near(self, seeds: list[int], unused: np.ndarray, size: int) -> list[np.ndarray]:
+        """For each seed its best unused documents of the table; fewer than ``size`` are all there are."""
+        if not seeds:
+            return []
+        asked = self.docs.sparkSession.sparkContext.broadcast((self.terms_of(seeds), np.packbits(unused)))  # a round's seeds, a bit a document
+        shared, shard, id_type, n = self.shared, self.shard, self.id_type, len(seeds)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            let_go()  # the encoder
+            n_docs, mean, have = shared.value
+            queries, bits = asked.value
+            found: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+            for numbers, lengths, terms, counts in parts(batches, bits):
+                part = Shard([np.frombuffer(x, id_type) for x in terms], [np.frombuffer(x, np.uint8) for x in counts], lengths, n_docs, mean, have, numbers)
+                for k, query in enumerate(queries):
+                    new = part.answers(query, size)
+                    found[k] = best(np.concatenate([found[k], new]), size) if len(found[k]) else new
+            rows = [(k, x.tobytes()) for k, x in enumerate(found) if len(x)]
+            for k in range(0, len(rows), 512):
+                yield pa.RecordBatch.from_pylist([{"seed": a, "found": b} for a, b in rows[k : k + 512]], pa.schema([("seed", pa.int32()), ("found", pa.binary())]))
+
+        def parts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple]:
+            held, rows = [], 0
+            for batch in batches:
+                number = batch.column(0).to_numpy()
+                batch = batch.filter(pa.array(((bits[number >> 3] >> (7 - (number & 7)).astype(np.uint8)) & 1).astype(bool)))
+                while batch.num_rows:
+                    held.append(batch.slice(0, shard - rows))
+                    batch, rows = batch.slice(held[-1].num_rows), rows + held[-1].num_rows
+                    if rows == shard:
+                        yield columns(held)
+                        held, rows = [], 0
+            if held:
+                yield columns(held)
+
+        def columns(held: list[pa.RecordBatch]) -> tuple:
+            whole = pa.Table.from_batches(held)
+            return whole["number"].to_numpy(), whole["n"].to_numpy(), whole["terms"].to_pylist(), whole["counts"].to_pylist()
+
+        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+            by = [(k, best(np.concatenate([np.frombuffer(x, "<i8") for x in g]), size).tobytes()) for k, g in pdf.groupby("seed")["found"]]
+            return pd.DataFrame(by, columns=["seed", "found"])
+
+        some = self.docs.select("number", "n", "terms", "counts").mapInArrow(search, "seed int, found binary")
+        merged = some.groupBy((F.col("seed") % 32).alias("dealt")).applyInPandas(merge, "seed int, found binary").collect()  # `size` answers a seed
+        asked.destroy()
+        by = {r[0]: _MASK - (np.frombuffer(r[1], "<i8") & _MASK) for r in merged}
+        return [by.get(k, np.zeros(0, np.int64)) for k in range(n)]
+
+
+def fill(index: Shard | Table, rests: np.ndarray, window: int = WINDOW, grain: int = GRAIN, seeds: int = ROUND, size: int = NEAR) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start in its rest, length); every id of every rest is in one of them."""
     left, at = rests.copy(), np.zeros(len(rests), np.int64)
     order = np.argsort(-rests, kind="stable")
     place = 0
+    waiting: list[tuple[int, list, int]] = []
+
+    def put(doc: int, made: list[tuple[int, int, int]], space: int) -> int:
+        taken = int(left[doc]) if left[doc] <= space else space - space % grain
+        if taken:
+            made.append((doc, int(at[doc]), taken))
+            left[doc] -= taken
+            at[doc] += taken
+        return space - taken
+
     while True:
         while place < len(order) and not left[order[place]]:
             place += 1
         if place == len(order):
+            yield from (made for _, made, _ in waiting)
             return
-        seed = int(order[place])
-        made, space = [], window
-
-        def put(doc: int) -> None:
-            nonlocal space
-            size = int(left[doc]) if left[doc] <= space else space - space % grain
-            if size:
-                made.append((doc, int(at[doc]), size))
-                left[doc] -= size
-                at[doc] += size
-                space -= size
-
-        put(seed)
-        if space >= grain:
-            score = shard.rank(seed)
-            score[left == 0] = 0
-            near = np.flatnonzero(score > 0)
-            ask = 16
-            while space >= grain and len(near):
-                best = near if len(near) <= ask else near[np.argpartition(-score[near], ask)[:ask]]
-                for doc in best[np.lexsort((best, -score[best]))].tolist():
-                    if space < grain:
-                        break
-                    put(doc)
-                score[best] = 0
-                near = near[score[near] > 0]
-                ask *= 4
+        rest = order[place:]
+        new = rest[left[rest] > 0][: max(1, min(seeds, 16 + int(left.sum()) // window) - len(waiting))]
+        turn = [*waiting, *((int(doc), [], window) for doc in new)]
+        ask = [doc for doc, made, space in turn if made or window - left[doc] >= grain]
+        found = dict(zip(ask, index.near(ask, left > 0, size)))
+        waiting = []
+        for doc, made, space in turn:
+            if not made:
+                if not left[doc]:
+                    continue
+                space = put(doc, made, space)
+            near = found.get(doc, ())
+            for other in near if space >= grain else ():
+                if space < grain:
+                    break
+                space = put(int(other), made, space)
+            if space >= grain and len(near) == size:
+                waiting.append((doc, made, space))
+                continue
             later = place
             while space >= grain and later < len(order):
-                if left[order[later]]:
-                    put(int(order[later]))
+                space = put(int(order[later]), made, space)
                 later += 1
-        yield made
+            yield made
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Pieces that the driver writes at once.
+_WRITE = 1 << 18
+_CUTS = "number long, start long, length long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, grain: int = GRAIN, shard: int = SHARD, kept_words: int = KEPT_WORDS, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, grain: int = GRAIN, shard: int = SHARD, kept_words: int = KEPT_WORDS, block: int = BLOCK, seeds: int = ROUND, size: int = NEAR) -> DataFrame:
     """The pieces of all ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    ``kept_words`` and ``block`` bound the memory of an encoding worker: the words it knows, and the characters it encodes at once.
+    ``kept_words`` and ``block`` bound the memory of an encoding worker: the words it knows, and the characters it
+    encodes at once; ``shard`` that of a searching one.  ``seeds`` and ``size`` are a round's seeds and answers.
     """
     if window % grain:
         raise ValueError("the window must be a multiple of the grain")
+    spark = docs.sparkSession
     rows = encoded(docs, tokenizer, end_id, window, grain, kept_words, block)
     n_docs, n_ids, have = statistics(rows)
-    shards = max(1, round(n_docs / shard))
-    shared = docs.sparkSession.sparkContext.broadcast(have)  # of the vocabulary's size
-    mean = n_ids / max(1, n_docs)
-    id_type = "<u2" if len(have) <= (1 << 16) + 1 else "<u4"
-
-    def pieces(pdf: pd.DataFrame) -> pd.DataFrame:
+    if not n_docs:
+        return spark.createDataFrame([], _PIECES)
+    bases, before = [], 0
+    for task, n in sorted((r[0], r[1]) for r in rows.filter("kind = 1").select("task", "doc_id").collect()):  # a row a task
+        bases.append((task, before))
+        before += n
+    base = F.broadcast(spark.createDataFrame(bases, "task int, base long"))
+    numbered = rows.filter("kind = 0").join(base, "task").withColumn("number", F.col("base") + F.col("at"))
+    rests = np.zeros(n_docs, np.int64)
+    known = numbered.select("number", (F.col("n") % window).cast("int").alias("rest")).toArrow()  # two numbers a document
+    rests[known["number"].to_numpy()] = known["rest"].to_numpy()
+    del known
+    path, made = scratch(spark, "pieces"), []
+
+    def write() -> None:
+        spark.createDataFrame(pd.DataFrame(made, columns=["number", "start", "length", "sequence_id", "offset"]), _CUTS).write.mode("append").parquet(path)
+        made.clear()
+
+    number = 0
+    for number, sequence in enumerate(fill(Table(numbered, n_docs, n_ids / n_docs, have, shard), rests, window, grain, seeds, size)):
+        offset = 0
+        for doc, start, taken in sequence:
+            made.append((doc, start, taken, number, offset))
+            offset += taken
+        if len(made) >= _WRITE:
+            write()
+    write()
+    cuts = spark.read.schema(_CUTS).parquet(path).groupBy("number").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
+    first = number + 1  # of the whole windows' sequences
+
+    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         let_go()  # the encoder
-        pdf = pdf.sort_values(["doc_id", "n", "sums"], ignore_index=True)
-        number = int(pdf["shard"].iloc[0])
-        lengths = pdf["n"].to_numpy()
-        own, ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]], number << 31
-        out: list[tuple] = []
-        for k, raw in enumerate(pdf["whole"]):
-            for j, crc in enumerate(np.frombuffer(raw, "<u4").tolist()):
-                out.append((own[k], j * window, window, crc, int(lengths[k]), ids, 0))
-                ids += 1
-        rests = lengths % window
-        index = Shard([np.frombuffer(x, id_type) for x in pdf["terms"]], [np.frombuffer(x, np.uint8) for x in pdf["counts"]], lengths, n_docs, mean, shared.value)
-        sums = [np.frombuffer(x, "<u4") for x in pdf["sums"]]
-        for sequence in fill(index, rests, window, grain):
-            offset = 0
-            for doc, start, size in sequence:
-                a, b = int(sums[doc][start // grain]), int(sums[doc][-(-(start + size) // grain)])
-                out.append((own[doc], int(lengths[doc] - rests[doc]) + start, size, crc_between(a, b, size * 4), int(lengths[doc]), ids, offset))
-                offset += size
-            ids += 1
-        columns = [x.split()[0] for x in _PIECES.split(", ")]
-        return pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
-
-    dealt = rows.filter("kind = 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "n", "sums"), F.lit(shards)))
-    return dealt.drop("kind", "task").groupBy("shard").applyInPandas(pieces, _PIECES)
+        for pdf in batches:
+            out: list[tuple] = []
+            for key, n, whole, sums, place, own in zip(*(pdf[c].tolist() for c in ("doc_id", "n", "whole", "sums", "windows", "cuts"))):
+                key, rest = None if pd.isna(key) else int(key), n % window
+                for j, crc in enumerate(np.frombuffer(whole, "<u4").tolist()):
+                    out.append((key, j * window, window, crc, n, first + (place << 31) + j, 0))
+                sums = np.frombuffer(sums, "<u4")
+                for cut in () if own is None else own:
+                    start, taken = int(cut["start"]), int(cut["length"])
+                    a, b = int(sums[start // grain]), int(sums[-(-(start + taken) // grain)])
+                    out.append((key, n - rest + start, taken, crc_between(a, b, taken * 4), n, int(cut["sequence_id"]), int(cut["offset"])))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in _PIECES.split(", ")]).astype({"doc_id": "Int64"})
+
+    parts = numbered.select("number", F.col("doc_id").cast("string").alias("doc_id"), "n", "whole", "sums", (F.col("number") + 1).alias("windows"))
+    return parts.join(cuts, "number", "left").drop("number").mapInPandas(pieces, _PIECES)

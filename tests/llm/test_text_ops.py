@@ -94,6 +94,26 @@ def test_packing_asks_all_ids():
     assert [d for d, _, _ in next(packing.fill(shard, lengths, 4096, 32))][:2] == [0, 2]
 
 
+def test_packing_searches_the_whole_table(spark, texts):
+    path = queries.vocabulary("word_bpe_49k.json")
+    rows = [*texts[:120], *ODD, *texts[:5]]
+    docs = docs_of(spark, rows).repartition(3, "doc_id")
+    one, many = ([tuple(r) for r in packing.pack(docs, path, 2, shard=n, seeds=7, size=5).orderBy("sequence_id", "offset").collect()] for n in (1000, 9))
+    assert one == many  # parts of the index do not bound the search
+    ids = [np.array(Encoder(path).library.encode(t or "", add_special_tokens=False).ids + [2]) for t in rows]
+    terms, have = [np.unique(x, return_counts=True) for x in ids], np.zeros(60_000)
+    for t, _ in terms:
+        have[t] += 1
+    rarity, mean = np.log1p((len(ids) - have + 0.5) / (have + 0.5)), np.mean([*map(len, ids)])
+    first = [r[0] for r in one if r[5] == 0]
+    seed = max(range(len(ids)), key=lambda k: len(ids[k]) % 4096)
+    weights = lambda k: {t: rarity[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ids[k]) / mean)) for t, c in zip(*terms[k])}
+    score = {k: sum(w for t, w in weights(k).items() if t in set(terms[seed][0])) for k in range(len(ids)) if k != seed}
+    assert first[0] == seed
+    left = sorted(score.values(), reverse=True)[: len(first) - 1]
+    assert [score[k] for k in first[1:]] == pytest.approx(left, abs=0.2)
+
+
 def test_warc(spark, sf_dir):
     same(spark, sf_dir, queries.op3_warc, queries.SQL["op3_warc"])
     page = "x" * 200
