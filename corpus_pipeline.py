@@ -19,8 +19,8 @@ from strataloom.llm.shared import keep_rows, keyed, staged, take
 
 #: A document whose most likely language has a lower posterior is rejected.
 LEAST_POSTERIOR = 0.5
-#: Smaller than the operator's own: executors here have held the other stages' data before.
-PACK_WORDS, PACK_BLOCK, PACK_SHARD = 200_000, 1 << 20, 4000
+#: Smaller than the operator's own, as executors here have held the other stages' data before; both bound memory alone.
+PACK_WORDS, PACK_BLOCK = 200_000, 1 << 20
 KEY, LANGUAGE, POSTERIOR = "_row_key", "_predicted_language", "_posterior"
 
 
@@ -61,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 4096 ids."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), 2, shard=PACK_SHARD, kept_words=PACK_WORDS, block=PACK_BLOCK)
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), 2, kept_words=PACK_WORDS, block=PACK_BLOCK)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack", pack)]

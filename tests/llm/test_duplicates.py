@@ -154,6 +154,15 @@ def test_pipeline(spark, sf_dir):
     assert {r[0] for r in packed} == set(times)
 
 
+def test_pipeline_packs_with_the_operators_search(monkeypatch):
+    import corpus_pipeline
+
+    asked = {}
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", lambda *args, **more: asked.update(more))
+    corpus_pipeline.pack(None, None, "")
+    assert set(asked) <= {"kept_words", "block"}  # neither bounds what is searched
+
+
 def test_pipeline_keeps_rows_with_equal_ids(spark, sf_dir):
     import corpus_pipeline as P
 
