@@ -9,6 +9,10 @@ is of a fitting size, and a unit whose numbers of words already rule every
 template out gets no set at all: a set has at most one bigram less than the
 unit has words, and at least one less than it has distinct words.
 
+``scan_runs`` compares runs of a text's words as well, whatever lines and
+comment marks they go over: for each template every run that starts and ends
+with one of its bigrams and has at most as many bigrams as could still match.
+
 All of it is one projection of column functions: no shuffle, no Python.
 
 Defined cases: a null or empty text has no match (null, 0.0, 0); ties go to the
@@ -90,6 +94,42 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     return found.select("doc_id", best["name"].alias("license"), F.coalesce(-best["less"], F.lit(0.0)).alias("score"), F.size("found").alias("n_matches"))
 
 
+def scan_runs(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, score, n_matches: as ``scan``, but of all runs of words, and the number of templates that some run matches."""
+    rows = take(docs, "doc_id", "text")
+    sets = [(name, grams) for name, text in templates if (grams := bigrams_of(text))]
+    if not sets:
+        return rows.select("doc_id", F.lit(None).cast("string").alias("license"), F.lit(0.0).alias("score"), F.lit(0).alias("n_matches"))
+    least = threshold / (2 - threshold)  # of a template's bigrams, in a run that matches
+    known = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("n")) for name, grams in sets))
+    words = words_of(F.coalesce("text", F.lit("")))
+    own = rows.select("doc_id", words.alias("words"))
+    pairs = F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    own = own.select("doc_id", F.when(F.size("words") > 1, pairs).otherwise(F.array().cast("array<string>")).alias("grams"))
+    places = F.transform("grams", lambda g, i: F.struct(i.alias("i"), g.alias("g")))
+    own = own.withColumn("hits", F.filter(places, lambda h: h["g"].isin(sorted({g for _, grams in sets for g in grams}))))
+
+    def hits_of(t: Column) -> Column:
+        hits = F.filter("hits", lambda h: F.array_contains(t["grams"], h["g"]))
+        return F.struct(t["name"].alias("name"), t["grams"].alias("grams"), t["n"].alias("n"), hits.alias("hits"))
+
+    def best_run(t: Column) -> Column:
+        def runs_from(first: Column, at: Column) -> Column:
+            far = F.filter(F.slice(t["hits"], at + 1, F.size(t["hits"]) - at), lambda last, k: (k + 1 >= t["n"] * least) & (last["i"] - first["i"] + 1 <= t["n"] / least))
+            return F.transform(far, lambda last: less_of(F.slice("grams", first["i"] + 1, last["i"] - first["i"] + 1)))
+
+        def less_of(run: Column) -> Column:
+            return -2.0 * F.size(F.array_intersect(run, t["grams"])) / (F.size(F.array_distinct(run)) + t["n"])
+
+        return F.struct(F.array_min(F.flatten(F.transform(t["hits"], runs_from))).alias("less"), t["name"].alias("name"))
+
+    likely = F.filter(F.transform(known, hits_of), lambda t: F.size(F.array_distinct(t["hits"]["g"])) >= t["n"] * least)
+    own = own.select("doc_id", "grams", likely.alias("likely"))
+    found = own.select("doc_id", F.filter(F.transform("likely", best_run), lambda t: t["less"] <= -threshold).alias("found"))
+    best = F.array_min("found")
+    return found.select("doc_id", best["name"].alias("license"), F.coalesce(-best["less"], F.lit(0.0)).alias("score"), F.size("found").alias("n_matches"))
+
+
 def sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
     """The same scan in DuckDB's SQL, over ``documents``."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"

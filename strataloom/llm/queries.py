@@ -45,6 +45,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_license_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_runs(table(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(table(spark, sf_dir, "documents"))).withColumnRenamed("key", "doc_id")
 
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_warc": op3_warc,
     "op4_license_scan": op4_license_scan,
+    "op4_license_runs": op4_license_runs,
     "op5_media_columns": op5_media_columns,
     "op6_quality": op6_quality,
     "op7_exact_dedup": op7_exact_dedup,

@@ -165,6 +165,24 @@ def test_licenses(spark, sf_dir):
     assert licenses.scan(docs_of(spark, [])).count() == 0
 
 
+def test_license_runs(spark, sf_dir):
+    known = {name: text for name, text in licenses.TEMPLATES if len(text) > 150}
+    wrapped = lambda text, mark: "\n".join(mark + " ".join(text.split()[k : k + 9]) for k in range(0, len(text.split()), 9))
+    rows = [
+        f"# A tool.\n# Copyright 2020 A. Person\n#\n{wrapped(known['GPL-3.0'], '# ')}\n#\n# It is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;\n# without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the\n# GNU General Public License for more details.\nimport os",
+        f"/*\n * Copyright\n *\n{wrapped(known['MIT'], ' * ')}\n *\n * THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,\n * INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR\n * PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM\n */\nint x;",
+        "Released under the MIT License. See the LICENSE file.",
+        "intro\nReleased under the MIT license!\nend", None, "", "the license is under dispute", "word",
+    ]
+    got = [(r["license"], r["score"]) for r in licenses.scan_runs(docs_of(spark, rows)).orderBy("doc_id").collect()]
+    assert [g[0] for g in got] == ["GPL-3.0", "MIT", "MIT", "MIT", None, None, None, None]
+    assert [g[1] for g in got[:4]] == [1.0] * 4
+    assert [r["license"] for r in licenses.scan(docs_of(spark, rows[:3])).collect()] == [None] * 3  # units alone
+    units = {r[0]: r[1] for r in queries.op4_license_scan(spark, sf_dir).select("doc_id", "score").collect()}
+    runs = {r[0]: r[1] for r in queries.op4_license_runs(spark, sf_dir).select("doc_id", "score").collect()}
+    assert units.keys() == runs.keys() and all(runs[k] >= units[k] for k in units)
+
+
 def test_quality(spark, sf_dir):
     rows = queries.op6_quality(spark, sf_dir.replace("0.001", "0.01")).collect()
     labels = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet").select("doc_id", "quality").collect()}
