@@ -532,6 +532,14 @@ def hamming_distance(c: Corpus) -> DataFrame:
     return rows.crossJoin(F.broadcast(first)).select("vec_id", F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))).cast("int").alias("distance"))
 
 
+@query()
+def signature_distance(c: Corpus) -> DataFrame:
+    """Hamming distance of the signatures of whole vectors to the first vector's."""
+    rows = c.table("embeddings").select("vec_id", V.signature("embedding").alias("own"))
+    first = rows.orderBy("vec_id").limit(1).select(F.col("own").alias("other"))
+    return rows.crossJoin(F.broadcast(first)).select("vec_id", V.hamming(F.col("own"), F.col("other")).cast("int").alias("distance"))
+
+
 @query(
     "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, len(embedding) BETWEEN 1 AND 4096 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS valid FROM embeddings"
 )

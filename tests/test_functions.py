@@ -97,3 +97,16 @@ def test_packing():
     assert text.index("[decisions]") < text.index("[relevant_history]") < text.index("[warnings]")
     assert selection.packed([], 100) == ([], "", 0)
     assert "&lt;b&gt;\n  x" in selection.packed([hit(1, 1, body="<b>\nx")], 500)[1]
+
+
+def test_signature_distance_of_whole_vectors(spark, tmp_path):
+    from strataloom.plans.catalog import QUERIES
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(40, 70))
+    vectors[1] = vectors[0]
+    vectors[1, 62:] *= -30  # what differs is after coordinate 62
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r[0]: r[1] for r in QUERIES["signature_distance"](spark, str(tmp_path)).collect()}
+    signs = vectors.astype(np.float32).astype(np.float64) @ V.hyperplanes(70).T < 0
+    assert got == {k: int((signs[k] != signs[0]).sum()) for k in range(40)} and got[1] > 0
