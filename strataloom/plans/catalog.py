@@ -742,6 +742,12 @@ def framed_keys(c: Corpus) -> DataFrame:
     return c.table("pages").select("page_id", X.framed_key(F.col("url"), F.substring("html", 1, 100), prefix="key1:").alias("key"))
 
 
+@query("SELECT page_id, 'key1:' || sha256(octet_length(encode(a)) || ':' || a || octet_length(encode(b)) || ':' || b) AS key FROM (SELECT page_id, coalesce(url, '') AS a, coalesce(html, '') AS b FROM pages)")
+def framed_page_keys(c: Corpus) -> DataFrame:
+    """Keys of whole pages."""
+    return c.table("pages").select("page_id", X.framed_key(F.col("url"), F.col("html"), prefix="key1:").alias("key"))
+
+
 @query()
 def code_aliases(c: Corpus) -> DataFrame:
     return c.heads.select("memory_id", alias_text("title", "body", F.array(F.col("repo_id"))).alias("aliases"))

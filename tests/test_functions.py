@@ -110,3 +110,11 @@ def test_signature_distance_of_whole_vectors(spark, tmp_path):
     got = {r[0]: r[1] for r in QUERIES["signature_distance"](spark, str(tmp_path)).collect()}
     signs = vectors.astype(np.float32).astype(np.float64) @ V.hyperplanes(70).T < 0
     assert got == {k: int((signs[k] != signs[0]).sum()) for k in range(40)} and got[1] > 0
+
+
+def test_framed_keys_of_whole_pages(spark, tmp_path):
+    from strataloom.plans.catalog import QUERIES
+
+    spark.createDataFrame([(k, "u", "x" * 100 + t) for k, t in enumerate("aab")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    a, b, c = (r[1] for r in QUERIES["framed_page_keys"](spark, str(tmp_path)).orderBy("page_id").collect())
+    assert a == b != c
