@@ -66,12 +66,12 @@ class Model:
 
 
 def dictionary(texts: list[str]) -> bytes:
-    """A zstandard dictionary of the texts' blocks, in a fixed mixed order."""
+    """A zstandard dictionary of all of the texts' blocks, in a fixed mixed order."""
     blocks = [body[k : k + BLOCK] for t in texts for body in [(t or "").encode("utf-8", "surrogatepass")] for k in range(0, len(body), BLOCK)]
     np.random.default_rng(0).shuffle(blocks)
     size = min(DICTIONARY_BYTES, sum(map(len, blocks)) // 4)
     try:
-        return zstandard.train_dictionary(size, blocks[:6000]).as_bytes() if size >= 256 else b""
+        return zstandard.train_dictionary(size, blocks).as_bytes() if size >= 256 else b""
     except zstandard.ZstdError:  # too little text to find anything in
         return b""
 

@@ -195,6 +195,15 @@ def test_quality(spark, sf_dir):
     assert model.score(model.margin("x")) == 0.5 and model.margin(None) == 0.0
 
 
+def test_dictionary_of_all_blocks(monkeypatch):
+    given, train = [], quality.zstandard.train_dictionary
+    monkeypatch.setattr(quality.zstandard, "train_dictionary", lambda size, blocks: given.extend(blocks) or train(size, blocks))
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(2000)) for _ in range(400)]
+    assert quality.dictionary(texts)
+    assert sum(map(len, given)) == sum(map(len, texts)) and len(given) > 6000
+
+
 def test_language(spark, sf_dir):
     rows = queries.op8_language(spark, sf_dir.replace("0.001", "0.01")).collect()
     langs = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang").collect()}
