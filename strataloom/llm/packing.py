@@ -1,18 +1,20 @@
 """Packing documents into training windows by lexical retrieval.
 
 Each document's ids are cut into whole windows, which are sequences of their
-own, and a rest.  Seeds are taken by descending rest; the documents of the whole
-table that share any of a seed's distinct ids are ranked by BM25 over all of
+own, and a rest.  Documents are range-sorted by content: by the id that weighs
+most in them (count times rarity) among those that a quarter of all documents
+have, then a sixteenth, and so on down to a shard's share, so documents on one
+matter lie side by side.  Consecutive documents form a shard with an
+inverted index of its own.  Seeds are taken by descending rest; the shard's
+documents that share any of a seed's distinct ids are ranked by BM25 over all of
 them, and the unused ones fill its window in that order.  The one that no longer
 fits is cut, and what is left of it stays in the index.  When no neighbour is
-left, the next unused documents fill the window.
+left, the next unused documents of the shard fill the window.
 
-The index is in parts, the search is not: in rounds, the longest unused
-documents are sent to every part, the parts' best answers are merged, and the
-driver fills the windows of a round in order.  A seed whose answers were used up
-by those before it is asked again in the next round.  Weights are whole numbers,
-so sums and ranks do not depend on how the table is cut into parts.  The driver
-holds some 20 bytes a document; the work grows with the square of the table.
+Weights use statistics of the whole table.  The search is bounded by the shard:
+a neighbour that lies in another one is not found, which keeps the work in
+proportion to the table.  A shard is bounded in documents and in index entries,
+and a task streams over its shards, so memory does not grow with the table.
 
 Cuts inside a rest are at multiples of ``GRAIN`` ids, for which the encoding
 task keeps running CRC-32 sums; a piece's sum follows from two of them, as
@@ -20,7 +22,7 @@ CRC-32 is linear, so no text is encoded twice and no ids are moved.
 
 Defined cases: a null or empty text has the end id alone; repeated rows are
 documents each; a null id is kept; an empty table gives no row; texts of any
-length are packed whole.
+length are packed whole; ties go to the document that comes first in the shard.
 """
 
 from __future__ import annotations
@@ -36,23 +38,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encode import KEPT_WORDS, encoder
-from .shared import let_go, scratch, staged, take
+from .shared import let_go, partitions, staged, take
 from .tokenfiles import BLOCK, blocks
 
 WINDOW = 4096
 #: Ids between the places where a rest may be cut: a window has fewer than so many ids of padding, but for a shard's last.
 GRAIN = 32
-#: Documents of a part of the index, which bounds a searching task's memory; the result does not depend on it.
-SHARD = 8000
-#: Seeds of a round, and the neighbours that a round finds for each.
-ROUND, NEAR = 4096, 48
+#: Documents of a shard at most, and index entries (distinct ids of its documents).
+SHARD, ENTRIES = 8000, 4_000_000
 #: Ids that at least one in so many of a shard's documents has are kept as whole rows of weights, which add faster than postings; scores are the same.
 WHOLE_ROWS = 8
+#: Seeds that are ranked at once.
+BATCH = 64
+#: Share of an index's documents that are unused at least; then the others are taken out.
+MOSTLY = 0.85
+#: Neighbours that are sorted at first; the others are sorted when these are used up.
+NEAR = 64
 K1, B = 1.2, 0.75
-#: Weights are multiples of one part in so many; an answer is a score above ``_LOW`` bits of document number, the smaller number being the larger answer.
-UNIT = 4096
-_LOW = 33
-_MASK = (1 << _LOW) - 1
+#: Weights are multiples of one part in so many, so sums do not depend on their order.
+UNIT = 1024
 
 _POLY = 0xEDB88320
 
@@ -93,15 +97,15 @@ def crc_between(before: int, until: int, n_bytes: int) -> int:
     return before ^ until
 
 
-_DOCS = "kind int, doc_id long, n long, whole binary, sums binary, terms binary, counts binary, task int, at long"
-_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
+_DOCS = "kind int, doc_id long, n long, whole binary, sums binary, terms binary, counts binary"
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, grain: int = GRAIN, kept_words: int = KEPT_WORDS, block: int = BLOCK) -> DataFrame:
     """Rows of kind 0, a document each: n ids, CRC-32 of its whole windows, running sums of its rest, and its distinct ids with their counts; and of kind 1, a task each: how many documents have each id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task = encoder(tokenizer, kept_words), TaskContext.get().partitionId()
+        enc = encoder(tokenizer, kept_words)
         have, n_docs, n_ids = np.zeros(enc.size + 1, np.int64), 0, 0
         end = np.array([end_id], enc.width)
         for batch in batches:
@@ -119,11 +123,11 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW,
                         sums.append(last)
                     terms, counts = np.unique(ids, return_counts=True)
                     have[terms] += 1
-                    rows.append((0, key, len(ids), np.array(whole, "<u4").tobytes(), np.array(sums, "<u4").tobytes(), terms.astype("<u2" if enc.width == "<u2" else "<u4").tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), task, n_docs))
+                    rows.append((0, key, len(ids), np.array(whole, "<u4").tobytes(), np.array(sums, "<u4").tobytes(), terms.astype(enc.width).tobytes(), counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()))
                     n_docs, n_ids = n_docs + 1, n_ids + len(ids)
                 yield _batch(rows)
         if n_docs:
-            yield _batch([(1, n_docs, n_ids, None, None, have.astype("<i8").tobytes(), None, task, None)])
+            yield _batch([(1, n_docs, n_ids, None, None, have.astype("<i8").tobytes(), None)])
 
     return staged(take(docs, "doc_id", "text").mapInArrow(encode, _DOCS), "encoded")
 
@@ -140,142 +144,106 @@ def statistics(rows: DataFrame) -> tuple[int, int, np.ndarray]:
         return pd.DataFrame({"doc_id": [pdf["doc_id"].sum()], "n": [pdf["n"].sum()], "terms": [have.tobytes()]})
 
     kind = "doc_id long, n long, terms binary"
-    some = rows.filter("kind = 1").groupBy((F.col("task") % 32).alias("task")).applyInPandas(total, kind)
+    some = rows.filter("kind = 1").groupBy((F.xxhash64("terms") % 32).alias("dealt")).applyInPandas(total, kind)  # a row a task
     found = some.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(total, kind).collect()
     return (found[0][0], found[0][1], np.frombuffer(found[0][2], "<i8")) if found else (0, 0, np.zeros(1, np.int64))
 
 
-def best(answers: np.ndarray, size: int) -> np.ndarray:
-    """The largest answers, in descending order."""
-    if len(answers) > size:
-        answers = np.partition(answers, len(answers) - size)[len(answers) - size :]
-    return np.sort(answers)[::-1]
+def uses(raw: bytes, n: int) -> np.ndarray:
+    """Counts of n ids, as bytes or wider integers where one needs them."""
+    return np.frombuffer(raw, f"<u{len(raw) // n}")
+
+
+class Statistics:
+    """Of the whole table: documents, ids a document, and BM25's rarity of each id."""
+
+    def __init__(self, n_docs: int, mean: float, have: np.ndarray) -> None:
+        self.n_docs, self.mean, self.have = n_docs, mean, have
+        self.rarity = np.log1p((n_docs - have + 0.5) / (have + 0.5))
+
+    def weights(self, terms: np.ndarray, counts: np.ndarray, lengths: np.ndarray | float) -> np.ndarray:
+        """What each of a document's ids adds to a query that has it."""
+        f = counts.astype(np.float64)
+        return f * (K1 + 1) / (f + K1 * (1 - B + B * lengths / self.mean)) * self.rarity[terms]
+
+    def key(self, terms: np.ndarray, counts: np.ndarray, levels: int) -> bytes:
+        """The id with the largest count times rarity among those that a quarter of all documents have, then a sixteenth, and so on; big-endian, so bytes sort as ids do."""
+        weight, share = counts * self.rarity[terms], self.have[terms] / self.n_docs
+        at = [np.where(share >= 0.25**k, weight, -1.0).argmax() for k in range(1, levels + 1)]
+        return terms[at].astype(">u4").tobytes()
+
+
+def key_levels(n_docs: int, shard: int) -> int:
+    """Ids in a sort key: two, and one more for each time that four parts of the table still hold more than a shard."""
+    return 2 + int(np.ceil(np.log(max(1.0, n_docs / shard)) / np.log(4)))
 
 
 class Shard:
-    """A part of the inverted index, with BM25 weights from the whole table's statistics."""
+    """A shard of the inverted index, with BM25 weights from the whole table's statistics."""
 
-    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, n_docs: int, mean: float, have: np.ndarray, numbers: np.ndarray | None = None) -> None:
+    def __init__(self, terms: list[np.ndarray], counts: list[np.ndarray], lengths: np.ndarray, told: Statistics) -> None:
         sizes = np.array([*map(len, terms)], np.int64)
-        every, weight = np.concatenate(terms), np.concatenate(counts).astype(np.float64)
+        every = np.concatenate(terms)
         of = np.repeat(np.arange(len(terms), dtype=np.int32), sizes)
-        weight *= (K1 + 1) / (weight + (K1 * (1 - B + B * lengths / mean))[of])
-        weight *= np.log1p((n_docs - have + 0.5) / (have + 0.5))[every]
-        weight = np.rint(weight * UNIT).astype(np.int32)
-        self.starts, self.terms, self.n = np.r_[0, np.cumsum(sizes)], every, len(terms)
-        self.numbers = np.arange(self.n) if numbers is None else numbers
-        have_here = np.bincount(every, minlength=len(have))
+        weight = np.rint(told.weights(every, np.concatenate(counts), lengths[of]) * UNIT).astype(np.int32)
+        self.terms, self.n, self.numbers = terms, len(terms), np.arange(len(terms))
+        have_here = np.bincount(every, minlength=len(told.have))
         common = np.flatnonzero(have_here * WHOLE_ROWS >= self.n)
-        self.row = np.full(len(have), -1, np.int32)
+        self.row = np.full(len(told.have), -1, np.int32)
         self.row[common] = np.arange(len(common), dtype=np.int32)
-        self.rows = np.zeros((len(common), self.n), np.int32)
+        self.rows = np.zeros((len(common), self.n), np.float32)
         at = self.row[every]
-        self.rows[at[at >= 0], of[at >= 0]] = weight[at >= 0]
-        rare = np.flatnonzero(at < 0).astype(np.int32)
+        whole = at >= 0
+        self.rows[at[whole], of[whole]] = weight[whole]
+        rare = np.flatnonzero(~whole).astype(np.int32)
         rare = rare[np.argsort(every[rare], kind="stable")]
         self.docs, self.scores = of[rare], weight[rare]
         have_here[common] = 0
         self.edges = np.r_[0, np.cumsum(have_here)]
 
-    def rank(self, terms: np.ndarray) -> np.ndarray:
-        """BM25 of every document of the part for distinct ids, in whole numbers."""
-        row = self.row[terms]
-        total = np.zeros(self.n, np.int32)
-        for r in row[row >= 0].tolist():
-            total += self.rows[r]
-        rare = terms[row < 0].astype(np.int64)
-        spans = [slice(a, b) for a, b in zip(self.edges[rare].tolist(), self.edges[rare + 1].tolist()) if a < b]
-        if not spans:
-            return total.astype(np.int64)
-        return total + np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.scores[s] for s in spans]), self.n).astype(np.int64)
-
-    def answers(self, terms: np.ndarray, size: int) -> np.ndarray:
-        """The best documents for distinct ids, as answers."""
-        score = self.rank(terms)
-        return best(((score << _LOW) | (_MASK - self.numbers))[score > 0], size)
-
-    def near(self, seeds: list[int], unused: np.ndarray, size: int) -> list[np.ndarray]:
-        """For each seed its best unused documents; fewer than ``size`` are all there are."""
-        found = []
-        for seed in seeds:
-            score = self.rank(self.terms[self.starts[seed] : self.starts[seed + 1]])
-            found.append(_MASK - (best(((score << _LOW) | (_MASK - self.numbers))[(score > 0) & unused], size) & _MASK))
-        return found
-
-
-class Table:
-    """The index of a whole table: ``docs`` (number, n, terms, counts), searched in parts of ``shard`` documents."""
-
-    def __init__(self, docs: DataFrame, n_docs: int, mean: float, have: np.ndarray, shard: int) -> None:
-        self.docs, self.shard, self.id_type = docs, shard, "<u2" if len(have) <= (1 << 16) + 1 else "<u4"
-        self.shared = docs.sparkSession.sparkContext.broadcast((n_docs, mean, have))  # of the vocabulary's size
-
-    def terms_of(self, seeds: list[int]) -> list[np.ndarray]:
-        some, wanted = self.docs.select("number", "terms"), np.sort(np.array(seeds, np.int64))
-
-        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(np.isin(batch.column(0).to_numpy(), wanted)))
-
-        found = {r[0]: np.frombuffer(r[1], self.id_type) for r in some.mapInArrow(pick, some.schema).collect()}  # a round's seeds
-        return [found[seed] for seed in seeds]
-
-    def near(self, seeds: list[int], unused: np.ndarray, size: int) -> list[np.ndarray]:
-        """For each seed its best unused documents of the table; fewer than ``size`` are all there are."""
-        if not seeds:
-            return []
-        asked = self.docs.sparkSession.sparkContext.broadcast((self.terms_of(seeds), np.packbits(unused)))  # a round's seeds, a bit a document
-        shared, shard, id_type, n = self.shared, self.shard, self.id_type, len(seeds)
-
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            let_go()  # the encoder
-            n_docs, mean, have = shared.value
-            queries, bits = asked.value
-            found: list[np.ndarray] = [np.zeros(0, np.int64)] * n
-            for numbers, lengths, terms, counts in parts(batches, bits):
-                part = Shard([np.frombuffer(x, id_type) for x in terms], [np.frombuffer(x, np.uint8) for x in counts], lengths, n_docs, mean, have, numbers)
-                for k, query in enumerate(queries):
-                    new = part.answers(query, size)
-                    found[k] = best(np.concatenate([found[k], new]), size) if len(found[k]) else new
-            rows = [(k, x.tobytes()) for k, x in enumerate(found) if len(x)]
-            for k in range(0, len(rows), 512):
-                yield pa.RecordBatch.from_pylist([{"seed": a, "found": b} for a, b in rows[k : k + 512]], pa.schema([("seed", pa.int32()), ("found", pa.binary())]))
-
-        def parts(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple]:
-            held, rows = [], 0
-            for batch in batches:
-                number = batch.column(0).to_numpy()
-                batch = batch.filter(pa.array(((bits[number >> 3] >> (7 - (number & 7)).astype(np.uint8)) & 1).astype(bool)))
-                while batch.num_rows:
-                    held.append(batch.slice(0, shard - rows))
-                    batch, rows = batch.slice(held[-1].num_rows), rows + held[-1].num_rows
-                    if rows == shard:
-                        yield columns(held)
-                        held, rows = [], 0
-            if held:
-                yield columns(held)
-
-        def columns(held: list[pa.RecordBatch]) -> tuple:
-            whole = pa.Table.from_batches(held)
-            return whole["number"].to_numpy(), whole["n"].to_numpy(), whole["terms"].to_pylist(), whole["counts"].to_pylist()
-
-        def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-            by = [(k, best(np.concatenate([np.frombuffer(x, "<i8") for x in g]), size).tobytes()) for k, g in pdf.groupby("seed")["found"]]
-            return pd.DataFrame(by, columns=["seed", "found"])
-
-        some = self.docs.select("number", "n", "terms", "counts").mapInArrow(search, "seed int, found binary")
-        merged = some.groupBy((F.col("seed") % 32).alias("dealt")).applyInPandas(merge, "seed int, found binary").collect()  # `size` answers a seed
-        asked.destroy()
-        by = {r[0]: _MASK - (np.frombuffer(r[1], "<i8") & _MASK) for r in merged}
-        return [by.get(k, np.zeros(0, np.int64)) for k in range(n)]
-
-
-def fill(index: Shard | Table, rests: np.ndarray, window: int = WINDOW, grain: int = GRAIN, seeds: int = ROUND, size: int = NEAR) -> Iterator[list[tuple[int, int, int]]]:
+    def drop(self, alive: np.ndarray) -> None:
+        """Take used documents out of the index, once there are enough of them."""
+        if alive.sum() >= MOSTLY * self.n:
+            return
+        place, keep = np.cumsum(alive, dtype=np.int32) - 1, alive[self.docs]
+        self.edges = np.r_[0, np.cumsum(keep)][self.edges]
+        self.docs, self.scores, self.rows = place[self.docs[keep]], self.scores[keep], self.rows.compress(alive, axis=1)
+        self.numbers = self.numbers[alive]
+        self.n = len(self.numbers)
+
+    def rank(self, seeds: list[int]) -> np.ndarray:
+        """BM25 of every document that is in the index (``numbers``), a row for each seed; in whole numbers that a float holds, so sums are exact."""
+        asked = np.zeros((len(seeds), len(self.rows)), np.float32)
+        for k, seed in enumerate(seeds):
+            row = self.row[self.terms[seed]]
+            asked[k, row[row >= 0]] = 1
+        total = asked @ self.rows
+        for k, seed in enumerate(seeds):
+            terms = self.terms[seed]
+            rare = terms[self.row[terms] < 0].astype(np.int64)
+            spans = [slice(a, b) for a, b in zip(self.edges[rare].tolist(), self.edges[rare + 1].tolist()) if a < b]
+            if spans:
+                total[k] += np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.scores[s] for s in spans]), self.n)
+        return total
+
+    def near(self, score: np.ndarray, left: np.ndarray) -> Iterator[int]:
+        """The unused documents with a score, best first."""
+        found = np.flatnonzero((score > 0) & (left[self.numbers] > 0))
+        found, score = self.numbers[found], score[found]
+        if len(found) > NEAR:
+            edge = np.partition(score, len(score) - NEAR)[len(score) - NEAR]
+            first = score >= edge
+            yield from found[first][np.argsort(-score[first], kind="stable")].tolist()
+            found, score = found[~first], score[~first]
+        yield from found[np.argsort(-score, kind="stable")].tolist()
+
+
+def fill(index: Shard, rests: np.ndarray, window: int = WINDOW, grain: int = GRAIN, batch: int = BATCH) -> Iterator[list[tuple[int, int, int]]]:
     """Sequences as lists of (document, start in its rest, length); every id of every rest is in one of them."""
     left, at = rests.copy(), np.zeros(len(rests), np.int64)
     order = np.argsort(-rests, kind="stable")
-    place = 0
-    waiting: list[tuple[int, list, int]] = []
+    first = 0  # before it, all are used
+    scores: dict[int, np.ndarray] = {}
 
     def put(doc: int, made: list[tuple[int, int, int]], space: int) -> int:
         taken = int(left[doc]) if left[doc] <= space else space - space % grain
@@ -285,49 +253,35 @@ def fill(index: Shard | Table, rests: np.ndarray, window: int = WINDOW, grain: i
             at[doc] += taken
         return space - taken
 
-    while True:
-        while place < len(order) and not left[order[place]]:
-            place += 1
-        if place == len(order):
-            yield from (made for _, made, _ in waiting)
-            return
-        rest = order[place:]
-        new = rest[left[rest] > 0][: max(1, min(seeds, 16 + int(left.sum()) // window) - len(waiting))]
-        turn = [*waiting, *((int(doc), [], window) for doc in new)]
-        ask = [doc for doc, made, space in turn if made or window - left[doc] >= grain]
-        found = dict(zip(ask, index.near(ask, left > 0, size)))
-        waiting = []
-        for doc, made, space in turn:
-            if not made:
-                if not left[doc]:
-                    continue
-                space = put(doc, made, space)
-            near = found.get(doc, ())
-            for other in near if space >= grain else ():
+    for place, seed in enumerate(order.tolist()):
+        if not left[seed]:
+            continue
+        if seed not in scores:  # this seed's and the next ones' at once
+            index.drop(left[index.numbers] > 0)
+            some = order[place : place + 4 * batch]
+            some = some[left[some] > 0][:batch].tolist()
+            scores = dict(zip(some, index.rank(some)))
+        made: list[tuple[int, int, int]] = []
+        space = put(seed, made, window)
+        if space >= grain:
+            for other in index.near(scores[seed], left):
+                space = put(other, made, space)
                 if space < grain:
                     break
-                space = put(int(other), made, space)
-            if space >= grain and len(near) == size:
-                waiting.append((doc, made, space))
-                continue
-            later = place
-            while space >= grain and later < len(order):
-                space = put(int(order[later]), made, space)
-                later += 1
-            yield made
+        first = max(first, place)
+        while space >= grain and first < len(order):
+            doc = int(order[first])
+            space = put(doc, made, space)
+            first += not left[doc]
+        yield made
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Pieces that the driver writes at once.
-_WRITE = 1 << 18
-_CUTS = "number long, start long, length long, sequence_id long, offset long"
-
-
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, grain: int = GRAIN, shard: int = SHARD, kept_words: int = KEPT_WORDS, block: int = BLOCK, seeds: int = ROUND, size: int = NEAR) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, grain: int = GRAIN, shard: int = SHARD, kept_words: int = KEPT_WORDS, block: int = BLOCK) -> DataFrame:
     """The pieces of all ``docs`` (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     ``kept_words`` and ``block`` bound the memory of an encoding worker: the words it knows, and the characters it
-    encodes at once; ``shard`` that of a searching one.  ``seeds`` and ``size`` are a round's seeds and answers.
+    encodes at once.  ``shard`` is the number of documents that are searched for a seed's neighbours.
     """
     if window % grain:
         raise ValueError("the window must be a multiple of the grain")
@@ -336,48 +290,60 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, gra
     n_docs, n_ids, have = statistics(rows)
     if not n_docs:
         return spark.createDataFrame([], _PIECES)
-    bases, before = [], 0
-    for task, n in sorted((r[0], r[1]) for r in rows.filter("kind = 1").select("task", "doc_id").collect()):  # a row a task
-        bases.append((task, before))
-        before += n
-    base = F.broadcast(spark.createDataFrame(bases, "task int, base long"))
-    numbered = rows.filter("kind = 0").join(base, "task").withColumn("number", F.col("base") + F.col("at"))
-    rests = np.zeros(n_docs, np.int64)
-    known = numbered.select("number", (F.col("n") % window).cast("int").alias("rest")).toArrow()  # two numbers a document
-    rests[known["number"].to_numpy()] = known["rest"].to_numpy()
-    del known
-    path, made = scratch(spark, "pieces"), []
-
-    def write() -> None:
-        spark.createDataFrame(pd.DataFrame(made, columns=["number", "start", "length", "sequence_id", "offset"]), _CUTS).write.mode("append").parquet(path)
-        made.clear()
-
-    number = 0
-    for number, sequence in enumerate(fill(Table(numbered, n_docs, n_ids / n_docs, have, shard), rests, window, grain, seeds, size)):
-        offset = 0
-        for doc, start, taken in sequence:
-            made.append((doc, start, taken, number, offset))
-            offset += taken
-        if len(made) >= _WRITE:
-            write()
-    write()
-    cuts = spark.read.schema(_CUTS).parquet(path).groupBy("number").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("cuts"))
-    first = number + 1  # of the whole windows' sequences
-
-    def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shared = spark.sparkContext.broadcast((n_docs, n_ids / n_docs, have))  # of the vocabulary's size
+    id_type, levels = "<u2" if len(have) <= (1 << 16) + 1 else "<u4", key_levels(n_docs, shard)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()  # the encoder
-        for pdf in batches:
-            out: list[tuple] = []
-            for key, n, whole, sums, place, own in zip(*(pdf[c].tolist() for c in ("doc_id", "n", "whole", "sums", "windows", "cuts"))):
-                key, rest = None if pd.isna(key) else int(key), n % window
-                for j, crc in enumerate(np.frombuffer(whole, "<u4").tolist()):
-                    out.append((key, j * window, window, crc, n, first + (place << 31) + j, 0))
-                sums = np.frombuffer(sums, "<u4")
-                for cut in () if own is None else own:
-                    start, taken = int(cut["start"]), int(cut["length"])
-                    a, b = int(sums[start // grain]), int(sums[-(-(start + taken) // grain)])
-                    out.append((key, n - rest + start, taken, crc_between(a, b, taken * 4), n, int(cut["sequence_id"]), int(cut["offset"])))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in _PIECES.split(", ")]).astype({"doc_id": "Int64"})
-
-    parts = numbered.select("number", F.col("doc_id").cast("string").alias("doc_id"), "n", "whole", "sums", (F.col("number") + 1).alias("windows"))
-    return parts.join(cuts, "number", "left").drop("number").mapInPandas(pieces, _PIECES)
+        told = Statistics(*shared.value)
+        for batch in batches:
+            own = [np.frombuffer(x, id_type) for x in batch.column(4).to_pylist()]
+            made = [told.key(t, uses(c, len(t)), levels) for t, c in zip(own, batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], _NAMES)
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, number = Statistics(*shared.value), TaskContext.get().partitionId() << 40
+        held: list[dict] = []
+        entries = 0
+
+        def packed() -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            lengths, terms = np.array([r["n"] for r in held], np.int64), [np.frombuffer(r["terms"], id_type) for r in held]
+            rests, out = lengths % window, []
+            for r, n in zip(held, lengths.tolist()):
+                for j, crc in enumerate(np.frombuffer(r["whole"], "<u4").tolist()):
+                    out.append((r["doc_id"], j * window, window, crc, n, number, 0))
+                    number += 1
+            index = Shard(terms, [uses(r["counts"], len(t)) for r, t in zip(held, terms)], lengths, told)
+            for sequence in fill(index, rests, window, grain):
+                offset = 0
+                for doc, start, taken in sequence:
+                    r, sums = held[doc], np.frombuffer(held[doc]["sums"], "<u4")
+                    crc = crc_between(int(sums[start // grain]), int(sums[-(-(start + taken) // grain)]), taken * 4)
+                    out.append((r["doc_id"], r["n"] - int(rests[doc]) + start, taken, crc, r["n"], number, offset))
+                    offset += taken
+                number += 1
+            for k in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[k : k + 20_000])], [x.split()[0] for x in _PIECES.split(", ")])
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                held.append(r)
+                entries += len(r["terms"]) // int(id_type[-1])
+                if len(held) == shard or entries >= ENTRIES:
+                    yield from packed()
+                    held, entries = [], 0
+        if held:
+            yield from packed()
+
+    names = _NAMES[:-1]
+    keyed = staged(rows.filter("kind = 0").select(*names).mapInArrow(keys, _KEYED), "keyed")
+    shards = -(-n_docs // shard)
+    parts = min(shards, max(partitions(spark), shards // 16))  # so many tasks, each over its shards in a row
+    order = ("key", "n", "doc_id", "sums", "whole")
+    near = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    return near.select(*names).mapInArrow(pieces, _PIECES)
+
+
+_NAMES = ["doc_id", "n", "whole", "sums", "terms", "counts", "key"]
+_KEYED = "doc_id long, n long, whole binary, sums binary, terms binary, counts binary, key binary"

@@ -76,13 +76,46 @@ def test_packing(spark, texts):
     assert packing.pack(docs_of(spark, []), path, 2).count() == 0
 
 
+def plain_bm25(terms, counts, lengths, told, query, doc):
+    """BM25 of a document for the ids of another, written out."""
+    score = 0.0
+    for t, f in zip(terms[doc].tolist(), counts[doc].tolist()):
+        if t in set(terms[query].tolist()):
+            have = int(told.have[t])
+            score += np.log(1 + (told.n_docs - have + 0.5) / (have + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * lengths[doc] / told.mean))
+    return score
+
+
+def table_of(terms, lengths):
+    have = np.bincount(np.concatenate(terms), minlength=max(int(t.max()) for t in terms) + 1)
+    return packing.Statistics(len(terms), float(np.mean(lengths)), have)
+
+
+def test_packing_ranks_by_bm25():
+    rng = np.random.default_rng(3)
+    terms = [np.unique(rng.integers(0, 400, rng.integers(1, 90)) ** 2 // 300).astype("<u2") for _ in range(120)]
+    counts = [rng.integers(1, 900, len(t)).astype("<u2") for t in terms]
+    lengths = np.array([int(c.sum()) for c in counts])
+    told = table_of(terms, lengths)
+    shard, left = packing.Shard(terms, counts, lengths, told), np.ones(120, int)
+    for seed in range(0, 120, 4):
+        want = np.array([plain_bm25(terms, counts, lengths, told, seed, d) for d in range(120)])
+        shard.drop(left[shard.numbers] > 0)
+        score = shard.rank([seed])[0]
+        assert np.abs(score / packing.UNIT - want[shard.numbers]).max() < 0.05
+        left[seed] = 0
+        found = [*shard.near(score, left)]
+        assert all(want[a] >= want[b] - 0.1 for a, b in zip(found, found[1:])) and sorted(found) == np.flatnonzero((want > 0) & (left > 0)).tolist()
+        left[found[:2]] = 0  # used documents leave the index after a while
+    assert shard.n < 120
+
+
 def test_packing_prefers_neighbours():
     rng = np.random.default_rng(0)
     terms = [np.unique(rng.integers(0, 40, 30) + (k % 2) * 50).astype("<u2") for k in range(40)]
     lengths = np.full(40, 1000)
-    have = np.bincount(np.concatenate(terms), minlength=101)
-    shard = packing.Shard(terms, [np.ones(len(t), np.uint8) for t in terms], lengths, 40, 1000.0, have)
-    kinds = [{d % 2 for d, _, _ in s} for s in packing.fill(shard, lengths, 4096, 32)]
+    shard = packing.Shard(terms, [np.ones(len(t), np.uint8) for t in terms], lengths, table_of(terms, lengths))
+    kinds = [{d % 2 for d, _, _ in s} for s in packing.fill(shard, lengths)]
     assert sum(len(k) == 1 for k in kinds) >= len(kinds) - 2
 
 
@@ -90,28 +123,24 @@ def test_packing_asks_all_ids():
     # the seed's 20 heaviest ids are in no other document, and what it shares with the shortest weighs less
     terms = [np.r_[0:20, 30:50].astype("<u2"), np.r_[60:80].astype("<u2"), np.r_[30:50].astype("<u2")]
     lengths = np.array([3000, 1090, 1000])
-    shard = packing.Shard(terms, [np.ones(len(t), np.uint8) for t in terms], lengths, 3, 1000.0, np.bincount(np.concatenate(terms), minlength=101))
-    assert [d for d, _, _ in next(packing.fill(shard, lengths, 4096, 32))][:2] == [0, 2]
+    shard = packing.Shard(terms, [np.ones(len(t), np.uint8) for t in terms], lengths, table_of(terms, lengths))
+    assert [d for d, _, _ in next(packing.fill(shard, lengths))][:2] == [0, 2]
 
 
-def test_packing_searches_the_whole_table(spark, texts):
-    path = queries.vocabulary("word_bpe_49k.json")
-    rows = [*texts[:120], *ODD, *texts[:5]]
-    docs = docs_of(spark, rows).repartition(3, "doc_id")
-    one, many = ([tuple(r) for r in packing.pack(docs, path, 2, shard=n, seeds=7, size=5).orderBy("sequence_id", "offset").collect()] for n in (1000, 9))
-    assert one == many  # parts of the index do not bound the search
-    ids = [np.array(Encoder(path).library.encode(t or "", add_special_tokens=False).ids + [2]) for t in rows]
-    terms, have = [np.unique(x, return_counts=True) for x in ids], np.zeros(60_000)
-    for t, _ in terms:
-        have[t] += 1
-    rarity, mean = np.log1p((len(ids) - have + 0.5) / (have + 0.5)), np.mean([*map(len, ids)])
-    first = [r[0] for r in one if r[5] == 0]
-    seed = max(range(len(ids)), key=lambda k: len(ids[k]) % 4096)
-    weights = lambda k: {t: rarity[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(ids[k]) / mean)) for t, c in zip(*terms[k])}
-    score = {k: sum(w for t, w in weights(k).items() if t in set(terms[seed][0])) for k in range(len(ids)) if k != seed}
-    assert first[0] == seed
-    left = sorted(score.values(), reverse=True)[: len(first) - 1]
-    assert [score[k] for k in first[1:]] == pytest.approx(left, abs=0.2)
+def test_packing_sorts_by_content(spark):
+    # two matters, mixed by id, with a word of their own: hardly a sequence has both
+    rng = np.random.default_rng(1)
+    words = [[f"{a}{b}{c}{d}" for a in head for b in "aeiou" for c in "bdgklmnt" for d in "aeiou"] for head in ("rstv", "fhjz")]
+    rows = [" ".join([*rng.choice(words[k % 2], 20), *[("zebra", "lemon")[k % 2]] * 150]) for k in range(400)]
+    got = packing.pack(docs_of(spark, rows), queries.vocabulary("word_bpe_49k.json"), 2, shard=50).toPandas()
+    kinds = got.assign(kind=got["doc_id"] % 2).groupby("sequence_id")["kind"].nunique()
+    assert (kinds == 1).mean() > 0.9
+
+
+def test_packing_counts_beyond_a_byte(spark):
+    rows = ["word " * 70_000, "word " * 300, "word other"]
+    got = packing.encoded(docs_of(spark, rows), queries.vocabulary("word_bpe_49k.json"), 2).filter("kind = 0").orderBy("doc_id").collect()
+    assert [packing.uses(r["counts"], len(r["terms"]) // 2).max() for r in got] == [70_000, 300, 1]
 
 
 def test_warc(spark, sf_dir):
