@@ -1,14 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source is a queue of its documents in a fixed shuffled order (by MD5 of
-the id), passed through again when it ends.  A copy's virtual finish time is
-the words of its source up to its end, divided by the source's target, so at
-any virtual time every source has served the same share of its target.  The
-queue ends when its words reach the budget; a document that is then being
-served counts with the words served.  As the targets add up to the budget, that
-is at virtual time 1 for every source, so ``mix`` knows what is taken of a
-document from its source's running sum alone.  ``schedule`` range-sorts the
-copies by finish time and gives each its place in the whole mix.
+the id), passed through again when it ends.  A document goes through the queue
+in packets of at most ``PACKET`` words.  A packet's virtual finish time is the
+words of its source up to its end, divided by the source's target, so sources
+advance at the rate of their targets; a document's is that of its last packet.
+``schedule`` range-sorts the packets of all sources by finish time, takes the
+running total of their words and cuts it at the budget; ``mix`` adds up what is
+before the cut for each document.  A source misses its target by less than a
+packet and what the cut moves, however long its documents are.
 
 Targets share the budget by weight and stop at ``most`` times a source's size;
 the excess is shared again by weight among the others.  With the sources in
@@ -16,10 +16,11 @@ ascending order of size by weight, those that stop come first, so one pass of
 running sums finds them.
 
 Running sums inside a source are taken over slices of the shuffle order and
-then over the slices' totals, so that no task gets a source whole.
+then over the slices' totals, so that no task gets a source whole; those of the
+schedule over its parts and then over the parts' totals.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source
-of its own, the last by order; a null id sorts first; repeated rows are
+of its own, the last by order; null ids come in one place of the order; repeated rows are
 documents each; an empty table gives no row; sources without words get target 0.
 """
 
@@ -32,6 +33,8 @@ from .shared import WORD, partitions, staged, take
 
 #: Slices of the shuffle order in each source: the first three hexadecimal digits of the key, so 4096.
 SLICE_DIGITS = 3
+#: Words of a packet.
+PACKET = 256
 
 
 def words(text: Column) -> Column:
@@ -56,8 +59,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, most: f
     return ranked.select("source", "source_size", F.when(F.col("full") == 1, F.col("cap")).otherwise(F.col("weight") * first["level"]).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, order_key, finish: the words the mix takes of each document, and the virtual time at which its first copy ends."""
+def queued(docs: DataFrame, weights: tuple[float, ...], budget: float, most: float) -> DataFrame:
+    """Each row of ``docs`` (doc_id, source, text) with its place: doc_id, source, size, order_key, source_size, target, start (words of its source before it), slice and line (which name it)."""
     rows = take(docs, "doc_id", "source", "text")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     rows = rows.select("doc_id", "source", words(F.col("text")).alias("size"), key.alias("order_key"))
@@ -66,31 +69,38 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float =
     line = Window.partitionBy("source").orderBy("slice")
     slices = slices.withColumn("slice_start", F.sum("slice_size").over(line) - F.col("slice_size"))
     sizes = slices.groupBy("source").agg(F.sum("slice_size").alias("source_size"))
-    found = targets(sizes, weights, budget, most)
-    found = found.withColumnRenamed("source", "s")
+    found = targets(sizes, weights, budget, most).withColumnRenamed("source", "s")
     starts = slices.withColumnsRenamed({"source": "of", "slice": "p"}).join(found, F.col("of").eqNullSafe(F.col("s"))).select("of", "p", "slice_start", "source_size", "target")
-    inside = Window.partitionBy("source", "slice").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source", "slice").orderBy("order_key", "doc_id", "size")
+    rows = rows.withColumn("inside", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).withColumn("line", F.row_number().over(inside))
     rows = rows.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("slice") == F.col("p")))
-    start = F.col("slice_start") + F.col("inside")
-    served = F.floor(F.col("target") + 0.5)
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), served - start - k * F.col("source_size"))) for k in range(1, int(-(-most // 1)))), F.greatest(F.lit(0), F.least(F.col("size"), served - start)))
-    finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target"))
-    return rows.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "order_key", start.alias("start"), finish.alias("finish"))
-
-
-def schedule(mixed: DataFrame, most: float = 2.0) -> DataFrame:
-    """The copies that the mix takes, range-sorted by virtual finish time: the columns of ``mixed``, copy (from 0), words, finish and position, the words of the mix up to its end."""
-    spark = mixed.sparkSession
-    first = F.col("start") + F.col("copy") * F.col("source_size")
-    served = F.floor(F.col("target") + 0.5)
-    copies = mixed.drop("finish").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(int(-(-most // 1)) - 1))))
-    copies = copies.withColumn("words", F.greatest(F.lit(0), F.least(F.col("size"), served - first)).cast("long"))
-    copies = copies.withColumn("finish", (first + F.col("size")) / F.col("target")).filter("words > 0")
-    ordered = copies.repartitionByRange(partitions(spark), "finish", "source", "order_key", "doc_id").sortWithinPartitions("finish", "source", "order_key", "doc_id")
-    # places are taken over each part and then over the parts' totals, one row a part
-    kept = staged(ordered.withColumn("part", F.spark_partition_id()).withColumn("line", F.monotonically_increasing_id()), "schedule")
-    parts = kept.groupBy("part").agg(F.sum("words").alias("sum"))
-    parts = parts.withColumn("before", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
-    inside = F.sum("words").over(Window.partitionBy("part").orderBy("line"))
-    return kept.withColumn("inside", inside).join(parts, "part").withColumn("position", F.col("before") + F.col("inside")).drop("part", "line", "inside", "before")
+    return rows.withColumn("start", F.col("slice_start") + F.col("inside")).drop("inside", "slice_start", "of", "p")
+
+
+def schedule(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, packet: int = PACKET) -> DataFrame:
+    """Every packet in the order of service: the columns of ``queued``, copy and packet (from 0), words, finish, position (words of the schedule up to its end) and taken (its words before the cut)."""
+    spark = docs.sparkSession
+    copies, cut = int(-(-most // 1)), min(budget, most)
+    rows = queued(docs, weights, budget, most).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    rows = rows.withColumn("packet", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("size") - 1) / packet)).cast("int"))))
+    rows = rows.withColumn("words", F.least(F.lit(packet), F.col("size") - F.col("packet") * packet).cast("long"))
+    until = F.col("start") + F.col("copy") * F.col("source_size") + F.col("packet") * packet + F.col("words")
+    rows = rows.withColumn("finish", F.when(F.col("target") > 0, until / F.col("target")).otherwise(F.lit(float("inf"))))
+    order = [F.col("finish"), F.col("source").asc_nulls_last(), F.col("order_key"), F.col("doc_id"), F.col("copy"), F.col("packet")]
+    ordered = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    kept = staged(ordered.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "schedule")
+    parts = kept.groupBy("part").agg(F.sum("words").alias("sum"))  # a row a part
+    before = F.sum("sum").over(Window.orderBy("part")) - F.col("sum")
+    parts = parts.select("part", before.alias("before"), F.floor(F.sum(F.col("sum")).over(Window.partitionBy()) / copies * cut + 0.5).alias("budget"))
+    inside = F.sum("words").over(Window.partitionBy("part").orderBy("place"))
+    told = kept.withColumn("inside", inside).join(parts, "part").withColumn("position", F.col("before") + F.col("inside"))
+    taken = F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - F.col("position") + F.col("words")))
+    return told.withColumn("taken", taken.cast("long")).drop("part", "place", "inside", "before", "budget")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, packet: int = PACKET) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken, order_key, start, finish: the words the mix takes of each document, and the virtual time at which its first copy ends."""
+    served = schedule(docs, weights, budget, most, packet)
+    same = ("doc_id", "size", "source", "source_size", "target", "order_key", "start")
+    found = served.groupBy("source", "slice", "line").agg(*(F.first(c).alias(f"_{c}") for c in same), F.sum("taken").alias("taken"), F.max(F.when(F.col("copy") == 0, F.col("finish"))).alias("finish"))
+    return found.select(*(F.col(f"_{c}").alias(c) for c in same), "taken", "finish").select("doc_id", "size", "source", "source_size", "target", "taken", "order_key", "start", "finish")

@@ -112,13 +112,17 @@ k AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS pl
   WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id))
 SELECT doc_id, keep_id, group_size, place = 1 AS kept, text_sha256 FROM k""",
     "op9_mix": r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\x0C\r]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \t\n\x0B\x0C\r]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS k, row_number() OVER () AS row FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, CAST([5.0, 2.0, 1.0] AS DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, sum(source_size) OVER () * 1.5::DOUBLE AS total, source_size * 2::DOUBLE AS cap FROM s),
 f AS (SELECT *, total - coalesce(sum(cap) OVER b, 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS open, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS place FROM r
   WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 u AS (SELECT *, min(CASE WHEN cap * open <= weight * rest THEN 1 ELSE 0 END) OVER (ORDER BY place) AS filled FROM f),
 t AS (SELECT source, source_size, CASE WHEN filled = 1 THEN cap ELSE weight * first(rest / open ORDER BY filled, place) OVER (PARTITION BY filled ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS target FROM u),
-c AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start, floor(t.target + 0.5) AS served FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, (greatest(0, least(size, served - start)) + greatest(0, least(size, served - start - source_size)))::BIGINT AS taken FROM c""",
+c AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, unnest(range(0, greatest(1, (size + 255) // 256))) AS packet FROM c CROSS JOIN (VALUES (0), (1)) AS v(copy)),
+w AS (SELECT *, least(256, size - packet * 256) AS words FROM p),
+o AS (SELECT *, CASE WHEN target > 0 THEN (start + copy * source_size + packet * 256 + words)::DOUBLE / target ELSE 'infinity'::DOUBLE END AS finish FROM w),
+g AS (SELECT *, sum(words) OVER (ORDER BY finish, source NULLS LAST, k, doc_id, copy, packet ROWS UNBOUNDED PRECEDING) AS position, floor(sum(words) OVER () / 2 * 1.5 + 0.5) AS budget FROM o)
+SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, sum(greatest(0, least(words, budget - position + words)))::BIGINT AS taken FROM g GROUP BY row""",
 }

@@ -102,23 +102,29 @@ def test_exact_sql_and_cases(spark, sf_dir):
 
 def test_mix(spark, sf_dir):
     same(spark, sf_dir, queries.op9_mix, queries.SQL["op9_mix"])
-    rows = [(k, "w " * (k % 7), ["a", "b", None, "c"][k % 4]) for k in range(200)] + [(7, "x y", "a"), (7, "x y", "a"), (None, None, "b")]
-    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    got = mixed.collect()
+    schema = "doc_id long, text string, source string, SIZE long"
+    rows = [(k, "w " * (k % 7), ["a", "b", None, "c"][k % 4], 1) for k in range(200)] + [(7, "x y", "a", 1), (7, "x y", "a", 1), (None, None, "b", 1), (300, "long " * 5000, "c", 1)]
+    docs, packet = spark.createDataFrame(rows, schema), 8
+    got = mixing.mix(docs, packet=packet).collect()
     assert len(got) == len(rows) and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
     total = sum(r["size"] for r in got)
     by = {}
     for r in got:
         by.setdefault(r["source"], []).append(r)
     assert sum(x[0]["target"] for x in by.values()) == pytest.approx(1.5 * total)
+    assert sum(r["taken"] for r in got) == int(1.5 * total + 0.5)
     for x in by.values():
-        assert abs(sum(r["taken"] for r in x) - x[0]["target"]) <= 1 and x[0]["target"] <= 2 * x[0]["source_size"]
-    line = mixing.schedule(mixed).collect()
-    line.sort(key=lambda r: r["position"])
+        assert abs(sum(r["taken"] for r in x) - x[0]["target"]) <= packet * len(by) and x[0]["target"] <= 2 * x[0]["source_size"]
+    line = mixing.schedule(docs, packet=packet).collect()
+    line.sort(key=lambda r: (r["position"], r["finish"]))
     assert [r["position"] for r in line] == np.cumsum([r["words"] for r in line]).tolist()
     finishes = [r["finish"] for r in line]
-    assert finishes == sorted(finishes) and sum(r["words"] for r in line) == sum(r["taken"] for r in got)
-    assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+    assert finishes == sorted(finishes) and max(r["words"] for r in line) == packet
+    budget = int(1.5 * total + 0.5)
+    assert all(r["taken"] == max(0, min(r["words"], budget - r["position"] + r["words"])) for r in line)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7), packet=packet).collect()))  # however the rows are dealt
+    assert mixing.mix(docs.limit(0)).count() == 0
+    assert [r["target"] for r in mixing.mix(spark.createDataFrame([(1, None, "a", 1), (2, " ", "b", 1)], schema)).collect()] == [0.0, 0.0]
 
 
 def test_take_by_position(spark):
