@@ -12,9 +12,9 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataloom.sources.scratch import scratch, staged
+from strataloom.sources.scratch import scratch, settled, staged
 
-__all__ = ["scratch", "staged"]  # for the operators, with what follows
+__all__ = ["scratch", "settled", "staged"]  # for the operators, with what follows
 
 #: ASCII white space as the word rules of the operators define it.
 SPACES = " \t\n\x0b\x0c\r"
@@ -54,16 +54,24 @@ def let_go() -> None:
         pass
 
 
+def position(df: DataFrame, name: str) -> int:
+    """Where a column is: the first of that name, or else of that name but for case."""
+    columns = df.columns
+    return columns.index(name) if name in columns else [c.lower() for c in columns].index(name.lower())
+
+
 def take(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone.  Columns are found by position, so other columns may have any name, also one that differs by case alone."""
     small_batches(df.sparkSession)
-    columns = df.columns
-    plain = df.toDF(*(f"_{i}" for i in range(len(columns))))
-    picked = []
-    for name in names:
-        at = columns.index(name) if name in columns else [c.lower() for c in columns].index(name.lower())
-        picked.append(F.col(f"_{at}").alias(name))
-    return plain.select(*picked)
+    plain = df.toDF(*(f"_{i}" for i in range(len(df.columns))))
+    return plain.select(*(F.col(f"_{position(df, name)}").alias(name) for name in names))
+
+
+def copied(df: DataFrame, name: str, to: str) -> DataFrame:
+    """``df`` with one more column, a copy of a named one, found by position."""
+    names = df.columns
+    plain = df.toDF(*(f"_{i}" for i in range(len(names))))
+    return plain.withColumn(f"_{len(names)}", F.col(f"_{position(df, name)}")).toDF(*names, to)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
@@ -98,12 +106,11 @@ BROADCAST_ROWS = 200_000
 
 def keyed(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` with a unique key in ``name`` that orders as doc_id does: the id itself, or, where ids repeat or are null, numbers given out by ascending id (nulls last) and written down."""
-    ids = take(docs, "doc_id")
-    n, present, distinct = ids.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
-    at = next(c for c in (*docs.columns, "doc_id") if c.lower() == "doc_id") if "doc_id" not in docs.columns else "doc_id"
+    n, present, distinct = take(docs, "doc_id").agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    rows = copied(docs, "doc_id", name)
     if n == present == distinct:
-        return docs.withColumn(name, F.col(at))
-    return staged(docs.orderBy(F.col(at).asc_nulls_last()).withColumn(name, F.monotonically_increasing_id()), "keyed")
+        return rows
+    return staged(rows.orderBy(F.col(name).asc_nulls_last()).withColumn(name, F.monotonically_increasing_id()), "keyed")
 
 
 def keep_rows(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
@@ -115,10 +122,10 @@ def keep_rows(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
 
 
 def first_by_hash(rows: DataFrame, group: str, n: int) -> DataFrame:
-    """``rows`` (doc_id, group) of which each group keeps the n with the smallest MD5 of the id, with their ``place``.
+    """``rows`` (doc_id, group and others) of which each group keeps the n with the smallest MD5 of the id, with their ``place``; of rows with one id any may be kept.
 
-    Only rows below a bound that lets about 4 n of a group pass are sorted, so no task gets a large group.  The groups'
-    counts are broadcast: a row a label or language.
+    Only rows below a bound that lets about 4 n of a group pass are sorted, so no task gets a large group, but for rows that
+    share an id.  The groups' counts are broadcast: a row a label or language.
     """
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
