@@ -12,49 +12,59 @@ when their sets have at least ``threshold`` per cent of their union in common.
 2. *Classes.*  Documents with equal sets become one class.
 3. *Similar groups.*  In each of a few rounds, classes with an equal smallest
    token under that round's order meet (in pieces of bounded size by further
-   hashes), unless they hang together already, and exact links are found by
-   counting along the inverted lists of those that meet, from one member of each
-   part first, so that a crowd of near copies takes one pass.  The components so
-   far, cut into pieces of bounded size, are the groups.
+   hashes), unless they hang together already, and exact links are found inside
+   the pieces, from one member of each part first, so that a crowd of near copies
+   takes one pass.  The components so far, cut into pieces of bounded size, are
+   the groups.
 4. *Between groups.*  A group's row of the matrix is the union of its members'
    tokens; a member's overlap with it bounds its overlap with every member.  Of a
    class only the rarest ``n - ceil(t n) + 1`` tokens (by number of groups) are
    looked up, and of a group's row only those of its members: without one of them
-   in common the overlap can't be reached.  Qualifying groups of fitting sizes are
-   opened and compared member by member.  Of two units (components, or groups
-   without links) only the lower one asks, so a crowd of near copies asks nothing
-   and is asked once by each outsider that may belong to it.
+   in common the overlap can't be reached.  The place of a token among a set's
+   shared tokens bounds the overlap of pairs of which it is the first in common, so
+   the size of partners too.  Qualifying groups of fitting sizes are opened and
+   compared member by member, in as many pieces as those that ask take.  Of two
+   units (components, or groups without links) only the lower one asks, so a crowd
+   of near copies asks nothing and is asked once by each outsider that may belong
+   to it.
 5. *Components* of the links by alternating star contraction on tables.
 
-Screening and grouping only prune: every link is found by an exact count of
-hashes (64 bits each), and none is left out.
+Inside a group, too, a set looks up its rarest shared tokens alone, in lists by
+descending size of partner, and only what fits is counted out: documents that
+share a template, but not enough to link, find nothing in the template's lists.
+
+Screening, grouping and these bounds only prune: every link is found by an exact
+count of hashes (64 bits each), and none is left out.
 
 Defined cases: null and empty texts have no tokens, no links and are their own
 component; texts of fewer words than a shingle are one token; repeated rows and
-equal texts are one class; a null id is larger than all others; an empty table
-gives no row.
+equal texts are one class; a null id is larger than all others; texts of any
+length are one set; an empty table gives no row.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, let_go, partitions, slices, staged, take
+from .shared import BROADCAST_ROWS, let_go, partitions, settled, slices, staged, take
 from .shingles import WIDTH, mix, shingle_sets
 
 THRESHOLD = 80
 #: Bytes of text in a chunk of the screen, and documents at most (their numbers are 16 bits).
 CHUNK, CHUNK_ROWS = 4 << 20, 60_000
-#: Tokens of all classes of a group together; a task holds one group's inverted lists, about 40 bytes a token.
-GROUP = 400_000
+#: Documents for each hash range of the screen, of which a task holds one at a time, and answers that it holds.
+RANGE, ANSWERS = 20_000, 1 << 22
+#: Tokens of all classes of a group together, and of those that ask it at once; a task holds one group's lists, about 40 bytes a token.
+GROUP = 50_000
 #: Rounds, each with an order of its own, in which classes with an equal smallest token meet.
 ROUNDS = 3
 #: Stands for a null id.
@@ -122,16 +132,17 @@ def shared_in(rows: list[dict]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
 
 def screen(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     """doc_id, n, digest, near for every row of ``docs`` (doc_id, text): whether so many of its tokens occur in other documents that it may have a link."""
-    parts = partitions(docs.sparkSession) * 4
+    parts = max(partitions(docs.sparkSession) * 4, docs.count() // RANGE)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         ids: list[int] = []
         sets: list[np.ndarray] = []
-        size = 0
+        size, task, numbers = 0, TaskContext.get().partitionId(), itertools.count()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            chunk, counts = uuid.uuid4().hex[:20], np.array([*map(len, sets)], np.int64)
+            number = next(numbers)  # a repeated task gives its chunks the same names
+            chunk, counts = f"{task}-{number}", np.array([*map(len, sets)], np.int64)
             tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
             of = np.repeat(np.arange(len(sets), dtype=np.uint16), counts)
             order = np.argsort(tokens)
@@ -140,7 +151,7 @@ def screen(docs: DataFrame, width: int, threshold: int) -> DataFrame:
             again = np.repeat(lengths > 1, lengths)
             local = np.bincount(of[again], minlength=len(sets))
             facts = (packed(np.array(ids, np.int64), "<i8"), packed(counts, "<i4"), packed(local, "<i4"), b"".join(map(set_digest, sets)))
-            rows = [(int(chunk[:6], 16) % parts, 0, chunk, *facts)]
+            rows = [((task + 7919 * number) % parts, 0, chunk, *facts)]
             keys, single, owner = tokens[starts], lengths == 1, of[starts]
             part = ((keys >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int64)
             low = ((keys >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -169,26 +180,35 @@ def screen(docs: DataFrame, width: int, threshold: int) -> DataFrame:
         let_go()
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[dict]] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
+        found: dict[str, list[tuple]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = []
+            for name, own in found.items():
+                docs_, n = (np.concatenate(x) for x in zip(*own))
+                rows.append((0, 1, name, packed(docs_, "<u2"), packed(n, "<i4"), None, None))
+            yield from _rows(rows)
+            found.clear()
+
+        size = 0
+        for _, own in itertools.groupby((row for batch in batches for row in batch.to_pylist()), key=lambda row: row["part"]):  # one hash range at a time
+            rows = []
+            for row in own:
                 if row["kind"] == 0:
                     yield from _rows([tuple(row.values())])
                 else:
-                    by.setdefault(row["part"], []).append(row)
-        found: dict[str, list[tuple]] = {}
-        for part in sorted(by):  # one hash range at a time
-            for name, docs_, n in shared_in(by.pop(part)):
+                    rows.append(row)
+            for name, docs_, n in shared_in(rows) if rows else ():
                 found.setdefault(name, []).append((docs_, n))
-        rows = []
-        for name, own in found.items():
-            docs_, n = (np.concatenate(x) for x in zip(*own))
-            rows.append((0, 1, name, packed(docs_, "<u2"), packed(n, "<i4"), None, None))
-        yield from _rows(rows)
+                size += len(docs_)
+            if size >= ANSWERS:
+                yield from out()
+                size = 0
+        yield from out()
         let_go()
 
     rows = take(docs, "doc_id", "text").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-    told = staged(rows.mapInArrow(chunks, _CHUNKS).repartition(partitions(docs.sparkSession), "part").mapInArrow(answers, _CHUNKS), "screen")
+    told = staged(rows.mapInArrow(chunks, _CHUNKS).repartition(partitions(docs.sparkSession), "part").sortWithinPartitions("part", "kind", "chunk").mapInArrow(answers, _CHUNKS), "screen")
 
     def totals(pdf: pd.DataFrame) -> pd.DataFrame:  # a chunk's answers
         own = pdf[pdf["kind"] == 0].iloc[0]
@@ -201,35 +221,70 @@ def screen(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     return told.groupBy("chunk").applyInPandas(totals, "doc_id long, n long, digest binary, near boolean")
 
 
+def largest(rest: np.ndarray, size: np.ndarray, threshold: int) -> np.ndarray:
+    """The largest partner with which a set can still link if ``rest`` tokens at most are in common."""
+    return rest * (100 + threshold) // threshold - size
+
+
 class Inverted:
-    """The token sets of a group's members and their inverted lists."""
+    """The token sets of a group, the first ``members`` of which are found and all of which may ask.
+
+    A set's shared tokens are in order of rarity in the group.  If a link's first common token has ``rest`` tokens from it on
+    in either set, the overlap is at most that, so only a set's first tokens are listed and asked, and a list has its
+    entries by descending size of the largest partner.
+    """
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets = sets
+    def __init__(self, sets: list[np.ndarray], threshold: int, members: int | None = None) -> None:
+        self.threshold, self.members = threshold, len(sets) if members is None else members
         self.sizes = np.array([*map(len, sets)], np.int64)
         every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        order = np.argsort(every, kind="stable")
-        self.members = np.repeat(np.arange(len(sets)), self.sizes)[order]
-        starts, lengths = runs_of(every[order])
-        self.tokens, self.edges = every[order][starts], np.r_[starts, len(every)]
-
-    def overlaps(self, query: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
-        at = at[self.tokens[at] == query]
-        starts, lengths = self.edges[at], self.edges[at + 1] - self.edges[at]
-        if not len(at):
-            return np.zeros(len(self.sets), np.int64)
-        take_ = np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
-        return np.bincount(self.members[take_], minlength=len(self.sets))
-
-    def linked(self, query: np.ndarray, threshold: int) -> np.ndarray:
-        both = self.overlaps(query)
-        return np.flatnonzero((both > 0) & (100 * both >= threshold * (len(query) + self.sizes - both)))
-
-
-def inner_parts(inverted: Inverted, known: np.ndarray, threshold: int) -> np.ndarray:
+        tokens, ranks, have = np.unique(every, return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(sets)), self.sizes)
+        self.starts, self.ranks, self.mark = np.cumsum(self.sizes) - self.sizes, ranks, np.zeros(len(tokens), bool)
+        shared = have[ranks] > 1
+        of, ranks = of[shared], ranks[shared]
+        order = np.lexsort((ranks, have[ranks], of))
+        of, ranks = of[order], ranks[order]
+        use = np.bincount(of, minlength=len(sets))
+        place = np.arange(len(of)) - (np.cumsum(use) - use)[of]
+        rest = use[of] - place
+        first = rest * 100 >= threshold * self.sizes[of]
+        of, ranks, rest = of[first], ranks[first], rest[first]
+        self.asks = (ranks, largest(rest, self.sizes[of], threshold), np.searchsorted(of, np.arange(len(sets) + 1)))
+        listed = of < self.members
+        self.step = int(max(self.asks[1].max(initial=0), self.sizes.max(initial=0))) + 2
+        key = ranks[listed] * self.step + (self.step - 1 - self.asks[1][listed])
+        order = np.argsort(key, kind="stable")
+        self.key, self.listed = key[order], of[listed][order]
+
+    def linked(self, k: int) -> np.ndarray:
+        """The members that a set links with, itself left out."""
+        ranks, top, edges = self.asks
+        span, n, threshold = slice(edges[k], edges[k + 1]), int(self.sizes[k]), self.threshold
+        first = np.searchsorted(self.key, ranks[span] * self.step)
+        until = np.searchsorted(self.key, ranks[span] * self.step + (self.step - 1 - n), side="right")
+        lengths = np.maximum(until - first, 0)
+        if not lengths.any():
+            return np.zeros(0, np.int64)
+        found = self.listed[np.repeat(first - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+        size = self.sizes[found]
+        fits = (size <= np.repeat(top[span], lengths)) & (size * 100 >= threshold * n) & (size * threshold <= 100 * n)
+        found = np.unique(found[fits])
+        found = found[found != k]
+        if not len(found):
+            return found
+        size = self.sizes[found]
+        own = self.ranks[self.starts[k] : self.starts[k] + n]
+        self.mark[own] = True
+        starts = np.cumsum(size) - size
+        both = np.add.reduceat(self.mark[self.ranks[np.repeat(self.starts[found] - starts, size) + np.arange(size.sum())]].astype(np.int64), starts)
+        self.mark[own] = False
+        return found[100 * both >= threshold * (n + size - both)]
+
+
+def inner_parts(inverted: Inverted, known: np.ndarray) -> np.ndarray:
     """For each member the number of its part: what hangs together by ``known`` components or by links inside the group."""
-    n = len(inverted.sets)
+    n = inverted.members
     first: dict[int, int] = {}
     parent = np.array([first.setdefault(c, k) for k, c in enumerate(known.tolist())], np.int64)
     alone = np.bincount(parent, minlength=n)[parent] == 1
@@ -244,7 +299,7 @@ def inner_parts(inverted: Inverted, known: np.ndarray, threshold: int) -> np.nda
 
     def ask(k: int) -> None:
         asked[k] = True
-        for other in inverted.linked(inverted.sets[k], threshold).tolist():
+        for other in inverted.linked(k).tolist():
             a, b = root(k), root(other)
             if a != b:
                 parent[max(a, b)] = min(a, b)
@@ -254,14 +309,14 @@ def inner_parts(inverted: Inverted, known: np.ndarray, threshold: int) -> np.nda
         if alone[k] and not joined[k]:
             ask(k)
     labels = np.array([root(k) for k in range(n)])
-    largest = np.bincount(labels).argmax() if n else 0
+    most = np.bincount(labels).argmax() if n else 0
     for k in range(n):  # every link between two parts has an end outside the largest
-        if labels[k] != largest and not asked[k]:
+        if labels[k] != most and not asked[k]:
             ask(k)
     return np.array([root(k) for k in range(n)])
 
 
-def settled(pdf: pd.DataFrame, *read: pd.DataFrame) -> pd.DataFrame:
+def tidied(pdf: pd.DataFrame, *read: pd.DataFrame) -> pd.DataFrame:
     """A group's result; after a large group, freed memory goes back."""
     if sum(len(x) for x in read) > 300:
         let_go()
@@ -272,9 +327,15 @@ def as_sets(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in column]
 
 
-def pieces_of(key: str, limit: int, salt: int) -> Column:
-    """A group number for a key, with as many pieces by the node's salted hash as its number of tokens, ``weight``, asks for."""
-    return F.xxhash64(key, F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("weight") / limit)))
+def dealt(sizes: DataFrame, key: str, limit: int, salt: int) -> Column:
+    """A group number for rows with a key and its number of tokens, ``weight``: a large key's rows are cut into pieces by the node's salted hash, small keys share groups.
+
+    ``sizes`` has a row a key; groups have about ``limit`` tokens.
+    """
+    small = F.sum(F.when(F.col("weight") <= limit, F.col("weight")))
+    groups = -(-(sizes.agg(small).first()[0] or 0) // limit)
+    piece = F.xxhash64(key, F.pmod(F.xxhash64("node", F.lit(salt)), F.ceil(F.col("weight") / limit)))
+    return F.when(F.col("weight") > limit, piece).otherwise(F.xxhash64(F.lit(salt), F.pmod(F.xxhash64(key), F.lit(max(1, groups)))))
 
 
 def similar_links(classes: DataFrame, threshold: int, rounds: int = ROUNDS, limit: int = GROUP) -> DataFrame:
@@ -284,15 +345,16 @@ def similar_links(classes: DataFrame, threshold: int, rounds: int = ROUNDS, limi
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", ignore_index=True)
-        parts = inner_parts(Inverted(as_sets(pdf["tokens"])), pdf["component"].to_numpy(), threshold)
+        parts = inner_parts(Inverted(as_sets(pdf["tokens"]), threshold), pdf["component"].to_numpy())
         leader = pdf["node"].to_numpy()[parts]
         linked = leader != pdf["node"].to_numpy()
-        return settled(pd.DataFrame({"a": leader[linked], "b": pdf["node"].to_numpy()[linked]}), pdf)
+        return tidied(pd.DataFrame({"a": leader[linked], "b": pdf["node"].to_numpy()[linked]}), pdf)
 
     for k in range(rounds):
         meets = names.select("node", "n", F.col("low")[k].alias("key")).join(state, "node")
         crowds = meets.groupBy("key").agg(F.sum("n").alias("weight"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").drop("x", "y")
-        meets = meets.join(crowds, "key").select("node", "component", pieces_of("key", limit, k).alias("grp"))
+        crowds = staged(crowds, "crowds")
+        meets = meets.join(crowds, "key").select("node", "component", dealt(crowds, "key", limit, k).alias("grp"))
         met = meets.join(classes.select("node", "tokens"), "node")
         found = staged(met.groupBy("grp").applyInPandas(inside, "a long, b long"), "links")
         links = found if links is None else links.unionByName(found)
@@ -305,16 +367,18 @@ def with_components(names: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def grouped(classes: DataFrame, state: DataFrame, limit: int) -> DataFrame:
-    """node, component, unit, members, grp: a component of several classes is a unit of its own, in pieces; the others form units by the most common of their smallest tokens."""
+    """node, component, unit, members, grp: a large component is a unit of its own, in pieces; small ones share groups that are units each, and so do classes without links, by the most common of their smallest tokens."""
     state = state.join(classes.select("node", "n"), "node")
-    sizes = state.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("weight"))
+    sizes = staged(state.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("weight")), "sizes")
     state = state.join(sizes, "component")
-    crowd = state.filter("members > 1").withColumn("grp", pieces_of("component", limit, -1)).withColumn("unit", F.col("component"))
+    crowd = state.filter("members > 1").withColumn("grp", dealt(sizes.filter("members > 1"), "component", limit, -1))
+    crowd = crowd.withColumn("unit", F.when(F.col("weight") > limit, F.col("component")).otherwise(F.col("grp"))).withColumn("members", F.when(F.col("weight") > limit, F.col("members")).otherwise(2))
     keys = state.filter("members = 1").drop("weight").join(classes.select("node", F.explode("low").alias("key")), "node")
     often = keys.groupBy("key").agg(F.count("*").alias("crowd"))
     best = keys.join(often, "key").groupBy("node", "component", "members").agg(F.max_by("key", F.struct("crowd", "key")).alias("key"), F.max("n").alias("n"))
+    best = staged(best, "best")
     sizes = best.groupBy("key").agg(F.sum("n").alias("weight"))
-    alone = best.join(sizes, "key").withColumn("grp", pieces_of("key", limit, -2)).withColumn("unit", F.col("grp"))
+    alone = best.join(sizes, "key").withColumn("grp", dealt(sizes, "key", limit, -2)).withColumn("unit", F.col("grp"))
     names = ("node", "component", "unit", "members", "grp")
     return crowd.select(*names).unionByName(alone.select(*names))
 
@@ -337,61 +401,75 @@ def class_links(classes: DataFrame, threshold: int, limit: int = GROUP) -> DataF
     told = told.select("grp", *map(column, ("token", "groups", "up", "down")))
 
     def prefixes(members: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out: list[list[np.ndarray]] = []
+        asks: list[list[np.ndarray]] = []
+        answers: list[list[np.ndarray]] = []
         if len(members) and len(known):
             token, number, up, down = (np.asarray(known[c].iloc[0], t) for c, t in (("token", np.int64), ("groups", np.int64), ("up", bool), ("down", bool)))
             token = token.view(np.uint64)
             order = np.argsort(token)
             token, number, up, down = token[order], number[order], up[order], down[order]
-            sets, sizes = as_sets(members["tokens"]), np.array([len(x) // 8 for x in members["tokens"]])
-            answer: list[np.ndarray] = []
-            for node, own in zip(members["node"], sets):
+            for node, own in zip(members["node"], as_sets(members["tokens"])):
                 n = len(own)
                 at = np.minimum(np.searchsorted(token, own), len(token) - 1)
                 hit = token[at] == own
-                for usable, asks in ((up, True), (down, False)):
+                for usable, out in ((up, asks), (down, answers)):
                     use = hit & usable[at]
-                    rest = int(use.sum()) - -(-threshold * n // 100) + 1  # tokens that no asked (or asking) unit has come first
-                    if rest > 0:
+                    first = int(use.sum()) - -(-threshold * n // 100) + 1  # tokens that no asked (or asking) unit has come first
+                    if first > 0:
                         found = own[use]
-                        found = found[np.lexsort((found, number[at[use]]))[:rest]]
-                        if asks:
-                            out.append([found, np.ones(len(found), bool), np.full(len(found), node), np.full(len(found), n), np.full(len(found), n)])
-                        else:
-                            answer.append(found)
-            if answer:
-                found = np.unique(np.concatenate(answer))
-                out.append([found, np.zeros(len(found), bool), np.full(len(found), members["grp"].iloc[0]), np.full(len(found), sizes.min()), np.full(len(found), sizes.max())])
-        joined = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.uint64), np.zeros(0, bool), *(np.zeros(0, np.int64) for _ in range(3))]
-        made = pd.DataFrame(dict(zip(("token", "asks", "id", "lo", "hi"), (joined[0].view(np.int64), *joined[1:]))))
-        return settled(made, members).assign(unit=members["unit"].iloc[0] if len(members) else 0, members=members["members"].iloc[0] if len(members) else 0)
-
-    kind = "token long, asks boolean, id long, lo long, hi long, unit long, members long"
+                        found = found[np.lexsort((found, number[at[use]]))[:first]]
+                        top = largest(int(use.sum()) - np.arange(first), np.full(first, n), threshold)
+                        out.append([found, np.full(first, node), np.full(first, n), np.full(first, n), top])
+        out = []
+        if asks:
+            found = [np.concatenate(c) for c in zip(*asks)]
+            out.append([found[0], np.ones(len(found[0]), bool), *found[1:]])
+        if answers:  # by token: the smallest and largest set, and the largest partner
+            found = [np.concatenate(c) for c in zip(*answers)]
+            order = np.argsort(found[0], kind="stable")
+            found = [c[order] for c in found]
+            starts, _ = runs_of(found[0])
+            least, most, top = np.minimum.reduceat(found[2], starts), np.maximum.reduceat(found[3], starts), np.maximum.reduceat(found[4], starts)
+            out.append([found[0][starts], np.zeros(len(starts), bool), np.full(len(starts), members["grp"].iloc[0]), least, most, top])
+        joined = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.uint64), np.zeros(0, bool), *(np.zeros(0, np.int64) for _ in range(4))]
+        made = pd.DataFrame(dict(zip(("token", "asks", "id", "lo", "hi", "most"), (joined[0].view(np.int64), *joined[1:]))))
+        return tidied(made, members).assign(unit=members["unit"].iloc[0] if len(members) else 0, members=members["members"].iloc[0] if len(members) else 0)
+
+    kind = "token long, asks boolean, id long, lo long, hi long, most long, unit long, members long"
     both = staged(groups.groupBy("grp").cogroup(told.groupBy("grp")).applyInPandas(prefixes, kind), "prefixes")
-    probes = both.filter("asks").select("token", F.col("id").alias("node"), F.col("lo").alias("n"), F.col("unit").alias("own"), F.col("members").alias("size"))
-    answers = both.filter("not asks").select(F.col("token").alias("t"), F.col("id").alias("grp"), "lo", "hi", "unit", "members")
+    probes = both.filter("asks").select("token", F.col("id").alias("node"), F.col("lo").alias("n"), F.col("most").alias("top"), F.col("unit").alias("own"), F.col("members").alias("size"))
+    answers = both.filter("not asks").select(F.col("token").alias("t"), F.col("id").alias("grp"), "lo", "hi", "most", "unit", "members")
     larger = (F.col("members") > F.col("size")) | ((F.col("members") == F.col("size")) & (F.col("unit") > F.col("own")))
-    fits = (F.col("hi") * 100 >= F.col("n") * threshold) & (F.col("lo") * threshold <= F.col("n") * 100)
-    asks = probes.join(answers, (F.col("token") == F.col("t")) & larger & fits).select("node", "grp").distinct()
-    sent = staged(asks, "asks").join(groups.select("node", "tokens"), "node").select("grp", F.col("node").alias("asker"), F.col("tokens").alias("asked"))
+    fits = (F.col("hi") * 100 >= F.col("n") * threshold) & (F.col("lo") * threshold <= F.col("n") * 100) & (F.col("lo") <= F.col("top")) & (F.col("n") <= F.col("most"))
+    asks = probes.join(answers, (F.col("token") == F.col("t")) & larger & fits).select("node", "grp", "n").distinct()
+    asks = staged(asks, "asks")
+    # a group that many ask is opened in as many pieces as they take
+    crowds = asks.groupBy("grp").agg(F.ceil(F.sum("n") / limit).alias("pieces"))
+    dealt = asks.join(crowds, "grp").select("grp", "node", F.pmod(F.xxhash64("node"), F.col("pieces")).alias("piece"))
+    sent = dealt.join(groups.select("node", "tokens"), "node").select("grp", "piece", F.col("node").alias("asker"), F.col("tokens").alias("asked"))
+    opened = groups.select("grp", "node", "component", "tokens").join(crowds, "grp", "left")
+    opened = opened.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("pieces"), F.lit(1)) - 1))).drop("pieces")
 
     def compare(queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         members = members.sort_values("node", ignore_index=True)
-        inverted, names, known = Inverted(as_sets(members["tokens"])), members["node"].to_numpy(), members["component"].to_numpy()
+        names, known = members["node"].to_numpy(), members["component"].to_numpy()
+        inside = len(members) > 0 and members["piece"].iloc[0] == 0 and (known != known[0]).any()
         a, b = [], []
-        if len(members) and (known != known[0]).any():
-            leader = names[inner_parts(inverted, known, threshold)]
-            a += leader[leader != names].tolist()
-            b += names[leader != names].tolist()
-        for node, own in zip(queries["asker"], as_sets(queries["asked"])):
-            hit = inverted.linked(own, threshold)
-            for part in np.unique(known[hit]).tolist():  # one link to each component is enough
-                a.append(node)
-                b.append(names[hit][known[hit] == part].min())
-        return settled(pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}), queries, members)
-
-    opened = sent.groupBy("grp").cogroup(groups.select("grp", "node", "component", "tokens").groupBy("grp")).applyInPandas(compare, "a long, b long")
-    return links.unionByName(staged(opened, "opened"))
+        if len(members) and (inside or len(queries)):
+            inverted = Inverted([*as_sets(members["tokens"]), *as_sets(queries["asked"])], threshold, len(members))
+            if inside:
+                leader = names[inner_parts(inverted, known)]
+                a += leader[leader != names].tolist()
+                b += names[leader != names].tolist()
+            for k, node in enumerate(queries["asker"], len(members)):
+                hit = inverted.linked(k)
+                for part in np.unique(known[hit]).tolist():  # one link to each component is enough
+                    a.append(node)
+                    b.append(names[hit][known[hit] == part].min())
+        return tidied(pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)}), queries, members)
+
+    found = sent.groupBy("grp", "piece").cogroup(opened.groupBy("grp", "piece")).applyInPandas(compare, "a long, b long")
+    return links.unionByName(staged(found, "opened"))
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -406,14 +484,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").select(F.when(F.col("lo") == F.col("m"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("m").alias("lo")).filter("hi != lo").distinct()
         small = staged(small, "stars")
-        same = small.join(edges, ["hi", "lo"], "left_anti").isEmpty() and edges.join(small, ["hi", "lo"], "left_anti").isEmpty()
+        sums = [d.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("lo", "hi"))).first() for d in (small, edges)]
         edges = small
-        if same:
+        if sums[0] == sums[1]:  # distinct edges, equal in number and in two sums
             return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id for every row of ``docs`` (doc_id, text); class_id is the smallest id with the same set."""
+    return settled(docs.sparkSession, "components", lambda: _jaccard_components(docs, width, threshold))
+
+
+def _jaccard_components(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     facts = staged(screen(docs, width, threshold), "facts")
     classes = facts.filter("near").groupBy("digest").agg(F.min("doc_id").alias("class_id")).withColumn("node", F.xxhash64("digest"))
     classes = staged(classes, "classes")
