@@ -4,16 +4,18 @@ Each task collects its rows in a memtable of bounded bytes.  A full memtable is
 flushed as a sorted run: one entry for each distinct digest with the best row
 (most code points, then the smallest id) and the number of rows; rows that
 hit an entry of the memtable are compared byte by byte.  Runs are cut by digest
-prefix and written as a table.  Compaction merges the runs of a prefix pair by
-pair, smaller ones first; each run carries a Bloom filter, and only entries
+prefix and written as a table, with a Bloom filter of each cut.  Compaction
+merges the runs of a prefix pair by pair, smaller ones first; only entries
 that pass the other run's filter are searched.  What compaction finds goes
 back to the rows by (run, entry), so a text with any number of copies costs
 one entry a run, and no task gets its rows together.  Entries that hit another
 run are verified: a row of each run is fetched and its bytes compared with
-those of the row that stays.
+those of the row that stays.  There are as many cuts as keep the entries of one
+below ``CUT``, so memory does not grow with the table.
 
 Defined cases: a null text counts as empty; repeated rows (same id) count each,
-and the first stays; null ids sort last; an empty table gives no row.
+and the first stays; null ids sort last and are verified like others; texts of
+any length are read whole; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -28,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, SPACES, let_go, partitions, slices, staged, take
+from .shared import BROADCAST_ROWS, SPACES, let_go, partitions, settled, slices, staged, take
 
 #: Bytes of normalised text that a memtable holds.
 MEMTABLE = 24 << 20
+#: Entries that a compacting task merges, about: the rows of a cut if none are equal.
+CUT = 1 << 20
 _DROP = SPACES.encode()
 _LAST = np.iinfo(np.int64).max
 
@@ -69,9 +73,9 @@ class Filter:
 class Run:
     """Sorted distinct digests with the best row, the number of rows and the (run, entry) pairs each stands for."""
 
-    def __init__(self, digests, chars, ids, counts, first):
+    def __init__(self, digests, chars, ids, counts, first, filter=None):
         self.digests, self.chars, self.ids, self.counts, self.first = digests, chars, ids, counts, first
-        self.filter = Filter.build(digests)
+        self.filter = Filter.build(digests) if filter is None else filter
 
     def merge(self, other: Run) -> tuple[Run, np.ndarray, np.ndarray]:
         """The merged run, and where each entry of either has gone."""
@@ -115,7 +119,7 @@ _ROWS = "kind int, run string, entry int, doc_id long, chars long, digest binary
 
 
 def flush(docs: DataFrame, cuts: int, memtable: int = MEMTABLE) -> DataFrame:
-    """Sorted runs: rows of kind 0 are the entries, rows of kind 1 the documents with the entry they belong to."""
+    """Sorted runs: rows of kind 0 are the entries, rows of kind 1 the documents with the entry they belong to, rows of kind 2 the filters of each cut (in ``digest``)."""
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
@@ -124,13 +128,15 @@ def flush(docs: DataFrame, cuts: int, memtable: int = MEMTABLE) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             run, keys = uuid.uuid4().hex, sorted(held)
-            entries, rows = [], []
+            entries, rows, by = [], [], {}
             for e, key in enumerate(keys):
                 _, best, n, members = held[key]
                 cut = int.from_bytes(key[:4], "big") * cuts >> 32
                 entries.append((0, run, e, best[1], -best[0], key, n, True, cut))
+                by.setdefault(cut, []).append(key)
                 rows += [(1, run, e, i, c, None, 1, k == best[2], cut) for k, (c, i) in enumerate(members)]
-            for part in (entries, rows):
+            filters = [(2, run, 0, 0, 0, Filter.build(np.frombuffer(b"".join(x), "S32")).tobytes(), len(x), False, cut) for cut, x in by.items()]
+            for part in (entries, rows, filters):
                 for a in range(0, len(part), 20_000):
                     columns = list(zip(*part[a : a + 20_000]))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.int32()))], [x.split()[0] for x in _ROWS.split(", ")])
@@ -159,21 +165,24 @@ def flush(docs: DataFrame, cuts: int, memtable: int = MEMTABLE) -> DataFrame:
     return take(docs, "doc_id", "text").mapInArrow(tables, _ROWS)
 
 
-def exact_duplicates(docs: DataFrame, memtable: int = MEMTABLE, verify: bool = True) -> DataFrame:
+def exact_duplicates(docs: DataFrame, memtable: int = MEMTABLE, verify: bool = True, cut: int = CUT) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    cuts = partitions(spark)
+    return settled(docs.sparkSession, "exact", lambda: _exact_duplicates(docs, memtable, verify, cut))
+
+
+def _exact_duplicates(docs: DataFrame, memtable: int, verify: bool, cut: int) -> DataFrame:
+    cuts = max(partitions(docs.sparkSession), -(-docs.count() // cut))
     runs = staged(flush(docs, cuts, memtable), "runs")
-    entries = runs.filter("kind = 0")
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["run", "entry"], ignore_index=True)
+        filters = {r: np.frombuffer(x, np.uint8) for r, x in pdf.loc[pdf["kind"] == 2, ["run", "digest"]].itertuples(index=False)}
+        pdf = pdf[pdf["kind"] == 0].sort_values(["run", "entry"], ignore_index=True)
         names, starts = np.unique(pdf["run"].to_numpy(), return_index=True)
         spans, made = [*zip(starts, [*starts[1:], len(pdf)])], []
-        for a, b in spans:
+        for name, (a, b) in zip(names, spans):
             part = pdf.iloc[a:b]
             keys = np.frombuffer(b"".join(part["digest"]), "S32")
-            made.append(Run(keys, *(part[c].to_numpy().copy() for c in ("chars", "doc_id", "n")), np.arange(a, b)))
+            made.append(Run(keys, *(part[c].to_numpy().copy() for c in ("chars", "doc_id", "n")), np.arange(a, b), filters[name]))
         whole, where = compact(made)
         keep, total, first, runs_of = (np.empty(len(pdf), np.int64) for _ in range(4))
         met = np.bincount(np.concatenate(where), minlength=len(whole.digests))
@@ -181,7 +190,8 @@ def exact_duplicates(docs: DataFrame, memtable: int = MEMTABLE, verify: bool = T
             keep[a:b], total[a:b], first[a:b], runs_of[a:b] = whole.ids[to], whole.counts[to], whole.first[to], met[to]
         return pd.DataFrame({"run": pdf["run"], "entry": pdf["entry"], "keep_id": keep, "group_size": total, "stays": first == np.arange(len(pdf)), "digest": pdf["digest"], "runs": runs_of, "entry_id": pdf["doc_id"]})
 
-    found = entries.groupBy("cut").applyInPandas(merge, "run string, entry int, keep_id long, group_size long, stays boolean, digest binary, runs long, entry_id long")
+    index = runs.filter("kind <> 1")
+    found = index.groupBy("cut").applyInPandas(merge, "run string, entry int, keep_id long, group_size long, stays boolean, digest binary, runs long, entry_id long")
     found = staged(found, "compacted")
     if verify:
         verify_hits(docs, found)
@@ -193,13 +203,14 @@ def exact_duplicates(docs: DataFrame, memtable: int = MEMTABLE, verify: bool = T
 
 def verify_hits(docs: DataFrame, found: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> None:
     """Compare the bytes of a row of each run with those of the row that stays, where a digest is in more than one run."""
-    pairs = found.filter((F.col("runs") > 1) & (F.col("entry_id") != F.col("keep_id"))).select("entry_id", "keep_id", F.lower(F.hex("digest")).alias("sha")).distinct()
+    pairs = found.filter((F.col("runs") > 1) & ~F.col("stays")).select("entry_id", "keep_id", F.lower(F.hex("digest")).alias("sha")).distinct()
     asked = pairs.select(F.col("entry_id").alias("doc_id"), "sha").unionByName(pairs.select(F.col("keep_id").alias("doc_id"), "sha")).distinct()
     ids = asked.select("doc_id").distinct()
     if ids.limit(broadcast_rows + 1).count() <= broadcast_rows:
         ids = F.broadcast(ids)
     body = F.translate(F.coalesce("text", F.lit("")), SPACES, "")
-    texts = take(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").select("doc_id", body.alias("body")).withColumn("sha", F.sha2("body", 256))
+    texts = take(docs, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(int(_LAST))))
+    texts = texts.join(ids, "doc_id", "left_semi").select("doc_id", body.alias("body")).withColumn("sha", F.sha2("body", 256))
     kept = texts.join(pairs.select(F.col("keep_id").alias("doc_id"), "sha").distinct(), ["doc_id", "sha"], "left_semi").dropDuplicates(["doc_id", "sha"])
     seen = pairs.withColumnRenamed("entry_id", "doc_id").join(texts, ["doc_id", "sha"])
     kept = kept.select(F.col("doc_id").alias("keep_id"), "sha", F.col("body").alias("other"))
