@@ -1,15 +1,17 @@
 """Token-id files: flat unsigned integers with 64-bit document offsets.
 
-``write`` range-partitions the documents by id, and each task writes three
-files: ``.bin`` has the ids of all its documents in a row (two bytes each where
+``write`` range-partitions the documents by id, and each task writes files in
+threes: ``.bin`` has the ids of its documents in a row (two bytes each where
 the vocabulary fits, else four), ``.idx`` the 64-bit offset at which each
-document begins and the end of the last, ``.doc`` the 64-bit document ids.
-Where a part begins in the whole set is the sum of the parts before it, taken
-over the manifest that has one row a part.  ``read`` maps the files into
+document begins and the end of the last, ``.doc`` the 64-bit document ids.  A
+task holds the ids of one file, and begins the next after ``FILE_BYTES`` of text.
+Where a file begins in the whole set is the sum of the files before it, taken
+over the manifest that has one row a file.  ``read`` maps the files into
 memory.  A repeated task writes the same bytes under the same name.
 
 Defined cases: a null or empty text has the end id alone; a null id sorts
-first; of repeated rows each is a document; an empty table gives no part.
+first; of repeated rows each is a document, and rows with one id are dealt by
+their texts; texts of any length are encoded whole; an empty table gives no file.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import encoder
-from .shared import filesystem, scratch, staged, take, write_once
+from .shared import filesystem, partitions, scratch, staged, take, write_once
 
 #: Bytes of text that a worker encodes at once.
 BLOCK = 4 << 20
+#: Characters of text after which a file ends.
+FILE_BYTES = 64 << 20
 #: In an index file for a document whose id is null.
 NO_ID = np.iinfo(np.int64).min
 
@@ -45,35 +49,45 @@ def blocks(texts: list[str | None], limit: int = BLOCK) -> Iterator[tuple[int, i
         yield first, len(texts)
 
 
-def write(docs: DataFrame, tokenizer: str, end_id: int, parts: int) -> DataFrame:
-    """Write ``docs`` (doc_id, text) in ascending order of id; returns the manifest: part, path, n_docs, n_tokens, first_token."""
+_MANIFEST = "part long, file long, path string, width string, n_docs long, n_tokens long"
+
+
+def write(docs: DataFrame, tokenizer: str, end_id: int, parts: int, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write ``docs`` (doc_id, text) in ascending order of id; returns the manifest: part, file, path, width, n_docs, n_tokens, first_token."""
     spark = docs.sparkSession
     folder = scratch(spark, "tokens")
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, n = encoder(tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], enc.width).tobytes()
-        pieces, lengths, ids = [], [], []
+        pieces, lengths, ids, size, file = [], [], [], 0, 0
+
+        def out() -> pa.RecordBatch:
+            offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            base = f"{folder}/part-{n:06d}-{file:06d}"
+            write_once(f"{base}.bin", *pieces)
+            write_once(f"{base}.idx", offsets.astype("<i8").tobytes())
+            write_once(f"{base}.doc", np.concatenate(ids).astype("<i8").tobytes())
+            return pa.RecordBatch.from_pydict({"part": [n], "file": [file], "path": [base], "width": [enc.width], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids.append(batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False))
+            texts, keys = batch.column(1).to_pylist(), batch.column(0).fill_null(int(NO_ID)).to_numpy(zero_copy_only=False)
             for a, b in blocks(texts):
-                for found in enc.batch(texts[a:b]):
-                    pieces += (found.tobytes(), end)
-                    lengths.append(len(found) + 1)
-                pieces = [b"".join(pieces)]
-        if not lengths:
-            return
-        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-        base = f"{folder}/part-{n:06d}"
-        write_once(f"{base}.bin", *pieces)
-        write_once(f"{base}.idx", offsets.astype("<i8").tobytes())
-        write_once(f"{base}.doc", np.concatenate(ids).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"part": [n], "path": [base], "width": [enc.width], "n_docs": [len(lengths)], "n_tokens": [int(offsets[-1])]})
-
-    rows = take(docs, "doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.length("text"), "text")
-    made = staged(rows.mapInArrow(part, "part long, path string, width string, n_docs long, n_tokens long"), "manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+                some = enc.batch(texts[a:b])
+                pieces.append(b"".join(x for found in some for x in (found.tobytes(), end)))
+                lengths += [len(found) + 1 for found in some]
+                ids.append(keys[a:b])
+                size += sum(len(t or "") for t in texts[a:b])
+                if size >= file_bytes:
+                    yield out()
+                    pieces, lengths, ids, size, file = [], [], [], 0, file + 1
+        if lengths:
+            yield out()
+
+    order = ("doc_id", F.length("text"), F.xxhash64("text"))
+    rows = take(docs, "doc_id", "text").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    made = staged(rows.mapInArrow(part, _MANIFEST), "manifest")
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     return made.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
@@ -103,7 +117,7 @@ def read(manifest: DataFrame) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    spread = manifest.repartition(F.col("part"))
+    spread = manifest.repartition(partitions(manifest.sparkSession), "part", "file")
     return spread.select("path", "width", "first_token").mapInArrow(part, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
