@@ -7,13 +7,16 @@ Every record is a gzip member of its own, so that a range of bytes is enough
 to read it.  The capture index has one line a record: the URL with its host
 reversed, the page, the file, offset and length.  Lines are range-sorted by
 key and compressed in blocks of a fixed number of lines; the sparse directory
-has the first key and the byte range of each block.  ``lookup`` searches the
-directory and the block by bisection and reads one range; ``scan`` reads every
-block of the index and then every record by its range.
+has the first and last key and the byte range of each block, in the order of
+keys.  ``lookup`` finds the blocks of each key by bisection of the directory,
+its lines by bisection of the block, and reads the records by their ranges;
+``scan`` does so for every line of every block.  A task holds one file that it
+writes, one block or one range that it reads.
 
 Defined cases: a null page is an empty payload, a null URL the empty key; null
-ids sort last; repeated rows are records each, the first of them the response;
-an empty table gives no archive and no index.
+ids sort last; repeated rows are records each, and those with the smallest id
+are all responses; texts of any length are one record; an empty table gives no
+archive and no index.
 """
 
 from __future__ import annotations
@@ -32,14 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import filesystem, partitions, scratch, staged, take, write_once
-from .tokenfiles import mapped
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 100
 #: Lines of a compressed index block.
 BLOCK_LINES = 1000
-#: Bytes after which a new archive file begins.
-FILE_BYTES = 64 << 20
+#: Bytes after which a new archive file, or index file, begins.
+FILE_BYTES, INDEX_BYTES = 64 << 20, 16 << 20
+#: Bytes between two records up to which they are read at once, and of such a read.
+GAP, READ = 64 << 10, 4 << 20
 _SPLIT = re.compile(rb"\r\n\r\n")
 
 
@@ -87,10 +91,13 @@ def page_of(value: str | None) -> int | None:
 
 
 _INDEX = "key string, page_id long, path string, offset long, length int"
+_INDEX_NAMES = [x.split()[0] for x in _INDEX.split(", ")]
+_INDEX_TYPES = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32())
+_DIRECTORY = "part long, file long, first_key string, last_key string, path string, offset long, length long, n long"
 
 
 def write(pages: DataFrame, least_bytes: int = LEAST_BYTES, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Archives and index of ``pages`` (page_id, url, html); returns the directory: part, first_key, path, offset, length, n."""
+    """Archives and index of ``pages`` (page_id, url, html); returns the directory: part, file, first_key, last_key, path, offset, length, n."""
     spark = pages.sparkSession
     folder = scratch(spark, "warc")
     rows = take(pages, "page_id", "url", "html")
@@ -101,6 +108,12 @@ def write(pages: DataFrame, least_bytes: int = LEAST_BYTES, block_lines: int = B
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, k, held, size, lines = TaskContext.get().partitionId(), 0, [], 0, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            write_once(lines[-1][2], *held)
+            for a in range(0, len(lines), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines[a : a + 10_000]), _INDEX_TYPES)], _INDEX_NAMES)
+
         for batch in batches:
             for row in batch.to_pylist():
                 raw = record(row)
@@ -108,12 +121,10 @@ def write(pages: DataFrame, least_bytes: int = LEAST_BYTES, block_lines: int = B
                 held.append(raw)
                 size += len(raw)
                 if size >= FILE_BYTES:
-                    write_once(lines[-1][2], *held)
-                    k, held, size = k + 1, [], 0
+                    yield from out()
+                    k, held, size, lines = k + 1, [], 0, []
         if held:
-            write_once(lines[-1][2], *held)
-        for a in range(0, len(lines), 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines[a : a + 10_000]), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32()))], [x.split()[0] for x in _INDEX.split(", ")])
+            yield from out()
 
     digest = rows.withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256)).withColumn("n_bytes", F.octet_length(F.coalesce("html", F.lit(""))).cast("long"))
     told = digest.join(shared, "digest", "left")
@@ -122,30 +133,35 @@ def write(pages: DataFrame, least_bytes: int = LEAST_BYTES, block_lines: int = B
     lines = staged(told.select("page_id", "url", "html", "digest", "n_bytes", "refers_to").mapInArrow(archive, _INDEX), "captures")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, held, size, made, path = TaskContext.get().partitionId(), [], 0, [], None
-        out: list[bytes] = []
-        path = f"{folder}/index-{n:06d}.gz"
+        n, file, held, size, made, out = TaskContext.get().partitionId(), 0, [], 0, [], []
 
         def block() -> None:
             nonlocal size, held
-            raw = gzip.compress("".join(x + "\n" for x in held).encode("utf-8", "surrogatepass"), 6, mtime=0)
-            made.append((n, json.loads(held[0])[0], path, size, len(raw), len(held)))
+            raw = gzip.compress("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in held).encode("utf-8", "surrogatepass"), 6, mtime=0)
+            made.append((n, file, held[0][0], held[-1][0], f"{folder}/index-{n:06d}-{file:04d}.gz", size, len(raw), len(held)))
             out.append(raw)
             size, held = size + len(raw), []
 
+        def told() -> pa.RecordBatch:
+            write_once(made[-1][4], *out)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], [x.split()[0] for x in _DIRECTORY.split(", ")])
+
         for batch in batches:
-            for row in batch.to_pylist():
-                held.append(json.dumps([row[c] for c in ("key", "page_id", "path", "offset", "length")], ensure_ascii=False))
+            for line in zip(*(batch.column(c).to_pylist() for c in _INDEX_NAMES)):
+                held.append(line)
                 if len(held) == block_lines:
                     block()
+                    if size >= INDEX_BYTES:
+                        yield told()
+                        file, size, made, out = file + 1, 0, [], []
         if held:
             block()
         if made:
-            write_once(path, *out)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*made)], ["part", "first_key", "path", "offset", "length", "n"])
+            yield told()
 
-    ordered = lines.repartitionByRange(partitions(spark), "key", "page_id").sortWithinPartitions("key", "page_id", "path", "offset")
-    return staged(ordered.mapInArrow(index, "part long, first_key string, path string, offset long, length long, n long"), "directory")
+    order = ("key", "page_id", "path", "offset")  # so that a key of very many captures is dealt too
+    ordered = lines.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    return staged(ordered.mapInArrow(index, _DIRECTORY), "directory")
 
 
 def read_range(path: str, offset: int, length: int) -> bytes:
@@ -165,56 +181,74 @@ def captures(directory: DataFrame) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 lines = index_lines(row["path"], row["offset"], row["length"])
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines), (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int32()))], [x.split()[0] for x in _INDEX.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines), _INDEX_TYPES)], _INDEX_NAMES)
 
     return directory.select("path", "offset", "length").mapInArrow(blocks, _INDEX)
 
 
+def ranges(lines: list[dict]) -> Iterator[tuple[dict, bytes]]:
+    """Lines in order of path and offset, each with the bytes of its record; near ones are read at once."""
+    first = 0
+    while first < len(lines):
+        start, last, end = lines[first], first, lines[first]["offset"] + lines[first]["length"]
+        while last + 1 < len(lines) and (x := lines[last + 1])["path"] == start["path"] and x["offset"] - end <= GAP and x["offset"] + x["length"] - start["offset"] <= READ:
+            last, end = last + 1, max(end, x["offset"] + x["length"])
+        raw = read_range(start["path"], start["offset"], end - start["offset"])
+        for line in lines[first : last + 1]:
+            at = line["offset"] - start["offset"]
+            yield line, raw[at : at + line["length"]]
+        first = last + 1
+
+
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
 
-def scan(directory: DataFrame) -> DataFrame:
-    """Every record, read by the byte range that the index has for it; a response's payload is hashed again and compared."""
+def records(lines: DataFrame) -> DataFrame:
+    """The records of index lines, read by their byte ranges; a response's payload is hashed again and compared."""
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, raw = None, b""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                if row["path"] != at:
-                    at, raw = row["path"], mapped(row["path"])
-                found = parse(bytes(raw[row["offset"] : row["offset"] + row["length"]]))
+            for line, raw in ranges(batch.to_pylist()):
+                found = parse(raw)
                 digest, size = found["warc-payload-digest"].removeprefix("sha256:"), int(found["x-payload-length"])
                 kind = found["warc-type"]
                 if kind == "response" and (len(found["payload"]) != size or hashlib.sha256(found["payload"]).hexdigest() != digest):
-                    raise ValueError(f"a record of {at} does not match its digest")
+                    raise ValueError(f"a record of {line['path']} does not match its digest")
                 out.append((page_of(found["warc-record-id"]), size, digest, kind, page_of(found.get("warc-refers-to")), found["warc-target-uri"]))
             if out:
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], [x.split()[0] for x in _RECORD.split(", ")])
 
-    n = partitions(directory.sparkSession)
-    lines = captures(directory).select("path", "offset", "length").repartition(n, "path").sortWithinPartitions("path", "offset")
-    return lines.mapInArrow(records, _RECORD)
-
+    n = partitions(lines.sparkSession)
+    dealt = lines.select("path", "offset", "length").repartitionByRange(n, "path", "offset").sortWithinPartitions("path", "offset")
+    return dealt.mapInArrow(read, _RECORD)
 
-class Directory:
-    """The sparse block directory, one entry for each block of lines, for point searches."""
 
-    def __init__(self, directory: DataFrame) -> None:
-        self.rows = [tuple(r) for r in directory.orderBy("part", "offset").select("first_key", "path", "offset", "length").collect()]
-        self.keys = [r[0] for r in self.rows]
+def scan(directory: DataFrame) -> DataFrame:
+    """Every record of the archives, by every line of every block of the index."""
+    return records(captures(directory))
 
-    def lookup(self, url: str) -> list[dict]:
-        """The records of a URL: two bisections, then a read of each record's range."""
-        key, out = url_key(url), []
-        at = max(0, bisect.bisect_left(self.keys, key) - 1)
-        while at < len(self.rows) and self.keys[at] <= key:
-            lines = index_lines(*self.rows[at][1:])
-            names = [x[0] for x in lines]
-            for line in lines[bisect.bisect_left(names, key) : bisect.bisect_right(names, key)]:
-                out.append(parse(read_range(line[2], line[3], line[4])))
-            at += 1
-        return out
 
+def lookup(directory: DataFrame, urls: list[str | None]) -> DataFrame:
+    """The records of URLs: those blocks whose range of keys has one of theirs, the lines in them by bisection, then each record by its range."""
+    keys = sorted({url_key(u) for u in urls})
+    shared = directory.sparkSession.sparkContext.broadcast(keys)  # of the request
 
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in batches:
+            for row in batch.to_pylist():
+                asked = wanted[bisect.bisect_left(wanted, row["first_key"]) : bisect.bisect_right(wanted, row["last_key"])]
+                if not asked:
+                    continue
+                block = index_lines(row["path"], row["offset"], row["length"])
+                names = [x[0] for x in block]
+                found = [x for key in asked for x in block[bisect.bisect_left(names, key) : bisect.bisect_right(names, key)]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _INDEX_TYPES)], _INDEX_NAMES)
+
+    if not keys:
+        return records(captures(directory.limit(0)))
+    some = directory.filter((F.col("last_key") >= keys[0]) & (F.col("first_key") <= keys[-1]))
+    return records(some.select("first_key", "last_key", "path", "offset", "length").mapInArrow(lines, _INDEX))
