@@ -3,18 +3,22 @@
 A word's likelihood in a language is the sum, over all ways to cut it into
 pieces of the vocabulary, of the product of the pieces' probabilities; a
 forward pass adds them up.  Piece probabilities are fitted for each language
-by expectation maximisation over a bounded sample of labelled texts: the
-``SAMPLE`` documents of each language with the smallest MD5 of their id, and
-of those the ``WORDS`` most frequent words.  A text's score for a language is
-the sum over all its words; the answer is the most likely language and its
-posterior with equal priors.
+by expectation maximisation over a bounded sample of labelled texts: all words
+of the ``SAMPLE`` documents of each language with the smallest MD5 of their id
+(a parameter); executors count the words, and the driver gets the counts.  A
+text's score for a language is the sum over all its words; the answer is the
+most likely language and its posterior with equal priors.  A run of more than
+``LONGEST`` characters without white space counts as several words, cut after
+every so many.
 
 Only pieces that are lower case count, and texts are put in lower case.  A
 character that is no piece costs the same in all languages.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
-with nothing learned every text is ``und``; ties go to the smaller name; words
-of any length are scored whole; repeated rows get equal values.
+with nothing learned every text is ``und``; ties go to the smaller name; texts
+and words of any length are scored whole; repeated rows get equal values, and
+of rows with one id and language the fit takes the smallest text; an empty table
+gives no row.
 """
 
 from __future__ import annotations
@@ -30,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import first_by_hash, kept, small_batches, take
+from .shared import first_by_hash, kept, position, small_batches, take
 
-#: Documents of each language that a model is fitted to, and the most frequent words of those.
-SAMPLE, WORDS = 400, 6000
+#: Documents of each language that a model is fitted to.
+SAMPLE = 400
+#: Characters of a word; more are further words.
+LONGEST = 64
 ROUNDS = 4
 #: Probability that a character has outside the vocabulary, and the weight of the even share in each fitted probability.
 FLOOR, EVEN = 1e-6, 0.02
@@ -199,22 +205,27 @@ def expected(lattice: Lattice, words: list[str], counts: np.ndarray, probabiliti
                 later[at] += here
                 use = sums[at][:, 0] * here
                 hit = ids >= 0
-                np.add.at(uses, ids[hit], (use * counts[some])[hit])
+                uses += np.bincount(ids[hit], (use * counts[some])[hit], lattice.n)
     return uses
 
 
-def fit(rows: list[tuple[str, str]], pieces: list[str], words: int = WORDS, rounds: int = ROUNDS) -> Model:
-    """A model of labelled texts: (language, text)."""
-    by: dict[str, Counter] = {}
-    for name, text in rows:
-        by.setdefault(name, Counter()).update((text or "").lower().split())
-    lattice, names, columns = Lattice(pieces), sorted(by), []
+def words_of(text: str | None) -> list[str]:
+    """The words of a text, in lower case."""
+    words = (text or "").lower().split()
+    if max(map(len, words), default=0) > LONGEST:
+        words = [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
+    return words
+
+
+def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
+    """A model of the words of labelled texts: how often each occurs, by language."""
+    lattice, names, columns = Lattice(pieces), sorted(counts), []
     for name in names:
-        top = sorted(by[name].items(), key=lambda x: (-x[1], x[0]))[:words]
-        own, counts = [w for w, _ in top], np.array([c for _, c in top], np.float64)
+        own = sorted(counts[name])
+        times = np.array([counts[name][w] for w in own], np.float64)
         p = np.full(len(pieces), 1 / max(1, len(pieces)))
         for _ in range(rounds if own else 0):
-            uses = expected(lattice, own, counts, p)
+            uses = expected(lattice, own, times, p)
             p = (1 - EVEN) * uses / max(uses.sum(), 1e-300) + EVEN / len(pieces)
         columns.append(np.append(p, 0.0))
     return Model(names, pieces, np.array(columns).T if columns else np.zeros((len(pieces) + 1, 0)))
@@ -223,9 +234,23 @@ def fit(rows: list[tuple[str, str]], pieces: list[str], words: int = WORDS, roun
 def learn(docs: DataFrame, pieces_path: str, sample: int = SAMPLE) -> Model:
     """Fit to ``docs`` (doc_id, text, lang), all of which may be learned from; rows without a language are left out."""
     rows = take(docs, "doc_id", "text", "lang").filter(F.col("lang").isNotNull())
-    chosen = first_by_hash(rows.select("doc_id", "lang"), "lang", sample).select("doc_id").distinct()
-    found = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text", "doc_id").collect()  # at most `sample` ids a language
-    return fit([(r[0], r[1]) for r in sorted(found, key=lambda r: (r[0], r[2] if r[2] is not None else -1, r[1] or ""))], pieces_of(pieces_path))
+    chosen = first_by_hash(rows.select("doc_id", "lang").distinct(), "lang", sample).select("place", F.col("doc_id").alias("chosen"), F.col("lang").alias("of"))
+    same = (F.col("lang") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("chosen"))
+    texts = rows.join(F.broadcast(chosen), same).groupBy("lang", "place").agg(F.min("text").alias("text"))  # at most `sample` ids a language
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            by: dict[str, Counter] = {}
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                by.setdefault(name, Counter()).update(words_of(text))
+            for name, words in by.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array([*words], pa.string()), pa.array([*words.values()], pa.int64())], ["lang", "word", "n"])
+
+    counted = texts.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts: dict[str, dict[str, int]] = {r[0]: {} for r in texts.select("lang").distinct().collect()}
+    for name, word, n in counted.collect():  # distinct words of the sample
+        counts[name][word] = n
+    return fit(counts, pieces_of(pieces_path))
 
 
 class Scorer:
@@ -238,7 +263,7 @@ class Scorer:
 
     def scores(self, texts: list[str | None]) -> list[tuple[str, float]]:
         names = self.model.names
-        split = [(t or "").lower().split() for t in texts]
+        split = [words_of(t) for t in texts]
         got = [[*map(self.known.get, words)] for words in split]
         fresh = list({w for words, g in zip(split, got) if None in g for w, k in zip(words, g) if k is None})
         late, extra = {}, np.zeros((0, len(names)))
@@ -270,7 +295,7 @@ def predictions(docs: DataFrame, model: Model, name: str = "lang_pred", score: s
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast((model.names, model.pieces, model.table.astype(np.float32)))  # vocabulary x languages
-    at, key = docs.columns.index("text"), uuid.uuid4().hex
+    at, key = position(docs, "text"), uuid.uuid4().hex
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make() -> Scorer:

@@ -6,13 +6,15 @@ over the larger one is the text's margin, and a logistic curve fitted to the
 margins of labelled texts that no dictionary has seen makes it a probability.
 
 The fit takes a bounded sample of labelled rows: of each label the ``SAMPLE``
-documents with the smallest MD5 of their id, the first half for the
+documents with the smallest MD5 of their id (a parameter), the first half for the
 dictionaries and the rest for the curve, which weighs each label by its number
 of all labelled rows.
 
 Defined cases: null and empty texts have margin 0 and the score of that margin;
 without labels of both kinds every score is the share of label 1, or 0.5; of
-repeated labels of a document the largest counts; texts are read whole.
+repeated labels of a document the largest counts, and of rows with one id the
+fit takes the smallest text; texts of any length are read whole, also those of
+the fit, which are on the driver; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import first_by_hash, kept, slices, small_batches, take
+from .shared import first_by_hash, kept, position, slices, small_batches, take
 
 #: Labelled documents of each label in the fit.
 SAMPLE = 800
@@ -109,7 +111,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     known = known.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
     totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     chosen = first_by_hash(known, "label", sample)
-    found = rows.join(F.broadcast(chosen), "doc_id").select("label", "place", "text").collect()  # 2 x `sample` rows at most
+    found = rows.join(F.broadcast(chosen), "doc_id").groupBy("label", "place").agg(F.min("text").alias("text")).collect()  # 2 x `sample` rows at most
     by = {k: [r[2] for r in sorted((r for r in found if r[0] is k), key=lambda r: (r[1], r[2] or ""))] for k in (True, False)}
     return fit(by[True], by[False], totals.get(True, 0), totals.get(False, 0))
 
@@ -118,7 +120,7 @@ def scores(docs: DataFrame, model: Model, score: str = "score") -> DataFrame:
     """All columns of ``docs`` (with ``text``) and the probability of label 1."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.good, model.bad, model.slope, model.offset))  # two dictionaries of bounded size
-    at, key = docs.columns.index("text"), uuid.uuid4().hex
+    at, key = position(docs, "text"), uuid.uuid4().hex
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = kept(key, lambda: Model(*shared.value))
