@@ -337,10 +337,11 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, gra
             yield from packed()
 
     names = _NAMES[:-1]
-    keyed = staged(rows.filter("kind = 0").select(*names).mapInArrow(keys, _KEYED), "keyed")
+    keyed = rows.filter("kind = 0").select(*names).mapInArrow(keys, _KEYED)
+    keyed = staged(keyed.withColumn("line", F.monotonically_increasing_id()), "keyed")  # deals equal rows
     shards = -(-n_docs // shard)
     parts = min(shards, max(partitions(spark), shards // 16))  # so many tasks, each over its shards in a row
-    order = ("key", "n", "doc_id", "sums", "whole")
+    order = ("key", "n", "line")
     near = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     return near.select(*names).mapInArrow(pieces, _PIECES)
 
