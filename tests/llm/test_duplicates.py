@@ -65,6 +65,38 @@ def test_jaccard(spark, monkeypatch, seed, n, bases, limit):
     assert sorted(tuple(r)[:3] for r in got.collect()) == near(rows)
 
 
+def test_jaccard_template_crowds(spark):
+    # documents that share most of their shingles but not enough to link, with planted pairs that do, and long ones
+    r, template, pool = random.Random(5), [f"t{k}" for k in range(14)], [f"p{k}" for k in range(12)]
+    rows = []
+    for k in range(0, 500, 2):
+        own = [f"a{r.random()}", f"b{r.random()}"] if k % 4 else [r.choice(pool), r.choice(pool)]
+        rows += [(k, " ".join(template + own)), (k + 1, " ".join(template + own + ["x"] * (k % 3)))]
+    rows += [(1000, "y " * 300_000 + "z"), (1001, "y " * 200_000 + "z"), (1002, "y" * 1_000_000)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert sorted(tuple(x)[:3] for x in got.collect()) == near(rows)
+
+
+def test_jaccard_inside_a_group():
+    r = np.random.default_rng(8)
+    for _ in range(30):
+        base = [r.integers(0, 60, 25) for _ in range(3)]
+        sets = [np.unique(np.r_[base[k % 3][: 25 - k % 4], r.integers(60, 90, r.integers(0, 6))]).astype(np.uint64) for k in range(24)]
+        index = jaccard.Inverted(sets, 80, 16)
+        for k, own in enumerate(sets):
+            want = [j for j in range(16) if j != k and 100 * len(np.intersect1d(own, sets[j])) >= 80 * len(np.union1d(own, sets[j]))]
+            assert index.linked(k).tolist() == want
+
+
+def test_jaccard_repeated_tasks_name_chunks_alike(spark, monkeypatch):
+    docs, seen, plain = spark.createDataFrame(crowd(3, 300, 20), "doc_id long, text string").repartition(5, "doc_id"), [], jaccard.staged
+    monkeypatch.setattr(jaccard, "CHUNK", 1000)
+    monkeypatch.setattr(jaccard, "staged", lambda df, name: seen.append(sorted((x["chunk"], x["kind"], x["a"], x["b"]) for x in plain(df, name).collect())) or plain(df, name))
+    for _ in range(2):
+        jaccard.screen(docs, 5, 80).count()
+    assert seen[0] == seen[1] and len({x[0] for x in seen[0]}) >= 5
+
+
 def test_jaccard_documents(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, queries.op1_jaccard_join(spark, sf_dir).collect())) == near(rows)
@@ -96,10 +128,23 @@ def test_exact_sql_and_cases(spark, sf_dir):
     same(spark, sf_dir, queries.op7_exact_dedup, queries.SQL["op7_exact_dedup"])
     rows = spark.createDataFrame([(None, "a", 1), (None, "a ", 1), (4, "a", 1)], "doc_id long, text string, Keep_Id long")
     got = exactdedup.exact_duplicates(rows).collect()
+    same_digest = exactdedup.exact_duplicates(rows.repartition(3), memtable=1).collect()  # a run a row: rows without an id are verified too
+    assert sorted(map(str, same_digest)) == sorted(map(str, got))
     assert {(x["doc_id"], x["keep_id"], x["kept"]) for x in got} == {(None, None, True), (None, None, False), (4, None, False)} and len(got) == 3
     assert exactdedup.exact_duplicates(rows.limit(0)).count() == 0
 
 
+def test_clashing_names_in_the_pipeline(spark, sf_dir):
+    import corpus_pipeline as P
+
+    text = "the words of one document that stands here as it is"
+    rows = spark.createDataFrame([(1, text, "en", "a", 9, 1, "x"), (1, text + " x", "en", "a", 9, 1, "x"), (None, "other " * 9, "en", None, 9, 2, "y")], "doc_id long, text string, lang string, source string, n_chars long, DOC_ID long, Text string")
+    for name, stage in P.STAGES[1:4]:
+        got = stage(spark, rows, sf_dir)
+        assert got.columns == rows.columns and 0 < got.count() <= 6, name
+    assert P.pack(spark, rows, sf_dir).count() == 3
+
+
 def test_mix(spark, sf_dir):
     same(spark, sf_dir, queries.op9_mix, queries.SQL["op9_mix"])
     schema = "doc_id long, text string, source string, SIZE long"

@@ -1,6 +1,7 @@
 """Token files, packing, WARC, media, quality and language against plain versions."""
 
 import collections
+import functools
 import hashlib
 import random
 import zlib
@@ -150,9 +151,12 @@ def test_warc(spark, sf_dir):
     directory = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), block_lines=2)
     got = {(r["page_id"], r["payload_bytes"]): (r["record_type"], r["refers_to"]) for r in warc.scan(directory).collect()}
     assert got == {(5, 200): ("revisit", 2), (2, 200): ("response", None), (7, 0): ("response", None), (8, 0): ("response", None), (9, 100): ("response", None), (9, 5): ("response", None), (None, 200): ("revisit", 2)}
-    found = warc.Directory(directory)
-    assert {warc.page_of(r["warc-record-id"]) for r in found.lookup("http://b.example.com/p?q=1")} == {2, 5}
-    assert [r["payload"] for r in found.lookup("http://c.org/z")] == [b"short"] and found.lookup("http://nowhere.net/") == []
+    found = warc.lookup(directory, ["http://b.example.com/p?q=1"]).collect()
+    assert {r["page_id"] for r in found} == {2, 5}
+    assert [(r["page_id"], r["payload_bytes"]) for r in warc.lookup(directory, ["http://c.org/z", "http://nowhere.net/"]).collect()] == [(9, 5)]
+    assert warc.lookup(directory, []).count() == 0 and warc.lookup(directory, [None]).count() == 1
+    again = spark.createDataFrame([(1, "http://a.com/", page, 1), (1, "http://a.com/", page, 1), (3, "http://a.com/", page + "z" * 3_000_000, 2)], "page_id long, url string, html string, URL_KEY long")
+    assert sorted((r["page_id"], r["record_type"], r["payload_bytes"]) for r in warc.scan(warc.write(again)).collect()) == [(1, "response", 200), (1, "response", 200), (3, "response", 3_000_200)]
     assert warc.scan(warc.write(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
     assert warc.url_key("http://www.Example.com/A?b#c") == "com,example,www)/A?b"
 
@@ -172,6 +176,38 @@ def test_media(spark):
         media.pixels(bytes(raw))
 
 
+def test_media_equals_a_plain_reader(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id % 9 = 0")
+    stored = media.store(docs).collect()
+    kinds = set()
+    told = {r["key"]: r for r in media.features(media.store(docs)).collect()}
+    for r in stored:
+        raw, plain = zlib.decompress(r["media"][41:-16]), []
+        for y in range(len(raw) // 65):  # signature 8, header 25, then length and kind of the data
+            kind, line, up = raw[y * 65], raw[y * 65 + 1 : y * 65 + 65], plain[-1] if plain else [0] * 64
+            kinds.add(kind)
+            out = []
+            for x, v in enumerate(line):
+                left = out[-1] if out else 0
+                out.append((v + [0, left, up[x]][kind]) & 255)
+            plain.append(out)
+        cells = np.array([[np.mean([p for row in _cells(plain, j) for p in _cells(row, i)]) for i in range(32)] for j in range(32)])
+        low = [round(sum(cells[y, x] * np.cos(np.pi * (2 * y + 1) * v / 64) * np.cos(np.pi * (2 * x + 1) * u / 64) for y in range(32) for x in range(32)), 6) for v in range(8) for u in range(8)] if r["key"] % 27 == 0 else None
+        own = told[r["key"]]
+        assert own["payload_sha256"] == hashlib.sha256(bytes(sum(plain, []))).hexdigest() and own["media_bytes"] == len(r["media"]) and own["media_sha256"] == hashlib.sha256(r["media"]).hexdigest()
+        if low:
+            bits = [0] + [int(v > np.median(low[1:])) for v in low[1:]]
+            assert own["feature"] == f"{int(''.join(map(str, bits)), 2):016x}"
+    assert kinds <= {0, 1, 2} and len(kinds) > 1
+    assert media.features(media.store(docs.limit(0))).count() == 0
+
+
+def _cells(items, k):
+    """The k-th of 32 parts of a sequence; of fewer items one each, repeated."""
+    n = len(items)
+    return [items[k * n // 32]] if n < 32 else items[k * n // 32 : (k + 1) * n // 32]
+
+
 @pytest.mark.parametrize("kind", range(5))
 def test_filters(kind):
     picture = np.random.default_rng(kind).integers(0, 256, (6, 9), np.uint8)
@@ -238,12 +274,77 @@ def test_language(spark, sf_dir):
     langs = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang").collect()}
     held = [r["lang_pred"] == langs[r["doc_id"]] for r in rows if r["held_out"]]
     assert len(held) > 100 and np.mean(held) > 0.97
-    model = langid.fit([("en", "the cat and the hat " * 20), ("fr", "le chat et la souris " * 20)], langid.pieces_of(queries.vocabulary("piece_bpe_32k.model")))
+    counts = {"en": {"the": 40, "cat": 20, "and": 20, "hat": 20}, "fr": {"le": 20, "chat": 20, "et": 20, "la": 20, "souris": 20}}
+    model = langid.fit(counts, langid.pieces_of(queries.vocabulary("piece_bpe_32k.model")))
     got = langid.predictions(docs_of(spark, [None, "", "12 !?", "the hat", "la souris", "z" * 3000]), model).orderBy("doc_id").collect()
     assert [r["lang_pred"] for r in got][:5] == ["und", "und", "und", "en", "fr"] and got[5]["lang_pred"] in ("en", "fr")
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_equals_a_plain_scorer(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.learn(docs.filter(queries.remainder(5) != 0), queries.vocabulary("piece_bpe_32k.model"))
+    known = {p: model.table[k].astype(np.float32).astype(float) for k, p in enumerate(model.pieces)}
+
+    @functools.lru_cache(None)
+    def word(w):  # all segmentations, by the definition, with logarithms kept in range
+        w = langid.START + w
+        sums, log = [np.ones(len(model.names))], 0.0
+        for end in range(1, len(w) + 1):
+            total = sum((sums[s] * known[w[s:end]] for s in range(max(0, end - model.lattice.longest), end) if w[s:end] in known), np.zeros(len(model.names)))
+            sums.append(total + (sums[end - 1] * langid.FLOOR if w[end - 1] not in known else 0))
+        return np.log(np.maximum(sums[-1], 1e-300)) + log
+
+    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
+    for r in queries.op8_language(spark, sf_dir).collect()[::4]:
+        text = texts[r["doc_id"]]
+        if not any(map(str.isalpha, text or "")):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = sum(word(w[k : k + 64]) for w in text.lower().split() for k in range(0, len(w), 64))
+        best = int(np.argmax(total))
+        assert r["lang_pred"] == model.names[best] and r["score"] == pytest.approx(1 / np.exp(total - total[best]).sum(), rel=1e-6)
+
+
+def test_language_cases(spark):
+    rows = [(None, "the cat and the hat", "en", 1.0), (None, "le chat et la souris", "fr", 1.0), (7, "the cat", "en", 1.0), (7, "the cat", "en", 1.0), (7, "zz", None, 1.0), (8, "a" * 200_000, "fr", 1.0), (9, None, "fr", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, Score double")
+    model = langid.learn(docs, queries.vocabulary("piece_bpe_32k.model"))
+    assert model.names == ["en", "fr"]
+    got = langid.predictions(docs, model, "found", "posterior")
+    assert got.columns == [*docs.columns, "found", "posterior"] and got.count() == 7
+    assert [r["found"] for r in got.collect()][:4] == ["en", "fr", "en", "en"]
+    assert langid.predictions(docs.limit(0), langid.learn(docs.limit(0), queries.vocabulary("piece_bpe_32k.model"))).count() == 0
+    assert langid.words_of("ab " + "x" * 130) == ["ab", "x" * 64, "x" * 64, "xx"]
+    tie = langid.Model(["a", "b"], ["▁"], np.full((2, 2), 0.5))
+    assert langid.Scorer(tie).scores(["word"])[0] == ("a", 0.5)
+
+
+def test_quality_equals_a_plain_scorer(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.learn(docs.filter(queries.remainder(4) != 2), labels)
+    texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
+
+    def size(body, dictionary):
+        packer = quality.zstandard.ZstdCompressor(level=3, dict_data=quality.zstandard.ZstdCompressionDict(dictionary), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(packer.compress(body[k : k + 512])) for k in range(0, len(body), 512))
+
+    for r in queries.op6_quality(spark, sf_dir).collect()[::3]:
+        body = (texts[r["doc_id"]] or "").encode()
+        good, bad = size(body, model.good), size(body, model.bad)
+        margin = (bad - good) / max(good, bad) if body else 0.0
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))), rel=1e-9)
+        assert r["predicted"] == (r["score"] >= 0.7)
+
+
+def test_quality_cases(spark):
+    docs = spark.createDataFrame([(1, "x", 0.0), (1, "x", 0.0), (None, None, 0.0), (2, "", 0.0), (3, "long " * 200_000, 0.0)], "doc_id long, text string, QUALITY double")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    got = quality.scores(docs, quality.learn(docs, labels)).collect()
+    assert len(got) == 5 and len({r["score"] for r in got}) == 1 and 0.5 < got[0]["score"] < 1  # one label alone: its share
+    assert quality.scores(docs.limit(0), quality.learn(docs.limit(0), labels.limit(0))).count() == 0
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab"]
     p = np.array([0.2, 0.1, 0.15, 0.25, 0.05, 0.1, 0.15])
