@@ -13,14 +13,23 @@ def test_snapshot_round_trip(spark, sf_dir, tmp_path):
     back = snapshot.load(spark, str(tmp_path / "s"))
     for name, df in tables.items():
         assert sorted(map(tuple, back[name].collect())) == sorted(map(tuple, df.collect()))
-    part = next((tmp_path / "s/rows").glob("part-*"))
-    part.write_text(part.read_text().replace("helpful", "harmful", 1))
+    part = next(p for p in sorted((tmp_path / "s/rows").glob("part-*")) if "helpful" in p.read_text())
+    text = part.read_text()
+    part.write_text(text.replace("helpful", "harmful", 1))
+    assert part.read_text() != text
     for crc in (tmp_path / "s/rows").glob(".*.crc"):
         crc.unlink()
     with pytest.raises(ValueError):
         snapshot.load(spark, str(tmp_path / "s"))
 
 
+def test_snapshot_digest_sees_swapped_rows(spark):
+    one = spark.createDataFrame([("t", "a"), ("t", "b")], "table string, row string")
+    two = spark.createDataFrame([("t", "a"), ("t", "c")], "table string, row string")
+    told = lambda df: snapshot.footer(df).collect()
+    assert told(one) == told(one.repartition(2)) != told(two) and len(told(one)[0]["digest"].split("-")) == 4
+
+
 def test_stream_equals_table(spark, sf_dir, tmp_path):
     log = Corpus(spark, sf_dir).log.select("session_id", "seq", "kind", L.succeeded(__import__("pyspark").sql.functions.col("attributes")).alias("succeeded"))
     rows = log.orderBy("seq").collect()
