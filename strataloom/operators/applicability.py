@@ -1,8 +1,9 @@
 """How records of one state of a repository apply to another.
 
 ``relation`` compares commits by the transitive closure of the commit graph;
-``classified`` is the decision table over
-joined columns, one expression without shuffles of its own.
+``artifact_state`` compares
+stored and current hashes; ``classified`` is the decision table over joined
+columns, one expression without shuffles of its own.
 """
 
 from __future__ import annotations
@@ -49,20 +50,38 @@ def relation(pairs: DataFrame, commits: DataFrame) -> DataFrame:
     return out.select("stored", "current", kind.alias("relation"), F.coalesce("ahead", F.lit(0)).alias("ahead"), F.coalesce("behind", F.lit(0)).alias("behind"))
 
 
-def artifact_state(references: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """memory_id, changed and verified: whether a stored hash differs from the current one, and whether all are stored and equal."""
-    rows = references.join(artifacts.select("artifact_id", "stored_hash", "current_hash"), "artifact_id", "left")
-    return rows.groupBy("memory_id").agg(
-        F.bool_or(F.coalesce(F.col("stored_hash") != F.col("current_hash"), F.lit(False))).alias("changed"),
-        F.bool_and(F.coalesce(F.col("stored_hash") == F.col("current_hash"), F.lit(False))).alias("verified"),
-    )
+#: Stored hashes of a record that are compared; a record with more can be proved changed, but not unchanged.
+MOST_HASHES = 128
+
+
+def hinted(artifacts: DataFrame, hints: DataFrame, repo: str = "repo_id") -> DataFrame:
+    """``artifacts`` with the current hash that a caller gives for the same repository, path and symbol (``hints``: those and content_hash), which goes before one that was looked up."""
+    given = hints.groupBy(F.col(repo).alias("_repo"), F.col("path").alias("_path"), F.col("symbol").alias("_symbol")).agg(F.max("content_hash").alias("_hash"))
+    same = (F.col(repo) == F.col("_repo")) & (F.col("path") == F.col("_path")) & F.col("symbol").eqNullSafe(F.col("_symbol"))
+    out = artifacts.join(given, same, "left").withColumn("current_hash", F.coalesce("_hash", "current_hash"))
+    return out.select(*artifacts.columns)
+
+
+def artifact_state(references: DataFrame, artifacts: DataFrame, most: int = MOST_HASHES) -> DataFrame:
+    """memory_id, changed, verified and complete: whether a stored hash differs from the current one; whether there are stored ones and all equal theirs; whether none was left out.
+
+    Artifacts without a stored hash say nothing.  One that is referred to but not known, or more than ``most`` stored hashes, leave the set incomplete.
+    """
+    rows = references.join(artifacts.select("artifact_id", "stored_hash", "current_hash", F.lit(True).alias("known")), "artifact_id", "left")
+    has, same = F.col("stored_hash").isNotNull(), F.col("stored_hash") == F.col("current_hash")
+    counted = rows.groupBy("memory_id").agg(
+        F.count_if(has & ~same).alias("differ"), F.count_if(same).alias("equal"), F.count_if(has).alias("stored"), F.count_if(F.col("known").isNull()).alias("unknown"),
+    )
+    complete = (F.col("unknown") == 0) & (F.col("stored") <= most)
+    verified = complete & (F.col("stored") > 0) & (F.col("equal") == F.col("stored"))
+    return counted.select("memory_id", (F.col("differ") > 0).alias("changed"), verified.alias("verified"), complete.alias("complete"))
 
 
 def classified(namespace: str, workspace_id: str | None, repo_id: str | None, branch: str | None, dirty_hash: str | None = None) -> Column:
-    """The applicability of rows with the records' scope columns, changed, verified and relation to a caller's state."""
+    """The applicability of rows with the records' scope columns, changed, verified, complete and relation to a caller's state."""
     caller = lambda v: F.lit(v).cast("string")
     workspace, repo, dirty = caller(workspace_id), caller(repo_id), caller(dirty_hash)
-    changed, verified = F.coalesce("changed", F.lit(False)), F.coalesce("verified", F.lit(False))
+    changed, verified, complete = (F.coalesce(c, F.lit(d)) for c, d in (("changed", False), ("verified", False), ("complete", True)))
     return (
         F.when(F.col("namespace") != namespace, "inapplicable")
         .when(F.col("workspace_id").isNotNull() & ~F.col("workspace_id").eqNullSafe(workspace), "inapplicable")
@@ -72,7 +91,7 @@ def classified(namespace: str, workspace_id: str | None, repo_id: str | None, br
         .when(changed, "stale")
         .when(~F.col("dirty_hash").eqNullSafe(dirty), F.when(verified, "exact").otherwise("stale"))
         .when(verified, "exact")
-        .when(F.col("relation") == "same", "exact")
+        .when(F.col("relation") == "same", F.when(complete, "exact").otherwise("unversioned"))  # the same commit proves nothing about hashes that were left out
         .when(F.col("relation") == "ancestor", "compatible")
         .when(F.col("relation").isin("descendant", "diverged"), "divergent")
         .when(F.col("relation") == "unknown", "unversioned")

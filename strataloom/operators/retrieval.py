@@ -121,7 +121,7 @@ def bm25(indexed: DataFrame, terms: list[str], columns: dict[str, float], every:
         rarity = F.when(rarity > 0, rarity).otherwise(1e-6)
         f = F.col("counts")[k]
         score = score - F.when(f > 0, rarity * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean")))).otherwise(0.0)
-    return rows.select(key, F.size(F.filter("counts", lambda x: x > 0)).alias("hits"), F.round(score, 6).alias("bm25"))
+    return rows.select(key, F.size(F.filter("counts", lambda x: x > 0)).alias("hits"), score.alias("bm25"))
 
 
 def ranked(rows: DataFrame, order: list[Column], signal: str, limit: int) -> DataFrame:
@@ -149,22 +149,39 @@ def term_scores(corpus: Corpus, terms: list[str]) -> DataFrame:
     return bm25(fields(corpus), terms or NO_TERM, {c: S.FIELD_WEIGHTS[c] for c in TEXT_FIELDS}, TEXT_FIELDS)
 
 
+EXACT_FIELDS = ("title", "body")
+
+
 def exact(corpus: Corpus, request: Request) -> DataFrame:
-    """Title or body has the query, by ASCII case; newest first."""
-    needle = request.query.strip()
+    """Title or body has the query, by ASCII case: by BM25 over both where the query has terms, of which one must be there as a word, else newest first."""
+    needle, terms = request.query.strip(), terms_of(request.query, 24)
     rows = eligible(corpus.heads, request).filter(X.contains_folded(F.col("title"), needle) | X.contains_folded(F.col("body"), needle))
-    return ranked(rows if len(needle.encode()) >= 2 else rows.limit(0), [F.col("updated_seq").desc(), F.col("memory_id")], "exact", S.CHANNEL_LIMIT)
+    if len(needle.encode()) < 2:
+        rows = rows.limit(0)
+    if not terms:
+        return ranked(rows, [F.col("updated_seq").desc(), F.col("memory_id")], "exact", S.CHANNEL_LIMIT)
+    found = bm25(fields(corpus), terms, {c: S.FIELD_WEIGHTS[c] for c in EXACT_FIELDS}, TEXT_FIELDS)
+    return ranked(rows.select("memory_id").join(found, "memory_id"), [F.col("bm25"), F.col("memory_id")], "exact", S.CHANNEL_LIMIT)
 
 
-def code_alias(corpus: Corpus, request: Request, strict: bool) -> DataFrame:
-    """BM25 over generated aliases alone."""
+def alias_scores(corpus: Corpus, terms: list[str]) -> DataFrame:
+    """BM25 over the aliases that records' texts and names give: of tags, entities' kinds and names, artifacts' paths and symbols, title and body."""
     from strataloom.functions.aliases import alias_text
 
-    structured = corpus.entities.groupBy("memory_id").agg(F.sort_array(F.collect_set("canonical")).alias("structured"))
+    used = corpus.memory_artifacts.join(corpus.artifacts.select("artifact_id", "path", "symbol"), "artifact_id")
+    names = corpus.tags.select("memory_id", F.col("tag").alias("name"))
+    for part in (corpus.entities.select("memory_id", F.explode(F.array("entity_kind", "canonical", "display")).alias("name")), used.select("memory_id", F.explode(F.array("path", "symbol")).alias("name"))):
+        names = names.unionByName(part)
+    structured = names.filter("name is not null").groupBy("memory_id").agg(F.sort_array(F.collect_set("name")).alias("structured"))
     texts = corpus.heads.filter("state != 'retracted'").join(structured, "memory_id", "left")
     texts = texts.select("memory_id", alias_text("title", "body", "structured").alias("aliases"))
+    return bm25(texts, terms or NO_TERM, {"aliases": S.FIELD_WEIGHTS["aliases"]}, ("aliases",))
+
+
+def code_alias(corpus: Corpus, request: Request, strict: bool, indexed: DataFrame | None = None) -> DataFrame:
+    """BM25 over generated aliases alone."""
     terms = terms_of(request.query, 8 if strict else 24)
-    found = bm25(texts, terms or NO_TERM, {"aliases": S.FIELD_WEIGHTS["aliases"]}, ("aliases",))
+    found = alias_scores(corpus, terms) if indexed is None else indexed
     if strict:
         found = found.filter((F.col("hits") == len(terms)) & F.lit(len(terms) >= 2))
     found = found.join(eligible(corpus.heads, request).select("memory_id"), "memory_id", "left_semi")
@@ -227,7 +244,7 @@ def dense(corpus: Corpus, request: Request, exact_limit: int = S.DENSE_EXACT_LIM
     rows = corpus.projections.filter("vector is not null").join(heads, ["memory_id", "revision", "content_hash"]).filter(V.is_valid(F.col("vector")))
     if rows.limit(exact_limit + 1).count() > exact_limit:
         rows = rows.withColumn("distance", V.hamming(V.signature("vector"), V.signature(query))).orderBy("distance", "memory_id").limit(S.CHANNEL_LIMIT)
-    rows = rows.withColumn("cosine", F.round(V.cosine(F.col("vector"), query), 6)).filter(F.col("cosine") >= request.min_similarity)
+    rows = rows.withColumn("cosine", V.cosine(F.col("vector"), query)).filter(F.col("cosine") >= request.min_similarity)
     return ranked(rows, [F.col("cosine").desc(), F.col("memory_id")], "dense", S.CHANNEL_LIMIT)
 
 
@@ -244,7 +261,8 @@ def channels(corpus: Corpus, request: Request, generated: bool = False) -> DataF
     indexed = staged(term_scores(corpus, terms), "bm25") if len(terms) <= 8 else None
     made = [exact(corpus, request), lexical(corpus, request, True, indexed), lexical(corpus, request, False, indexed), sparse(corpus, request), entity(corpus, request), recent(corpus, request)]
     if generated:
-        made += [code_alias(corpus, request, True), code_alias(corpus, request, False), expansion(corpus, request)]
+        aliased = staged(alias_scores(corpus, terms), "aliases") if len(terms) <= 8 else None
+        made += [code_alias(corpus, request, True, aliased), code_alias(corpus, request, False, aliased), expansion(corpus, request)]
     if request.error_fingerprint:
         made.append(error_fingerprint(corpus, request))
     if request.vector:
@@ -267,7 +285,16 @@ def fused(ranks: DataFrame) -> DataFrame:
 
 def candidates(ranks: DataFrame) -> DataFrame:
     """The best 1,024 by fused ranks."""
-    return fused(ranks).orderBy(F.round("base", 9).desc(), "memory_id").limit(S.CANDIDATES)
+    return fused(ranks).orderBy(F.col("base").desc(), "memory_id").limit(S.CANDIDATES)
+
+
+def with_verified(rows: DataFrame) -> DataFrame:
+    """Rows with base, signals and ``verified``: where all of a record's stored hashes are current, that is one more signal, at rank 1."""
+    verified, name = F.coalesce("verified", F.lit(False)), "artifact_verified"
+    weight = next(w for n, w, _ in S.SIGNALS if n == name)
+    order = F.array(*(F.lit(n) for n, _, _ in S.SIGNALS))
+    signals = F.filter(order, lambda n: F.array_contains("signals", n) | (n == name))
+    return rows.withColumns({"base": F.when(verified, F.col("base") + weight / (S.RRF_K + 1)).otherwise(F.col("base")), "signals": F.when(verified, signals).otherwise(F.col("signals"))})
 
 
 def looked_up(column: Column, values: dict[str, float]) -> Column:

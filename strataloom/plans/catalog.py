@@ -25,7 +25,7 @@ from strataloom.sources.scratch import staged
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-REQUEST = R.Request(query="The thon erth bucket_7 re", namespace="en", workspace_id="ws-a", repo_id="src0", branch="main", head_commit=40, entities=("group_3",), error_fingerprint="fp-3", limit=12)
+REQUEST = R.Request(query="En the", namespace="en", workspace_id="ws-a", repo_id="src0", branch="main", head_commit=40, entities=("En_The",), error_fingerprint="fp-1", limit=12)  # each channel has hits
 
 
 def query(sql: str | None = None):
@@ -378,11 +378,11 @@ def snapshot_counts(c: Corpus) -> DataFrame:
 
 # channels
 
-_TERMS = ("the", "thon", "erth", "bucket_7", "re")
+_TERMS = ("en", "the")
 
 
-def _bm25(terms: tuple[str, ...], weights: dict[str, float], every: tuple[str, ...], key: str = "memory_id", source: str = "fields") -> str:
-    """Common table expressions down to ``bm25`` (key, hits, bm25)."""
+def _bm25(terms: tuple[str, ...], weights: dict[str, float], every: tuple[str, ...], key: str = "memory_id", source: str = "fields", to: str = "bm25") -> str:
+    """Common table expressions down to ``to`` (key, hits, bm25)."""
     words = lambda c: f"trim(regexp_replace(translate(lower({c}), '{X.ACCENTED}', '{X.PLAIN}'), '[^\\p{{L}}\\p{{N}}]+', '  ', 'g'))"
     split = ", ".join(f"' ' || {words(c)} || ' ' AS {c}" for c in every)
     number = lambda c, p, n: f"((length({c}) - length(replace({c}, '{p}', ''))) // {n})"
@@ -393,10 +393,10 @@ def _bm25(terms: tuple[str, ...], weights: dict[str, float], every: tuple[str, .
     part = lambda k: f"CASE WHEN f{k} > 0 THEN ({idf(k)}) * f{k} * 2.2::DOUBLE / (f{k} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean)) ELSE 0 END"
     hits = " + ".join(f"(f{k} > 0)::INT" for k in range(len(terms)))
     total = " ".join(f"- ({part(k)})" for k in range(len(terms)))
-    return f"""split AS (SELECT {key}, {split} FROM {source}),
-counts AS (SELECT {key}, {' + '.join(f"CASE WHEN length({c}) = 2 THEN 0 ELSE {number(c, ' ', 2)} END" for c in every)} AS length, {counts} FROM split),
-stats AS (SELECT count(*) AS n, avg(length) AS mean, {dfs} FROM counts),
-bm25 AS (SELECT {key}, {hits} AS hits, round(0 {total}, 6) AS bm25 FROM counts, stats WHERE {' OR '.join(f'f{k} > 0' for k in range(len(terms)))})"""
+    return f"""split_{to} AS (SELECT {key}, {split} FROM {source}),
+counts_{to} AS (SELECT {key}, {' + '.join(f"CASE WHEN length({c}) = 2 THEN 0 ELSE {number(c, ' ', 2)} END" for c in every)} AS length, {counts} FROM split_{to}),
+stats_{to} AS (SELECT count(*) AS n, avg(length) AS mean, {dfs} FROM counts_{to}),
+{to} AS (SELECT {key}, {hits} AS hits, 0 {total} AS bm25 FROM counts_{to}, stats_{to} WHERE {' OR '.join(f'f{k} > 0' for k in range(len(terms)))})"""
 
 
 _ALL = R.TEXT_FIELDS
@@ -423,21 +423,39 @@ def lexical_strict(c: Corpus) -> DataFrame:
     return R.lexical(c, REQUEST, True)
 
 
-@query(f"{_LEX} SELECT memory_id, hits, bm25 FROM bm25")
+@query(f"{_LEX} SELECT memory_id, hits, round(bm25, 6) AS bm25 FROM bm25")
 def bm25_scores(c: Corpus) -> DataFrame:
-    return R.bm25(R.fields(c), [*_TERMS], _WEIGHTS, _ALL)
+    return R.bm25(R.fields(c), [*_TERMS], _WEIGHTS, _ALL).withColumn("bm25", F.round("bm25", 6))
 
 
-_EXACT = f"(SELECT * FROM eligible WHERE instr({_LOW.format('title')}, 'thon') > 0 OR instr({_LOW.format('body')}, 'thon') > 0)"
+def _exact(needle: str, terms: tuple[str, ...], to: str) -> tuple[str, str]:
+    """BM25 of title and body as ``to``, and the eligible rows that have the needle with their ``bm25``."""
+    scored = _bm25(terms, {c: S.FIELD_WEIGHTS[c] for c in R.EXACT_FIELDS}, _ALL, to=to)
+    return scored, f"(SELECT e.*, s.bm25 FROM eligible e JOIN {to} s USING (memory_id) WHERE instr({_LOW.format('title')}, '{needle}') > 0 OR instr({_LOW.format('body')}, '{needle}') > 0)"
 
 
-@query(f"{with_views('heads')}, {_ELIGIBLE} {_top('exact', 'updated_seq DESC, memory_id', _EXACT)}")
+_THON, _HAS_THON = _exact("thon", ("thon",), "thon")
+_PHRASE, _HAS_PHRASE = _exact("en the", _TERMS, "phrase")
+
+
+@query(f"{with_views(*_FIELD_VIEWS)}, {_FIELDS}, {_ELIGIBLE}, {_THON} {_top('exact', 'bm25, memory_id', _HAS_THON)}")
 def exact_channel(c: Corpus) -> DataFrame:
     import dataclasses
 
     return R.exact(c, dataclasses.replace(REQUEST, query=" Thon "))
 
 
+_MARKS = "(SELECT * FROM eligible WHERE instr(title, '!!') > 0 OR instr(body, '!!') > 0)"
+
+
+@query(f"{with_views('heads')}, {_ELIGIBLE} {_top('exact', 'updated_seq DESC, memory_id', _MARKS)}")
+def exact_channel_without_terms(c: Corpus) -> DataFrame:
+    """A query that has no term: the newest records come first."""
+    import dataclasses
+
+    return R.exact(c, dataclasses.replace(REQUEST, query=" !! "))
+
+
 @query(f"{with_views('heads')}, {_ELIGIBLE} {_top('recency', 'updated_seq DESC, memory_id', 'eligible', 32)}")
 def recent_channel(c: Corpus) -> DataFrame:
     return R.recent(c, REQUEST)
@@ -452,9 +470,7 @@ def code_alias_channel(c: Corpus) -> DataFrame:
 
 @query()
 def code_alias_strict_channel(c: Corpus) -> DataFrame:
-    import dataclasses
-
-    return R.code_alias(c, dataclasses.replace(REQUEST, query="group 3"), True)
+    return R.code_alias(c, REQUEST, True)
 
 
 @query(
@@ -468,7 +484,7 @@ def expansion_channel(c: Corpus) -> DataFrame:
 
 
 _LISTED = "(SELECT *, row_number() OVER (PARTITION BY {0} ORDER BY updated_seq DESC, memory_id) AS rank FROM {1})"
-_SPARSE = f"""terms(term) AS (VALUES ('bucket_7'), ('the')),
+_SPARSE = f"""terms(term) AS (VALUES ('en')),
 found AS (SELECT DISTINCT memory_id, revision, term, 'path' AS list FROM memory_artifacts JOIN artifacts USING (artifact_id) JOIN terms ON instr({_LOW.format('path')}, term) > 0 OR {_LOW.format('symbol')} = term
   UNION SELECT DISTINCT memory_id, revision, term, 'tag' FROM tags JOIN terms ON {_LOW.format('tag')} = term),
 with_seq AS (SELECT f.*, updated_seq FROM found f JOIN eligible h ON f.memory_id = h.memory_id AND f.revision = h.head_revision),
@@ -480,7 +496,7 @@ def sparse_channel(c: Corpus) -> DataFrame:
     return R.sparse(c, REQUEST)
 
 
-_ENTITY = f"""eterms(term) AS (VALUES ('bucket_7'), ('group_3'), ('the')),
+_ENTITY = f"""eterms(term) AS (VALUES ('en_the'), ('en')),
 named AS (SELECT DISTINCT memory_id, revision, term FROM entities JOIN eterms ON canonical = term OR {_LOW.format('display')} = term),
 named_seq AS (SELECT f.*, updated_seq FROM named f JOIN eligible h ON f.memory_id = h.memory_id AND f.revision = h.head_revision),
 entity AS (SELECT memory_id, 'entity' AS signal, min(rank) AS rank FROM {_LISTED.format('term', 'named_seq')} WHERE rank <= 256 GROUP BY 1)"""
@@ -491,7 +507,7 @@ def entity_channel(c: Corpus) -> DataFrame:
     return R.entity(c, REQUEST)
 
 
-_PRINT = "(SELECT h.* FROM eligible h JOIN log ON event_id = memory_id AND json_extract_string(attributes, '$.error_fingerprint') = 'fp-3')"
+_PRINT = "(SELECT h.* FROM eligible h JOIN log ON event_id = memory_id AND json_extract_string(attributes, '$.error_fingerprint') = 'fp-1')"
 
 
 @query(f"{with_views('heads', 'log')}, {_ELIGIBLE} {_top('error_fingerprint', 'updated_seq DESC, memory_id', _PRINT)}")
@@ -507,7 +523,7 @@ def with_vector(c: Corpus):
 
 
 _DENSE = """query AS (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1),
-cosines AS (SELECT h.memory_id, round(list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS cosine FROM projections p JOIN eligible h ON p.memory_id = h.memory_id AND p.revision = h.head_revision AND p.content_hash = h.content_hash, query q WHERE vector IS NOT NULL)"""
+cosines AS (SELECT h.memory_id, list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS cosine FROM projections p JOIN eligible h ON p.memory_id = h.memory_id AND p.revision = h.head_revision AND p.content_hash = h.content_hash, query q WHERE vector IS NOT NULL)"""
 
 
 @query(f"{with_views('heads', 'projections')}, {_ELIGIBLE}, {_DENSE} {_top('dense', 'cosine DESC, memory_id', 'cosines')}")
@@ -521,15 +537,14 @@ def dense_hamming_shortlist(c: Corpus) -> DataFrame:
 
 
 @query(
-    "WITH s AS (SELECT vec_id, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 63), lambda i: CASE WHEN embedding[i] < 0 THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END)), lambda x, y: x | y) AS bits FROM embeddings)"
-    " SELECT a.vec_id, bit_count(xor(a.bits, b.bits))::INT AS distance FROM s a, (SELECT bits FROM s ORDER BY vec_id LIMIT 1) b"
+    "SELECT a.vec_id, len(list_filter(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i] < 0) <> (b.embedding[i] < 0)))::INT AS distance FROM embeddings a, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) b"
 )
 def hamming_distance(c: Corpus) -> DataFrame:
-    one = F.lit(1).cast("long")
-    word = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(61)), lambda i: F.when(F.get("embedding", i) < 0, F.shiftleft(one, 1) * 0 + F.call_function("shiftleft", one, i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
-    rows = c.table("embeddings").select("vec_id", word.alias("bits"))
-    first = rows.orderBy("vec_id").limit(1).select(F.col("bits").alias("other"))
-    return rows.crossJoin(F.broadcast(first)).select("vec_id", F.bit_count(F.col("bits").bitwiseXOR(F.col("other"))).cast("int").alias("distance"))
+    """Signs in which a vector differs from the first one, over all coordinates."""
+    rows = c.table("embeddings").select("vec_id", "embedding")
+    first = rows.orderBy("vec_id").limit(1).select(F.col("embedding").alias("other"))
+    differs = F.zip_with("embedding", "other", lambda x, y: (x < 0) != (y < 0))
+    return rows.crossJoin(F.broadcast(first)).select("vec_id", F.size(F.filter(differs, lambda d: d)).alias("distance"))
 
 
 @query()
@@ -555,14 +570,14 @@ def vector_signatures(c: Corpus) -> DataFrame:
 # fusion and scores
 
 _RANKS = f"""ranks AS (SELECT * FROM ({_top('lexical', 'bm25, memory_id', _LOOSE)}) UNION ALL SELECT * FROM ({_top('lexical_strict', 'bm25, memory_id', _STRICT)})
-  UNION ALL SELECT * FROM ({_top('exact', 'updated_seq DESC, memory_id', f"(SELECT * FROM eligible WHERE instr({_LOW.format('title')}, 'the thon erth bucket_7 re') > 0 OR instr({_LOW.format('body')}, 'the thon erth bucket_7 re') > 0)")})
+  UNION ALL SELECT * FROM ({_top('exact', 'bm25, memory_id', _HAS_PHRASE)})
   UNION ALL SELECT * FROM ({_top('recency', 'updated_seq DESC, memory_id', 'eligible', 32)}) UNION ALL SELECT * FROM sparse UNION ALL SELECT * FROM entity
   UNION ALL SELECT * FROM ({_top('error_fingerprint', 'updated_seq DESC, memory_id', _PRINT)}) UNION ALL SELECT * FROM ({_top('dense', 'cosine DESC, memory_id', 'cosines')})),
 best AS (SELECT memory_id, {', '.join(f"min(rank) FILTER (signal = '{n}') AS r_{n}" for n, _, _ in S.SIGNALS)} FROM ranks GROUP BY 1),
 fused AS (SELECT memory_id, 0::DOUBLE {' '.join(f"+ coalesce({w}::DOUBLE / (60 + r_{n}), 0)" for n, w, _ in S.SIGNALS)} AS base,
   list_filter([{', '.join(f"CASE WHEN r_{n} IS NOT NULL THEN '{n}' END" for n, _, _ in S.SIGNALS)}], lambda x: x IS NOT NULL) AS signals FROM best),
-candidates AS (SELECT * FROM fused ORDER BY round(base, 9) DESC, memory_id LIMIT 1024)"""
-_RECALL = f"{with_views('heads', 'tags', 'entities', 'memory_artifacts', 'artifacts', 'projections', 'log', 'feedback', 'commits')}, {_FIELDS}, {_ELIGIBLE}, {_bm25(_TERMS, _WEIGHTS, _ALL)}, {_SPARSE}, {_ENTITY}, {_DENSE}, {_RANKS}"
+candidates AS (SELECT * FROM fused ORDER BY base DESC, memory_id LIMIT 1024)"""
+_RECALL = f"{with_views('heads', 'tags', 'entities', 'memory_artifacts', 'artifacts', 'projections', 'log', 'feedback', 'commits')}, {_FIELDS}, {_ELIGIBLE}, {_bm25(_TERMS, _WEIGHTS, _ALL)}, {_PHRASE}, {_SPARSE}, {_ENTITY}, {_DENSE}, {_RANKS}"
 
 
 @query(f"{_RECALL} SELECT memory_id, round(base, 9) AS base, array_to_string(signals, ',') AS signals FROM candidates")
@@ -605,14 +620,16 @@ def git_relation(c: Corpus) -> DataFrame:
     return A.relation(pairs, c.commits)
 
 
-_STATE = """states AS (SELECT memory_id, bool_or(coalesce(stored_hash <> current_hash, false)) AS changed, bool_and(coalesce(stored_hash = current_hash, false)) AS verified FROM memory_artifacts LEFT JOIN artifacts USING (artifact_id) GROUP BY 1)"""
+# an artifact without a stored hash proves nothing; more than 128 stored ones, or an unknown one, prove no set to be current
+_STATE = """states AS (SELECT memory_id, changed, complete, complete AND stored > 0 AND equal = stored AS verified FROM (SELECT m.memory_id, count(*) FILTER (stored_hash <> current_hash) > 0 AS changed,
+  count(*) FILTER (a.artifact_id IS NULL) = 0 AND count(stored_hash) <= 128 AS complete, count(stored_hash) AS stored, count(*) FILTER (stored_hash = current_hash) AS equal FROM memory_artifacts m LEFT JOIN artifacts a ON a.artifact_id = m.artifact_id GROUP BY 1))"""
 _CLASS = """CASE WHEN namespace <> 'en' THEN 'inapplicable' WHEN workspace_id IS NOT NULL AND workspace_id IS DISTINCT FROM 'ws-a' THEN 'inapplicable'
   WHEN repo_id IS NULL THEN 'unversioned' WHEN repo_id <> 'src0' THEN 'inapplicable' WHEN coalesce(changed, false) THEN 'stale'
   WHEN dirty_hash IS NOT NULL THEN CASE WHEN coalesce(verified, false) THEN 'exact' ELSE 'stale' END WHEN coalesce(verified, false) THEN 'exact'
-  WHEN relation = 'same' THEN 'exact' WHEN relation = 'ancestor' THEN 'compatible' WHEN relation IN ('descendant', 'diverged') THEN 'divergent' WHEN relation = 'unknown' THEN 'unversioned'
+  WHEN relation = 'same' THEN CASE WHEN coalesce(complete, true) THEN 'exact' ELSE 'unversioned' END WHEN relation = 'ancestor' THEN 'compatible' WHEN relation IN ('descendant', 'diverged') THEN 'divergent' WHEN relation = 'unknown' THEN 'unversioned'
   WHEN coalesce(branch <> 'main', false) THEN 'divergent' ELSE 'unversioned' END"""
 _PAIRS = "pairs AS (SELECT DISTINCT head_commit AS stored, 40::BIGINT AS current FROM heads WHERE head_commit IS NOT NULL)"
-_APPLIED = f"applied AS (SELECT h.*, {_CLASS} AS applicability FROM heads h LEFT JOIN states USING (memory_id) LEFT JOIN relations ON stored = head_commit)"
+_APPLIED = f"applied AS (SELECT h.*, {_CLASS} AS applicability, coalesce(verified, false) AS proved FROM heads h LEFT JOIN states USING (memory_id) LEFT JOIN relations ON stored = head_commit)"
 
 
 def applied(c: Corpus, heads: DataFrame) -> DataFrame:
@@ -630,13 +647,14 @@ def applicability(c: Corpus) -> DataFrame:
 def scored_hits(c: Corpus, generated: bool = False) -> DataFrame:
     """Candidates that apply, scored: the best of the pool's size, with what selection and packing read."""
     found = R.candidates(R.channels(c, with_vector(c), generated))
-    rows = applied(c, c.heads.join(found, "memory_id")).join(R.utility(c.feedback), "memory_id", "left")
+    rows = R.with_verified(applied(c, c.heads.join(found, "memory_id"))).join(R.utility(c.feedback), "memory_id", "left")
     rows = rows.filter(~F.col("applicability").isin("inapplicable", "stale", "divergent"))
     return staged(R.scored(rows, NOW).orderBy(F.col("score").desc(), "memory_id").limit(R.pool_size(REQUEST.limit)), "pool")
 
 
 @query(
-    f"{_RECALL}, {_CLOSURE}, {_PAIRS}, {_RELATION}, {_STATE}, {_APPLIED}, u AS ({_UTILITY}), scored AS (SELECT memory_id, round(base * {_SCORE} * {_case('applicability', S.APPLICABILITY)} * {_USE}, 9) AS score, applicability, array_to_string(signals, ',') AS signals"
+    f"{_RECALL}, {_CLOSURE}, {_PAIRS}, {_RELATION}, {_STATE}, {_APPLIED}, u AS ({_UTILITY}), scored AS (SELECT memory_id, round((base + CASE WHEN proved THEN 1.1::DOUBLE / 61 ELSE 0 END) * {_SCORE} * {_case('applicability', S.APPLICABILITY)} * {_USE}, 9) AS score, applicability,"
+    f" array_to_string(list_filter([{', '.join(repr(n) for n, _, _ in S.SIGNALS)}], lambda n: list_contains(signals, n) OR (proved AND n = 'artifact_verified')), ',') AS signals"
     " FROM candidates JOIN applied USING (memory_id) LEFT JOIN u USING (memory_id) WHERE applicability NOT IN ('inapplicable', 'stale', 'divergent'))"
     " SELECT memory_id, score, applicability, signals, row_number() OVER (ORDER BY score DESC, memory_id) AS place FROM scored ORDER BY score DESC, memory_id LIMIT 256"
 )
@@ -737,14 +755,8 @@ def verification_commands(c: Corpus) -> DataFrame:
     return c.log.select("event_id", X.is_verification(F.get_json_object("attributes", "$.command")).alias("verifies"), X.tool_kind(name).alias("tool"))
 
 
-@query("SELECT page_id, 'key1:' || sha256(octet_length(encode(a)) || ':' || a || octet_length(encode(b)) || ':' || b) AS key FROM (SELECT page_id, coalesce(url, '') AS a, substr(coalesce(html, ''), 1, 100) AS b FROM pages)")
-def framed_keys(c: Corpus) -> DataFrame:
-    return c.table("pages").select("page_id", X.framed_key(F.col("url"), F.substring("html", 1, 100), prefix="key1:").alias("key"))
-
-
 @query("SELECT page_id, 'key1:' || sha256(octet_length(encode(a)) || ':' || a || octet_length(encode(b)) || ':' || b) AS key FROM (SELECT page_id, coalesce(url, '') AS a, coalesce(html, '') AS b FROM pages)")
-def framed_page_keys(c: Corpus) -> DataFrame:
-    """Keys of whole pages."""
+def framed_keys(c: Corpus) -> DataFrame:
     return c.table("pages").select("page_id", X.framed_key(F.col("url"), F.col("html"), prefix="key1:").alias("key"))
 
 

@@ -51,6 +51,12 @@ def changed_paths(root: str) -> list[str]:
     return sorted({p for a in listings for p in (git(root, *a) or "").split("\0") if p})
 
 
+def inside(root: str, path: str) -> bool:
+    """Whether a relative path stays under the root, links followed."""
+    own = Path(root).resolve()
+    return not Path(path).is_absolute() and Path(root, path).resolve().is_relative_to(own)
+
+
 def hashed(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     """path, current_hash, language and bytes of the files that exist, by explicit relative paths."""
     full = [str(Path(root, p)) for p in paths if Path(root, p).is_file()]

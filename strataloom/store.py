@@ -19,7 +19,7 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +29,7 @@ from strataloom.operators import applicability as A
 from strataloom.operators import ledger as L
 from strataloom.operators import retrieval as R
 from strataloom.operators import selection
-from strataloom.sources import snapshot
+from strataloom.sources import files, snapshot
 
 SCOPE = "namespace string, workspace_id string, repo_id string, branch string"
 TABLES = {
@@ -398,15 +398,35 @@ class Store:
     def coverage(self) -> dict:
         return L.coverage(self.heads, self.projections).first().asDict()
 
-    def recall(self, request: R.Request, dirty_hash: str | None = None) -> dict:
-        """Hits in order of diversity with their packed bodies, and the rendered text."""
+    def current_hashes(self, references: DataFrame, artifacts: DataFrame, repo_id: str, root: str) -> DataFrame:
+        """repo_id, path, symbol, content_hash of files under ``root`` now: of the references (memory_id, candidate_rank, artifact_id) 128 paths, round robin over the records."""
+        mine = artifacts.filter((F.col("repo_id") == repo_id) & F.col("stored_hash").isNotNull())
+        asked = L.round_robin(references.join(mine.select("artifact_id", "path"), "artifact_id"))
+        paths = [r[0] for r in asked.select("path").distinct().collect()]  # 128 at most
+        inside = [p for p in paths if files.inside(root, p)]
+        return files.hashed(self.spark, root, inside).join(mine.select("repo_id", "path", "symbol").distinct(), "path").select("repo_id", "path", "symbol", F.col("current_hash").alias("content_hash"))
+
+    def recall(self, request: R.Request, dirty_hash: str | None = None, root: str | None = None) -> dict:
+        """Hits in order of diversity with their packed bodies, and the rendered text.
+
+        ``request.artifacts`` gives current hashes by (repo_id, path, symbol); with the ``root`` of the caller's working
+        tree, those of the candidates' files are looked up too.
+        """
         found = R.candidates(R.channels(self, request, generated=True))
         heads = self.heads.join(found, "memory_id")
         told = A.relation(heads.filter("head_commit is not null").select(F.col("head_commit").alias("stored"), F.lit(request.head_commit).cast("string").alias("current")), self.commits).select(F.col("stored").alias("head_commit"), "relation")
-        state = A.artifact_state(self.memory_artifacts.join(heads.select("memory_id", F.col("head_revision").alias("revision")), ["memory_id", "revision"], "left_semi"), self.artifacts)
+        used, artifacts = self.memory_artifacts.join(heads.select("memory_id", F.col("head_revision").alias("revision")), ["memory_id", "revision"], "left_semi"), self.artifacts
+        if root is not None and request.repo_id is not None:
+            order = Window.orderBy(F.col("base").desc(), "memory_id")  # of 1,024 candidates
+            ranked = used.join(found.select("memory_id", F.row_number().over(order).alias("candidate_rank")), "memory_id").drop("revision")
+            artifacts = A.hinted(artifacts, self.current_hashes(ranked, artifacts, request.repo_id, root))
+        if request.artifacts:
+            given = [(*key, value) for key, value in request.artifacts.items()]
+            artifacts = A.hinted(artifacts, self.spark.createDataFrame(given, "repo_id string, path string, symbol string, content_hash string"))
+        state = A.artifact_state(used, artifacts)
         rows = heads.join(state, "memory_id", "left").join(told, "head_commit", "left").withColumn("applicability", A.classified(request.namespace, request.workspace_id, request.repo_id, request.branch, dirty_hash))
         hidden = ["inapplicable", *(() if request.include_stale else ("stale",)), *(() if request.include_divergent else ("divergent",))]
-        rows = R.scored(rows.join(R.utility(self.feedback), "memory_id", "left").filter(~F.col("applicability").isin(*hidden)), request.as_of_ms)
+        rows = R.scored(R.with_verified(rows).join(R.utility(self.feedback), "memory_id", "left").filter(~F.col("applicability").isin(*hidden)), request.as_of_ms)
         limit, budget = request.bounded()
         pool = {r["memory_id"]: r.asDict() for r in rows.orderBy(F.col("score").desc(), "memory_id").limit(R.pool_size(limit)).withColumnRenamed("head_revision", "revision").collect()}  # 512 at most
         order = selection.diverse([(k, r["score"], f"{r['title']} {r['body'][: S.PREVIEW_CHARS]}") for k, r in pool.items()], limit)
