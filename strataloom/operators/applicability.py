@@ -50,6 +50,12 @@ def relation(pairs: DataFrame, commits: DataFrame) -> DataFrame:
     return out.select("stored", "current", kind.alias("relation"), F.coalesce("ahead", F.lit(0)).alias("ahead"), F.coalesce("behind", F.lit(0)).alias("behind"))
 
 
+def within(namespace: str, workspace_id: str | None, repo_id: str | None) -> Column:
+    """Whether a record is open to a caller who names it by its id: the same namespace, and the same workspace and repository where it has any."""
+    own = lambda name, v: F.col(name).isNull() | F.col(name).eqNullSafe(F.lit(v).cast("string"))
+    return F.col("namespace").eqNullSafe(F.lit(namespace)) & own("workspace_id", workspace_id) & own("repo_id", repo_id)
+
+
 #: Stored hashes of a record that are compared; a record with more can be proved changed, but not unchanged.
 MOST_HASHES = 128
 

@@ -112,10 +112,38 @@ def canonical_key(identity: Column) -> Column:
     return F.sha2(F.regexp_replace(F.trim(identity), r"\s+", " "), 256)
 
 
-def coalesced(attempts: DataFrame, verifications: int = 4, salient: int = 4) -> DataFrame:
+def prior_failures(revisions: DataFrame, closed: DataFrame, before: int | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """canonical_key, result: each key's newest failure among outcomes that are open and whose latest revision has the key and failed.
+
+    ``revisions``: (memory_id, revision, recorded_seq, kind, canonical_key, attributes, body) of one scope; ``closed``:
+    (memory_id, seq) of what retired or superseded a record.  With ``before``, as it was just before that sequence
+    number.  ``keys`` (canonical_key) are the ones asked for: only records that ever had one of them are folded.
+    """
+    if before is not None:
+        revisions, closed = revisions.filter(F.col("recorded_seq") < before), closed.filter(F.col("seq") < before)
+    if keys is not None:
+        revisions = revisions.join(revisions.join(keys, "canonical_key", "left_semi").select("memory_id").distinct(), "memory_id", "left_semi")
+    latest = revisions.groupBy("memory_id").agg(F.max_by(F.struct("revision", "recorded_seq", "kind", "canonical_key", "attributes", "body"), F.struct("recorded_seq", "revision")).alias("r"))
+    rows = latest.select("memory_id", "r.*").filter((F.col("kind") == "outcome") & F.col("canonical_key").isNotNull() & (F.get_json_object("attributes", "$.succeeded") == "false"))
+    if keys is not None:
+        rows = rows.join(keys, "canonical_key", "left_semi")
+    form = r"(?s)^Attempt: .*?\nResult: (.*)\nSucceeded: "
+    told = F.coalesce(F.get_json_object("attributes", "$.attempt_result"), F.when(F.col("body").rlike(form), F.regexp_extract("body", form, 1)), F.col("body"))
+    live = rows.join(closed.select("memory_id"), "memory_id", "left_anti")
+    return live.groupBy("canonical_key").agg(F.min_by(told, F.struct(-F.col("recorded_seq"), -F.col("revision"), "memory_id")).alias("result"))
+
+
+def closes_failure(kind: Column, attributes: Column) -> Column:
+    """Whether an event that is not promoted by itself is a success that ends an earlier failure of the same command."""
+    command = F.coalesce(F.trim(F.get_json_object(attributes, "$.command")), F.lit(""))
+    return succeeded(attributes) & kind.isin("command_result", "tool_result", "verification") & (command != "")
+
+
+def coalesced(attempts: DataFrame, verifications: int = 4, salient: int = 4, previous: DataFrame | None = None) -> DataFrame:
     """Attempts (scope, seq, key, result, succeeded, reason) folded by key: one row a key with the last outcome, the first failure and the number of runs.
 
-    All keys that ever failed stay, and of the others the newest few of either reason.
+    All keys that ever failed stay, and of the others the newest few of either reason.  A failure that is known from
+    before (``previous``: scope, key, result) is the first one of its key and counts as a run.
     """
     rank = F.when(F.col("reason") == "verification", 3).when(F.col("reason") == "explicit_salience", 2).when(F.col("reason") == "failed_execution", 1).otherwise(0)
     folded = attempts.groupBy("scope", "key").agg(
@@ -126,6 +154,9 @@ def coalesced(attempts: DataFrame, verifications: int = 4, salient: int = 4) ->
         F.count("*").alias("runs"),
         F.max_by("reason", F.struct(rank, "seq")).alias("reason"),
     )
+    if previous is not None:
+        folded = folded.join(previous.select("scope", "key", F.col("result").alias("earlier")), ["scope", "key"], "left")
+        folded = folded.withColumn("first_failure", F.coalesce("earlier", "first_failure")).withColumn("runs", F.col("runs") + F.col("earlier").isNotNull().cast("int"))
     text = (
         F.when(F.col("runs") == 1, F.col("final_result"))
         .when(F.col("first_failure").isNotNull() & F.col("final_succeeded"), F.concat(F.lit("First failure: "), "first_failure", F.lit("\nFinal result: "), "final_result", F.lit("\nObserved runs: "), F.col("runs").cast("string")))
@@ -135,7 +166,7 @@ def coalesced(attempts: DataFrame, verifications: int = 4, salient: int = 4) ->
     failed = F.col("first_failure").isNotNull() | ~F.col("final_succeeded")
     place = F.row_number().over(Window.partitionBy("scope", failed, "reason").orderBy(F.col("last_order").desc(), "key"))
     keep = failed | ((F.col("reason") == "verification") & (F.col("place") <= verifications)) | ((F.col("reason") == "explicit_salience") & (F.col("place") <= salient))
-    return folded.withColumn("place", place).filter(keep).select("scope", "key", text.alias("result"), F.col("final_succeeded").alias("succeeded"), "runs", "reason")
+    return folded.withColumn("place", place).filter(keep).select("scope", "key", text.alias("result"), F.col("final_succeeded").alias("succeeded"), "runs", F.coalesce("reason", F.lit("failed_execution")).alias("reason"))
 
 
 def checkpoint_records(checkpoints: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from strataloom.operators import applicability as A
 from strataloom.operators import ledger as L
 from strataloom.operators import retrieval as R
 from strataloom.operators import selection
-from strataloom.sources.corpus import NOW, Corpus, with_views
+from strataloom.sources.corpus import NOW, Corpus, escape, with_views
 from strataloom.sources.scratch import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -876,3 +876,62 @@ def string_dedup(c: Corpus) -> DataFrame:
 def session_summary(c: Corpus) -> DataFrame:
     ok = L.succeeded(F.col("attributes"))
     return c.log.groupBy("session_id", "scope").agg(F.count("*").alias("n"), F.count_if(ok).alias("ok"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+# attempts that failed before, access by id, attachments
+
+_OUTCOMES = """SELECT user_id * 4 + event_id % 4 AS memory_id, event_id + 1 AS revision, event_id + 1 AS recorded_seq, CASE WHEN event_id % 7 = 3 THEN 'fact' ELSE 'outcome' END AS kind,
+  CASE WHEN event_id % 11 <> 5 THEN concat('key-', CAST(event_id % 300 AS VARCHAR(20))) END AS canonical_key,
+  concat('{"succeeded": ', CASE WHEN event_id % 3 = 0 THEN 'true' ELSE 'false' END, CASE WHEN event_id % 2 = 0 THEN concat(', "attempt_result": "told ', CAST(event_id AS VARCHAR(20)), '"') ELSE '' END, '}') AS attributes,
+  CASE WHEN event_id % 5 = 0 THEN 'free text' ELSE concat('Attempt: a', chr(10), 'Result: r ', CAST(event_id AS VARCHAR(20)), chr(10), 'Succeeded: x', chr(10), 'Succeeded: false') END AS body FROM events"""
+_CLOSED = "SELECT DISTINCT user_id * 4 + event_id % 4 AS memory_id, event_id + 1 AS seq FROM events WHERE event_id % 37 = 0"
+
+
+def outcomes(c: Corpus) -> tuple[DataFrame, DataFrame]:
+    events = c.table("events")
+    return tuple(c.spark.sql(escape(sql.replace("chr(10)", "char(10)").replace("FROM events", "FROM {events}"), {"events": events}), events=events) for sql in (_OUTCOMES, _CLOSED))
+
+
+def _failures_sql(before: int | None) -> str:
+    until = lambda name: "true" if before is None else f"{name} < {before}"
+    return f"""WITH o AS ({_OUTCOMES}), c AS ({_CLOSED}), latest AS (SELECT *, row_number() OVER (PARTITION BY memory_id ORDER BY recorded_seq DESC, revision DESC) AS n FROM o WHERE {until('recorded_seq')}),
+open AS (SELECT *, row_number() OVER (PARTITION BY canonical_key ORDER BY recorded_seq DESC, revision DESC, memory_id) AS place FROM latest l WHERE n = 1 AND kind = 'outcome' AND canonical_key IS NOT NULL
+  AND json_extract_string(attributes, '$.succeeded') = 'false' AND NOT EXISTS (SELECT 1 FROM c WHERE c.memory_id = l.memory_id AND {until('c.seq')}))
+SELECT canonical_key, coalesce(json_extract_string(attributes, '$.attempt_result'), CASE WHEN starts_with(body, 'Attempt: ') THEN 'r ' || (recorded_seq - 1) || chr(10) || 'Succeeded: x' END, body) AS result FROM open WHERE place = 1"""
+
+
+@query(_failures_sql(None))
+def prior_failures(c: Corpus) -> DataFrame:
+    return L.prior_failures(*outcomes(c))
+
+
+@query(_failures_sql(3000))
+def prior_failures_before(c: Corpus) -> DataFrame:
+    """The failures that were open just before an event."""
+    return L.prior_failures(*outcomes(c), before=3000)
+
+
+@query(f"{with_views('heads')} SELECT memory_id FROM heads WHERE namespace = 'en' AND (workspace_id IS NULL OR workspace_id = 'ws-a') AND (repo_id IS NULL OR repo_id = 'src0')")
+def access_by_id(c: Corpus) -> DataFrame:
+    return c.heads.filter(A.within("en", "ws-a", "src0")).select("memory_id")
+
+
+_FRAME = " || ".join(f"octet_length(encode({p})) || ':' || {p}" for p in ("namespace", "coalesce(repo_id, '')", "coalesce(branch, '')", "CASE WHEN workspace_id IS NULL THEN 'no-workspace' ELSE 'workspace:' || workspace_id END", "'entity'", "kind"))
+
+
+@query(f"{with_views('heads')} SELECT memory_id, namespace || chr(31) || sha256({_FRAME}) AS attachment FROM heads")
+def attachment_namespaces(c: Corpus) -> DataFrame:
+    name = X.attachment_namespace(*(F.col(n) for n in ("namespace", "repo_id", "branch", "workspace_id")), "entity", F.col("kind"))
+    return c.heads.select("memory_id", name.alias("attachment"))
+
+
+@query("SELECT page_id, nullif(url, '') AS url, nullif(CASE WHEN page_id % 3 = 0 THEN '' ELSE html END, '') AS html FROM pages")
+def blank_to_null(c: Corpus) -> DataFrame:
+    rows = c.table("pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, "").otherwise(F.col("html")).alias("html"))
+    return rows.select("page_id", *X.blank_to_null("url", "html"))
+
+
+@query(f"{with_views('heads')} SELECT memory_id, CASE WHEN memory_id % 5 = 0 THEN '' ELSE '{X.ENVELOPE[0]}' || body || '{X.ENVELOPE[1]}' END AS context FROM heads")
+def context_envelope(c: Corpus) -> DataFrame:
+    rendered = F.when(F.col("memory_id") % 5 == 0, " \n").otherwise(F.col("body"))
+    return c.heads.select("memory_id", X.enveloped(rendered).alias("context"))

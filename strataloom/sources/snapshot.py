@@ -10,9 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.functions import text as X
+
 VERSION = 2
 
 
+def differences(found: T.StructType, wanted: T.StructType) -> list[str]:
+    """What sets a table's schema apart from the one it should have."""
+    own, asked = ({f.name: f.dataType.simpleString() for f in s} for s in (found, wanted))
+    missing = [f"{n} is missing" for n in sorted(asked.keys() - own.keys())]
+    unknown = [f"{n} is unknown" for n in sorted(own.keys() - asked.keys())]
+    return missing + unknown + [f"{n} is {own[n]}, not {asked[n]}" for n in sorted(own.keys() & asked.keys()) if own[n] != asked[n]]
+
+
 def counted(tables: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """name, n, ids, hashes: rows, the sum of a key and the number of distinct values of a column of each table."""
     out = None
@@ -59,6 +69,8 @@ def load(spark: SparkSession, path: str, wanted: dict[str, T.StructType] | None
     rows = read("rows", "record_type string, table string, row string")
     if not rows.filter("record_type is null or record_type != 'row' or row is null").isEmpty() or not rows.filter(~F.col("table").isin(*schemas)).isEmpty():
         raise ValueError("a broken row or an unknown table")
+    if not rows.filter(X.redacted(F.col("row"))["count"] > 0).isEmpty():
+        raise ValueError("a row holds a secret")
     said = {tuple(r) for r in read("footer", "record_type string, table string, n long, digest string").select("table", "n", "digest").collect()}
     if said != {tuple(r) for r in footer(rows.select("table", "row")).collect()}:
         raise ValueError("counts or digests differ from the footer")

@@ -17,6 +17,8 @@ import json
 import math
 import time
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +32,7 @@ from strataloom.operators import ledger as L
 from strataloom.operators import retrieval as R
 from strataloom.operators import selection
 from strataloom.sources import files, snapshot
+from strataloom.sources.scratch import remove
 
 SCOPE = "namespace string, workspace_id string, repo_id string, branch string"
 TABLES = {
@@ -39,7 +42,7 @@ TABLES = {
     "entity_rows": "memory_id string, revision long, entity_kind string, canonical string, display string",
     "artifact_rows": "memory_id string, revision long, artifact_id string, repo_id string, path string, symbol string, stored_hash string",
     "current_files": "repo_id string, path string, current_hash string, seq long",
-    "evidence": "memory_id string, revision long, event_id string, relation string",
+    "evidence": "memory_id string, revision long, event_id string, relation string, span_start long, span_end long",
     "links": "source_id string, target_id string, relation string, weight int, created_seq long",
     "facts": "memory_id string, seq long, state string",
     "feedback": "memory_id string, signal string, seq long",
@@ -48,6 +51,8 @@ TABLES = {
     "projection_rows": "memory_id string, profile string, revision long, content_hash string, expansions string, vector array<float>, seq long",
     "commits": "commit_id string, parent_id string",
 }
+#: The columns of a scope that a record's evidence, links and revisions share with it.
+OWN = ("namespace", "workspace_id", "repo_id", "branch")
 #: Byte limits of request fields.
 LIMITS = {"title": 4096, "body": 1 << 20, "content": 1 << 20, "canonical_key": 512, "idempotency_key": 512, "namespace": 128}
 COUNTS = {"tags": 64, "entities": 128, "artifacts": 128, "evidence": 256, "links": 128}
@@ -89,6 +94,25 @@ def checked(request: dict) -> dict:
     return out
 
 
+def proved(e: dict, scope: tuple, events: dict[str, dict]) -> tuple:
+    """An evidence reference as a row's end: its event exists in the same scope, and its span, if any, is a range of whole characters in the event's UTF-8 bytes."""
+    relation, start, end = e.get("relation", "supports"), e.get("span_start"), e.get("span_end")
+    if not 0 < len(relation.encode()) <= 64:
+        raise ValueError("a relation has 1 to 64 bytes")
+    source = events.get(e["event_id"])
+    if source is None:
+        raise ValueError("an evidence event does not exist")
+    if tuple(source[c] for c in OWN) != scope:
+        raise Conflict("evidence does not leave its scope")
+    if (start is None) != (end is None):
+        raise ValueError("a span has a start and an end")
+    if start is not None:
+        raw = (source["content"] or "").encode()
+        if not 0 <= start < end <= len(raw) or any(at < len(raw) and raw[at] & 0xC0 == 0x80 for at in (start, end)):
+            raise ValueError("a span is a range of whole characters")
+    return e["event_id"], relation, start, end
+
+
 class Store:
     """Tables under a path (a local or remote folder) of one session."""
 
@@ -214,6 +238,8 @@ class Store:
         targets = [link["target"] for r in ready for link in r.get("links") or ()]
         heads = self.heads.filter(F.col("memory_id").isin(*ids, *targets) | F.col("canonical_key").isin(*keys)).collect() if ids or keys or targets else []
         known = {h["memory_id"]: h.asDict() for h in heads}
+        sources = [e["event_id"] for r in ready for e in r.get("evidence") or ()]
+        events = {e["event_id"]: e.asDict() for e in self.table("events").filter(F.col("event_id").isin(*sources)).collect()} if sources else {}
         rows: dict[str, list[tuple]] = {name: [] for name in TABLES}
         out, seq, now = [], self.watermark(), _now()
         for r in ready:
@@ -221,24 +247,24 @@ class Store:
                 out.append(old)
                 continue
             seq += 1
-            out.append(self._upsert(r, rows, known, seq, now) | {"replayed": False})
+            out.append(self._upsert(r, rows, known, events, seq, now) | {"replayed": False})
             rows["requests"] += self._ledger("remember", r, {k: v for k, v in out[-1].items() if k != "replayed"}, seq)
         self.append(rows)
         return out
 
-    def _upsert(self, r: dict, rows: dict[str, list[tuple]], known: dict[str, dict], seq: int, now: int) -> dict:
+    def _upsert(self, r: dict, rows: dict[str, list[tuple]], known: dict[str, dict], events: dict[str, dict], seq: int, now: int) -> dict:
         kind = r.get("kind", "fact")
         if kind not in S.KINDS:
             raise ValueError(f"unknown kind {kind}")
-        scope = tuple(r.get(c) for c in ("namespace", "workspace_id", "repo_id", "branch"))
-        own = lambda h: (h["namespace"], h["workspace_id"], h["repo_id"])
+        scope = tuple(r.get(c) for c in OWN)
+        own = lambda h: tuple(h[c] for c in OWN)
         head = known.get(r.get("memory_id"))
         if head is not None and head["state"] in ("superseded", "retracted"):
             raise Conflict(f"a {head['state']} record has no further revisions")
-        if head is not None and own(head) != scope[:3]:
+        if head is not None and own(head) != scope:
             raise Conflict("a record does not change its scope")
         if head is None and r.get("memory_id") is None and r.get("canonical_key"):
-            same = [h for h in known.values() if own(h) == scope[:3] and h["kind"] == kind and h["canonical_key"] == r["canonical_key"] and h["state"] in ("active", "contested")]
+            same = [h for h in known.values() if own(h) == scope and h["kind"] == kind and h["canonical_key"] == r["canonical_key"] and h["state"] in ("active", "contested")]
             head = max(same, key=lambda h: h["updated_seq"], default=None)
         memory_id = head["memory_id"] if head else r.get("memory_id") or str(uuid.uuid4())
         revision = head["head_revision"] + 1 if head else 1
@@ -252,8 +278,8 @@ class Store:
         rows["entity_rows"] += [(memory_id, revision, e["kind"], e["canonical"], e.get("display") or e["canonical"]) for e in r.get("entities") or ()]
         for a in r.get("artifacts") or ():
             name = digest(a.get("repo_id") or scope[2] or "", a["path"], a.get("symbol") or "", a.get("content_hash") or "")
-            rows["artifact_rows"].append((memory_id, revision, name, a.get("repo_id") or scope[2], a["path"], a.get("symbol"), a.get("content_hash")))
-        rows["evidence"] += [(memory_id, revision, e["event_id"], e.get("relation", "supports")) for e in r.get("evidence") or ()]
+            rows["artifact_rows"].append((memory_id, revision, name, a.get("repo_id") or scope[2], a["path"], a.get("symbol") or None, a.get("content_hash") or None))
+        rows["evidence"] += [(memory_id, revision, *proved(e, scope, events)) for e in r.get("evidence") or ()]
         state = "active"
         if head is not None and head["state"] == "contested":
             rows["facts"].append((memory_id, seq, "active"))
@@ -261,8 +287,10 @@ class Store:
             target = known.get(link["target"])
             if target is None:
                 raise ValueError("a link's target does not exist")
-            if target["namespace"] != scope[0]:
-                raise Conflict("a link does not leave its namespace")
+            if tuple(target[c] for c in OWN) != scope:
+                raise Conflict("a link does not leave its scope")
+            if not link["relation"].strip() or len(link["relation"].encode()) > 64:
+                raise ValueError("a relation has 1 to 64 bytes")
             rows["links"].append((memory_id, link["target"], link["relation"], link.get("weight", 500), seq))
             if link["relation"] == "supersedes" and target["state"] in ("active", "contested"):
                 rows["facts"].append((link["target"], seq, "superseded"))
@@ -278,8 +306,10 @@ class Store:
         return {"memory_id": memory_id, "revision": revision, "content_hash": content_hash, "seq": seq, "event_id": event[1]}
 
     def checkpoint(self, request: dict) -> dict:
-        """An episode with its decisions, attempts and open tasks as records that belong to it."""
+        """An episode with its decisions, attempts and open tasks as records that belong to it; the same idempotency key again gives the first receipt."""
         r = checked(request)
+        if (old := self._replayed("checkpoint", r)) is not None:
+            return old
         scope = {c: r.get(c) for c in ("namespace", "workspace_id", "repo_id", "branch", "session_id", "trust") if r.get(c) is not None}
         episode = str(uuid.uuid4())
         verified = bool(r.get("verification"))
@@ -297,29 +327,52 @@ class Store:
             made.append(scope | part(850) | {"kind": "task", "title": f"Open task: {t}", "body": t, "importance": 0.68, "confidence": 0.90})
         receipts = self.remember_many(made)
         event = self.observe(scope | {"kind": "checkpoint", "content": r["goal"]})
-        return {"episode_id": episode, "memory_ids": [x["memory_id"] for x in receipts], "seq": event["seq"]}
+        receipt = {"episode_id": episode, "memory_ids": [x["memory_id"] for x in receipts], "first_seq": receipts[0]["seq"], "seq": event["seq"]}
+        self.append({"requests": self._ledger("checkpoint", r, receipt, event["seq"])})
+        return receipt | {"replayed": False}
+
+    def _before(self, request: dict) -> int | None:
+        """Where the first run of a retried checkpoint began; null if this is the first."""
+        own = (F.col("namespace") == request["namespace"]) & (F.col("operation") == "checkpoint") & (F.col("key") == request.get("idempotency_key"))
+        found = self.table("requests").filter(own).first() if request.get("idempotency_key") else None
+        return None if found is None else json.loads(found["receipt"])["first_seq"]
 
     def checkpoint_session(self, request: dict) -> dict:
-        """A checkpoint whose attempts are the session's events since the last one, folded by what they ran."""
-        scope = (F.col("namespace") == request["namespace"]) & F.col("workspace_id").eqNullSafe(F.lit(request.get("workspace_id"))) & F.col("repo_id").eqNullSafe(F.lit(request.get("repo_id")))
-        events = self.table("events").filter(scope & (F.col("session_id") == request["session_id"]))
+        """A checkpoint whose attempts are the session's events since the last one, folded by what they ran.
+
+        A failure that an earlier checkpoint left open counts as a run of its key, so a later success revises it.  A retry
+        with the same idempotency key reads the log as it was before the first run, so it makes the same request.
+        """
+        if not request.get("session_id"):
+            return self.checkpoint(request)
+        before = self._before(request)
+        scope = reduce(and_, (F.col(c).eqNullSafe(F.lit(request.get(c)).cast("string")) for c in OWN))
+        log = self.table("events")
+        events = log.filter(scope & (F.col("session_id") == request["session_id"]) & (F.lit(True) if before is None else F.col("seq") < before))
         prompt = F.coalesce((F.col("kind") == "conversation_turn") & (F.get_json_object("attributes", "$.role") == "user"), F.lit(False))
         a = F.col("attributes")
-        rows = L.session_slice(events, F.col("kind") == "checkpoint", prompt).withColumn("reason", L.promotion(F.col("kind"), a, F.col("content"))).filter("reason is not null")
-        identity = L.group_identity(a, F.col("event_id"))
-        tried = rows.select(F.lit(1).alias("scope"), "seq", L.canonical_key(identity).alias("key"), F.col("content").alias("result"), L.succeeded(a).alias("succeeded"), "reason")
-        named = rows.groupBy(L.canonical_key(identity).alias("key")).agg(F.max_by(F.coalesce(F.get_json_object(a, "$.command"), "content"), "seq").alias("action"), F.max_by(F.get_json_object(a, "$.error_fingerprint"), "seq").alias("fingerprint"))
-        attempts = [x.asDict() for x in L.coalesced(tried).join(named, "key").orderBy("key").collect()]  # of at most 128 events
-        made = [{"action": x["action"], "result": x["result"], "succeeded": x["succeeded"], "fingerprint": x["fingerprint"], "canonical_key": f"auto:attempt:{x['key']}"} for x in attempts]
+        told = L.session_slice(events, F.col("kind") == "checkpoint", prompt).withColumn("reason", L.promotion(F.col("kind"), a, F.col("content")))
+        rows = told.filter(F.col("reason").isNotNull() | L.closes_failure(F.col("kind"), a))
+        key = F.concat(F.lit("auto:attempt:"), L.canonical_key(L.group_identity(a, F.col("event_id")))).alias("key")
+        tried = rows.select(F.lit(1).alias("scope"), "seq", key, F.col("content").alias("result"), L.succeeded(a).alias("succeeded"), "reason")
+        named = rows.groupBy(key).agg(F.max_by(F.coalesce(F.get_json_object(a, "$.command"), "content"), "seq").alias("action"), F.max_by(F.get_json_object(a, "$.error_fingerprint"), "seq").alias("fingerprint"))
+        revisions = self.table("revisions").filter(scope).join(log.select("event_id", "attributes"), "event_id")
+        closed = self.table("facts").filter(F.col("state").isin("superseded", "retracted")).select("memory_id", "seq")
+        failed = L.prior_failures(revisions, closed, before, tried.select(F.col("key").alias("canonical_key")).distinct())
+        previous = failed.select(F.lit(1).alias("scope"), F.col("canonical_key").alias("key"), "result")
+        attempts = [x.asDict() for x in L.coalesced(tried, previous=previous).join(named, "key").orderBy("key").collect()]  # of at most 128 events
+        made = [{"action": x["action"], "result": x["result"], "succeeded": x["succeeded"], "fingerprint": x["fingerprint"], "canonical_key": x["key"]} for x in attempts]
         return self.checkpoint(request | {"attempts": [*(request.get("attempts") or ()), *made]})
 
-    def give_feedback(self, memory_id: str, signal: str) -> None:
+    def give_feedback(self, memory_id: str, signal: str, scope: dict | None = None) -> None:
+        if self.get(memory_id, scope) is None:
+            raise ValueError("no such record")
         if signal not in S.POSITIVE_FEEDBACK + S.NEGATIVE_FEEDBACK:
             raise ValueError(f"unknown signal {signal}")
         self.append({"feedback": [(memory_id, signal, self.watermark())]})
 
-    def retract(self, memory_id: str, reason: str = "") -> dict:
-        head = self.get(memory_id)
+    def retract(self, memory_id: str, reason: str = "", scope: dict | None = None) -> dict:
+        head = self.get(memory_id, scope)
         if head is None:
             raise ValueError("no such record")
         receipt = self.observe({c: head[c] for c in ("namespace", "workspace_id", "repo_id", "branch")} | {"kind": "memory_retracted", "content": reason})
@@ -379,8 +432,12 @@ class Store:
 
     # reads
 
-    def get(self, memory_id: str) -> dict | None:
-        head = self.heads.filter(F.col("memory_id") == memory_id).first()
+    def get(self, memory_id: str, scope: dict | None = None) -> dict | None:
+        """A record's head; with a caller's scope (namespace, workspace_id, repo_id), one outside it is as good as none."""
+        mine = F.col("memory_id") == memory_id
+        if scope is not None:
+            mine &= A.within(scope["namespace"], scope.get("workspace_id"), scope.get("repo_id"))
+        head = self.heads.filter(mine).first()
         return None if head is None else head.asDict()
 
     def history(self, memory_id: str) -> dict:
@@ -435,6 +492,24 @@ class Store:
 
     # snapshots
 
+    def inspect(self) -> dict:
+        """Without a write: what sets each written table's schema apart from the model's, and the counts of broken invariants."""
+        schemas = {}
+        for name in TABLES:
+            try:
+                found = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{name}").schema
+            except AnalysisException:  # nothing was written yet
+                continue
+            if differ := snapshot.differences(found, T.StructType.fromDDL(TABLES[name])):
+                schemas[name] = differ
+        broken = L.violations(self.heads, self.table("revisions"), self.table("links")).collect()  # a row a check
+        return {"schemas": schemas, "violations": {r["check"]: r["findings"] for r in broken}}
+
+    def purge(self) -> None:
+        """Delete the store's tables, and nothing else under its path."""
+        for name in TABLES:
+            remove(self.spark, f"{self.path}/{name}")
+
     def export(self, path: str) -> None:
         snapshot.export({name: self.table(name) for name in TABLES}, path)
 

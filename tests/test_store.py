@@ -100,6 +100,53 @@ def test_sessions_and_snapshots(spark, store, tmp_path):
         other.load(str(tmp_path / "x"))
 
 
+def test_prior_failures_and_retries(store):
+    """A success of a later session revises the failure that an earlier checkpoint left open; a retry of the first checkpoint still gives its receipt."""
+    run = lambda session, text, code: store.observe(SCOPE | {"session_id": session, "kind": "command_result", "content": text, "attributes": {"command": "make all", "exit_code": code}})
+    run("s1", "error: no rule", 2)
+    ask = SCOPE | {"session_id": "s1", "goal": "build", "idempotency_key": "c1"}
+    first = store.checkpoint_session(ask)
+    failed = {h["title"]: h for h in store.heads.collect()}["Failed attempt: make all"]
+    run("s2", "done", 0)
+    store.checkpoint_session(SCOPE | {"session_id": "s2", "goal": "build again"})
+    now = store.get(failed["memory_id"])
+    assert now["title"] == "Successful attempt: make all" and now["head_revision"] == 2
+    assert "First failure: error: no rule\nFinal result: done\nObserved runs: 2" in now["body"]
+    assert store.checkpoint_session(ask) == first | {"replayed": True}
+    run("s3", "fine", 0)
+    assert len(store.checkpoint_session(SCOPE | {"session_id": "s3", "goal": "third"})["memory_ids"]) == 1  # the failure is closed: an ordinary success is not kept
+    with pytest.raises(Conflict):
+        store.checkpoint_session(ask | {"goal": "other"})
+
+
+def test_access_evidence_and_links(store):
+    event = store.observe(SCOPE | {"content": "größe"})["event_id"]
+    other = store.observe(SCOPE | {"branch": "dev", "content": "x"})["event_id"]
+    store.remember(SCOPE | {"memory_id": "a", "title": "t", "evidence": [{"event_id": event, "span_start": 2, "span_end": 4}]})
+    store.remember(SCOPE | {"memory_id": "o", "branch": "dev", "title": "t"})
+    for bad in ({"event_id": "none"}, {"event_id": other}, {"event_id": event, "span_start": 1}, {"event_id": event, "span_start": 2, "span_end": 3}, {"event_id": event, "span_start": 0, "span_end": 9}, {"event_id": event, "relation": ""}):
+        with pytest.raises(ValueError):
+            store.remember(SCOPE | {"memory_id": "b", "title": "t", "evidence": [bad]})
+    for bad in ({"target": "o", "relation": "about"}, {"target": "a", "relation": " "}):
+        with pytest.raises(ValueError):
+            store.remember(SCOPE | {"memory_id": "b", "title": "t", "links": [bad]})
+    assert store.get("b") is None and store.get("a", SCOPE)["title"] == "t" and store.get("a", SCOPE | {"repo_id": None}) is None
+    with pytest.raises(ValueError):
+        store.retract("a", scope=SCOPE | {"workspace_id": "x"})
+    with pytest.raises(ValueError):
+        store.give_feedback("a", "helpful", SCOPE | {"namespace": "m"})
+
+
+def test_inspect_and_purge(spark, store):
+    store.remember(SCOPE | {"memory_id": "a", "title": "t"})
+    told = store.inspect()
+    assert told["schemas"] == {} and set(told["violations"].values()) == {0}
+    spark.createDataFrame([("a", 1)], "memory_id string, extra int").write.mode("append").parquet(f"{store.path}/feedback")
+    assert store.inspect()["schemas"]["feedback"] == ["seq is missing", "signal is missing", "extra is unknown"]
+    store.purge()
+    assert store.status() == {"states": {}, "events": 0, "watermark": 0}
+
+
 def test_bounds(store):
     for bad in ({"namespace": ""}, {"importance": 1.5}, {"title": "x" * 5000}, {"tags": ["t"] * 65}, {"valid_from_ms": 2, "valid_until_ms": 1}, {"kind": "no"}, {"links": [{"target": "none", "relation": "x"}]}):
         with pytest.raises(ValueError):
