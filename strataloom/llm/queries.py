@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exactdedup, jaccard, langid, licenses, media, mixing, packing, quality, tokenfiles, warc
+from . import exactdedup, fim, jaccard, langid, licenses, media, mixing, packing, quality, sharding, tokenfiles, vectorcodes, warc
 from .shared import partitions, take
 
 #: The folder of public vocabulary files; a parameter of each operator that encodes text.
@@ -83,6 +83,24 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2)
 
 
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shards(table(spark, sf_dir, "documents"), 8)
+    digest = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    return rows.select("doc_id", "size", digest.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectorcodes.compress(table(spark, sf_dir, "embeddings"))
+    rows = vectorcodes.with_label_errors(found.codes)
+    return rows.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(found.digest).alias("codebooks_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.transform(table(spark, sf_dir, "documents"))
+    hashed = lambda c: F.sha2(c.cast("binary"), 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", hashed(F.col("output")).alias("output_sha256"), hashed(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_token_files": op2_token_files,
@@ -95,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_mix": op9_mix,
     "op10_pack": op10_pack,
+    "op11_shards": op11_shards,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 SQL: dict[str, str] = {
@@ -125,4 +146,12 @@ w AS (SELECT *, least(256, size - packet * 256) AS words FROM p),
 o AS (SELECT *, CASE WHEN target > 0 THEN (start + copy * source_size + packet * 256 + words)::DOUBLE / target ELSE 'infinity'::DOUBLE END AS finish FROM w),
 g AS (SELECT *, sum(words) OVER (ORDER BY finish, source NULLS LAST, k, doc_id, copy, packet ROWS UNBOUNDED PRECEDING) AS position, floor(sum(words) OVER () / 2 * 1.5 + 0.5) AS budget FROM o)
 SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target, sum(greatest(0, least(words, budget - position + words)))::BIGINT AS taken FROM g GROUP BY row""",
+    "op12_vector_codes": vectorcodes.sql(),
+    "op13_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+n AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS h1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form,
+  coalesce(array_to_string(u[1:least(h1, h2)], ''), '') AS p, coalesce(array_to_string(u[least(h1, h2) + 1:greatest(h1, h2)], ''), '') AS m, coalesce(array_to_string(u[greatest(h1, h2) + 1:], ''), '') AS s FROM n)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c""",
 }
