@@ -61,11 +61,15 @@ MOST_HASHES = 128
 
 
 def hinted(artifacts: DataFrame, hints: DataFrame, repo: str = "repo_id") -> DataFrame:
-    """``artifacts`` with the current hash that a caller gives for the same repository, path and symbol (``hints``: those and content_hash), which goes before one that was looked up."""
-    given = hints.groupBy(F.col(repo).alias("_repo"), F.col("path").alias("_path"), F.col("symbol").alias("_symbol")).agg(F.max("content_hash").alias("_hash"))
+    """``artifacts`` with the current hash that a caller gives for the same repository, path and symbol, which goes before one that was looked up.
+
+    ``hints``: those, content_hash and place; of hints for the same one the first by place counts, also where it has no hash.
+    """
+    first = F.min_by(F.struct("content_hash"), "place").alias("_given")
+    given = hints.groupBy(F.col(repo).alias("_repo"), F.col("path").alias("_path"), F.col("symbol").alias("_symbol")).agg(first)
     same = (F.col(repo) == F.col("_repo")) & (F.col("path") == F.col("_path")) & F.col("symbol").eqNullSafe(F.col("_symbol"))
-    out = artifacts.join(given, same, "left").withColumn("current_hash", F.coalesce("_hash", "current_hash"))
-    return out.select(*artifacts.columns)
+    current = F.when(F.col("_given").isNotNull(), F.col("_given.content_hash")).otherwise(F.col("current_hash"))
+    return artifacts.join(given, same, "left").withColumn("current_hash", current).select(*artifacts.columns)
 
 
 def artifact_state(references: DataFrame, artifacts: DataFrame, most: int = MOST_HASHES) -> DataFrame:

@@ -84,6 +84,11 @@ def terms_of(query: str, most: int) -> list[str]:
     return out[:most]
 
 
+def phrase_words(term: str) -> list[str]:
+    """A query's term as words that follow each other."""
+    return X.phrase(term).split()
+
+
 def identifier_terms(query: str) -> list[str]:
     """Words that look like names: with a slash, underscore, double colon or capital; sorted, in lower case."""
     words = (w.strip("\"'`") for w in re.split(r"[\s,;()\[\]]+", query))
@@ -113,14 +118,20 @@ def bm25(indexed: DataFrame, terms: list[str], columns: dict[str, float], every:
     length = sum((X.word_count(F.col(c)) for c in every[1:]), X.word_count(F.col(every[0])))
     counts = F.array(*(sum((F.lit(w) * X.occurrences(F.col(c), X.phrase(t)) for c, w in columns.items()), F.lit(0.0)) for t in terms))
     rows = staged(split.select(key, length.alias("length"), counts.alias("counts")), "terms")  # narrow: the texts are read once
-    stats = rows.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.sum((F.col("counts")[k] > 0).cast("long")).alias(f"df{k}") for k in range(len(terms))))
-    rows = rows.filter(F.exists("counts", lambda x: x > 0)).crossJoin(F.broadcast(stats))  # one row of statistics
+    n, mean = rows.agg(F.count("*"), F.avg("length")).first()
+    return score_counts(rows.filter(F.exists("counts", lambda x: x > 0)), len(terms), F.lit(n), F.lit(mean), key)
+
+
+def score_counts(rows: DataFrame, terms: int, n: Column, mean: Column, key: str = "memory_id") -> DataFrame:
+    """key, hits and bm25 of rows (key, length, counts) that have a term, among n rows of a mean length."""
+    df = rows.agg(*(F.sum((F.col("counts")[k] > 0).cast("long")).alias(f"df{k}") for k in range(terms)))
+    rows = rows.crossJoin(F.broadcast(df))  # one row of statistics
     score = F.lit(0.0)
-    for k in range(len(terms)):
-        rarity = F.log((F.col("n") - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
+    for k in range(terms):
+        rarity = F.log((n - F.col(f"df{k}") + 0.5) / (F.col(f"df{k}") + 0.5))
         rarity = F.when(rarity > 0, rarity).otherwise(1e-6)
         f = F.col("counts")[k]
-        score = score - F.when(f > 0, rarity * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("length") / F.col("mean")))).otherwise(0.0)
+        score = score - F.when(f > 0, rarity * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * F.col("length") / mean))).otherwise(0.0)
     return rows.select(key, F.size(F.filter("counts", lambda x: x > 0)).alias("hits"), score.alias("bm25"))
 
 
@@ -146,6 +157,8 @@ def lexical(corpus: Corpus, request: Request, strict: bool, indexed: DataFrame |
 
 
 def term_scores(corpus: Corpus, terms: list[str]) -> DataFrame:
+    if (index := getattr(corpus, "text_index", None)) is not None:
+        return index.scores(terms, {c: S.FIELD_WEIGHTS[c] for c in TEXT_FIELDS})
     return bm25(fields(corpus), terms or NO_TERM, {c: S.FIELD_WEIGHTS[c] for c in TEXT_FIELDS}, TEXT_FIELDS)
 
 
@@ -160,12 +173,14 @@ def exact(corpus: Corpus, request: Request) -> DataFrame:
         rows = rows.limit(0)
     if not terms:
         return ranked(rows, [F.col("updated_seq").desc(), F.col("memory_id")], "exact", S.CHANNEL_LIMIT)
-    found = bm25(fields(corpus), terms, {c: S.FIELD_WEIGHTS[c] for c in EXACT_FIELDS}, TEXT_FIELDS)
+    weights = {c: S.FIELD_WEIGHTS[c] for c in EXACT_FIELDS}
+    index = getattr(corpus, "text_index", None)
+    found = bm25(fields(corpus), terms, weights, TEXT_FIELDS) if index is None else index.scores(terms, weights)
     return ranked(rows.select("memory_id").join(found, "memory_id"), [F.col("bm25"), F.col("memory_id")], "exact", S.CHANNEL_LIMIT)
 
 
-def alias_scores(corpus: Corpus, terms: list[str]) -> DataFrame:
-    """BM25 over the aliases that records' texts and names give: of tags, entities' kinds and names, artifacts' paths and symbols, title and body."""
+def alias_texts(corpus: Corpus) -> DataFrame:
+    """memory_id and the aliases that its texts and names give: of tags, entities' kinds and names, artifacts' paths and symbols, title and body."""
     from strataloom.functions.aliases import alias_text
 
     used = corpus.memory_artifacts.join(corpus.artifacts.select("artifact_id", "path", "symbol"), "artifact_id")
@@ -174,8 +189,15 @@ def alias_scores(corpus: Corpus, terms: list[str]) -> DataFrame:
         names = names.unionByName(part)
     structured = names.filter("name is not null").groupBy("memory_id").agg(F.sort_array(F.collect_set("name")).alias("structured"))
     texts = corpus.heads.filter("state != 'retracted'").join(structured, "memory_id", "left")
-    texts = texts.select("memory_id", alias_text("title", "body", "structured").alias("aliases"))
-    return bm25(texts, terms or NO_TERM, {"aliases": S.FIELD_WEIGHTS["aliases"]}, ("aliases",))
+    return texts.select("memory_id", alias_text("title", "body", "structured").alias("aliases"))
+
+
+def alias_scores(corpus: Corpus, terms: list[str]) -> DataFrame:
+    """BM25 over generated aliases alone."""
+    weights = {"aliases": S.FIELD_WEIGHTS["aliases"]}
+    if (index := getattr(corpus, "alias_index", None)) is not None:
+        return index.scores(terms, weights)
+    return bm25(alias_texts(corpus), terms or NO_TERM, weights, ("aliases",))
 
 
 def code_alias(corpus: Corpus, request: Request, strict: bool, indexed: DataFrame | None = None) -> DataFrame:
@@ -191,7 +213,11 @@ def code_alias(corpus: Corpus, request: Request, strict: bool, indexed: DataFram
 def expansion(corpus: Corpus, request: Request) -> DataFrame:
     """BM25 over expansion texts of current projections of active profiles; the best of a record's profiles counts."""
     texts = corpus.expansions.withColumn("row", F.struct("memory_id", "profile"))
-    found = bm25(texts, terms_of(request.query, 24) or NO_TERM, {"expansions": S.FIELD_WEIGHTS["expansions"]}, ("expansions",), key="row")
+    terms, weights = terms_of(request.query, 24), {"expansions": S.FIELD_WEIGHTS["expansions"]}
+    if (index := getattr(corpus, "expansion_index", None)) is not None:
+        found = index.scores(terms, weights)
+    else:
+        found = bm25(texts, terms or NO_TERM, weights, ("expansions",), key="row")
     heads = eligible(corpus.heads, request).select("memory_id", F.col("head_revision").alias("revision"), "content_hash")
     alive = texts.filter("active").join(heads, ["memory_id", "revision", "content_hash"]).select("row", "memory_id")
     best = found.join(alive, "row").groupBy("memory_id").agg(F.min("bm25").alias("bm25"))
@@ -258,10 +284,12 @@ def channels(corpus: Corpus, request: Request, generated: bool = False) -> DataF
     Where both lexical ones have the same terms, the texts are scanned for them once.
     """
     terms = terms_of(request.query, 24)
-    indexed = staged(term_scores(corpus, terms), "bm25") if len(terms) <= 8 else None
+    scanned = getattr(corpus, "text_index", None) is None  # scores from postings are not worth writing down
+    once = staged if scanned else lambda df, name: df
+    indexed = once(term_scores(corpus, terms), "bm25") if len(terms) <= 8 else None
     made = [exact(corpus, request), lexical(corpus, request, True, indexed), lexical(corpus, request, False, indexed), sparse(corpus, request), entity(corpus, request), recent(corpus, request)]
     if generated:
-        aliased = staged(alias_scores(corpus, terms), "aliases") if len(terms) <= 8 else None
+        aliased = once(alias_scores(corpus, terms), "aliases") if len(terms) <= 8 else None
         made += [code_alias(corpus, request, True, aliased), code_alias(corpus, request, False, aliased), expansion(corpus, request)]
     if request.error_fingerprint:
         made.append(error_fingerprint(corpus, request))

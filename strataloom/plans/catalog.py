@@ -425,7 +425,7 @@ def lexical_strict(c: Corpus) -> DataFrame:
 
 @query(f"{_LEX} SELECT memory_id, hits, round(bm25, 6) AS bm25 FROM bm25")
 def bm25_scores(c: Corpus) -> DataFrame:
-    return R.bm25(R.fields(c), [*_TERMS], _WEIGHTS, _ALL).withColumn("bm25", F.round("bm25", 6))
+    return c.text_index.scores([*_TERMS], _WEIGHTS).withColumn("bm25", F.round("bm25", 6))
 
 
 def _exact(needle: str, terms: tuple[str, ...], to: str) -> tuple[str, str]:

@@ -160,7 +160,7 @@ class Store:
     def artifacts(self) -> DataFrame:
         now = self.table("current_files").groupBy("repo_id", "path").agg(F.max_by("current_hash", "seq").alias("current_hash"))
         known = self.table("artifact_rows").select("artifact_id", "repo_id", "path", "symbol", "stored_hash").distinct()
-        return known.join(now, ["repo_id", "path"], "left").withColumn("current_hash", F.coalesce("current_hash", "stored_hash"))
+        return known.join(now, ["repo_id", "path"], "left")  # null where nobody has looked: neither changed nor verified
 
     @property
     def fingerprints(self) -> DataFrame:
@@ -461,7 +461,7 @@ class Store:
         asked = L.round_robin(references.join(mine.select("artifact_id", "path"), "artifact_id"))
         paths = [r[0] for r in asked.select("path").distinct().collect()]  # 128 at most
         inside = [p for p in paths if files.inside(root, p)]
-        return files.hashed(self.spark, root, inside).join(mine.select("repo_id", "path", "symbol").distinct(), "path").select("repo_id", "path", "symbol", F.col("current_hash").alias("content_hash"))
+        return files.hashed(self.spark, root, inside).join(mine.select("repo_id", "path", "symbol").distinct(), "path").select("repo_id", "path", "symbol", F.col("current_hash").alias("content_hash"), F.lit(0).alias("place"))
 
     def recall(self, request: R.Request, dirty_hash: str | None = None, root: str | None = None) -> dict:
         """Hits in order of diversity with their packed bodies, and the rendered text.
@@ -478,8 +478,8 @@ class Store:
             ranked = used.join(found.select("memory_id", F.row_number().over(order).alias("candidate_rank")), "memory_id").drop("revision")
             artifacts = A.hinted(artifacts, self.current_hashes(ranked, artifacts, request.repo_id, root))
         if request.artifacts:
-            given = [(*key, value) for key, value in request.artifacts.items()]
-            artifacts = A.hinted(artifacts, self.spark.createDataFrame(given, "repo_id string, path string, symbol string, content_hash string"))
+            given = [(*key, value, place) for place, (key, value) in enumerate(request.artifacts.items())]
+            artifacts = A.hinted(artifacts, self.spark.createDataFrame(given, "repo_id string, path string, symbol string, content_hash string, place int"))
         state = A.artifact_state(used, artifacts)
         rows = heads.join(state, "memory_id", "left").join(told, "head_commit", "left").withColumn("applicability", A.classified(request.namespace, request.workspace_id, request.repo_id, request.branch, dirty_hash))
         hidden = ["inapplicable", *(() if request.include_stale else ("stale",)), *(() if request.include_divergent else ("divergent",))]

@@ -116,5 +116,5 @@ def test_framed_keys_of_whole_pages(spark, tmp_path):
     from strataloom.plans.catalog import QUERIES
 
     spark.createDataFrame([(k, "u", "x" * 100 + t) for k, t in enumerate("aab")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    a, b, c = (r[1] for r in QUERIES["framed_page_keys"](spark, str(tmp_path)).orderBy("page_id").collect())
+    a, b, c = (r[1] for r in QUERIES["framed_keys"](spark, str(tmp_path)).orderBy("page_id").collect())
     assert a == b != c
