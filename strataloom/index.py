@@ -66,15 +66,16 @@ class Index:
 
     # writes
 
-    def add(self, rows: DataFrame | None, gone: DataFrame | None = None, stream: str | None = None, batch: int | None = None) -> Manifest:
+    def add(self, rows: DataFrame | None, gone: DataFrame | None = None, stream: str | None = None, batch: int | None = None, beside: dict[str, list[dict]] | None = None) -> Manifest:
         """A segment of rows, which replace those with the same keys, and without those of ``gone`` (key).
 
         With a stream's name and the number of its batch, a batch that was committed before changes nothing.
+        ``beside``: data folders of other tables that become part of the same commit.
         """
         m = self.versions.manifest()
         if stream is not None and m.notes.get("streams", {}).get(stream, -1) >= batch:
             return m
-        seq, add = m.version + 1, {}
+        seq, add = m.version + 1, dict(beside or {})
         split = None if rows is None else staged(P.documents(rows, self.key, self.fields), "words")
         n, length = (0, 0) if split is None else split.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         ended = gone.select(self.key) if gone is not None else None

@@ -139,14 +139,10 @@ def closes_failure(kind: Column, attributes: Column) -> Column:
     return succeeded(attributes) & kind.isin("command_result", "tool_result", "verification") & (command != "")
 
 
-def coalesced(attempts: DataFrame, verifications: int = 4, salient: int = 4, previous: DataFrame | None = None) -> DataFrame:
-    """Attempts (scope, seq, key, result, succeeded, reason) folded by key: one row a key with the last outcome, the first failure and the number of runs.
-
-    All keys that ever failed stay, and of the others the newest few of either reason.  A failure that is known from
-    before (``previous``: scope, key, result) is the first one of its key and counts as a run.
-    """
+def attempts_folded(attempts: DataFrame) -> DataFrame:
+    """Attempts (scope, seq, key, result, succeeded, reason) as one row a scope and key: the last outcome, the first failure and the number of runs."""
     rank = F.when(F.col("reason") == "verification", 3).when(F.col("reason") == "explicit_salience", 2).when(F.col("reason") == "failed_execution", 1).otherwise(0)
-    folded = attempts.groupBy("scope", "key").agg(
+    return attempts.groupBy("scope", "key").agg(
         F.max_by("result", "seq").alias("final_result"),
         F.max_by("succeeded", "seq").alias("final_succeeded"),
         F.min_by(F.when(~F.col("succeeded"), F.col("result")), F.when(~F.col("succeeded"), F.col("seq"))).alias("first_failure"),
@@ -154,9 +150,10 @@ def coalesced(attempts: DataFrame, verifications: int = 4, salient: int = 4, pre
         F.count("*").alias("runs"),
         F.max_by("reason", F.struct(rank, "seq")).alias("reason"),
     )
-    if previous is not None:
-        folded = folded.join(previous.select("scope", "key", F.col("result").alias("earlier")), ["scope", "key"], "left")
-        folded = folded.withColumn("first_failure", F.coalesce("earlier", "first_failure")).withColumn("runs", F.col("runs") + F.col("earlier").isNotNull().cast("int"))
+
+
+def attempts_told(folded: DataFrame, verifications: int = 4, salient: int = 4) -> DataFrame:
+    """Folded attempts with the text that a record of them has: all keys that ever failed, and of the others the newest few of either reason."""
     text = (
         F.when(F.col("runs") == 1, F.col("final_result"))
         .when(F.col("first_failure").isNotNull() & F.col("final_succeeded"), F.concat(F.lit("First failure: "), "first_failure", F.lit("\nFinal result: "), "final_result", F.lit("\nObserved runs: "), F.col("runs").cast("string")))
@@ -169,6 +166,43 @@ def coalesced(attempts: DataFrame, verifications: int = 4, salient: int = 4, pre
     return folded.withColumn("place", place).filter(keep).select("scope", "key", text.alias("result"), F.col("final_succeeded").alias("succeeded"), "runs", F.coalesce("reason", F.lit("failed_execution")).alias("reason"))
 
 
+def coalesced(attempts: DataFrame, verifications: int = 4, salient: int = 4, previous: DataFrame | None = None) -> DataFrame:
+    """Attempts folded by key and told.  A failure that is known from before (``previous``: scope, key, result) is the first one of its key and counts as a run."""
+    folded = attempts_folded(attempts)
+    if previous is not None:
+        folded = folded.join(previous.select("scope", "key", F.col("result").alias("earlier")), ["scope", "key"], "left")
+        folded = folded.withColumn("first_failure", F.coalesce("earlier", "first_failure")).withColumn("runs", F.col("runs") + F.col("earlier").isNotNull().cast("int"))
+    return attempts_told(folded, verifications, salient)
+
+
+def session_attempts(events: DataFrame, limit: int = S.SESSION_EVENTS) -> DataFrame:
+    """session_id, checkpoint_seq and the attempts (scope, seq, key, result, succeeded, reason) that each checkpoint folds: of the session's events since the checkpoint before, or since the last user prompt, the newest ``limit`` that count.
+
+    ``events``: (session_id, seq, event_id, kind, content, attributes).
+    """
+    a = F.col("attributes")
+    rows = events.select("session_id", "seq", *session_facts(F.col("kind"), a, F.col("content"), F.col("event_id")))
+    line = Window.partitionBy("session_id").orderBy("seq")
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("part", F.coalesce(F.sum(F.col("marker").cast("int")).over(before), F.lit(0)))
+    ends = F.max(F.when(F.col("marker"), F.col("seq"))).over(Window.partitionBy("session_id", "part"))
+    rows = rows.withColumn("checkpoint_seq", ends).filter("checkpoint_seq is not null and not marker")
+    back = Window.partitionBy("session_id", "part").orderBy(F.col("seq").desc())
+    rows = rows.withColumn("back", F.row_number().over(back)).filter(F.col("back") <= limit)
+    prompts = F.sum(F.col("prompt").cast("int")).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("prompts", prompts).filter("counts and (prompts = 0 or prompts = 1 and prompt)")
+    return rows.select(F.struct("session_id", "checkpoint_seq").alias("scope"), "seq", "key", "result", "succeeded", "reason")
+
+
+def session_facts(kind: Column, attributes: Column, content: Column, event_id: Column) -> list[Column]:
+    """What the fold of a session reads of an event: marker, prompt, counts, key, result, succeeded, reason."""
+    reason = promotion(kind, attributes, content)
+    prompt = F.coalesce((kind == "conversation_turn") & (F.get_json_object(attributes, "$.role") == "user"), F.lit(False))
+    facts = {"marker": kind == "checkpoint", "prompt": prompt, "counts": reason.isNotNull() | closes_failure(kind, attributes), "key": canonical_key(group_identity(attributes, event_id))}
+    facts |= {"result": content, "succeeded": succeeded(attributes), "reason": reason}
+    return [column.alias(name) for name, column in facts.items()]
+
+
 def checkpoint_records(checkpoints: DataFrame) -> DataFrame:
     """The records that a checkpoint (id, goal, decisions, attempts, tasks) makes, each with its fixed scores and its link's weight."""
     part = lambda name, kind, importance, confidence, weight: checkpoints.select(

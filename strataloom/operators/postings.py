@@ -55,6 +55,11 @@ def alive(rows: DataFrame, tombstones: DataFrame | None, key: str) -> DataFrame:
     return rows.join(last, (F.col(key) == F.col("_gone")) & (F.col("seq") < F.col("_since")), "left_anti")
 
 
+def _places(word: str, step: int) -> Column:
+    """Where a phrase would begin that has the word after so many others, from the column ``places``."""
+    return F.transform(F.coalesce(F.try_element_at("places", F.lit(word)), F.array().cast("array<int>")), lambda p: p - F.lit(step))
+
+
 def counted(found: DataFrame, key: str, phrases: list[list[str]], weights: list[float]) -> DataFrame:
     """key, length and counts, the weighted occurrences of each phrase, of rows with at least one; ``found``: live postings of the phrases' words, ``weights`` by field number."""
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), F.col("field").cast("int") + 1)
@@ -67,10 +72,9 @@ def counted(found: DataFrame, key: str, phrases: list[list[str]], weights: list[
     for k, phrase in enumerate(phrases):
         if len(phrase) > 1:
             own = found.filter(F.col("term").isin(*phrase)).groupBy(key, "field").agg(F.first("length").alias("length"), F.first("weight").alias("weight"), F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("places"))
-            place = lambda w: F.coalesce(F.try_element_at("places", F.lit(w)), F.array().cast("array<int>"))
-            starts = place(phrase[0])
+            starts = _places(phrase[0], 0)
             for step, word in enumerate(phrase[1:], 1):
-                starts = F.array_intersect(starts, F.transform(place(word), lambda p, step=step: p - F.lit(step)))
+                starts = F.array_intersect(starts, _places(word, step))
             parts.append(own.select(key, "length", F.lit(k).alias("k"), (F.col("weight") * F.size(starts)).alias("count")))
     rows = parts[0]
     for p in parts[1:]:

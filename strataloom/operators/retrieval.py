@@ -68,6 +68,11 @@ def eligible(heads: DataFrame, request: Request) -> DataFrame:
     return out.filter(F.col("kind").isin(*request.kinds)) if request.kinds else out
 
 
+def open_rows(corpus: Corpus, request: Request) -> DataFrame:
+    """What channels read of the eligible records: id, revision, hash and sequence number."""
+    return eligible(corpus.heads, request).select("memory_id", F.col("head_revision").alias("revision"), "content_hash", "updated_seq")
+
+
 def terms_of(query: str, most: int) -> list[str]:
     """Distinct terms of two bytes or more in order of appearance, without and, or, not and near; runs of 64 bytes are cut."""
     out: list[str] = []
@@ -95,15 +100,23 @@ def identifier_terms(query: str) -> list[str]:
     return sorted({w.lower() for w in words if w and (re.search(r"[/\\_]|::", w) or any(c.isupper() for c in w))})
 
 
+def current(corpus: Corpus) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The heads that are not retracted, and the tags, entities and artifact references of their revisions."""
+    head = corpus.heads.filter("state != 'retracted'")
+    own = head.select("memory_id", F.col("head_revision").alias("revision"))
+    return head, *(part.join(own, ["memory_id", "revision"], "left_semi") for part in (corpus.tags, corpus.entities, corpus.memory_artifacts))
+
+
 def fields(corpus: Corpus) -> DataFrame:
     """The searchable fields of every record that is not retracted."""
     def listed(df: DataFrame, value: Column, name: str) -> DataFrame:
         return df.groupBy("memory_id").agg(F.array_join(F.sort_array(F.collect_list(value)), " ").alias(name))
 
-    tags = listed(corpus.tags, F.col("tag"), "tags")
-    entities = listed(corpus.entities, F.concat_ws(" ", "canonical", "display"), "entities")
-    paths = listed(corpus.memory_artifacts.join(corpus.artifacts.select("artifact_id", "path"), "artifact_id"), F.col("path"), "paths")
-    out = corpus.heads.filter("state != 'retracted'").select("memory_id", "title", "body")
+    head, tags, entities, used = current(corpus)
+    tags = listed(tags, F.col("tag"), "tags")
+    entities = listed(entities, F.concat_ws(" ", "canonical", "display"), "entities")
+    paths = listed(used.join(corpus.artifacts.select("artifact_id", "path"), "artifact_id"), F.col("path"), "paths")
+    out = head.select("memory_id", "title", "body")
     for part in (tags, entities, paths):
         out = out.join(part, "memory_id", "left")
     return out.fillna("", ["tags", "entities", "paths"])
@@ -114,7 +127,7 @@ def bm25(indexed: DataFrame, terms: list[str], columns: dict[str, float], every:
 
     Number of rows and mean length are those of the whole table; a row's length counts all of ``every``.
     """
-    split = indexed.select(key, *(X.searchable(F.col(c)).alias(c) for c in every))
+    split = indexed.select(key, *(X.searchable(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in every))
     length = sum((X.word_count(F.col(c)) for c in every[1:]), X.word_count(F.col(every[0])))
     counts = F.array(*(sum((F.lit(w) * X.occurrences(F.col(c), X.phrase(t)) for c, w in columns.items()), F.lit(0.0)) for t in terms))
     rows = staged(split.select(key, length.alias("length"), counts.alias("counts")), "terms")  # narrow: the texts are read once
@@ -146,13 +159,13 @@ NO_TERM = ["\u2400"]
 TEXT_FIELDS = ("title", "body", "tags", "entities", "paths")
 
 
-def lexical(corpus: Corpus, request: Request, strict: bool, indexed: DataFrame | None = None) -> DataFrame:
+def lexical(corpus: Corpus, request: Request, strict: bool, indexed: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
     """BM25 over all fields: any of 24 terms, or all of the first 8 where there are two or more."""
     terms = terms_of(request.query, 8 if strict else 24)
     found = term_scores(corpus, terms) if indexed is None else indexed
     if strict:
         found = found.filter((F.col("hits") == len(terms)) & F.lit(len(terms) >= 2))
-    found = found.join(eligible(corpus.heads, request).select("memory_id"), "memory_id", "left_semi")
+    found = found.join((open_rows(corpus, request) if live is None else live).select("memory_id"), "memory_id", "left_semi")
     return ranked(found, [F.col("bm25"), F.col("memory_id")], "lexical_strict" if strict else "lexical", S.CHANNEL_LIMIT)
 
 
@@ -183,12 +196,13 @@ def alias_texts(corpus: Corpus) -> DataFrame:
     """memory_id and the aliases that its texts and names give: of tags, entities' kinds and names, artifacts' paths and symbols, title and body."""
     from strataloom.functions.aliases import alias_text
 
-    used = corpus.memory_artifacts.join(corpus.artifacts.select("artifact_id", "path", "symbol"), "artifact_id")
-    names = corpus.tags.select("memory_id", F.col("tag").alias("name"))
-    for part in (corpus.entities.select("memory_id", F.explode(F.array("entity_kind", "canonical", "display")).alias("name")), used.select("memory_id", F.explode(F.array("path", "symbol")).alias("name"))):
+    head, tags, entities, used = current(corpus)
+    used = used.join(corpus.artifacts.select("artifact_id", "path", "symbol"), "artifact_id")
+    names = tags.select("memory_id", F.col("tag").alias("name"))
+    for part in (entities.select("memory_id", F.explode(F.array("entity_kind", "canonical", "display")).alias("name")), used.select("memory_id", F.explode(F.array("path", "symbol")).alias("name"))):
         names = names.unionByName(part)
     structured = names.filter("name is not null").groupBy("memory_id").agg(F.sort_array(F.collect_set("name")).alias("structured"))
-    texts = corpus.heads.filter("state != 'retracted'").join(structured, "memory_id", "left")
+    texts = head.join(structured, "memory_id", "left")
     return texts.select("memory_id", alias_text("title", "body", "structured").alias("aliases"))
 
 
@@ -200,17 +214,17 @@ def alias_scores(corpus: Corpus, terms: list[str]) -> DataFrame:
     return bm25(alias_texts(corpus), terms or NO_TERM, weights, ("aliases",))
 
 
-def code_alias(corpus: Corpus, request: Request, strict: bool, indexed: DataFrame | None = None) -> DataFrame:
+def code_alias(corpus: Corpus, request: Request, strict: bool, indexed: DataFrame | None = None, live: DataFrame | None = None) -> DataFrame:
     """BM25 over generated aliases alone."""
     terms = terms_of(request.query, 8 if strict else 24)
     found = alias_scores(corpus, terms) if indexed is None else indexed
     if strict:
         found = found.filter((F.col("hits") == len(terms)) & F.lit(len(terms) >= 2))
-    found = found.join(eligible(corpus.heads, request).select("memory_id"), "memory_id", "left_semi")
+    found = found.join((open_rows(corpus, request) if live is None else live).select("memory_id"), "memory_id", "left_semi")
     return ranked(found, [F.col("bm25"), F.col("memory_id")], "code_alias_strict" if strict else "code_alias", S.CHANNEL_LIMIT)
 
 
-def expansion(corpus: Corpus, request: Request) -> DataFrame:
+def expansion(corpus: Corpus, request: Request, live: DataFrame | None = None) -> DataFrame:
     """BM25 over expansion texts of current projections of active profiles; the best of a record's profiles counts."""
     texts = corpus.expansions.withColumn("row", F.struct("memory_id", "profile"))
     terms, weights = terms_of(request.query, 24), {"expansions": S.FIELD_WEIGHTS["expansions"]}
@@ -218,7 +232,7 @@ def expansion(corpus: Corpus, request: Request) -> DataFrame:
         found = index.scores(terms, weights)
     else:
         found = bm25(texts, terms or NO_TERM, weights, ("expansions",), key="row")
-    heads = eligible(corpus.heads, request).select("memory_id", F.col("head_revision").alias("revision"), "content_hash")
+    heads = (open_rows(corpus, request) if live is None else live).drop("updated_seq")
     alive = texts.filter("active").join(heads, ["memory_id", "revision", "content_hash"]).select("row", "memory_id")
     best = found.join(alive, "row").groupBy("memory_id").agg(F.min("bm25").alias("bm25"))
     return ranked(best, [F.col("bm25"), F.col("memory_id")], "semantic_expansion", S.CHANNEL_LIMIT)
@@ -235,10 +249,10 @@ def terms_frame(corpus: Corpus, terms: list[str]) -> DataFrame:
     return F.broadcast(corpus.spark.createDataFrame([(t,) for t in terms], "term string"))  # a query's terms, 16 at most
 
 
-def sparse(corpus: Corpus, request: Request) -> DataFrame:
+def sparse(corpus: Corpus, request: Request, live: DataFrame | None = None) -> DataFrame:
     """Identifier terms in artifact paths and symbols, and as tags."""
     terms = terms_frame(corpus, identifier_terms(request.query)[:8])
-    heads = eligible(corpus.heads, request).select("memory_id", F.col("head_revision").alias("revision"), "updated_seq")
+    heads = (open_rows(corpus, request) if live is None else live).drop("content_hash")
     used = corpus.memory_artifacts.join(corpus.artifacts, "artifact_id")
     by_path = used.join(terms, X.contains(F.col("path"), F.col("term")) | (X.ascii_lower(F.col("symbol")) == F.col("term")))
     by_tag = corpus.tags.join(terms, X.ascii_lower(F.col("tag")) == F.col("term"))
@@ -246,27 +260,27 @@ def sparse(corpus: Corpus, request: Request) -> DataFrame:
     return listed(both.join(heads, ["memory_id", "revision"]), ["term", "list"], "sparse")
 
 
-def entity(corpus: Corpus, request: Request) -> DataFrame:
+def entity(corpus: Corpus, request: Request, live: DataFrame | None = None) -> DataFrame:
     """Entities whose canonical name or display name, by ASCII case, is a term or a hint."""
     wanted = sorted({*(e.lower() for e in request.entities), *identifier_terms(request.query)})[:16]
     terms = terms_frame(corpus, wanted)
-    heads = eligible(corpus.heads, request).select("memory_id", F.col("head_revision").alias("revision"), "updated_seq")
+    heads = (open_rows(corpus, request) if live is None else live).drop("content_hash")
     keys = F.array_distinct(F.array(F.col("canonical"), X.ascii_lower(F.col("display"))))
     named = corpus.entities.select("memory_id", "revision", F.explode(keys).alias("term")).join(terms, "term").distinct()
     return listed(named.join(heads, ["memory_id", "revision"]), ["term"], "entity")
 
 
-def error_fingerprint(corpus: Corpus, request: Request) -> DataFrame:
+def error_fingerprint(corpus: Corpus, request: Request, live: DataFrame | None = None) -> DataFrame:
     """Records whose event's attribute is the request's fingerprint, newest first."""
     found = corpus.fingerprints.filter(F.col("fingerprint") == request.error_fingerprint).select("memory_id").distinct()
-    rows = eligible(corpus.heads, request).join(found, "memory_id")
+    rows = (open_rows(corpus, request) if live is None else live).join(found, "memory_id")
     return ranked(rows, [F.col("updated_seq").desc(), F.col("memory_id")], "error_fingerprint", S.CHANNEL_LIMIT)
 
 
-def dense(corpus: Corpus, request: Request, exact_limit: int = S.DENSE_EXACT_LIMIT) -> DataFrame:
+def dense(corpus: Corpus, request: Request, exact_limit: int = S.DENSE_EXACT_LIMIT, live: DataFrame | None = None) -> DataFrame:
     """Cosine of current vectors; beyond ``exact_limit`` eligible ones only for the nearest by signature."""
     query = F.array(*(F.lit(float(x)).cast("float") for x in request.vector))
-    heads = eligible(corpus.heads, request).select("memory_id", F.col("head_revision").alias("revision"), "content_hash")
+    heads = (open_rows(corpus, request) if live is None else live).drop("updated_seq")
     rows = corpus.projections.filter("vector is not null").join(heads, ["memory_id", "revision", "content_hash"]).filter(V.is_valid(F.col("vector")))
     if rows.limit(exact_limit + 1).count() > exact_limit:
         rows = rows.withColumn("distance", V.hamming(V.signature("vector"), V.signature(query))).orderBy("distance", "memory_id").limit(S.CHANNEL_LIMIT)
@@ -274,8 +288,8 @@ def dense(corpus: Corpus, request: Request, exact_limit: int = S.DENSE_EXACT_LIM
     return ranked(rows, [F.col("cosine").desc(), F.col("memory_id")], "dense", S.CHANNEL_LIMIT)
 
 
-def recent(corpus: Corpus, request: Request) -> DataFrame:
-    return ranked(eligible(corpus.heads, request), [F.col("updated_seq").desc(), F.col("memory_id")], "recency", S.RECENT_LIMIT)
+def recent(corpus: Corpus, request: Request, live: DataFrame | None = None) -> DataFrame:
+    return ranked(open_rows(corpus, request) if live is None else live, [F.col("updated_seq").desc(), F.col("memory_id")], "recency", S.RECENT_LIMIT)
 
 
 def channels(corpus: Corpus, request: Request, generated: bool = False) -> DataFrame:
@@ -287,14 +301,15 @@ def channels(corpus: Corpus, request: Request, generated: bool = False) -> DataF
     scanned = getattr(corpus, "text_index", None) is None  # scores from postings are not worth writing down
     once = staged if scanned else lambda df, name: df
     indexed = once(term_scores(corpus, terms), "bm25") if len(terms) <= 8 else None
-    made = [exact(corpus, request), lexical(corpus, request, True, indexed), lexical(corpus, request, False, indexed), sparse(corpus, request), entity(corpus, request), recent(corpus, request)]
+    live = staged(open_rows(corpus, request), "eligible")
+    made = [exact(corpus, request), lexical(corpus, request, True, indexed, live), lexical(corpus, request, False, indexed, live), sparse(corpus, request, live), entity(corpus, request, live), recent(corpus, request, live)]
     if generated:
         aliased = once(alias_scores(corpus, terms), "aliases") if len(terms) <= 8 else None
-        made += [code_alias(corpus, request, True, aliased), code_alias(corpus, request, False, aliased), expansion(corpus, request)]
+        made += [code_alias(corpus, request, True, aliased, live), code_alias(corpus, request, False, aliased, live), expansion(corpus, request, live)]
     if request.error_fingerprint:
-        made.append(error_fingerprint(corpus, request))
+        made.append(error_fingerprint(corpus, request, live))
     if request.vector:
-        made.append(dense(corpus, request))
+        made.append(dense(corpus, request, live=live))
     out = made[0]
     for m in made[1:]:
         out = out.unionByName(m)

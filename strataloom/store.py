@@ -1,10 +1,12 @@
 """A store of events and records over append-only Parquet tables: the write path, and every read as a view.
 
-A write appends rows to the tables' folders under one path and changes nothing
-that is there.  The current revision and state of a record are views over the
-log.  Writes come in batches that fit the driver (an agent's requests, or a
+A write adds rows to the tables in one commit (``sources/versions``) and changes
+nothing that is there: all of it is seen or nothing, and of two writers with one
+base the second is refused.  A store is read as of its last version; ``at`` pins
+one, so that a reader's steps see the same rows whatever is written between.
+The current revision and state of a record are views over the log.  Writes come in batches that fit the driver (an agent's requests, or a
 checkpoint's records); what they look up is filtered to their own ids and keys.
-Large loads append to the tables directly.  One writer at a time.
+Large loads are ``bulk``.
 
 The views have the names and columns that the retrieval operators read, so
 ``recall`` runs the same plans over a store as over any other corpus.
@@ -17,22 +19,26 @@ import json
 import math
 import time
 import uuid
+from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom import schemas as S
 from strataloom.functions import text as X
+from strataloom.index import Index
 from strataloom.operators import applicability as A
 from strataloom.operators import ledger as L
 from strataloom.operators import retrieval as R
 from strataloom.operators import selection
 from strataloom.sources import files, snapshot
-from strataloom.sources.scratch import remove
+from strataloom.sources.scratch import remove, staged
+from strataloom.sources.versions import Conflict, Manifest, Versions
+
+__all__ = ["Conflict", "Store"]
 
 SCOPE = "namespace string, workspace_id string, repo_id string, branch string"
 TABLES = {
@@ -58,10 +64,6 @@ LIMITS = {"title": 4096, "body": 1 << 20, "content": 1 << 20, "canonical_key": 5
 COUNTS = {"tags": 64, "entities": 128, "artifacts": 128, "evidence": 256, "links": 128}
 
 
-class Conflict(ValueError):
-    """A request that contradicts what is stored."""
-
-
 def digest(*parts: str) -> str:
     """SHA-256 of parts, each behind its length."""
     h = hashlib.sha256()
@@ -114,24 +116,44 @@ def proved(e: dict, scope: tuple, events: dict[str, dict]) -> tuple:
 
 
 class Store:
-    """Tables under a path (a local or remote folder) of one session."""
+    """Tables under a path (a local or remote folder) of one session.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path.rstrip("/")
+    ``pinned``: the version that is read, else the last one.  ``indexed``: keep inverted indexes beside the tables, which a
+    recall brings up to date with what was written since and then asks instead of the texts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, pinned: Manifest | None = None, indexed: bool = False) -> None:
+        self.spark, self.path, self.versions, self.pinned, self.indexed = spark, path.rstrip("/"), Versions(spark, path), pinned, indexed
 
     # tables and views
 
-    def table(self, name: str) -> DataFrame:
-        schema = T.StructType.fromDDL(TABLES[name]) if hasattr(T.StructType, "fromDDL") else self.spark.createDataFrame([], TABLES[name]).schema
-        try:
-            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        except AnalysisException:  # nothing was written yet
-            return self.spark.createDataFrame([], schema)
+    def manifest(self) -> Manifest:
+        return self.pinned or self.versions.manifest()
 
-    def append(self, rows: dict[str, list[tuple]]) -> None:
-        for name, some in rows.items():
-            if some:
-                self.spark.createDataFrame(some, TABLES[name]).coalesce(1).write.mode("append").parquet(f"{self.path}/{name}")
+    def at(self, version: int | None = None) -> Store:
+        """The store as of a version, the present one by default; what is written later does not show in it."""
+        return Store(self.spark, self.path, self.versions.manifest(version) if version is not None else self.manifest(), self.indexed)
+
+    def table(self, name: str) -> DataFrame:
+        return self.versions.read(self.manifest(), name, T.StructType.fromDDL(TABLES[name]))
+
+    def append(self, rows: dict[str, list[tuple]], base: Manifest | None = None) -> None:
+        """Rows of several tables in one commit, after the version that they were made from."""
+        self.bulk({name: self.spark.createDataFrame(some, TABLES[name]).coalesce(1) for name, some in rows.items() if some}, base)
+
+    def bulk(self, tables: dict[str, DataFrame], base: Manifest | None = None) -> None:
+        """Whole tables in one commit, written by Spark's tasks."""
+        if self.pinned is not None:
+            raise Conflict("a pinned store is not written to")
+        base = base or self.versions.manifest()
+        added = {name: [self.versions.write(name, df)] for name, df in tables.items()}
+        if added:
+            self.versions.commit(base, added)
+
+    def compact(self) -> None:
+        """Make one folder of the many small ones that single writes leave, table by table, each in a commit of its own."""
+        for name in TABLES:
+            self.versions.compact(self.versions.manifest(), name, T.StructType.fromDDL(TABLES[name]))
 
     def watermark(self) -> int:
         return self.table("events").agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
@@ -193,6 +215,53 @@ class Store:
     def feedback(self) -> DataFrame:
         return self.table("feedback")
 
+    # kept indexes
+
+    def index(self, name: str) -> Index:
+        """One of the indexes ``text``, ``aliases`` and ``expansions``."""
+        key, kind, names = _INDEXES[name]
+        return Index(self.spark, f"{self.path}/index/{name}", key, kind, names)
+
+    def _asked(self, name: str) -> Index | None:
+        """The index, if it is of the version that is read."""
+        if not self.indexed:
+            return None
+        found = self.index(name).at()
+        return found if found.pinned.notes.get("streams", {}).get("store", -1) == self.manifest().version else None
+
+    @property
+    def text_index(self) -> Index | None:
+        return self._asked("text")
+
+    @property
+    def alias_index(self) -> Index | None:
+        return self._asked("aliases")
+
+    @property
+    def expansion_index(self) -> Index | None:
+        return self._asked("expansions")
+
+    def refresh(self) -> None:
+        """Bring the indexes up to the present version, by the records that the commits since theirs have touched; the folders that a manifest has more than an older one name them."""
+        now = self.manifest()
+        for name in _INDEXES:
+            index = self.index(name)
+            then = index.versions.manifest().notes.get("streams", {}).get("store", 0)
+            if then >= now.version:
+                continue
+            before = self.versions.manifest(then)
+            more = lambda table: self.versions.read(Manifest(0, {table: [e for e in now.entries(table) if e not in before.entries(table)]}), table, T.StructType.fromDDL(TABLES[table]))  # noqa: B023, E731
+            if name == "expansions":
+                changed = more("projection_rows").select("memory_id", "profile").distinct()
+                rows = self.expansions.join(changed, ["memory_id", "profile"], "left_semi").select(F.struct("memory_id", "profile").alias("row"), "expansions")
+                gone = None
+            else:
+                changed = staged(more("revisions").select("memory_id").union(more("facts").select("memory_id")).distinct(), "changed")
+                part = _Part(self, changed)
+                rows, gone = R.fields(part) if name == "text" else R.alias_texts(part), changed
+            index.add(rows, gone, "store", now.version)
+            index.merge()
+
     # writes
 
     def _replayed(self, operation: str, request: dict) -> dict | None:
@@ -222,10 +291,11 @@ class Store:
         r = checked(request)
         if (old := self._replayed("observe", r)) is not None:
             return old
-        seq = self.watermark() + 1
+        view = self.at()
+        seq = view.watermark() + 1
         event = self._event(r, r.get("kind", "manual_note"), r.get("content") or "", seq, _now())
         receipt = {"event_id": event[1], "seq": seq}
-        self.append({"events": [event], "requests": self._ledger("observe", r, receipt, seq)})
+        self.append({"events": [event], "requests": self._ledger("observe", r, receipt, seq)}, view.pinned)
         return receipt | {"replayed": False}
 
     def remember(self, request: dict) -> dict:
@@ -233,15 +303,20 @@ class Store:
 
     def remember_many(self, requests: list[dict]) -> list[dict]:
         """Records as new ones or as revisions of those with the same id or open canonical key, in order; nothing is written if one is refused."""
-        ready = [checked(r) for r in requests]
+        view, rows = self.at(), {name: [] for name in TABLES}
+        out, _ = view._planned([checked(r) for r in requests], rows, view.watermark())
+        self.append(rows, view.pinned)
+        return out
+
+    def _planned(self, ready: list[dict], rows: dict[str, list[tuple]], seq: int) -> tuple[list[dict], int]:
+        """The rows that records make after a sequence number, added to ``rows``; their receipts and the last number."""
         ids, keys = [r["memory_id"] for r in ready if r.get("memory_id")], [r["canonical_key"] for r in ready if r.get("canonical_key")]
         targets = [link["target"] for r in ready for link in r.get("links") or ()]
         heads = self.heads.filter(F.col("memory_id").isin(*ids, *targets) | F.col("canonical_key").isin(*keys)).collect() if ids or keys or targets else []
         known = {h["memory_id"]: h.asDict() for h in heads}
         sources = [e["event_id"] for r in ready for e in r.get("evidence") or ()]
         events = {e["event_id"]: e.asDict() for e in self.table("events").filter(F.col("event_id").isin(*sources)).collect()} if sources else {}
-        rows: dict[str, list[tuple]] = {name: [] for name in TABLES}
-        out, seq, now = [], self.watermark(), _now()
+        out, now = [], _now()
         for r in ready:
             if (old := self._replayed("remember", r)) is not None:
                 out.append(old)
@@ -249,8 +324,7 @@ class Store:
             seq += 1
             out.append(self._upsert(r, rows, known, events, seq, now) | {"replayed": False})
             rows["requests"] += self._ledger("remember", r, {k: v for k, v in out[-1].items() if k != "replayed"}, seq)
-        self.append(rows)
-        return out
+        return out, seq
 
     def _upsert(self, r: dict, rows: dict[str, list[tuple]], known: dict[str, dict], events: dict[str, dict], seq: int, now: int) -> dict:
         kind = r.get("kind", "fact")
@@ -325,10 +399,12 @@ class Store:
             made.append(scope | part(900) | {"kind": "outcome", "title": f"{word} attempt: {a['action']}", "body": body, "importance": 0.72 if a["succeeded"] else 0.78, "confidence": 0.88, "canonical_key": a.get("canonical_key"), "attributes": about})
         for t in r.get("open_tasks") or ():
             made.append(scope | part(850) | {"kind": "task", "title": f"Open task: {t}", "body": t, "importance": 0.68, "confidence": 0.90})
-        receipts = self.remember_many(made)
-        event = self.observe(scope | {"kind": "checkpoint", "content": r["goal"]})
-        receipt = {"episode_id": episode, "memory_ids": [x["memory_id"] for x in receipts], "first_seq": receipts[0]["seq"], "seq": event["seq"]}
-        self.append({"requests": self._ledger("checkpoint", r, receipt, event["seq"])})
+        view, rows = self.at(), {name: [] for name in TABLES}
+        receipts, seq = view._planned([checked(m) for m in made], rows, view.watermark())
+        rows["events"].append(self._event(checked(scope | {"content": r["goal"]}), "checkpoint", checked(scope | {"content": r["goal"]})["content"], seq + 1, _now()))
+        receipt = {"episode_id": episode, "memory_ids": [x["memory_id"] for x in receipts], "first_seq": receipts[0]["seq"], "seq": seq + 1}
+        rows["requests"] += self._ledger("checkpoint", r, receipt, seq + 1)
+        self.append(rows, view.pinned)  # records, marker and receipt in one commit
         return receipt | {"replayed": False}
 
     def _before(self, request: dict) -> int | None:
@@ -375,9 +451,11 @@ class Store:
         head = self.get(memory_id, scope)
         if head is None:
             raise ValueError("no such record")
-        receipt = self.observe({c: head[c] for c in ("namespace", "workspace_id", "repo_id", "branch")} | {"kind": "memory_retracted", "content": reason})
-        self.append({"facts": [(memory_id, receipt["seq"], "retracted")]})
-        return receipt
+        view = self.at()
+        seq, r = view.watermark() + 1, checked({c: head[c] for c in OWN} | {"content": reason})
+        event = self._event(r, "memory_retracted", r["content"], seq, _now())
+        self.append({"events": [event], "facts": [(memory_id, seq, "retracted")]}, view.pinned)
+        return {"event_id": event[1], "seq": seq, "replayed": False}
 
     def register_profile(self, profile_id: str, model_digest: str, dimensions: int | None = None) -> None:
         old = self.profiles.filter(F.col("profile_id") == profile_id).first()
@@ -469,57 +547,93 @@ class Store:
         ``request.artifacts`` gives current hashes by (repo_id, path, symbol); with the ``root`` of the caller's working
         tree, those of the candidates' files are looked up too.
         """
-        found = R.candidates(R.channels(self, request, generated=True))
-        heads = self.heads.join(found, "memory_id")
-        told = A.relation(heads.filter("head_commit is not null").select(F.col("head_commit").alias("stored"), F.lit(request.head_commit).cast("string").alias("current")), self.commits).select(F.col("stored").alias("head_commit"), "relation")
-        used, artifacts = self.memory_artifacts.join(heads.select("memory_id", F.col("head_revision").alias("revision")), ["memory_id", "revision"], "left_semi"), self.artifacts
+        return self.hydrate(self.stage_recall(request, dirty_hash, root))
+
+    def stage_recall(self, request: R.Request, dirty_hash: str | None = None, root: str | None = None) -> Recalled:
+        """The first step of a recall: the chosen revisions with their states, scores and the first characters of their bodies, as of one version."""
+        if self.indexed and self.pinned is None:
+            self.refresh()
+        view = self.at()
+        found = R.candidates(R.channels(view, request, generated=True))
+        heads = staged(view.heads.join(found, "memory_id").withColumn("body", F.substring("body", 1, S.PREVIEW_CHARS)), "heads")  # 1,024 candidates
+        told = A.relation(heads.filter("head_commit is not null").select(F.col("head_commit").alias("stored"), F.lit(request.head_commit).cast("string").alias("current")), view.commits).select(F.col("stored").alias("head_commit"), "relation")
+        used, artifacts = view.memory_artifacts.join(heads.select("memory_id", F.col("head_revision").alias("revision")), ["memory_id", "revision"], "left_semi"), view.artifacts
         if root is not None and request.repo_id is not None:
             order = Window.orderBy(F.col("base").desc(), "memory_id")  # of 1,024 candidates
-            ranked = used.join(found.select("memory_id", F.row_number().over(order).alias("candidate_rank")), "memory_id").drop("revision")
-            artifacts = A.hinted(artifacts, self.current_hashes(ranked, artifacts, request.repo_id, root))
+            ranked = used.join(heads.select("memory_id", F.row_number().over(order).alias("candidate_rank")), "memory_id").drop("revision")
+            artifacts = A.hinted(artifacts, view.current_hashes(ranked, artifacts, request.repo_id, root))
         if request.artifacts:
             given = [(*key, value, place) for place, (key, value) in enumerate(request.artifacts.items())]
             artifacts = A.hinted(artifacts, self.spark.createDataFrame(given, "repo_id string, path string, symbol string, content_hash string, place int"))
         state = A.artifact_state(used, artifacts)
         rows = heads.join(state, "memory_id", "left").join(told, "head_commit", "left").withColumn("applicability", A.classified(request.namespace, request.workspace_id, request.repo_id, request.branch, dirty_hash))
         hidden = ["inapplicable", *(() if request.include_stale else ("stale",)), *(() if request.include_divergent else ("divergent",))]
-        rows = R.scored(R.with_verified(rows).join(R.utility(self.feedback), "memory_id", "left").filter(~F.col("applicability").isin(*hidden)), request.as_of_ms)
+        rows = R.scored(R.with_verified(rows).join(R.utility(view.feedback), "memory_id", "left").filter(~F.col("applicability").isin(*hidden)), request.as_of_ms)
         limit, budget = request.bounded()
-        pool = {r["memory_id"]: r.asDict() for r in rows.orderBy(F.col("score").desc(), "memory_id").limit(R.pool_size(limit)).withColumnRenamed("head_revision", "revision").collect()}  # 512 at most
-        order = selection.diverse([(k, r["score"], f"{r['title']} {r['body'][: S.PREVIEW_CHARS]}") for k, r in pool.items()], limit)
-        hits, text, tokens = selection.packed([pool[k] for k in order], budget)
-        return {"hits": hits, "rendered": text, "tokens": tokens, "watermark": self.watermark()}
+        pool = {r["memory_id"]: r.asDict() for r in rows.orderBy(F.col("score").desc(), "memory_id").limit(R.pool_size(limit)).withColumnRenamed("head_revision", "revision").collect()}  # 512 at most, with previews
+        order = selection.diverse([(k, r["score"], f"{r['title']} {r['body']}") for k, r in pool.items()], limit)
+        return Recalled(view.pinned, [pool[k] for k in order], budget)
+
+    def hydrate(self, found: Recalled) -> dict:
+        """The second step: the bodies of the chosen revisions, those of the first step's version whatever was written since, packed into the budget."""
+        view = Store(self.spark, self.path, found.manifest)
+        pinned = self.spark.createDataFrame([(h["memory_id"], h["revision"]) for h in found.hits], "memory_id string, revision long")  # 100 at most
+        rows = view.table("revisions").join(F.broadcast(pinned), ["memory_id", "revision"]).select("memory_id", F.substring("body", 1, 3 * found.budget + 1).alias("body"))
+        bodies = {r["memory_id"]: r["body"] for r in rows.collect()}
+        hits, text, tokens = selection.packed([h | {"body": bodies[h["memory_id"]]} for h in found.hits], found.budget)
+        return {"hits": hits, "rendered": text, "tokens": tokens, "watermark": view.watermark(), "version": found.manifest.version}
 
     # snapshots
 
     def inspect(self) -> dict:
         """Without a write: what sets each written table's schema apart from the model's, and the counts of broken invariants."""
-        schemas = {}
+        m, schemas = self.manifest(), {}
         for name in TABLES:
-            try:
-                found = self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/{name}").schema
-            except AnalysisException:  # nothing was written yet
-                continue
-            if differ := snapshot.differences(found, T.StructType.fromDDL(TABLES[name])):
-                schemas[name] = differ
+            if entries := m.entries(name):
+                found = self.spark.read.option("mergeSchema", "true").parquet(*(f"{self.path}/{e['path']}" for e in entries)).schema
+                if differ := snapshot.differences(found, T.StructType.fromDDL(TABLES[name])):
+                    schemas[name] = differ
         broken = L.violations(self.heads, self.table("revisions"), self.table("links")).collect()  # a row a check
         return {"schemas": schemas, "violations": {r["check"]: r["findings"] for r in broken}}
 
     def purge(self) -> None:
-        """Delete the store's tables, and nothing else under its path."""
-        for name in TABLES:
+        """Delete the store's data and versions, and nothing else under its path."""
+        for name in ("manifests", "data", "index"):
             remove(self.spark, f"{self.path}/{name}")
 
     def export(self, path: str) -> None:
         snapshot.export({name: self.table(name) for name in TABLES}, path)
 
     def load(self, path: str) -> None:
-        """Fill an empty store from a snapshot, all of it or nothing."""
-        if any(not self.table(name).isEmpty() for name in TABLES):
+        """Fill an empty store from a snapshot in one commit, all of it or nothing."""
+        base = self.versions.manifest()
+        if any(base.entries(name) for name in TABLES):
             raise Conflict("the store is not empty")
-        tables = snapshot.load(self.spark, path, {name: self.table(name).schema for name in TABLES})
-        for name, df in tables.items():
-            df.write.mode("append").parquet(f"{self.path}/{name}")
+        self.bulk(snapshot.load(self.spark, path, {name: T.StructType.fromDDL(TABLES[name]) for name in TABLES}), base)
+
+
+_INDEXES = {
+    "text": ("memory_id", "string", R.TEXT_FIELDS),
+    "aliases": ("memory_id", "string", ("aliases",)),
+    "expansions": ("row", "struct<memory_id: string, profile: string>", ("expansions",)),
+}
+
+
+class _Part:
+    """The tables of some of a store's records, as the index reads them."""
+
+    def __init__(self, store: Store, ids: DataFrame) -> None:
+        own = lambda df: df.join(ids, "memory_id", "left_semi")
+        self.heads, self.tags, self.entities, self.memory_artifacts, self.artifacts = own(store.heads), own(store.tags), own(store.entities), own(store.memory_artifacts), store.artifacts
+
+
+@dataclass(frozen=True)
+class Recalled:
+    """What the first step of a recall chose, and the version that it saw."""
+
+    manifest: Manifest
+    hits: list[dict]
+    budget: int
 
 
 def _now() -> int:

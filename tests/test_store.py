@@ -141,7 +141,8 @@ def test_inspect_and_purge(spark, store):
     store.remember(SCOPE | {"memory_id": "a", "title": "t"})
     told = store.inspect()
     assert told["schemas"] == {} and set(told["violations"].values()) == {0}
-    spark.createDataFrame([("a", 1)], "memory_id string, extra int").write.mode("append").parquet(f"{store.path}/feedback")
+    odd = store.versions.write("feedback", spark.createDataFrame([("a", 1)], "memory_id string, extra int"))
+    store.versions.commit(store.versions.manifest(), {"feedback": [odd]})
     assert store.inspect()["schemas"]["feedback"] == ["seq is missing", "signal is missing", "extra is unknown"]
     store.purge()
     assert store.status() == {"states": {}, "events": 0, "watermark": 0}
