@@ -2,14 +2,16 @@
 
 A word's likelihood in a language is the sum, over all ways to cut it into
 pieces of the vocabulary, of the product of the pieces' probabilities; a
-forward pass adds them up.  Piece probabilities are fitted for each language
+forward pass adds them up.  Words of up to ``TOGETHER`` characters go through it
+many at a time; of a longer one the pass keeps the sums of the last positions
+that a piece can reach back to, so memory does not grow with the word and no
+segmentation is left out.  Piece probabilities are fitted for each language
 by expectation maximisation over a bounded sample of labelled texts: all words
 of the ``SAMPLE`` documents of each language with the smallest MD5 of their id
-(a parameter); executors count the words, and the driver gets the counts.  A
-text's score for a language is the sum over all its words; the answer is the
-most likely language and its posterior with equal priors.  A run of more than
-``LONGEST`` characters without white space counts as several words, cut after
-every so many.
+(a parameter), those of more than ``FITTED`` characters in parts of so many;
+executors count the words, and the driver gets the counts.  A text's score for
+a language is the sum over all its words; the answer is the most likely
+language and its posterior with equal priors.
 
 Only pieces that are lower case count, and texts are put in lower case.  A
 character that is no piece costs the same in all languages.
@@ -38,8 +40,10 @@ from .shared import first_by_hash, kept, position, small_batches, take
 
 #: Documents of each language that a model is fitted to.
 SAMPLE = 400
-#: Characters of a word; more are further words.
-LONGEST = 64
+#: Characters of a word that is scored with others, and of a block of a longer one.
+TOGETHER = 1024
+#: Characters of a word that is fitted to, and of one whose likelihoods a worker keeps.
+FITTED = 64
 ROUNDS = 4
 #: Probability that a character has outside the vocabulary, and the weight of the even share in each fitted probability.
 FLOOR, EVEN = 1e-6, 0.02
@@ -105,15 +109,16 @@ class Lattice:
             at = (at + 1) % len(self.ids)
         return out
 
-    def cut(self, words: list[str]) -> np.ndarray:
-        """Piece ids by (word, start, length - 1) for words of like length; -1: no piece."""
-        width = max(map(len, words)) + 1
-        flat = np.frombuffer("".join(START + w + "\0" * (width - 1 - len(w)) for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    def cut(self, words: list[str], start: str = START) -> np.ndarray:
+        """Piece ids by (word, start, length - 1) for words of like length, each behind ``start``; -1: no piece."""
+        words = [start + w for w in words]
+        width = max(map(len, words))
+        flat = np.frombuffer("".join(w + "\0" * (width - len(w)) for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         codes = flat.reshape(len(words), width) + np.uint64(1)
         sums = np.zeros((len(words), width + 1), np.uint64)
         np.cumsum(codes * _powers(_BASE, width), axis=1, out=sums[:, 1:])
         back = _powers(_BACK, width)
-        ends = np.array([len(w) + 1 for w in words])
+        ends = np.array([*map(len, words)])
         longest = min(self.longest, width)
         out = np.full((len(words), width, longest), -1, np.int32)
         for size in range(1, longest + 1):
@@ -131,7 +136,7 @@ def groups(words: list[str], limit: int = 60_000) -> Iterator[list[int]]:
     first = 0
     while first < len(order):
         least, last = len(words[order[first]]), first + 1
-        while last < len(order) and len(words[order[last]]) <= least + 3 and (last - first) * (least + 4) < limit:
+        while last < len(order) and len(words[order[last]]) <= least + max(3, least // 16) and (last - first) * (least + 4) < limit:
             last += 1
         yield order[first:last]
         first = last
@@ -151,9 +156,14 @@ class Model:
     def likelihoods(self, words: list[str]) -> np.ndarray:
         """Logarithms by (word, language)."""
         out = np.empty((len(words), len(self.names)), np.float64)
-        for some in groups(words):
+        short = [k for k, w in enumerate(words) if len(w) <= TOGETHER]
+        for some in groups([words[k] for k in short]):
+            some = [short[k] for k in some]
             own = [words[k] for k in some]
             out[some] = forward(self.lattice.cut(own), np.array([len(w) + 1 for w in own]), self.table)[1]
+        for k, w in enumerate(words):
+            if len(w) > TOGETHER:
+                out[k] = long_forward(self.lattice, START + w, self.table)
         return out
 
 
@@ -186,6 +196,26 @@ def forward(cut: np.ndarray, ends: np.ndarray, table: np.ndarray) -> tuple[np.nd
     return sums, out, scale
 
 
+def long_forward(lattice: Lattice, word: str, table: np.ndarray, block: int = TOGETHER) -> np.ndarray:
+    """Logarithms of one word's sums by language, with the sums of no more positions than a piece is long."""
+    longest = lattice.longest
+    ahead, log = np.zeros((longest + 1, table.shape[1])), 0.0  # sums so far at this position and the next ones, over exp(log)
+    ahead[0] = 1
+    for begin in range(0, len(word), block):
+        ids = lattice.cut([word[begin : begin + block + longest - 1]], "")[0]
+        chances = table[ids]  # -1 is the last row, zero
+        chances[ids[:, 0] < 0, 0] = FLOOR
+        reach = chances.shape[1]
+        for own in chances[:block]:
+            top = ahead[0].max()
+            log += np.log(max(top, 1e-300))
+            ahead /= max(top, 1e-300)
+            ahead[1 : reach + 1] += ahead[0] * own
+            ahead[:-1] = ahead[1:]
+            ahead[-1] = 0
+    return np.log(np.maximum(ahead[0], 1e-300)) + log
+
+
 def expected(lattice: Lattice, words: list[str], counts: np.ndarray, probabilities: np.ndarray) -> np.ndarray:
     """Expected number of uses of each piece over all segmentations of counted words."""
     table = np.append(probabilities, 0.0)[:, None]
@@ -211,10 +241,12 @@ def expected(lattice: Lattice, words: list[str], counts: np.ndarray, probabiliti
 
 def words_of(text: str | None) -> list[str]:
     """The words of a text, in lower case."""
-    words = (text or "").lower().split()
-    if max(map(len, words), default=0) > LONGEST:
-        words = [w[k : k + LONGEST] for w in words for k in range(0, len(w), LONGEST)]
-    return words
+    return (text or "").lower().split()
+
+
+def fitted_words(text: str | None) -> list[str]:
+    """The words of a text that a model is fitted to, long ones in parts."""
+    return [w[k : k + FITTED] for w in words_of(text) for k in range(0, len(w), FITTED)]
 
 
 def fit(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> Model:
@@ -242,7 +274,7 @@ def learn(docs: DataFrame, pieces_path: str, sample: int = SAMPLE) -> Model:
         for batch in batches:
             by: dict[str, Counter] = {}
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                by.setdefault(name, Counter()).update(words_of(text))
+                by.setdefault(name, Counter()).update(fitted_words(text))
             for name, words in by.items():
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(words), pa.string()), pa.array([*words], pa.string()), pa.array([*words.values()], pa.int64())], ["lang", "word", "n"])
 
@@ -268,8 +300,9 @@ class Scorer:
         fresh = list({w for words, g in zip(split, got) if None in g for w, k in zip(words, g) if k is None})
         late, extra = {}, np.zeros((0, len(names)))
         if fresh:
+            fresh.sort(key=lambda w: len(w) > FITTED)  # long words are not kept
             found, first = self.model.likelihoods(fresh), len(self.known)
-            room = min(len(fresh), KEPT_WORDS - first)
+            room = min(sum(len(w) <= FITTED for w in fresh), KEPT_WORDS - first)
             self.known.update(zip(fresh[:room], range(first, first + room)))
             self.table[first : first + room] = found[:room]
             late = {w: -1 - k for k, w in enumerate(fresh[room:])}

@@ -293,6 +293,7 @@ def test_language_equals_a_plain_scorer(spark, sf_dir):
         for end in range(1, len(w) + 1):
             total = sum((sums[s] * known[w[s:end]] for s in range(max(0, end - model.lattice.longest), end) if w[s:end] in known), np.zeros(len(model.names)))
             sums.append(total + (sums[end - 1] * langid.FLOOR if w[end - 1] not in known else 0))
+            log, sums = log + np.log(sums[-1].max()), [s / sums[-1].max() for s in sums]
         return np.log(np.maximum(sums[-1], 1e-300)) + log
 
     texts = {r[0]: r[1] for r in docs.select("doc_id", "text").collect()}
@@ -301,7 +302,7 @@ def test_language_equals_a_plain_scorer(spark, sf_dir):
         if not any(map(str.isalpha, text or "")):
             assert (r["lang_pred"], r["score"]) == ("und", 0.0)
             continue
-        total = sum(word(w[k : k + 64]) for w in text.lower().split() for k in range(0, len(w), 64))
+        total = sum(map(word, text.lower().split()))
         best = int(np.argmax(total))
         assert r["lang_pred"] == model.names[best] and r["score"] == pytest.approx(1 / np.exp(total - total[best]).sum(), rel=1e-6)
 
@@ -315,7 +316,7 @@ def test_language_cases(spark):
     assert got.columns == [*docs.columns, "found", "posterior"] and got.count() == 7
     assert [r["found"] for r in got.collect()][:4] == ["en", "fr", "en", "en"]
     assert langid.predictions(docs.limit(0), langid.learn(docs.limit(0), queries.vocabulary("piece_bpe_32k.model"))).count() == 0
-    assert langid.words_of("ab " + "x" * 130) == ["ab", "x" * 64, "x" * 64, "xx"]
+    assert langid.fitted_words("ab " + "x" * 130) == ["ab", "x" * 64, "x" * 64, "xx"]
     tie = langid.Model(["a", "b"], ["▁"], np.full((2, 2), 0.5))
     assert langid.Scorer(tie).scores(["word"])[0] == ("a", 0.5)
 
@@ -345,6 +346,30 @@ def test_quality_cases(spark):
     assert quality.scores(docs.limit(0), quality.learn(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_words_of_any_length_are_scored_whole():
+    """The pass over blocks equals the one over the whole word, and a sum over a word of 100,000 characters the plain one."""
+    rng = random.Random(4)
+    pieces = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab", "abba", "bbbbb"]
+    table = np.vstack([np.random.default_rng(1).random((len(pieces), 3)) / 4, np.zeros((1, 3))])
+    model = langid.Model(["x", "y", "z"], pieces, table)
+    word = lambda n: "".join(rng.choice("aabbc") for _ in range(n))
+    words = [word(n) for n in (1, 5, 64, 65, 700, 1024)]
+    whole = model.likelihoods(words)
+    assert np.array([langid.long_forward(model.lattice, "▁" + w, table, 7) for w in words]) == pytest.approx(whole, rel=1e-9)
+    long = word(100_000)
+    sums, log, behind = [np.ones(3)], 0.0, "▁" + long  # of the last positions
+    for end in range(1, len(behind) + 1):
+        text = behind[max(0, end - 9) : end]
+        now = sum((sums[-size] * table[pieces.index(text[-size:])] for size in range(1, 6) if size <= len(sums) and text[-size:] in pieces), np.zeros(3))
+        if text[-1] not in pieces:
+            now = now + sums[-1] * langid.FLOOR
+        top = now.max()
+        log, sums = log + np.log(top), [s / top for s in [*sums[-5:], now]]
+    assert model.likelihoods([long])[0] == pytest.approx(np.log(sums[-1]) + log, rel=1e-9)
+    scorer = langid.Scorer(model)
+    assert scorer.scores([long, "ab " + long, "ab"])[0] == langid.Scorer(model).scores([long])[0] and set(scorer.known) == {"ab"}
+
+
 def test_forward_sums_all_segmentations():
     pieces = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab"]
     p = np.array([0.2, 0.1, 0.15, 0.25, 0.05, 0.1, 0.15])
