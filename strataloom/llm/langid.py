@@ -42,6 +42,8 @@ from .shared import first_by_hash, kept, position, small_batches, take
 SAMPLE = 400
 #: Characters of a word that is scored with others, and of a block of a longer one.
 TOGETHER = 1024
+#: Characters up to which a word's sums in all languages have one scale.
+ALIKE = 32
 #: Characters of a word that is fitted to, and of one whose likelihoods a worker keeps.
 FITTED = 64
 ROUNDS = 4
@@ -174,10 +176,14 @@ def step(ids: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
 
 
 def forward(cut: np.ndarray, ends: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Scaled forward sums by (position, word, language), the words' logarithms, and the scales' by (position, word)."""
+    """Scaled forward sums by (position, word, language), the words' logarithms, and the scales' by (position, word, language or 1).
+
+    In words of more than ``ALIKE`` characters each language has a scale of its own, as its sums may be too small beside another's.
+    """
     n, width, longest = cut.shape
+    apart = width > ALIKE + 1
     sums = np.zeros((width + 1, n, table.shape[1]))
-    scale = np.zeros((width + 1, n))
+    scale = np.zeros((width + 1, n, table.shape[1] if apart else 1))
     sums[0] = 1
     out = np.zeros((n, table.shape[1]))
     for end in range(1, width + 1):
@@ -186,20 +192,20 @@ def forward(cut: np.ndarray, ends: np.ndarray, table: np.ndarray) -> tuple[np.nd
             ids = cut[:, end - size, size - 1]
             if size > 1 and not (ids >= 0).any():
                 continue
-            back = sums[end - size] * np.exp(scale[end - size] - scale[end - 1])[:, None]
+            back = sums[end - size] * np.exp(scale[end - size] - scale[end - 1])
             now += back * step(ids, table, size)
-        top = np.maximum(now.max(axis=1), 1e-300)
-        sums[end] = now / top[:, None]
+        top = np.maximum(now if apart else now.max(axis=1, keepdims=True, initial=0.0), 1e-300)
+        sums[end] = now / top
         scale[end] = scale[end - 1] + np.log(top)
         done = ends == end
-        out[done] = np.log(np.maximum(sums[end][done], 1e-300)) + scale[end][done][:, None]
+        out[done] = np.log(np.maximum(sums[end][done], 1e-300)) + scale[end][done]
     return sums, out, scale
 
 
 def long_forward(lattice: Lattice, word: str, table: np.ndarray, block: int = TOGETHER) -> np.ndarray:
     """Logarithms of one word's sums by language, with the sums of no more positions than a piece is long."""
     longest = lattice.longest
-    ahead, log = np.zeros((longest + 1, table.shape[1])), 0.0  # sums so far at this position and the next ones, over exp(log)
+    ahead, log = np.zeros((longest + 1, table.shape[1])), np.zeros(table.shape[1])  # sums so far at this position and the next ones, over exp(log) of each language
     ahead[0] = 1
     for begin in range(0, len(word), block):
         ids = lattice.cut([word[begin : begin + block + longest - 1]], "")[0]
@@ -207,9 +213,9 @@ def long_forward(lattice: Lattice, word: str, table: np.ndarray, block: int = TO
         chances[ids[:, 0] < 0, 0] = FLOOR
         reach = chances.shape[1]
         for own in chances[:block]:
-            top = ahead[0].max()
-            log += np.log(max(top, 1e-300))
-            ahead /= max(top, 1e-300)
+            top = np.maximum(ahead.max(axis=0), 1e-300)
+            log += np.log(top)
+            ahead /= top
             ahead[1 : reach + 1] += ahead[0] * own
             ahead[:-1] = ahead[1:]
             ahead[-1] = 0
@@ -224,6 +230,7 @@ def expected(lattice: Lattice, words: list[str], counts: np.ndarray, probabiliti
         own = [words[k] for k in some]
         cut, ends = lattice.cut(own), np.array([len(words[k]) + 1 for k in some])
         sums, whole, scale = forward(cut, ends, table)
+        scale = scale[:, :, 0]  # there is one language
         n, width, longest = cut.shape
         later = np.zeros((width + 1, n))  # sums from a position to the word's end, times the scale up to there, over the word's likelihood
         for at in range(width, -1, -1):
