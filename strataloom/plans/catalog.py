@@ -20,7 +20,7 @@ from strataloom.operators import ledger as L
 from strataloom.operators import retrieval as R
 from strataloom.operators import selection
 from strataloom.sources.corpus import NOW, Corpus, escape, with_views
-from strataloom.sources.scratch import staged
+from strataloom.sources.scratch import scratch, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -428,6 +428,12 @@ def bm25_scores(c: Corpus) -> DataFrame:
     return c.text_index.scores([*_TERMS], _WEIGHTS).withColumn("bm25", F.round("bm25", 6))
 
 
+@query(SQL["bm25_scores"])
+def bm25_scanned(c: Corpus) -> DataFrame:
+    """The same scores by a scan of all texts."""
+    return R.bm25(R.fields(c), [*_TERMS], _WEIGHTS, _ALL).withColumn("bm25", F.round("bm25", 6))
+
+
 def _exact(needle: str, terms: tuple[str, ...], to: str) -> tuple[str, str]:
     """BM25 of title and body as ``to``, and the eligible rows that have the needle with their ``bm25``."""
     scored = _bm25(terms, {c: S.FIELD_WEIGHTS[c] for c in R.EXACT_FIELDS}, _ALL, to=to)
@@ -789,6 +795,90 @@ def stream_session_fold(c: Corpus) -> DataFrame:
     return fold_table(c.log.select("session_id", "seq", "kind", L.succeeded(F.col("attributes")).alias("succeeded")))
 
 
+_COMMAND = _JSON.format("command")
+_OUTCOMES_OF = f"""{with_views('log')}, e AS (SELECT *, kind = 'checkpoint' AS marker, coalesce({_PROMPT}, false) AS prompt, {_REASON} AS reason, {_OK} AS ok, {_KEY} AS key FROM log),
+p AS (SELECT *, coalesce(sum(marker::INT) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM e),
+q AS (SELECT *, max(seq) FILTER (marker) OVER (PARTITION BY session_id, part) AS checkpoint_seq FROM p),
+r AS (SELECT *, row_number() OVER w AS back, sum(prompt::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS prompts FROM q WHERE checkpoint_seq IS NOT NULL AND NOT marker WINDOW w AS (PARTITION BY session_id, part ORDER BY seq DESC)),
+a AS (SELECT session_id, checkpoint_seq, seq, key, content AS result, ok, reason FROM r WHERE back <= 128 AND (prompts = 0 OR (prompts = 1 AND prompt))
+  AND (reason IS NOT NULL OR (ok AND kind IN ('command_result', 'tool_result', 'verification') AND coalesce(trim({_COMMAND}), '') <> ''))),
+f AS (SELECT session_id, checkpoint_seq, key, arg_max(result, seq) AS final_result, arg_max(ok, seq) AS final_ok, arg_min(result, seq) FILTER (NOT ok) AS first_failure, max(seq) AS last_order, count(*) AS runs,
+  arg_max(reason, CASE reason WHEN 'verification' THEN 3 WHEN 'explicit_salience' THEN 2 ELSE 1 END) FILTER (reason IS NOT NULL) AS reason FROM a GROUP BY ALL),
+g AS (SELECT *, first_failure IS NOT NULL OR NOT final_ok AS failed, row_number() OVER (PARTITION BY session_id, checkpoint_seq, first_failure IS NOT NULL OR NOT final_ok, reason ORDER BY last_order DESC, key) AS place FROM f)
+SELECT session_id, checkpoint_seq, key, CASE WHEN runs = 1 THEN final_result WHEN first_failure IS NOT NULL AND final_ok THEN 'First failure: ' || first_failure || chr(10) || 'Final result: ' || final_result || chr(10) || 'Observed runs: ' || runs
+  WHEN first_failure <> final_result THEN 'First failure: ' || first_failure || chr(10) || 'Latest failure: ' || final_result || chr(10) || 'Observed runs: ' || runs
+  ELSE final_result || chr(10) || 'Observed equivalent runs: ' || runs END AS result, final_ok AS succeeded, runs, coalesce(reason, 'failed_execution') AS reason
+FROM g WHERE failed OR (reason = 'verification' AND place <= 4) OR (reason = 'explicit_salience' AND place <= 4)"""
+
+
+@query(_OUTCOMES_OF)
+def session_outcomes(c: Corpus) -> DataFrame:
+    """What each checkpoint of each session folds, from the finished log."""
+    from strataloom.streaming.attempts import told
+
+    folds = L.attempts_folded(L.session_attempts(c.log))
+    return told(folds.select("scope.session_id", "scope.checkpoint_seq", *(x for x in folds.columns if x != "scope")))
+
+
+@query(_OUTCOMES_OF)
+def stream_outcomes(c: Corpus) -> DataFrame:
+    """The same from the log as a stream, in which events come up to a minute late."""
+    from strataloom.streaming import attempts as stream
+
+    path, names = scratch(c.spark, "stream"), ["session_id", "seq", "event_id", "kind", "content", "attributes", "occurred_at_ms"]
+    log = c.log.select(*names)
+    late = log.withColumn("arrival", F.col("occurred_at_ms") + F.col("seq") % 7 * 10_000)
+    last = late.agg(F.max("occurred_at_ms").alias("at")).select(F.lit(-1).cast("long").alias("session_id"), F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("event_id"), F.lit("end").alias("kind"), F.lit("").alias("content"), F.lit("{}").alias("attributes"), (F.col("at") + 7_200_000).alias("occurred_at_ms"))
+    last = last.withColumn("arrival", F.col("occurred_at_ms"))  # moves the watermark past all others
+    events = stream.replayed(late.unionByName(last.select(*late.columns)), path, "arrival")
+    return stream.told(stream.written(stream.session_outcomes(events, "5 minutes"), path))
+
+
+@query(SQL["attempt_coalesce"])
+def stream_attempts(c: Corpus) -> DataFrame:
+    """Attempts folded across all sessions as a stream, told as the finished table's."""
+    return L.attempts_told(carried_attempts(c).withColumn("scope", F.col("scope").cast("long")))
+
+
+def carried_attempts(c: Corpus) -> DataFrame:
+    from strataloom.streaming import attempts as stream
+
+    path = scratch(c.spark, "stream")
+    return stream.latest(stream.written(stream.carried(stream.replayed(attempts(c), path, "seq")), path, "update"))
+
+
+@query(
+    f"""{with_views('log')}, a AS (SELECT scope, seq, {_KEY} AS key, content AS result, {_OK} AS ok, {_REASON} AS reason FROM log)
+SELECT CAST(scope AS VARCHAR) AS scope, key, arg_max(result, seq) AS result, max(seq) AS failed_seq, count(*) AS runs FROM a WHERE reason IS NOT NULL GROUP BY ALL HAVING NOT arg_max(ok, seq)"""
+)
+def stream_open_failures(c: Corpus) -> DataFrame:
+    """The keys whose last attempt in any session failed, as the stream leaves them."""
+    rows = carried_attempts(c).filter("not final_succeeded")
+    return rows.select("scope", "key", F.col("final_result").alias("result"), F.col("last_order").alias("failed_seq"), "runs")
+
+
+_KEPT_FIELDS = {"title": 4.0, "body": 1.0}
+
+
+@query(
+    f"{with_views('heads', 'revisions')}, texts AS (SELECT h.memory_id, replace(substr(r.body, 1, 60), chr(10), ' ') AS title, r.body FROM revisions r JOIN heads h ON r.memory_id = h.memory_id AND r.revision = h.head_revision WHERE state <> 'retracted'),"
+    f" {_bm25(_TERMS, _KEPT_FIELDS, tuple(_KEPT_FIELDS), 'memory_id', 'texts')} SELECT memory_id, hits, round(bm25, 6) AS bm25 FROM bm25"
+)
+def index_stream(c: Corpus) -> DataFrame:
+    """An index fed by the stream of all revisions and retractions, in four batches of which one is run twice; what it answers is that of the last revisions."""
+    from strataloom.index import Index
+    from strataloom.streaming.attempts import replayed
+    from strataloom.streaming.maintain import Maintainer
+
+    path = scratch(c.spark, "upkeep")
+    title = F.replace(F.substring("body", 1, 60), F.lit("\n"), F.lit(" ")).alias("title")
+    changes = c.revisions.select("memory_id", F.col("recorded_seq").alias("seq"), F.lit(False).alias("removed"), title, "body")
+    ends = c.heads.filter("state = 'retracted'").select("memory_id", (F.col("memory_id") * 4 + 4).alias("seq"), F.lit(True).alias("removed"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("body"))
+    changes = changes.unionByName(ends).withColumn("arrival", F.col("seq") % 4 * 1_000_000_000 + F.col("seq"))
+    keeper = Maintainer(Index(c.spark, f"{path}/index", "memory_id", "bigint", tuple(_KEPT_FIELDS), buckets=8), "revisions")
+    keeper.run(replayed(changes, path, "arrival"), f"{path}/checkpoint").awaitTermination()
+    keeper.take(c.spark.read.schema(changes.schema).parquet(f"{path}/in/f0001"), 1)  # as after a failure
+    return keeper.index.scores([*_TERMS], _KEPT_FIELDS).withColumn("bm25", F.round("bm25", 6))
 
 
 # inputs, hints and bounds

@@ -46,3 +46,54 @@ def test_session_limit(spark):
     from pyspark.sql import functions as F
 
     assert L.session_slice(rows, F.col("kind") == "checkpoint", F.lit(False), limit=4).count() == 4
+
+
+def test_attempts_fold_in_any_order():
+    import random
+
+    from strataloom.streaming.attempts import _carry, folded
+
+    rng = random.Random(7)
+    rows = [(seq, f"r{seq}", rng.random() < 0.5, rng.choice([None, "verification", "failed_execution", "explicit_salience"])) for seq in range(12)]
+    want = None
+    for r in rows:
+        want = folded(want, *r)
+    failed = [r for r in rows if not r[2]]
+    assert want[:5] == (rows[-1][1], rows[-1][2], failed[0][1], 11, 12)
+    for _ in range(20):
+        rng.shuffle(rows)
+        got = None
+        for r in rows:
+            got = folded(got, *r)
+        assert got == want
+
+    class State:  # as Spark hands it over
+        exists, hasTimedOut, get, left = True, False, want, None
+
+        def update(self, value):
+            self.get = value
+
+        def setTimeoutDuration(self, ms):
+            self.left = ms
+
+        def remove(self):
+            self.exists = False
+
+    import pandas as pd
+
+    state, run = State(), _carry(5000)
+    out = [*run(("s", "k"), iter([pd.DataFrame([(20, "fine", True, None)], columns=["seq", "result", "succeeded", "reason"])]), state)]
+    assert out[0].iloc[0].tolist()[:4] == ["s", "k", "fine", True] and state.get[4] == 13 and state.left == 5000
+    state.hasTimedOut = True
+    assert [*run(("s", "k"), iter([]), state)] == [] and not state.exists
+
+
+def test_session_slice_is_a_two_level_limit(spark):
+    """A session's newest events are taken in each task before the shuffle, so a session of any length sends the limit times the tasks."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(5000).select(F.lit(1).cast("long").alias("session_id"), F.col("id").alias("seq"), F.lit("tool_result").alias("kind")).repartition(5)
+    found = L.session_slice(rows, F.col("kind") == "checkpoint", F.lit(False))
+    assert sorted(r["seq"] for r in found.collect()) == [*range(5000 - 128, 5000)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2, plan
