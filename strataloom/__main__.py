@@ -24,11 +24,13 @@ def parser() -> argparse.ArgumentParser:
     recall.add_argument("--as-of-ms", type=int)
     for name in ("stale", "divergent", "superseded"):
         recall.add_argument(f"--include-{name}", action="store_true")
-    for name in ("get", "history", "retract"):
-        commands.add_parser(name).add_argument("memory_id")
-    feedback = commands.add_parser("feedback")
-    feedback.add_argument("memory_id")
-    feedback.add_argument("signal")
+    for name in ("get", "history", "retract", "feedback"):
+        one = commands.add_parser(name)
+        one.add_argument("memory_id")
+        if name == "feedback":
+            one.add_argument("signal")
+        for part in ("namespace", "workspace-id", "repo-id"):
+            one.add_argument(f"--{part}", required=part == "namespace")
     commands.add_parser("status")
     for name in ("export", "import"):
         commands.add_parser(name).add_argument("path")
@@ -59,10 +61,13 @@ def answer(store, args, text: str):
         found = store.recall(Request(**{n: getattr(args, n) for n in names}, kinds=tuple(args.kinds), entities=tuple(args.entities), vector=vector, as_of_ms=now))
         keep = ("memory_id", "revision", "title", "body", "kind", "state", "score", "applicability", "signals", "reasons", "tokens")
         return found | {"hits": [{k: h[k] for k in keep} for h in found["hits"]]}
-    if args.command in ("get", "history", "retract"):
-        return getattr(store, args.command)(args.memory_id)
-    if args.command == "feedback":
-        return store.give_feedback(args.memory_id, args.signal)
+    if args.command in ("get", "history", "retract", "feedback"):
+        scope = {n: getattr(args, n) for n in ("namespace", "workspace_id", "repo_id")}
+        if args.command == "feedback":
+            return store.give_feedback(args.memory_id, args.signal, scope)
+        if args.command == "history":
+            return store.history(args.memory_id) if store.get(args.memory_id, scope) else None
+        return store.get(args.memory_id, scope) if args.command == "get" else store.retract(args.memory_id, scope=scope)
     if args.command == "status":
         return store.status()
     if args.command in ("export", "import"):

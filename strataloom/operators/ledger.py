@@ -231,6 +231,31 @@ def round_robin(references: DataFrame, most: int = 128) -> DataFrame:
     return least.withColumn("n", F.row_number().over(once)).filter("n = 1").drop("n").orderBy("priority", "candidate_rank", "path").limit(most)
 
 
+def fingerprint(repo: Column, path: Column, symbol: Column, content_hash: Column) -> list[Column]:
+    """identity and content of an artifact's fingerprint: framed hashes of what names it and of its content's hash; both null where it has no hash."""
+    hashed = F.coalesce(content_hash, F.lit("")) != ""
+    name = F.substring(X.framed_key(F.lit("artifact"), repo, path, symbol, prefix="-"), 2, 64)
+    content = F.substring(X.framed_key(F.lit("content"), content_hash, prefix="-"), 2, 64)
+    return [F.when(hashed, name).alias("identity"), F.when(hashed, content).alias("content")]
+
+
+def artifact_coverage(references: DataFrame, artifacts: DataFrame, projected: DataFrame) -> DataFrame:
+    """One row of nine counters over the distinct artifacts of ``references`` (artifact_id): referenced, canonical, projected, valid, missing, corrupt, orphaned, unverifiable, and degraded.
+
+    ``artifacts``: (artifact_id, repo_id, path, symbol, stored_hash); ``projected``: (artifact_id, identity, content), the
+    kept fingerprints.  A fingerprint is valid if it is the one that the artifact gives; an artifact without a hash has an
+    empty one.  A reference without an artifact is orphaned and nothing else but perhaps projected.
+    """
+    wanted = artifacts.select("artifact_id", F.lit(True).alias("known"), F.coalesce("stored_hash", F.lit("")).alias("hash"), F.struct(*fingerprint(F.col("repo_id"), F.col("path"), F.col("symbol"), F.col("stored_hash"))).alias("due"))
+    kept = projected.select("artifact_id", F.struct("identity", "content").alias("kept"))
+    rows = references.select("artifact_id").distinct().join(wanted, "artifact_id", "left").join(kept, "artifact_id", "left")
+    known, has = F.col("known").isNotNull(), F.col("kept").isNotNull()
+    same = F.col("kept.identity").eqNullSafe(F.col("due.identity")) & F.col("kept.content").eqNullSafe(F.col("due.content"))
+    counts = {"referenced": F.lit(True), "canonical": known, "projected": has, "valid": known & has & same, "missing": known & ~has, "corrupt": known & has & ~same, "orphaned": ~known, "unverifiable": known & (F.col("hash") == "")}
+    out = rows.agg(*(F.count_if(c).alias(n) for n, c in counts.items()))
+    return out.withColumn("degraded", (F.col("missing") > 0) | (F.col("corrupt") > 0) | (F.col("orphaned") > 0))
+
+
 def violations(heads: DataFrame, revisions: DataFrame, links: DataFrame) -> DataFrame:
     """check, findings: broken invariants of the model, each an anti join."""
     latest = revisions.groupBy("memory_id").agg(F.max("revision").alias("latest"))

@@ -192,18 +192,22 @@ def exact(corpus: Corpus, request: Request) -> DataFrame:
     return ranked(rows.select("memory_id").join(found, "memory_id"), [F.col("bm25"), F.col("memory_id")], "exact", S.CHANNEL_LIMIT)
 
 
-def alias_texts(corpus: Corpus) -> DataFrame:
-    """memory_id and the aliases that its texts and names give: of tags, entities' kinds and names, artifacts' paths and symbols, title and body."""
-    from strataloom.functions.aliases import alias_text
-
+def alias_inputs(corpus: Corpus) -> DataFrame:
+    """memory_id, revision, title, body and the structured names that aliases are made of: tags, entities' kinds and names, artifacts' paths and symbols."""
     head, tags, entities, used = current(corpus)
     used = used.join(corpus.artifacts.select("artifact_id", "path", "symbol"), "artifact_id")
     names = tags.select("memory_id", F.col("tag").alias("name"))
     for part in (entities.select("memory_id", F.explode(F.array("entity_kind", "canonical", "display")).alias("name")), used.select("memory_id", F.explode(F.array("path", "symbol")).alias("name"))):
         names = names.unionByName(part)
     structured = names.filter("name is not null").groupBy("memory_id").agg(F.sort_array(F.collect_set("name")).alias("structured"))
-    texts = head.join(structured, "memory_id", "left")
-    return texts.select("memory_id", alias_text("title", "body", "structured").alias("aliases"))
+    return head.join(structured, "memory_id", "left").select("memory_id", F.col("head_revision").alias("revision"), "title", "body", "structured")
+
+
+def alias_texts(corpus: Corpus) -> DataFrame:
+    """memory_id and the aliases that its texts and names give."""
+    from strataloom.functions.aliases import alias_text
+
+    return alias_inputs(corpus).select("memory_id", alias_text("title", "body", "structured").alias("aliases"))
 
 
 def alias_scores(corpus: Corpus, terms: list[str]) -> DataFrame:

@@ -537,7 +537,20 @@ def dense_exact(c: Corpus) -> DataFrame:
     return R.dense(c, with_vector(c))
 
 
-@query()
+_PLANES = f"""planes AS MATERIALIZED (SELECT bit, list(CASE WHEN z % 2 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END ORDER BY i) AS plane FROM (SELECT bit, i, xor(y, y // 2147483648) AS z FROM (
+  SELECT bit, i, (xor(y, y // 134217728) * {V.BY_INDEX}::UHUGEINT % 18446744073709551616::UHUGEINT) AS y FROM (SELECT bit, i, (xor(x, x // 1073741824) * {V.BY_BIT}::UHUGEINT % 18446744073709551616::UHUGEINT) AS y FROM (
+  SELECT bit, i, xor(xor(xor({V.SEED}::UHUGEINT, n * {V.BY_DIMENSION}::UHUGEINT % 18446744073709551616::UHUGEINT), bit * {V.BY_BIT}::UHUGEINT % 18446744073709551616::UHUGEINT), i * {V.BY_INDEX}::UHUGEINT % 18446744073709551616::UHUGEINT) AS x
+  FROM (SELECT len(embedding)::UHUGEINT AS n FROM embeddings WHERE embedding IS NOT NULL LIMIT 1), (SELECT unnest(range(128))::UHUGEINT AS bit) AS b, (SELECT unnest(range((SELECT len(embedding) FROM embeddings WHERE embedding IS NOT NULL LIMIT 1)))::UHUGEINT AS i) AS c)))) GROUP BY bit),
+signs AS MATERIALIZED (SELECT vec_id, bit::INT AS bit, list_inner_product(CAST(embedding AS DOUBLE[]), plane) < 0 AS sign FROM embeddings, planes)"""
+
+
+_SHORT = f"""{with_views('heads', 'projections')}, {_ELIGIBLE}, {_PLANES}, query AS (SELECT vec_id, embedding FROM embeddings ORDER BY vec_id LIMIT 1),
+far AS (SELECT a.vec_id, count(*) FILTER (a.sign <> b.sign) AS distance FROM signs a JOIN signs b ON a.bit = b.bit JOIN query q ON q.vec_id = b.vec_id GROUP BY 1),
+cosines AS (SELECT h.memory_id, list_cosine_similarity(CAST(vector AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS cosine FROM projections p JOIN eligible h ON p.memory_id = h.memory_id AND p.revision = h.head_revision AND p.content_hash = h.content_hash
+  JOIN far ON far.vec_id = p.memory_id, query q WHERE vector IS NOT NULL ORDER BY distance, h.memory_id LIMIT 512)"""
+
+
+@query(f"{_SHORT} {_top('dense', 'cosine DESC, memory_id', 'cosines')}")
 def dense_hamming_shortlist(c: Corpus) -> DataFrame:
     return R.dense(c, with_vector(c), exact_limit=50)
 
@@ -553,7 +566,7 @@ def hamming_distance(c: Corpus) -> DataFrame:
     return rows.crossJoin(F.broadcast(first)).select("vec_id", F.size(F.filter(differs, lambda d: d)).alias("distance"))
 
 
-@query()
+@query(f"WITH {_PLANES} SELECT a.vec_id, count(*) FILTER (a.sign <> b.sign)::INT AS distance FROM signs a JOIN signs b ON a.bit = b.bit WHERE b.vec_id = (SELECT min(vec_id) FROM embeddings) GROUP BY 1")
 def signature_distance(c: Corpus) -> DataFrame:
     """Hamming distance of the signatures of whole vectors to the first vector's."""
     rows = c.table("embeddings").select("vec_id", V.signature("embedding").alias("own"))
@@ -568,7 +581,8 @@ def vector_norms(c: Corpus) -> DataFrame:
     return c.table("embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), V.is_valid(F.col("embedding")).alias("valid"))
 
 
-@query()
+@query(f"WITH {_PLANES}, w AS (SELECT vec_id, bit // 64 AS word, sum(CASE WHEN sign THEN (1::HUGEINT << (bit % 64)) ELSE 0 END)::HUGEINT AS n FROM signs GROUP BY ALL), s AS (SELECT vec_id, word, CASE WHEN n >= 9223372036854775808 THEN n - 18446744073709551616 ELSE n END::BIGINT AS n FROM w)"
+       " SELECT vec_id, max(n) FILTER (word = 0) AS low, max(n) FILTER (word = 1) AS high FROM s GROUP BY 1")
 def vector_signatures(c: Corpus) -> DataFrame:
     return c.table("embeddings").select("vec_id", V.signature("embedding").alias("s")).select("vec_id", "s.low", "s.high")
 
@@ -881,6 +895,62 @@ def index_stream(c: Corpus) -> DataFrame:
     return keeper.index.scores([*_TERMS], _KEPT_FIELDS).withColumn("bm25", F.round("bm25", 6))
 
 
+_DUE = """CASE WHEN stored_hash IS NOT NULL THEN sha256('8:artifact' || octet_length(encode(host)) || ':' || host || octet_length(encode(path)) || ':' || path || octet_length(encode(coalesce(symbol, ''))) || ':' || coalesce(symbol, '')) END AS identity,
+  CASE WHEN stored_hash IS NOT NULL THEN sha256('7:content64:' || stored_hash) END AS content"""
+_MISSING, _CORRUPT, _ORPHANED = "artifact_id % 10 = 4", "artifact_id % 15 = 7", "artifact_id % 50 = 11"
+
+
+@query(
+    f"""{with_views('memory_artifacts', 'artifacts')}, c AS (SELECT *, {_DUE} FROM artifacts WHERE NOT ({_ORPHANED})),
+f AS (SELECT artifact_id, CASE WHEN {_CORRUPT} THEN 'x' ELSE identity END AS identity, content FROM (SELECT artifact_id, {_DUE} FROM artifacts WHERE NOT ({_MISSING}))),
+r AS (SELECT DISTINCT m.artifact_id, c.artifact_id IS NOT NULL AS known, f.artifact_id IS NOT NULL AS has, c.stored_hash, c.identity IS NOT DISTINCT FROM f.identity AND c.content IS NOT DISTINCT FROM f.content AS same
+  FROM memory_artifacts m LEFT JOIN c ON c.artifact_id = m.artifact_id LEFT JOIN f ON f.artifact_id = m.artifact_id),
+n AS (SELECT count(*) AS referenced, count(*) FILTER (known) AS canonical, count(*) FILTER (has) AS projected, count(*) FILTER (known AND has AND same) AS valid, count(*) FILTER (known AND NOT has) AS missing,
+  count(*) FILTER (known AND has AND NOT same) AS corrupt, count(*) FILTER (NOT known) AS orphaned, count(*) FILTER (known AND stored_hash IS NULL) AS unverifiable FROM r)
+SELECT *, missing > 0 OR corrupt > 0 OR orphaned > 0 AS degraded FROM n"""
+)
+def artifact_coverage(c: Corpus) -> DataFrame:
+    """Kept fingerprints of which some are missing, some were changed and some have lost their artifact."""
+    known = c.artifacts.withColumnRenamed("host", "repo_id")
+    kept = known.filter(f"not ({_MISSING})").select("artifact_id", *L.fingerprint(F.col("repo_id"), F.col("path"), F.col("symbol"), F.col("stored_hash")))
+    kept = kept.withColumn("identity", F.when(F.expr(_CORRUPT), "x").otherwise(F.col("identity")))
+    return L.artifact_coverage(c.memory_artifacts, known.filter(f"not ({_ORPHANED})"), kept)
+
+
+@query(
+    f"""{with_views('heads', 'tags', 'entities', 'memory_artifacts', 'artifacts')}, n AS (SELECT memory_id, tag AS name FROM tags UNION ALL SELECT memory_id, unnest([entity_kind, canonical, display]) FROM entities
+  UNION ALL SELECT memory_id, unnest([path, symbol]) FROM memory_artifacts JOIN artifacts USING (artifact_id)),
+s AS (SELECT memory_id, string_agg(name, chr(30) ORDER BY name) AS structured FROM (SELECT DISTINCT memory_id, name FROM n WHERE name IS NOT NULL) GROUP BY 1)
+SELECT memory_id, head_revision AS revision, sha256(coalesce(title, '') || chr(31) || coalesce(body, '') || chr(31) || coalesce(structured, '')) AS input_hash, 'aliases-1' AS generator, CASE WHEN memory_id % 4 = 0 THEN 1 ELSE 2 END AS made_in
+FROM heads LEFT JOIN s USING (memory_id) WHERE state <> 'retracted'"""
+)
+def alias_repair(c: Corpus) -> DataFrame:
+    """The markers after a repair of aliases of which a quarter was there; ``made_in``: the run that made each, as those that were there are not made again."""
+    from strataloom.operators.aliasing import Aliases
+
+    kept, part = Aliases(c.spark, scratch(c.spark, "markers")), Corpus(c.spark, c.sf_dir)
+    part._views["heads"] = c.heads.filter("memory_id % 4 = 0")
+    for corpus in (part, c, c):
+        kept.repair(corpus)
+    first = kept.versions.read(kept.versions.manifest(1), "aliases", kept.schema).select("memory_id", F.lit(True).alias("early"))
+    return kept.rows().join(first, "memory_id", "left").select("memory_id", "revision", "input_hash", "generator", F.when(F.col("early"), 1).otherwise(2).alias("made_in"))
+
+
+@query(
+    f"""{with_views('heads', 'revisions', 'links', 'log')} SELECT 'revision' AS part, r.memory_id, r.revision, h.kind AS value, r.revision = h.head_revision AND r.recorded_seq = h.updated_seq AS complete FROM revisions r JOIN heads h ON h.memory_id = r.memory_id
+UNION ALL SELECT 'link', l.source_id, r.revision, l.relation, NULL FROM links l LEFT JOIN log e ON e.event_id = l.created_seq - 1 LEFT JOIN revisions r ON r.memory_id = l.source_id AND r.recorded_seq = e.seq"""
+)
+def legacy_upgrade(c: Corpus) -> DataFrame:
+    """Revisions and links as a snapshot of format 1 has them, brought to the present form."""
+    from strataloom.sources import legacy
+
+    revisions = legacy.revisions(c.revisions, c.heads.select("memory_id", "head_revision", "updated_seq", "kind"))
+    old = c.links.select("source_id", "target_id", "relation", "weight", (F.col("created_seq") - 1).alias("created_event_id"))
+    links = legacy.links(old, c.log.select("event_id", "seq"), c.revisions)
+    told = revisions.select(F.lit("revision").alias("part"), "memory_id", "revision", F.col("kind").alias("value"), F.col("metadata_complete").alias("complete"))
+    return told.unionByName(links.select(F.lit("link").alias("part"), F.col("source_id").alias("memory_id"), F.col("source_revision").alias("revision"), F.col("relation").alias("value"), F.lit(None).cast("boolean").alias("complete")))
+
+
 # inputs, hints and bounds
 
 _PAYLOAD = """concat('{"hook_event_name": "', CASE event_id % 4 WHEN 0 THEN 'UserPromptSubmit' WHEN 1 THEN 'PostToolUse' WHEN 2 THEN 'Stop' ELSE 'SessionStart' END, '", "session_id": "s', CAST(user_id AS VARCHAR(20)), '", "tool_name": "', CASE WHEN event_id % 8 < 4 THEN 'Bash' ELSE 'Edit' END,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.functions import text as X
+from strataloom.sources import legacy
 
 VERSION = 2
 
@@ -47,12 +48,12 @@ def footer(rows: DataFrame) -> DataFrame:
     return own.groupBy("table").agg(F.count("*").alias("n"), F.concat_ws("-", *sums).alias("digest"))
 
 
-def export(tables: dict[str, DataFrame], path: str) -> None:
+def export(tables: dict[str, DataFrame], path: str, version: int = VERSION) -> None:
     spark = next(iter(tables.values())).sparkSession
     rows = lines(tables)
     rows.select(F.to_json(F.struct(F.lit("row").alias("record_type"), "table", "row")).alias("value")).write.text(f"{path}/rows")
     schemas = spark.createDataFrame([(name, df.schema.json()) for name, df in tables.items()], "table string, schema string")
-    schemas.select(F.to_json(F.struct(F.lit("export").alias("record_type"), F.lit(VERSION).alias("format_version"), "table", "schema"))).write.text(f"{path}/header")
+    schemas.select(F.to_json(F.struct(F.lit("export").alias("record_type"), F.lit(version).alias("format_version"), "table", "schema"))).write.text(f"{path}/header")
     footer(rows).select(F.to_json(F.struct(F.lit("export_end").alias("record_type"), "table", "n", "digest"))).write.text(f"{path}/footer")
 
 
@@ -60,9 +61,12 @@ def load(spark: SparkSession, path: str, wanted: dict[str, T.StructType] | None
     """The tables of a snapshot; raises where a line is broken, a table or column unknown, or counts or digests differ from the footer's."""
     read = lambda part, schema: spark.read.text(f"{path}/{part}").select(F.from_json("value", schema).alias("x")).select("x.*")
     head = read("header", "record_type string, format_version int, table string, schema string").collect()  # a row a table
-    if not head or any(r[0] != "export" or r[1] not in (1, VERSION) for r in head):
+    if not head or any(r[0] != "export" or r[1] not in (1, VERSION) for r in head) or len({r[1] for r in head}) > 1:
         raise ValueError("no snapshot header of a known version")
     schemas = {r[2]: T.StructType.fromJson(__import__("json").loads(r[3])) for r in head}
+    version = head[0][1]
+    if version == 1 and wanted is not None:
+        wanted = {n: s for n, s in wanted.items() if n not in legacy.TABLES} | {n: T.StructType.fromDDL(s) for n, s in legacy.TABLES.items()}
     for name, schema in (wanted or {}).items():
         if name in schemas and not set(schemas[name].names) <= set(schema.names):
             raise ValueError(f"unknown columns in {name}")
@@ -74,4 +78,5 @@ def load(spark: SparkSession, path: str, wanted: dict[str, T.StructType] | None
     said = {tuple(r) for r in read("footer", "record_type string, table string, n long, digest string").select("table", "n", "digest").collect()}
     if said != {tuple(r) for r in footer(rows.select("table", "row")).collect()}:
         raise ValueError("counts or digests differ from the footer")
-    return {name: rows.filter(F.col("table") == name).select(F.from_json("row", schema).alias("x")).select("x.*") for name, schema in schemas.items()}
+    found = {name: rows.filter(F.col("table") == name).select(F.from_json("row", schema).alias("x")).select("x.*") for name, schema in schemas.items()}
+    return legacy.upgraded(found) if version == 1 and "heads" in found else found

@@ -43,13 +43,14 @@ __all__ = ["Conflict", "Store"]
 SCOPE = "namespace string, workspace_id string, repo_id string, branch string"
 TABLES = {
     "events": f"seq long, event_id string, {SCOPE}, session_id string, kind string, content string, attributes string, trust string, occurred_at_ms long, ingested_at_ms long",
-    "revisions": f"memory_id string, revision long, recorded_seq long, recorded_at_ms long, {SCOPE}, head_commit string, dirty_hash string, kind string, canonical_key string, title string, body string, content_hash string, importance float, confidence float, trust string, valid_from_ms long, valid_until_ms long, expires_at_ms long, event_id string",
+    "revisions": f"memory_id string, revision long, recorded_seq long, recorded_at_ms long, {SCOPE}, head_commit string, dirty_hash string, kind string, canonical_key string, title string, body string, content_hash string, importance float, confidence float, trust string, valid_from_ms long, valid_until_ms long, expires_at_ms long, event_id string, metadata_complete boolean",
     "tag_rows": "memory_id string, revision long, tag string",
     "entity_rows": "memory_id string, revision long, entity_kind string, canonical string, display string",
     "artifact_rows": "memory_id string, revision long, artifact_id string, repo_id string, path string, symbol string, stored_hash string",
     "current_files": "repo_id string, path string, current_hash string, seq long",
     "evidence": "memory_id string, revision long, event_id string, relation string, span_start long, span_end long",
-    "links": "source_id string, target_id string, relation string, weight int, created_seq long",
+    "fingerprint_rows": "artifact_id string, identity string, content string, seq long",
+    "links": "source_id string, target_id string, relation string, weight int, created_seq long, source_revision long",
     "facts": "memory_id string, seq long, state string",
     "feedback": "memory_id string, signal string, seq long",
     "requests": "namespace string, operation string, key string, request_hash string, receipt string, seq long",
@@ -347,7 +348,7 @@ class Store:
         content_hash = digest(title, body)
         values = (r.get("head_commit"), r.get("dirty_hash"), kind, r.get("canonical_key"), title, body, content_hash, float(r.get("importance", 0.5)), float(r.get("confidence", 0.7)), r.get("trust", "agent"))
         rows["events"].append(event)
-        rows["revisions"].append((memory_id, revision, seq, now, *scope, *values, r.get("valid_from_ms"), r.get("valid_until_ms"), r.get("expires_at_ms"), event[1]))
+        rows["revisions"].append((memory_id, revision, seq, now, *scope, *values, r.get("valid_from_ms"), r.get("valid_until_ms"), r.get("expires_at_ms"), event[1], True))
         rows["tag_rows"] += [(memory_id, revision, t) for t in sorted(set(r.get("tags") or ()))]
         rows["entity_rows"] += [(memory_id, revision, e["kind"], e["canonical"], e.get("display") or e["canonical"]) for e in r.get("entities") or ()]
         for a in r.get("artifacts") or ():
@@ -365,7 +366,7 @@ class Store:
                 raise Conflict("a link does not leave its scope")
             if not link["relation"].strip() or len(link["relation"].encode()) > 64:
                 raise ValueError("a relation has 1 to 64 bytes")
-            rows["links"].append((memory_id, link["target"], link["relation"], link.get("weight", 500), seq))
+            rows["links"].append((memory_id, link["target"], link["relation"], link.get("weight", 500), seq, revision))
             if link["relation"] == "supersedes" and target["state"] in ("active", "contested"):
                 rows["facts"].append((link["target"], seq, "superseded"))
                 target["state"] = "superseded"
@@ -530,6 +531,27 @@ class Store:
         states = {r[0]: r[1] for r in self.heads.groupBy("state").count().collect()}
         return {"states": states, "events": self.table("events").count(), "watermark": self.watermark()}
 
+    def artifact_status(self, namespace: str, workspace_id: str | None = None, repo_id: str | None = None, branch: str | None = None) -> dict:
+        """How well the kept fingerprints of the artifacts of one scope's current revisions are in order."""
+        scope = reduce(and_, (F.col(c).eqNullSafe(F.lit(v).cast("string")) for c, v in zip(OWN, (namespace, workspace_id, repo_id, branch))))
+        own = self.heads.filter(scope & (F.col("state") != "retracted")).select("memory_id", F.col("head_revision").alias("revision"))
+        return L.artifact_coverage(self.memory_artifacts.join(own, ["memory_id", "revision"], "left_semi"), self.artifacts, self.kept_fingerprints).first().asDict()
+
+    @property
+    def kept_fingerprints(self) -> DataFrame:
+        rows = self.table("fingerprint_rows").groupBy("artifact_id").agg(F.max_by(F.struct("identity", "content"), "seq").alias("f"))
+        return rows.select("artifact_id", "f.*")
+
+    def repair_fingerprints(self) -> int:
+        """Write the fingerprints of artifacts that have none or another one; how many."""
+        view = self.at()
+        due = view.artifacts.select("artifact_id", *L.fingerprint(F.col("repo_id"), F.col("path"), F.col("symbol"), F.col("stored_hash"))).distinct()
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("artifact_id", "identity", "content")]
+        late = staged(due.alias("a").join(view.kept_fingerprints.alias("b"), same, "left_anti").withColumn("seq", F.lit(view.pinned.version + 1).cast("long")), "fingerprints")
+        if n := late.count():
+            self.bulk({"fingerprint_rows": late}, view.pinned)
+        return n
+
     def coverage(self) -> dict:
         return L.coverage(self.heads, self.projections).first().asDict()
 
@@ -556,7 +578,8 @@ class Store:
         view = self.at()
         found = R.candidates(R.channels(view, request, generated=True))
         heads = staged(view.heads.join(found, "memory_id").withColumn("body", F.substring("body", 1, S.PREVIEW_CHARS)), "heads")  # 1,024 candidates
-        told = A.relation(heads.filter("head_commit is not null").select(F.col("head_commit").alias("stored"), F.lit(request.head_commit).cast("string").alias("current")), view.commits).select(F.col("stored").alias("head_commit"), "relation")
+        pairs = heads.filter("head_commit is not null").select(F.col("head_commit").alias("stored"), F.lit(request.head_commit).cast("string").alias("current"))
+        told = A.relation(pairs, view.commits).select(F.col("stored").alias("head_commit"), "relation") if request.head_commit is not None else self.spark.createDataFrame([], "head_commit string, relation string")
         used, artifacts = view.memory_artifacts.join(heads.select("memory_id", F.col("head_revision").alias("revision")), ["memory_id", "revision"], "left_semi"), view.artifacts
         if root is not None and request.repo_id is not None:
             order = Window.orderBy(F.col("base").desc(), "memory_id")  # of 1,024 candidates
