@@ -1,8 +1,7 @@
 """How records of one state of a repository apply to another.
 
-``relation`` compares commits by the transitive closure of the commit graph;
-``artifact_state`` compares
-stored and current hashes; ``classified`` is the decision table over joined
+``relation`` (of ``history``) compares commits by what they descend from;
+``artifact_state`` compares stored and current hashes; ``classified`` is the decision table over joined
 columns, one expression without shuffles of its own.
 """
 
@@ -11,43 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.sources.scratch import staged
-
-
-def ancestors(commits: DataFrame) -> DataFrame:
-    """commit_id, ancestor_id for every commit of (commit_id, parent_id) and all it descends from, itself included.
-
-    The reach doubles with each join, so a history of n commits takes log n rounds.
-    """
-    names = commits.select("commit_id").union(commits.select("parent_id")).distinct()
-    reach = staged(names.select("commit_id", F.col("commit_id").alias("ancestor_id")).union(commits.select("commit_id", "parent_id")).distinct(), "reach")
-    known = reach.count()
-    while True:
-        further = reach.select(F.col("commit_id").alias("c"), F.col("ancestor_id").alias("mid")).join(reach.withColumnRenamed("commit_id", "mid"), "mid")
-        reach = staged(further.select(F.col("c").alias("commit_id"), "ancestor_id").distinct(), "reach")
-        if (n := reach.count()) == known:
-            return reach
-        known = n
-
-
-def relation(pairs: DataFrame, commits: DataFrame) -> DataFrame:
-    """stored, current, relation, ahead, behind for distinct pairs of commits: same, ancestor (stored is the current one's), descendant, diverged or unknown."""
-    closure = ancestors(commits)
-    distinct = pairs.select("stored", "current").distinct()
-    mine = distinct.join(closure.select(F.col("commit_id").alias("stored"), "ancestor_id"), "stored").withColumn("side", F.lit(1))
-    theirs = distinct.join(closure.select(F.col("commit_id").alias("current"), "ancestor_id"), "current").withColumn("side", F.lit(2))
-    sides = mine.select("stored", "current", "ancestor_id", "side").unionByName(theirs.select("stored", "current", "ancestor_id", "side"))
-    each = sides.groupBy("stored", "current", "ancestor_id").agg(F.sum("side").alias("sides"))
-    counts = each.groupBy("stored", "current").agg(F.count_if(F.col("sides") == 1).alias("behind"), F.count_if(F.col("sides") == 2).alias("ahead"), F.count_if(F.col("sides") == 3).alias("common"))
-    out = distinct.join(counts, ["stored", "current"], "left")
-    kind = (
-        F.when(F.col("stored") == F.col("current"), "same")
-        .when(F.coalesce(F.col("common"), F.lit(0)) == 0, "unknown")
-        .when(F.col("behind") == 0, "ancestor")
-        .when(F.col("ahead") == 0, "descendant")
-        .otherwise("diverged")
-    )
-    return out.select("stored", "current", kind.alias("relation"), F.coalesce("ahead", F.lit(0)).alias("ahead"), F.coalesce("behind", F.lit(0)).alias("behind"))
+from strataloom.operators.history import relation as relation
 
 
 def within(namespace: str, workspace_id: str | None, repo_id: str | None) -> Column:

@@ -634,10 +634,12 @@ _RELATION = """sides AS (SELECT p.stored, p.current, count(*) FILTER (m.ancestor
 relations AS (SELECT stored, current, CASE WHEN stored = current THEN 'same' WHEN common = 0 THEN 'unknown' WHEN behind = 0 THEN 'ancestor' WHEN ahead = 0 THEN 'descendant' ELSE 'diverged' END AS relation, ahead, behind FROM sides)"""
 
 
-@query(f"{with_views('heads', 'commits')}, {_CLOSURE}, pairs AS (SELECT DISTINCT head_commit AS stored, 40::BIGINT AS current FROM heads WHERE head_commit IS NOT NULL), {_RELATION} SELECT * FROM relations")
+@query(f"{with_views('heads', 'commits')}, {_CLOSURE}, pairs AS (SELECT DISTINCT head_commit AS stored, 40::BIGINT AS current FROM heads WHERE head_commit IS NOT NULL UNION SELECT memory_id, head_commit FROM heads WHERE head_commit IS NOT NULL), {_RELATION} SELECT * FROM relations")
 def git_relation(c: Corpus) -> DataFrame:
-    pairs = c.heads.filter("head_commit is not null").select(F.col("head_commit").alias("stored"), F.lit(40).cast("long").alias("current"))
-    return A.relation(pairs, c.commits)
+    """Each record's commit against the request's, and every commit against its record's."""
+    told = c.heads.filter("head_commit is not null")
+    pairs = told.select(F.col("head_commit").alias("stored"), F.lit(40).cast("long").alias("current"))
+    return A.relation(pairs.union(told.select("memory_id", "head_commit")), c.commits)
 
 
 # an artifact without a stored hash proves nothing; more than 128 stored ones, or an unknown one, prove no set to be current

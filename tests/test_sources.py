@@ -56,5 +56,8 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert call("recall", "cache entries", "--namespace", "n")["hits"][0]["memory_id"] == made["memory_id"]
     call("index", "profile", "p", "m")
     assert [r["memory_id"] for r in call("index", "pending", "p")] == [made["memory_id"]]
-    call("feedback", made["memory_id"], "helpful")
+    call("feedback", made["memory_id"], "helpful", "--namespace", "n")
+    assert call("get", made["memory_id"], "--namespace", "other") is None  # outside the caller's scope
+    with pytest.raises(SystemExit):  # an id alone opens nothing
+        call("feedback", made["memory_id"], "helpful")
     assert call("status")["states"] == {"active": 1}
