@@ -163,18 +163,20 @@ class Index:
         return R.score_counts(self.counts(terms, columns), len(terms), F.lit(n), F.lit(length / n if n else 0.0), self.key)
 
 
-def kept(spark: SparkSession, name: str, sources: list[DataFrame], key: str, kind: str, fields: tuple[str, ...], make: Callable[[], DataFrame]) -> Index:
-    """The index of what ``make`` gives, built in the shared folder the first time it is asked for and found there after.
-
-    Its folder is named by the files that the sources read, with their sizes and times, so other files give another index.
-    """
-    h = hashlib.sha256(f"{name} {key} {fields}".encode())
+def named(spark: SparkSession, name: str, sources: list[DataFrame], *more: object) -> str:
+    """A folder in the shared one, named by the files that the sources read, with their sizes and times, so other files give another one."""
+    h = hashlib.sha256(" ".join([name, *map(str, more)]).encode())
     for df in sources:
         for path in sorted(df.inputFiles()):
             own = spark._jvm.org.apache.hadoop.fs.Path(path)
             status = own.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(own)
             h.update(f"{path} {status.getLen()} {status.getModificationTime()}\n".encode())
-    index = Index(spark, f"{shared_dir(spark)}/index-{name}-{h.hexdigest()[:24]}", key, kind, fields)
+    return f"{shared_dir(spark)}/index-{name}-{h.hexdigest()[:24]}"
+
+
+def kept(spark: SparkSession, name: str, sources: list[DataFrame], key: str, kind: str, fields: tuple[str, ...], make: Callable[[], DataFrame]) -> Index:
+    """The index of what ``make`` gives, built in the shared folder the first time it is asked for and found there after."""
+    index = Index(spark, named(spark, name, sources, key, fields), key, kind, fields)
     if not index.versions.numbers():
         index.add(make())
     return index.at()

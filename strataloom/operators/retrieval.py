@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from strataloom import schemas as S
 from strataloom.functions import text as X
 from strataloom.functions import vectors as V
+from strataloom.operators import signatures
 from strataloom.sources.corpus import NOW, Corpus
 from strataloom.sources.scratch import staged
 
@@ -287,7 +288,11 @@ def dense(corpus: Corpus, request: Request, exact_limit: int = S.DENSE_EXACT_LIM
     heads = (open_rows(corpus, request) if live is None else live).drop("updated_seq")
     rows = corpus.projections.filter("vector is not null").join(heads, ["memory_id", "revision", "content_hash"]).filter(V.is_valid(F.col("vector")))
     if rows.limit(exact_limit + 1).count() > exact_limit:
-        rows = rows.withColumn("distance", V.hamming(V.signature("vector"), V.signature(query))).orderBy("distance", "memory_id").limit(S.CHANNEL_LIMIT)
+        if (index := getattr(corpus, "signature_index", None)) is not None:
+            near = index.nearest(signatures.of_vector(request.vector), S.CHANNEL_LIMIT, heads.select(*index.key))
+            rows = rows.join(F.broadcast(near), index.key, "left_semi")  # of the channel's size
+        else:
+            rows = rows.withColumn("distance", V.hamming(V.signature("vector"), V.signature(query))).orderBy("distance", "memory_id").limit(S.CHANNEL_LIMIT)
     rows = rows.withColumn("cosine", V.cosine(F.col("vector"), query)).filter(F.col("cosine") >= request.min_similarity)
     return ranked(rows, [F.col("cosine").desc(), F.col("memory_id")], "dense", S.CHANNEL_LIMIT)
 
