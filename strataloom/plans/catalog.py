@@ -20,7 +20,7 @@ from strataloom.operators import ledger as L
 from strataloom.operators import retrieval as R
 from strataloom.operators import selection
 from strataloom.sources.corpus import NOW, Corpus, escape, with_views
-from strataloom.sources.scratch import scratch, staged
+from strataloom.sources.scratch import scratch, settled, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,12 +131,15 @@ def as_of_revision(c: Corpus) -> DataFrame:
     return L.as_of(rows, F.col("b")).select("memory_id", "revision", "recorded_seq", F.length("body").alias("chars"))
 
 
-@query(
+_FOLDED = (
     f"{with_views('heads', 'links')}, f AS (SELECT target_id AS memory_id, 2 AS rank, 'superseded' AS t FROM links WHERE relation = 'supersedes'"
     " UNION ALL SELECT target_id, 1, 'contested' FROM links WHERE relation = 'contests' UNION ALL SELECT source_id, 1, 'contested' FROM links WHERE relation = 'contests'),"
-    " g AS (SELECT memory_id, arg_max(t, rank) AS t FROM f GROUP BY 1)"
-    " SELECT h.memory_id, state AS before, CASE WHEN state IN ('active', 'contested') THEN coalesce(t, state) ELSE state END AS after FROM heads h LEFT JOIN g USING (memory_id)"
+    " g AS (SELECT memory_id, arg_max(t, rank) AS t FROM f GROUP BY 1),"
+    " folded AS (SELECT h.memory_id, state AS before, CASE WHEN state IN ('active', 'contested') THEN coalesce(t, state) ELSE state END AS after FROM heads h LEFT JOIN g USING (memory_id))"
 )
+
+
+@query(f"{_FOLDED} SELECT * FROM folded")
 def lifecycle_fold(c: Corpus) -> DataFrame:
     return L.state_after(c.heads, c.links)
 
@@ -376,6 +379,24 @@ def snapshot_counts(c: Corpus) -> DataFrame:
     return counted({"heads": (c.heads, "memory_id", "content_hash"), "log": (c.log, "seq", "attributes"), "feedback": (c.feedback, "memory_id", "signal")})
 
 
+@query(
+    f"""{_FOLDED}, a AS (SELECT memory_id, before AS state FROM folded), b AS (SELECT memory_id, after AS state FROM folded WHERE after <> 'retracted'),
+x AS (SELECT *, row_number() OVER w - 1 AS n, lag(concat(memory_id, state)) OVER w AS was FROM a WINDOW w AS (ORDER BY memory_id)),
+y AS (SELECT *, row_number() OVER w - 1 AS n, lag(concat(memory_id, state)) OVER w AS was FROM b WINDOW w AS (ORDER BY memory_id))
+SELECT memory_id, CASE WHEN y.n IS NULL THEN 'removed' WHEN x.state <> y.state THEN 'changed' ELSE 'moved' END AS change, x.n AS mine, y.n AS theirs FROM x LEFT JOIN y USING (memory_id)
+WHERE y.n IS NULL OR x.state <> y.state OR x.was IS DISTINCT FROM y.was"""
+)
+def snapshot_changes(c: Corpus) -> DataFrame:
+    """What links and the purge of retracted records change in the table of states, by the Merkle trees of both."""
+    from strataloom.sources import merkle
+
+    folded = L.state_after(c.heads, c.links)
+    mine, theirs = folded.select("memory_id", F.col("before").alias("state")), folded.filter("after <> 'retracted'").select("memory_id", F.col("after").alias("state"))
+    tree = lambda df: merkle.tree(merkle.ordered(df, ["memory_id"]))
+    found = settled(c.spark, "changes", lambda: merkle.changes(tree(mine), tree(theirs)))
+    return found.select(F.get_json_object("key", "$.memory_id").cast("long").alias("memory_id"), "change", "mine", "theirs")
+
+
 # channels
 
 _TERMS = ("en", "the")

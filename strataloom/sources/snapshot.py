@@ -2,6 +2,7 @@
 
 The digest is made of the sums of four parts of 60 bits of the rows' SHA-256,
 so it needs no global order and rows may be written by any number of tasks.
+Tables for which an order is given have numbered rows, and the root of their Merkle tree beside the digest: then the order counts.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.functions import text as X
-from strataloom.sources import legacy
+from strataloom.sources import legacy, merkle
+from strataloom.sources.scratch import settled
 
 VERSION = 2
 
@@ -48,13 +50,33 @@ def footer(rows: DataFrame) -> DataFrame:
     return own.groupBy("table").agg(F.count("*").alias("n"), F.concat_ws("-", *sums).alias("digest"))
 
 
-def export(tables: dict[str, DataFrame], path: str, version: int = VERSION) -> None:
+def rooted(rows: DataFrame) -> str | None:
+    """The root of the tree over (n, row); raises where the numbers are not those from 0, each once."""
+    told = rows.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n")).first()
+    if tuple(told) not in ((told[0], told[0], 0, told[0] - 1), (0, 0, None, None)):
+        raise ValueError("rows without their numbers, or with others' ones")
+    return settled(rows.sparkSession, "root", lambda: merkle.tree(merkle.given(rows))[-1]).select("digest").first()[0] if told[0] else None
+
+
+def export(tables: dict[str, DataFrame], path: str, version: int = VERSION, order: dict[str, list[str]] | None = None) -> None:
+    """Write a snapshot; ``order`` has the key columns of tables whose rows are to be numbered by them."""
     spark = next(iter(tables.values())).sparkSession
-    rows = lines(tables)
-    rows.select(F.to_json(F.struct(F.lit("row").alias("record_type"), "table", "row")).alias("value")).write.text(f"{path}/rows")
+    placed = {name: settled(spark, "ordered", lambda name=name, keys=keys: merkle.ordered(tables[name], keys)) for name, keys in (order or {}).items()}
+    rows = None
+    for name, df in tables.items():
+        part = placed[name].select(F.lit(name).alias("table"), "row", "n") if name in placed else lines({name: df}).withColumn("n", F.lit(None).cast("long"))
+        rows = part if rows is None else rows.unionByName(part)
+    rows.select(F.to_json(F.struct(F.lit("row").alias("record_type"), "table", "row", "n")).alias("value")).write.text(f"{path}/rows")
     schemas = spark.createDataFrame([(name, df.schema.json()) for name, df in tables.items()], "table string, schema string")
     schemas.select(F.to_json(F.struct(F.lit("export").alias("record_type"), F.lit(version).alias("format_version"), "table", "schema"))).write.text(f"{path}/header")
-    footer(rows).select(F.to_json(F.struct(F.lit("export_end").alias("record_type"), "table", "n", "digest"))).write.text(f"{path}/footer")
+    roots = spark.createDataFrame([(name, rooted(df.select("n", "row"))) for name, df in placed.items()], "table string, root string")  # a row a table
+    footer(rows).join(F.broadcast(roots), "table", "left").select(F.to_json(F.struct(F.lit("export_end").alias("record_type"), "table", "n", "digest", "root"))).write.text(f"{path}/footer")
+
+
+def changes(spark: SparkSession, mine: str, theirs: str, table: str, keys: list[str]) -> DataFrame:
+    """What sets a table of two snapshots apart, by their trees: ``merkle.changes``."""
+    tree = lambda path: merkle.tree(merkle.ordered(load(spark, path)[table], keys))
+    return settled(spark, "changes", lambda: merkle.changes(tree(mine), tree(theirs)))
 
 
 def load(spark: SparkSession, path: str, wanted: dict[str, T.StructType] | None = None) -> dict[str, DataFrame]:
@@ -70,13 +92,16 @@ def load(spark: SparkSession, path: str, wanted: dict[str, T.StructType] | None
     for name, schema in (wanted or {}).items():
         if name in schemas and not set(schemas[name].names) <= set(schema.names):
             raise ValueError(f"unknown columns in {name}")
-    rows = read("rows", "record_type string, table string, row string")
+    rows = read("rows", "record_type string, table string, row string, n long")
     if not rows.filter("record_type is null or record_type != 'row' or row is null").isEmpty() or not rows.filter(~F.col("table").isin(*schemas)).isEmpty():
         raise ValueError("a broken row or an unknown table")
     if not rows.filter(X.redacted(F.col("row"))["count"] > 0).isEmpty():
         raise ValueError("a row holds a secret")
-    said = {tuple(r) for r in read("footer", "record_type string, table string, n long, digest string").select("table", "n", "digest").collect()}
-    if said != {tuple(r) for r in footer(rows.select("table", "row")).collect()}:
+    told = read("footer", "record_type string, table string, n long, digest string, root string").select("table", "n", "digest", "root").collect()  # a row a table
+    if {tuple(r)[:3] for r in told} != {tuple(r) for r in footer(rows.select("table", "row")).collect()}:
         raise ValueError("counts or digests differ from the footer")
+    for name, _, _, root in told:
+        if root is not None and rooted(rows.filter(F.col("table") == name).select("n", "row")) != root:
+            raise ValueError(f"the rows of {name} are not in the footer's order")
     found = {name: rows.filter(F.col("table") == name).select(F.from_json("row", schema).alias("x")).select("x.*") for name, schema in schemas.items()}
     return legacy.upgraded(found) if version == 1 and "heads" in found else found
