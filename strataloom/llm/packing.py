@@ -191,7 +191,7 @@ class Shard:
         common = np.flatnonzero(have_here * WHOLE_ROWS >= self.n)
         self.row = np.full(len(told.have), -1, np.int32)
         self.row[common] = np.arange(len(common), dtype=np.int32)
-        self.rows = np.zeros((len(common), self.n), np.float32)
+        self.rows = np.zeros((len(common), self.n))
         at = self.row[every]
         whole = at >= 0
         self.rows[at[whole], of[whole]] = weight[whole]
@@ -212,8 +212,8 @@ class Shard:
         self.n = len(self.numbers)
 
     def rank(self, seeds: list[int]) -> np.ndarray:
-        """BM25 of every document that is in the index (``numbers``), a row for each seed; in whole numbers that a float holds, so sums are exact."""
-        asked = np.zeros((len(seeds), len(self.rows)), np.float32)
+        """BM25 of every document that is in the index (``numbers``), a row for each seed; in whole numbers below 2**53, so sums are exact in any order."""
+        asked = np.zeros((len(seeds), len(self.rows)))
         for k, seed in enumerate(seeds):
             row = self.row[self.terms[seed]]
             asked[k, row[row >= 0]] = 1

@@ -248,6 +248,55 @@ def test_license_runs(spark, sf_dir):
     assert units.keys() == runs.keys() and all(runs[k] >= units[k] for k in units)
 
 
+def runs_plainly(text, templates, threshold):
+    """The best (license, score) over all runs of words that are no longer than a match of the template can be, and how many templates match."""
+    words = "".join(c if c.isascii() and c.isalnum() else " " for c in text or "").lower().split()
+    own = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    found = []
+    for name, notice in templates:
+        grams = set(licenses.bigrams_of(notice))
+        most = len(grams) / (threshold / (2 - threshold))
+        every = (set(own[i:j]) for i in range(len(own)) for j in range(i + 1, len(own) + 1) if j - i <= most)
+        best = max((2 * len(run & grams) / (len(run) + len(grams)) for run in every), default=0)
+        if grams and best >= threshold:
+            found.append((-best, name))
+    return (min(found)[1], round(-min(found)[0], 9), len(found)) if found else (None, 0.0, 0)
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_license_runs_against_all_runs(spark, threshold):
+    rng = random.Random(17)
+    words = "a b c d e f g h".split()
+    templates = [("two", "a b c d a c"), ("one", "a b c d a c"), ("long", "h g f e d c b a h a g"), ("short", "e f g"), ("none", "word")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(30))) for _ in range(60)]
+    for _ in range(60):  # a notice with some words changed, among others
+        notice = rng.choice(templates)[1].split()
+        for _ in range(rng.randrange(3)):
+            notice[rng.randrange(len(notice))] = rng.choice(words)
+        texts.append(" ".join([*rng.choices(words, k=rng.randrange(9)), *notice, *rng.choices(words, k=rng.randrange(9))]))
+    texts += ["", None, "a", "A, B: c\n# D a-c", "e f g", "e f g", "x " * 20_000 + "a b c d a c " + "y z " * 20_000]
+    docs = spark.createDataFrame([(k, t, "license", 1) for k, t in enumerate(texts)], "doc_id long, text string, License string, hits int").union(spark.createDataFrame([(None, "e f g", "x", 2), (3, "e f g", "x", 2), (3, "e f g", "x", 2)], "doc_id long, text string, a string, b int"))
+    got = [(r["doc_id"], r["license"], round(r["score"], 9), r["n_matches"]) for r in licenses.scan_runs(docs, templates, threshold).collect()]
+    kept = [t for t in texts if t is None or len(t) < 1000]
+    want = [(k, *runs_plainly(t, templates, threshold)) for k, t in enumerate(texts) if t in kept]
+    want += [(len(texts) - 1, "one", 1.0, 2), *((k, *runs_plainly("e f g", templates, threshold)) for k in (None, 3, 3))]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and sum(w[1] is not None for w in want) > 30
+    assert licenses.scan_runs(docs.limit(0), templates, threshold).count() == 0
+
+
+def test_packing_sums_are_whole_for_long_documents():
+    """Sums of thousands of rare ids are those of whole numbers, which single floats don't hold."""
+    rng = np.random.default_rng(3)
+    terms = [np.unique(rng.integers(0, 9000, 4000)) for _ in range(16)]
+    counts = [rng.integers(1, 9, len(t)) for t in terms]
+    lengths = np.array([int(c.sum()) for c in counts])
+    told = packing.Statistics(10**7, float(lengths.mean()), np.full(9000, 3))
+    shard = packing.Shard(terms, counts, lengths, told)
+    weights = [dict(zip(t.tolist(), np.rint(told.weights(t, c, n) * packing.UNIT).astype(int).tolist())) for t, c, n in zip(terms, counts, lengths)]
+    want = [[sum(w.get(x, 0) for x in asked.tolist()) for w in weights] for asked in terms]
+    assert max(map(max, want)) > 1 << 24 and shard.rank([*range(16)]).tolist() == want
+
+
 def test_quality(spark, sf_dir):
     rows = queries.op6_quality(spark, sf_dir.replace("0.001", "0.01")).collect()
     labels = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet").select("doc_id", "quality").collect()}
