@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,20 @@ def test_ties_and_empty_tables(spark, tmp_path):
 def test_bits_grow_with_the_table():
     assert [N.bits_for(n) for n in (0, 1000, 1 << 14, 1 << 16, 1 << 40)] == [2, 2, 6, 8, N.MOST_BITS]
     assert N.share(8, 0) == 8 / 256 and N.share(8, 8) == N.BANDS and sum(len(N.ring((5, 9), 4, r)) for r in range(5)) == 8 * 16
+
+
+def test_the_vector_channel_compares_all_vectors_of_a_large_table(spark):
+    """5,000 eligible vectors: the best by cosine, not the best of those with near signatures."""
+    from types import SimpleNamespace
+
+    from strataloom.operators import retrieval as R
+
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(5000, 6)).astype(np.float32)
+    frame = spark.createDataFrame([(k, 1, "h", v.tolist()) for k, v in enumerate(vectors)], "memory_id long, revision long, content_hash string, vector array<float>")
+    live = frame.select("memory_id", "revision", "content_hash", F.col("memory_id").alias("updated_seq"))
+    got = R.dense(SimpleNamespace(projections=frame), R.Request("", "n", vector=tuple(map(float, vectors[7])), min_similarity=-1.0), live=live)
+    wide = vectors.astype(np.float64)
+    cosines = wide @ wide[7] / (np.linalg.norm(wide, axis=1) * np.linalg.norm(wide[7]))
+    best = sorted(range(5000), key=lambda k: (-cosines[k], k))[:512]
+    assert [r["memory_id"] for r in got.orderBy("rank").collect()] == best
