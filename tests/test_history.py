@@ -79,3 +79,14 @@ def test_empty_histories_and_cycles(spark):
     assert H.relation(pairs.limit(0), empty).count() == 0
     with pytest.raises(ValueError, match="cycle"):
         H.relation(pairs, spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "commit_id long, parent_id long"))
+
+
+def test_a_line_that_leaves_its_lowest_child_at_every_ninth_commit(spark):
+    """Ways to the root change chains a few times, where ones of lowest children would do so at every ninth commit, and every commit's relation is right."""
+    n = 250
+    edges = [(k, k - 3 if k % 9 == 8 else k - 1) for k in range(1, n)] + [e for k in range(1, n) for e in ((k, k - 1),) * (k % 27 == 26) + ((k, k - 11),) * (k % 27 == 17)]
+    frame = spark.createDataFrame(edges, "commit_id long, parent_id long")
+    assert H.ways(H.laid(frame)).groupBy("chain").count().agg({"count": "max"}).first()[0] <= 3
+    below, pairs = closure(edges), [(k, k * 7 % 64) for k in range(n)]
+    got = H.relation(spark.createDataFrame(pairs, "stored long, current long"), frame).collect()
+    assert sorted(map(tuple, got)) == sorted(told(*p, below) for p in pairs)
