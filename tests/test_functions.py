@@ -118,3 +118,14 @@ def test_framed_keys_of_whole_pages(spark, tmp_path):
     spark.createDataFrame([(k, "u", "x" * 100 + t) for k, t in enumerate("aab")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     a, b, c = (r[1] for r in QUERIES["framed_keys"](spark, str(tmp_path)).orderBy("page_id").collect())
     assert a == b != c
+
+
+def test_a_repeated_word_is_cut_once():
+    """A worker cuts each word once, however often its texts have it; the aliases stay as they were."""
+    from strataloom.functions import aliases
+
+    aliases._unit.cache_clear()
+    texts = ["fooBar baz_qux stack overflow in fooBar", "fooBar; stack\noverflow", "Stack very overflow"]
+    found = [code_aliases("", (t + "\n") * 50, ()) for t in texts]
+    assert found == ["callstack recursionlimit stackoverflow bar baz bazqux foo foobar qux", "bar foo foobar", "callstack recursionlimit stackoverflow"]
+    assert aliases._unit.cache_info().misses <= 10
