@@ -9,6 +9,7 @@ same folds of finished tables.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,6 +19,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from strataloom import schemas as S
 from strataloom.operators import ledger as L
+from strataloom.sources.scratch import staged
+
+#: Rows of a file of a replayed table.
+PART_ROWS = 100_000
 
 FOLD = "final_result string, final_succeeded boolean, first_failure string, last_order long, runs long, reason string"
 #: State of a key: its fold and the sequence numbers that its parts come from.
@@ -39,6 +44,20 @@ def folded(old: tuple | None, seq: int, result: str | None, succeeded: bool, rea
     return last, ok, first, order, runs + 1, why, first_order, why_order
 
 
+def merged(old: tuple | None, new: tuple) -> tuple:
+    """A key's fold (KEPT) of the attempts of two folds."""
+    if old is None:
+        return new
+    last, ok, first, order, runs, why, first_order, why_order = old
+    if new[3] >= order:
+        last, ok, order = new[0], new[1], new[3]
+    if new[6] is not None and (first_order is None or new[6] < first_order):
+        first, first_order = new[2], new[6]
+    if (RANKS.get(new[5], 0), new[7]) >= (RANKS.get(why, 0), why_order):
+        why, why_order = new[5], new[7]
+    return last, ok, first, order, runs + new[4], why, first_order, why_order
+
+
 def _text(value) -> str | None:
     return None if value is None or value != value else value
 
@@ -46,6 +65,20 @@ def _text(value) -> str | None:
 _NAMES = [x.split()[0] for x in FOLD.split(", ")]
 
 
+#: Folds of a task's rows on their way to the state; ``failed`` says whether there is a first failure.
+_PART = f"scope string, key string, {KEPT}, failed boolean"
+_PART_NAMES = [x.split()[0] for x in _PART.split(", ")]
+
+
+def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        folds: dict[tuple, tuple] = {}
+        for scope, name, seq, result, ok, reason in zip(*(rows[c] for c in ("scope", "key", "seq", "result", "succeeded", "reason"))):
+            key = (_text(scope), _text(name))
+            folds[key] = folded(folds.get(key), int(seq), _text(result), bool(ok), _text(reason))
+        yield pd.DataFrame([(*key, *f[:6], f[6] or 0, f[7], f[6] is not None) for key, f in folds.items()], columns=_PART_NAMES)
+
+
 def _carry(ttl_ms: int | None) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -53,8 +86,8 @@ def _carry(ttl_ms: int | None) -> Callable:
             return
         fold = state.get if state.exists else None
         for rows in batches:
-            for seq, result, ok, reason in zip(*(rows[c] for c in ("seq", "result", "succeeded", "reason"))):
-                fold = folded(fold, int(seq), _text(result), bool(ok), _text(reason))
+            for last, ok, first, order, runs, why, first_order, why_order, failed in rows[_PART_NAMES[2:]].itertuples(index=False, name=None):
+                fold = merged(fold, (_text(last), bool(ok), _text(first), int(order), int(runs), _text(why), int(first_order) if failed else None, int(why_order)))
         state.update(fold)
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)
@@ -66,12 +99,13 @@ def _carry(ttl_ms: int | None) -> Callable:
 def carried(attempts: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """The fold of each key that a batch of attempts (scope, seq, key, result, succeeded, reason) touches, with all that came before it in any session; ``scope`` as a text.
 
+    A task folds its own rows first, so a key with many attempts brings its group a row for each batch of rows of a task.
     Its last row is the fold of the finished table; a failure is open while final_succeeded is false.  A key that nothing
     touches for ``ttl_ms`` is forgotten.
     """
     rows = attempts.select(F.col("scope").cast("string").alias("scope"), "seq", "key", "result", "succeeded", "reason")
     timeout = GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
-    return rows.groupBy("scope", "key").applyInPandasWithState(_carry(ttl_ms), f"scope string, key string, {FOLD}", KEPT, "update", timeout)
+    return rows.mapInPandas(_parts, _PART).groupBy("scope", "key").applyInPandasWithState(_carry(ttl_ms), f"scope string, key string, {FOLD}", KEPT, "update", timeout)
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -147,13 +181,23 @@ def written(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.parquet(f"{path}/out")
 
 
-def replayed(table: DataFrame, path: str, order: str, files: int = 4) -> DataFrame:
-    """A finished table as a stream of files in an order, one file a batch."""
+def replayed(table: DataFrame, path: str, order: str, files: int = 4, rows: int | None = None) -> DataFrame:
+    """A finished table as a stream of so many parts in an order, a folder and a batch each.
+
+    A part has a file for each ``rows`` of its rows (PART_ROWS), so a large one is written and read by many tasks.
+    """
     spark = table.sparkSession
+    table = staged(table, "replayed")
     edges = table.approxQuantile(order, [k / files for k in range(1, files)], 0.01)
     bounds = [None, *edges, None]
-    for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
-        part = table if low is None else table.filter(F.col(order) > low)
-        part = part if high is None else part.filter(F.col(order) <= high)
-        part.coalesce(1).write.parquet(f"{path}/in/f{k:04d}")  # one after another, so their times order them
-    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{path}/in")
+    each = max(1, math.ceil(table.count() / files / (rows or PART_ROWS)))
+    while True:
+        for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+            part = table if low is None else table.filter(F.col(order) > low)
+            part = part if high is None else part.filter(F.col(order) <= high)
+            part = part.coalesce(1) if each == 1 else part.repartition(each)
+            part.write.mode("overwrite").parquet(f"{path}/in/f{k:04d}")  # one after another, so their times order them
+        if each == 1 or all(len(spark.read.parquet(f"{path}/in/f{k:04d}").inputFiles()) == each for k in range(files)):
+            break
+        each = 1  # parts of few rows: batches must be parts
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", each).option("recursiveFileLookup", "true").parquet(f"{path}/in")
