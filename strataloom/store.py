@@ -34,6 +34,7 @@ from strataloom.operators import applicability as A
 from strataloom.operators import ledger as L
 from strataloom.operators import retrieval as R
 from strataloom.operators import selection
+from strataloom.operators.postings import LAYOUT
 from strataloom.sources import files, snapshot
 from strataloom.sources.scratch import remove, staged
 from strataloom.sources.versions import Conflict, Manifest, Versions
@@ -221,7 +222,7 @@ class Store:
     def index(self, name: str) -> Index:
         """One of the indexes ``text``, ``aliases`` and ``expansions``."""
         key, kind, names = _INDEXES[name]
-        return Index(self.spark, f"{self.path}/index/{name}", key, kind, names)
+        return Index(self.spark, f"{self.path}/index/{name}-{LAYOUT}", key, kind, names)
 
     def _asked(self, name: str) -> Index | None:
         """The index, if it is of the version that is read."""
