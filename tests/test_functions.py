@@ -129,3 +129,17 @@ def test_a_repeated_word_is_cut_once():
     found = [code_aliases("", (t + "\n") * 50, ()) for t in texts]
     assert found == ["callstack recursionlimit stackoverflow bar baz bazqux foo foobar qux", "bar foo foobar", "callstack recursionlimit stackoverflow"]
     assert aliases._unit.cache_info().misses <= 10
+
+
+def test_envelopes_of_blank_and_null_bodies(spark, tmp_path):
+    """A blank body stands in the envelope and a null one gives null, as in the SQL; a recall that rendered nothing has no envelope."""
+    from strataloom.plans.catalog import QUERIES, SQL
+    from tests.compare import same
+
+    texts = [None, "", " ", "\n", " \t\r\n", "\x0b", "\xa0", "\u3000", "a", "\na\n"]
+    rows = [(k, t, "en", "src0") for k, t in enumerate(t for t in texts for _ in range(5))]  # one of each text's numbers is divisible by 5
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    same(spark, str(tmp_path), QUERIES["context_envelope"], SQL["context_envelope"])
+    got = {r[0]: r[1] for r in QUERIES["context_envelope"](spark, str(tmp_path)).collect()}
+    assert got[0] == got[5] == "" and got[1] is None and got[6] == "".join(X.ENVELOPE) and got[11] == " ".join(X.ENVELOPE)
+    assert one(spark, X.enveloped(F.lit(" \n"))) == one(spark, X.enveloped(F.lit(None).cast("string"))) == ""
