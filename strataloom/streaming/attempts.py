@@ -79,6 +79,16 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(*key, *f[:6], f[6] or 0, f[7], f[6] is not None) for key, f in folds.items()], columns=_PART_NAMES)
 
 
+def _kept(rows: pd.DataFrame) -> Iterator[tuple]:
+    """The folds (KEPT) of a key's rows: those a task has made of its attempts, or of single attempts that none has folded."""
+    if "runs" not in rows:
+        for seq, result, ok, reason in zip(*(rows[c] for c in ("seq", "result", "succeeded", "reason"))):
+            yield folded(None, int(seq), _text(result), bool(ok), _text(reason))
+        return
+    for last, ok, first, order, runs, why, first_order, why_order, failed in rows[_PART_NAMES[2:]].itertuples(index=False, name=None):
+        yield _text(last), bool(ok), _text(first), int(order), int(runs), _text(why), int(first_order) if failed else None, int(why_order)
+
+
 def _carry(ttl_ms: int | None) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -86,8 +96,8 @@ def _carry(ttl_ms: int | None) -> Callable:
             return
         fold = state.get if state.exists else None
         for rows in batches:
-            for last, ok, first, order, runs, why, first_order, why_order, failed in rows[_PART_NAMES[2:]].itertuples(index=False, name=None):
-                fold = merged(fold, (_text(last), bool(ok), _text(first), int(order), int(runs), _text(why), int(first_order) if failed else None, int(why_order)))
+            for part in _kept(rows):
+                fold = merged(fold, part)
         state.update(fold)
         if ttl_ms is not None:
             state.setTimeoutDuration(ttl_ms)

@@ -37,3 +37,20 @@ def test_a_task_sends_a_key_once_for_each_batch_of_rows():
     rows = pd.DataFrame({"scope": "s", "key": ["a", "b"] * 500, "seq": range(1000), "result": "r", "succeeded": [False, True] * 500, "reason": "verification"})
     (found,) = A._parts(iter([rows]))
     assert found[["key", "runs", "last_order", "first_order", "failed"]].values.tolist() == [["a", 500, 998, 0, True], ["b", 500, 999, 0, False]]
+
+
+def test_a_key_takes_attempts_and_folds_of_them_alike():
+    import pandas as pd
+
+    class State:  # as Spark hands it over
+        exists, hasTimedOut, get = False, False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    rows = pd.DataFrame({"scope": "s", "key": "a", "seq": range(12), "result": [f"r{k}" for k in range(12)], "succeeded": [True, False, True] * 4, "reason": ["verification", None, "failed_execution"] * 4})
+    bare, mixed = State(), State()
+    (out,) = A._carry(None)(("s", "a"), iter([rows]), bare)
+    (same,) = A._carry(None)(("s", "a"), iter([*A._parts(iter([rows[6:]])), rows[:3], *A._parts(iter([rows[3:6]]))]), mixed)
+    assert bare.get == mixed.get == ("r11", True, "r1", 11, 12, "verification", 1, 9)
+    assert out.values.tolist() == same.values.tolist() == [["s", "a", "r11", True, "r1", 11, 12, "verification"]]
